@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, simhash
+from . import decontaminate, language, mixing, secret_scan, simhash
 from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+@query
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op7_curriculum_mix"] = r"""
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS rank, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+l AS (SELECT *, sum(source_size) OVER () AS total, (sum(source_size) OVER () - 3 * (sum(source_size) OVER f - source_size)) / CAST(sum(w) OVER () - sum(w) OVER f + w AS DOUBLE) AS level
+  FROM s WINDOW f AS (ORDER BY source_size / CAST(w AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN level * w > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
+  ELSE CAST(total - 3 * coalesce(sum(source_size) FILTER (WHERE level * w > 3 * source_size) OVER (), 0) AS DOUBLE) * w / sum(w) FILTER (WHERE NOT level * w > 3 * source_size) OVER () END AS target FROM l),
+p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, CAST(floor(target / source_size + 1e-9) AS BIGINT) AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, floor(target + 1e-6) - whole * source_size - start)) AS BIGINT) AS taken FROM p"""
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"))
+
+
 @query
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
