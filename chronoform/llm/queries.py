@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, license_scan, mixing, secret_scan, simhash, toxicity, warc
+from . import decontaminate, embedding_dedup, language, license_scan, mixing, quotation, secret_scan, simhash, toxicity, warc
 from .common import crc_mod, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORD
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, floor(target + 1e-6) - whole * source_size - start)) AS BIGINT) AS taken FROM p"""
 
 
+@query
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
