@@ -33,3 +33,82 @@ def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, wi
     both = a.join(b, [series, "__bucket"]).where("start < end2 and start2 < end")
     both = both.withColumns({"overlap_start": F.greatest("start", "start2"), "overlap_end": F.least("end", "end2")})
     return both.where(F.floor(F.col("overlap_start") / width) == F.col("__bucket")).drop("__bucket")
+
+
+def frame_align(expected: DataFrame, actual: DataFrame, values: tuple[str, ...], series: str = SERIES, order: str = ORDER) -> DataFrame:
+    """Both values of every frame side by side, with ``side``: both, expected or actual."""
+    e = expected.select(series, order, *[F.col(v).alias(f"{v}_expected") for v in values], F.lit(1).alias("__e"))
+    a = actual.select(series, order, *[F.col(v).alias(f"{v}_actual") for v in values], F.lit(1).alias("__a"))
+    side = F.when(F.col("__e").isNull(), "actual").when(F.col("__a").isNull(), "expected").otherwise("both")
+    return e.join(a, [series, order], "full_outer").withColumn("side", side).drop("__e", "__a")
+
+
+def nearest_timestamp(points: DataFrame, targets: DataFrame, time: str = "t", series: str = SERIES) -> DataFrame:
+    """points with ``nearest``: the target time of the series closest to each, the earlier among equals; null if there is none.
+
+    One sort of the union of both: the last target before and the first after meet in two windows, so nothing is paired.
+    """
+    both = points.withColumn("__t", F.lit(None).cast("double")).unionByName(targets.select(series, time).withColumn("__t", F.col(time).cast("double")), allowMissingColumns=True)
+    w = Window.partitionBy(series).orderBy(time, F.col("__t").isNull())
+    before = F.last("__t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("__t", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = both.withColumns({"__before": before, "__after": after}).where("__t is null")
+    near = F.when(F.col("__before").isNull() | (F.col("__after") - F.col(time) < F.col(time) - F.col("__before")), F.col("__after")).otherwise(F.col("__before"))
+    return rows.withColumn("nearest", F.coalesce(near, "__before")).drop("__t", "__before", "__after")
+
+
+def exists_in_range(ranges: DataFrame, points: DataFrame, series: str = SERIES, order: str = ORDER, width: int = 64) -> DataFrame:
+    """ranges with ``found``: whether a point of the series lies in them."""
+    keyed = ranges.withColumn("__row", F.monotonically_increasing_id())
+    hits = point_in_range(points.select(series, order), keyed, order, series, width).select("__row").distinct().withColumn("found", F.lit(True))
+    return keyed.join(hits, "__row", "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("__row")
+
+
+def near_boundary_lookup(rows: DataFrame, transitions: DataFrame, distance: int = 1, series: str = SERIES, frame: str = "frame") -> DataFrame:
+    """rows with ``near``: the first transition frame of the series at most so far away, or null."""
+    offsets = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
+    spread = transitions.select(series, F.col(frame).alias("near"), offsets.alias("__o")).select(series, "near", (F.col("near") + F.col("__o")).alias(frame))
+    first = spread.groupBy(series, frame).agg(F.min("near").alias("near"))
+    return rows.join(first, [series, frame], "left")
+
+
+def assemble_segments(segments: DataFrame, motion: DataFrame, observation: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """segments with the last motion row and the first observation of each (by id); missing confidences are .5, the joint one is the least."""
+    latest = motion.groupBy(*key).agg(F.max_by("motion_class", "id").alias("motion_class"), F.max_by("confidence", "id").alias("__m"))
+    earliest = observation.groupBy(*key).agg(F.min_by("label", "id").alias("label"), F.min_by("confidence", "id").alias("__o"))
+    rows = segments.join(latest, list(key), "left").join(earliest, list(key), "left")
+    return rows.withColumn("confidence", F.least("confidence", F.coalesce("__m", F.lit(0.5)), F.coalesce("__o", F.lit(0.5)))).drop("__m", "__o")
+
+
+def missing_required(required: DataFrame, present: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(key, problem): required but not there, or there but not required."""
+    r, p = required.select(*key).distinct(), present.select(*key).distinct()
+    return r.join(p, list(key), "left_anti").withColumn("problem", F.lit("missing")).unionByName(p.join(r, list(key), "left_anti").withColumn("problem", F.lit("extra")))
+
+
+def dangling_edges(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+    """(src, dst, problem): edges with an end that is no node."""
+    known = nodes.select(F.col(node).alias("__k")).distinct()
+    gone = lambda end: edges.join(known, F.col(end) == F.col("__k"), "left_anti").select("src", "dst", F.lit(f"no {end}").alias("problem"))
+    return gone("src").unionByName(gone("dst"))
+
+
+def version_chain(edges: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
+    """(id, ancestor, steps): everything above the starts, following edges(child, parent), up to a depth. One join a step, ending early."""
+    level = starts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps"))
+    found = level
+    for n in range(1, depth + 1):
+        level = level.join(edges, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(n).alias("steps"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def prefer_source(keys: DataFrame, *sources: DataFrame, key: str = SERIES) -> DataFrame:
+    """The row of the first source that has the key, with ``method`` (source name in its column ``method``)."""
+    ranked = sources[0].withColumn("__rank", F.lit(0))
+    for n, source in enumerate(sources[1:], 1):
+        ranked = ranked.unionByName(source.withColumn("__rank", F.lit(n)))
+    best = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__rank"))).where("__n = 1").drop("__n", "__rank")
+    return keys.select(key).distinct().join(best, key, "left")

@@ -400,13 +400,13 @@ def c30_residual_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 ANCHORS = """lens AS (SELECT series_id, max(seq) AS last FROM ev GROUP BY series_id),
-anchors AS (SELECT series_id, unnest([0, last * 0.4, CAST(last AS DOUBLE)]) AS output, unnest([0, last * 0.55, CAST(last AS DOUBLE)]) AS source FROM lens)"""
+anchors AS (SELECT series_id, unnest([0, last * 0.37, CAST(last AS DOUBLE)]) AS output, unnest([0, last * 0.53, CAST(last AS DOUBLE)]) AS source FROM lens)"""
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
     last = ev(spark, d).groupBy("series_id").agg(F.max("seq").cast("double").alias("last")).where("last >= 0")
     pair = lambda a, b: F.struct((F.col("last") * a).alias("output"), (F.col("last") * b).alias("source"))
-    return last.select("series_id", F.inline(F.array(pair(0.0, 0.0), pair(0.4, 0.55), pair(1.0, 1.0))))
+    return last.select("series_id", F.inline(F.array(pair(0.0, 0.0), pair(0.37, 0.53), pair(1.0, 1.0))))
 
 
 @registered(f"""WITH {EV}, {ANCHORS}, seg AS (SELECT *, lead(output) OVER a AS output2, lead(source) OVER a AS source2, row_number() OVER (PARTITION BY series_id ORDER BY output DESC) = 2 AS last FROM anchors WINDOW a AS (PARTITION BY series_id ORDER BY output) QUALIFY output2 IS NOT NULL),
