@@ -60,7 +60,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def links_within(table: pa.Table, cosine: float, blocks: int, rows: int = 2048) -> pa.Table:
+def links_within(table: pa.Table, cosine: float, blocks: int, rows: int = 1024) -> pa.Table:
     """The verified links of one unit (left rows against right rows of one block): (id, n, peer).
 
     n counts the copies that an id is linked with, in rows without a peer; rows with one make up a forest of the links. A link that
@@ -75,15 +75,17 @@ def links_within(table: pa.Table, cosine: float, blocks: int, rows: int = 2048)
     most = budgets(y.shape[1], parts, cosine)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a chunk against itself
     same = bool((side == 2).all())
+    # one product gives minus half the squared distances of the block; single precision, with room for its rounding
     own = y[:, parts[block]]
-    square = np.einsum("ij,ij->i", own, own)
+    half, one = np.einsum("ij,ij->i", own, own)[:, None] / 2, np.ones((len(own), 1))
+    here, there = np.hstack([own, -half, one]).astype(np.float32), np.hstack([own, one, -half]).astype(np.float32)
+    least = np.float32(-most[block] / 2 - 1e-5)
     counts, a_all, b_all = np.zeros(len(ids), np.int64), [], []
     for i in range(0, len(left), rows):
         for j in range(i if same else 0, len(right), rows):
             p, q = left[i : i + rows], right[j : j + rows]
-            near = square[p][:, None] + square[q] - 2 * (own[p] @ own[q].T) <= most[block] + 1e-6
-            a, b = np.nonzero(near)
-            a, b = p[a], q[b]
+            found = np.flatnonzero(here[p] @ there[q].T >= least)
+            a, b = p[found // len(q)], q[found % len(q)]
             if same:
                 a, b = a[a < b], b[a < b]
             for k in range(0, len(a), 100_000):
