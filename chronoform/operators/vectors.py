@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +13,101 @@ def quantile_mask(df: DataFrame, value: str, quantiles: dict[str, float], series
     limits = df.groupBy(series).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()])
     shares = [F.avg((F.col(value) >= F.col(name)).cast("double")).alias(f"{name}_share") for name in quantiles]
     return df.select(series, value).join(limits, series).groupBy(series, *quantiles).agg(*shares)
+
+
+def image_stats(df: DataFrame, red: str, green: str, blue: str, width: int, height: int) -> DataFrame:
+    """df with mean luminance, mean saturation, edge energy (mean gradient length) and base-2 entropy of 256 grey levels; channels in [0, 1], by rows."""
+    @F.pandas_udf("mean_luminance double, mean_saturation double, edge_energy double, entropy double")
+    def stats(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in zip(r, g, b, strict=True):
+            rgb = np.stack([np.asarray(c, float).reshape(height, width) for c in x])
+            grey = np.tensordot((0.2126, 0.7152, 0.0722), rgb, 1)
+            down, across = np.gradient(grey)
+            share = np.bincount(np.clip(np.rint(grey * 255), 0, 255).astype(int).ravel()) / grey.size
+            share = share[share > 0]
+            out.append((grey.mean(), (rgb.max(0) - rgb.min(0)).mean(), np.hypot(across, down).mean(), -(share * np.log2(share)).sum()))
+        return pd.DataFrame(out, columns=["mean_luminance", "mean_saturation", "edge_energy", "entropy"])
+
+    return df.withColumn("stats", stats(red, green, blue)).select(*df.columns, "stats.*")
+
+
+def saliency(df: DataFrame, red: str, green: str, blue: str, width: int, height: int) -> DataFrame:
+    """df with ``saliency``: .45 normalised edges + .25 saturation + .30 nearness to the centre, for each pixel by rows."""
+    y, x = np.mgrid[0:height, 0:width]
+    near = np.clip(1 - np.hypot(x / max(width - 1, 1) - 0.5, y / max(height - 1, 1) - 0.5) / 0.7072, 0, 1)
+
+    @F.pandas_udf("array<double>")
+    def score(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for c in zip(r, g, b, strict=True):
+            rgb = np.stack([np.asarray(v, float).reshape(height, width) for v in c])
+            edges = np.hypot(*np.gradient(np.tensordot((0.2126, 0.7152, 0.0722), rgb, 1)))
+            span = edges.max() - edges.min()
+            norm = (edges - edges.min()) / span if span > 0 else np.zeros_like(edges)
+            out.append((0.45 * norm + 0.25 * (rgb.max(0) - rgb.min(0)) + 0.30 * near).ravel())
+        return pd.Series(out)
+
+    return df.withColumn("saliency", score(red, green, blue))
+
+
+#: Below all of these at once, two rows are near duplicates.
+MINIMA = {"pixel": 0.02, "histogram": 0.04, "hash": 4.0, "luminance": 0.01, "structure": 0.02, "edge": 0.01}
+
+
+def raster_metrics(x: str, y: str) -> dict:
+    """The six differences of two rasters (arrays of 64, 8 x 8) as columns."""
+    from chronoform.functions import scalar
+
+    a, b = F.col(x), F.col(y)
+    n = F.size(a)
+    size = lambda c: F.transform(c, lambda v: F.abs(v))
+    rough = lambda c: scalar.pairwise(F.slice(c, 2, 10**6), F.slice(c, F.lit(1), F.size(c) - 1), lambda p, q: F.abs(p - q)) / F.size(c)
+    return {
+        "pixel": scalar.pairwise(a, b, lambda p, q: F.abs(p - q)) / n,
+        "histogram": scalar.bhattacharyya(size(a), size(b)),
+        "hash": scalar.hamming(scalar.dhash_bits(a, 8, 8), scalar.dhash_bits(b, 8, 8)).cast("double"),
+        "luminance": F.abs(scalar.mean(a) - scalar.mean(b)),
+        "structure": scalar.clamp(1 - scalar.global_ssim(a, b, span=1.0), 0.0, 1.0),
+        "edge": F.abs(rough(a) - rough(b)),
+    }
+
+
+def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, band: float = 0.01, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
+    """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
+
+    The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired whole.
+    """
+    from chronoform.functions import scalar
+
+    width = minima["luminance"]
+    rows = df.select(series, order, F.col(vector).alias("x"), F.floor(scalar.mean(F.col(vector)) / width).alias("__band"))
+    right = rows.select(series, F.col(order).alias("seq2"), F.col("x").alias("y"), F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"))
+    pairs = rows.join(right, [series, "__band"]).where(F.col(order) < F.col("seq2"))
+    metrics = raster_metrics("x", "y")
+    close = None
+    for name, least in minima.items():
+        close = metrics[name] < least if close is None else close & (metrics[name] < least)
+    return pairs.where(close).select(series, F.col("seq2").alias(order), F.col(order).alias("duplicate_of"))
+
+
+def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq") -> DataFrame:
+    """df with ``kept`` and ``duplicate_of``: in order, a row is dropped if a kept one before it is its near duplicate; protected rows always stay.
+
+    duplicates(series, seq, duplicate_of) are the linked pairs. Rows are settled in rounds, each a join: a row is settled once all its
+    earlier partners are. Rounds are as many as the longest chain of partners.
+    """
+    from chronoform.sources.storage import cut
+
+    links = cut(duplicates.join(df.where(~F.col(protected)).select(series, order), [series, order], "left_semi"))
+    known = cut(df.select(series, order).join(links.select(series, order).distinct(), [series, order], "left_anti").withColumns({"kept": F.lit(True), "duplicate_of": F.lit(None).cast("long")}))
+    waiting = links
+    while not waiting.isEmpty():
+        state = known.select(series, F.col(order).alias("duplicate_of"), F.col("kept").alias("__k"))
+        seen = waiting.join(state, [series, "duplicate_of"], "left")
+        ready = seen.groupBy(series, order).agg(F.sum(F.col("__k").isNull().cast("int")).alias("__open"), F.min(F.when(F.col("__k"), F.col("duplicate_of"))).alias("duplicate_of"), F.min(F.when(F.col("__k").isNull(), F.col("duplicate_of"))).alias("__first_open"))
+        # settled too if a kept partner comes before every open one would be the survivor anyway
+        done = ready.where((F.col("__open") == 0) | (F.col("duplicate_of") < F.col("__first_open")))
+        known = cut(known.unionByName(done.select(series, order, F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")))
+        waiting = cut(waiting.join(known.select(series, order), [series, order], "left_anti"))
+    return df.join(known, [series, order], "left")
