@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from chronoform.functions.scalar import any_of, canonical_hash, clamp
 
@@ -95,7 +96,7 @@ def edits(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wer(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Word error rate of normalised strings."""
     out = []
@@ -105,7 +106,7 @@ def wer(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
