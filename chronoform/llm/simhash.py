@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import cut
 from .graph import connected_components, local_forest
@@ -99,7 +100,7 @@ def fingerprint_of(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     """The fingerprint as a signed long; null text: zero."""
     return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
@@ -151,6 +152,7 @@ def near_fingerprints(fps: DataFrame, chunk: int = 4096) -> DataFrame:
         order = np.argsort(rows, kind="stable")
         return pd.Series(np.split(found[order].astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(values)))[:-1]))
 
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number of its own: keys are up to 108 times as many rows
     keyed = fps.select("fp", F.explode(keys("fp")).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     hot = cut(hot)
