@@ -12,10 +12,6 @@ from chronoform.functions.scalar import clamp
 SERIES, ORDER, VALUE = "series_id", "seq", "signal"
 
 
-def kind_of(df: DataFrame, column: str) -> str:
-    return dict(df.dtypes)[column]
-
-
 def classify_transition(groups: DataFrame, samples: DataFrame, external: DataFrame | None = None, series: str = SERIES, order: str = ORDER) -> DataFrame:
     """(series, start, end, type, confidence, win_start, win_end) for each group of rows: the first rule that its shape meets.
 
@@ -76,14 +72,21 @@ def energy_onsets(df: DataFrame, thresholds: DataFrame, gap: float = 0.15, value
     rows = rows.withColumn("__cut", (F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(1e18)) >= gap).cast("long"))
     rows = rows.withColumn("__run", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    def keep(run: pd.DataFrame) -> pd.DataFrame:
-        run, last, on = run.sort_values("t"), -np.inf, []
-        for t in run["t"]:
-            on.append(t - last >= gap)
-            last = t if on[-1] else last
-        return run.loc[on, [series, "t", "strength"]]
+    runs = rows.groupBy(series, "__run").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), "strength"))).alias("run"))
+
+    @F.pandas_udf("array<struct<t double, strength double>>")
+    def keep(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            last, kept = -np.inf, []
+            for row in group:
+                if row["t"] - last >= gap:
+                    kept.append(row)
+                    last = row["t"]
+            out.append(kept)
+        return pd.Series(out)
 
-    kept = rows.select(series, "__run", F.col(time).alias("t"), "strength").groupBy(series, "__run").applyInPandas(keep, f"{series} {kind_of(df, series)}, t double, strength double")
+    kept = runs.select(series, F.inline(keep("run")))
     return kept.withColumn("kind", F.when(F.col("strength") >= 0.75, "accent").otherwise("onset"))
 
 

@@ -70,21 +70,24 @@ def match_within_tolerance(truth: DataFrame, detected: DataFrame, series: str =
     w = Window.partitionBy(series).orderBy("__lo", "__hi", "__truth")
     rows = t.unionByName(f).withColumn("__new", (F.col("__lo") > F.coalesce(F.max("__hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-(2**62)))).cast("long"))
     rows = rows.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kind = dict(truth.dtypes)[series]
+    in_truth = F.col("__truth") == 1
+    runs = rows.groupBy(series, "__g").agg(F.collect_list(F.when(in_truth, F.struct("frame", "tolerance"))).alias("t"), F.collect_list(F.when(~in_truth, F.col("frame"))).alias("f")).where(F.size("t") > 0)
 
-    def matched(group: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(group.loc[group["__truth"] == 0, "frame"])
+    @F.pandas_udf("array<struct<frame long, detected_frame long>>")
+    def matched(t: pd.Series, f: pd.Series) -> pd.Series:
         out = []
-        for row in group[group["__truth"] == 1].sort_values(["frame", "tolerance"]).itertuples(index=False):
-            near = [(abs(x - row.frame), x) for x in free if abs(x - row.frame) <= row.tolerance]
-            best = min(near)[1] if near else None
-            if best is not None:
-                free.remove(best)
-            out.append((getattr(row, series), row.frame, best))
-        return pd.DataFrame(out, columns=[series, "frame", "detected_frame"]).astype({"detected_frame": "Int64"})
-
-    competing = rows.join(rows.where("__truth = 1").select(series, "__g").distinct(), [series, "__g"], "left_semi")
-    return competing.select(series, "__g", "frame", "tolerance", "__truth").groupBy(series, "__g").applyInPandas(matched, f"{series} {kind}, frame long, detected_frame long")
+        for wanted, found in zip(t, f, strict=True):
+            free, pairs = sorted(found), []
+            for frame, tolerance in sorted((w["frame"], w["tolerance"]) for w in wanted):
+                near = [x for x in free if abs(x - frame) <= tolerance]
+                best = min(near, key=lambda x: (abs(x - frame), x)) if near else None
+                if best is not None:
+                    free.remove(best)
+                pairs.append({"frame": frame, "detected_frame": best})
+            out.append(pairs)
+        return pd.Series(out)
+
+    return runs.select(series, F.inline(matched("t", "f")))
 
 
 def boundary_scorecard(truth: DataFrame, detected: DataFrame, matches: DataFrame, series: str = "series_id") -> DataFrame:

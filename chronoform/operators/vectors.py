@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoform.functions import scalar
+from chronoform.sources.storage import cut
+
 
 def quantile_mask(df: DataFrame, value: str, quantiles: dict[str, float], series: str = "series_id") -> DataFrame:
     """For each named quantile: its exact (linear) value in the series and the share of rows at or above it."""
@@ -55,40 +58,30 @@ def saliency(df: DataFrame, red: str, green: str, blue: str, width: int, height:
 MINIMA = {"pixel": 0.02, "histogram": 0.04, "hash": 4.0, "luminance": 0.01, "structure": 0.02, "edge": 0.01}
 
 
-def raster_metrics(x: str, y: str) -> dict:
-    """The six differences of two rasters (arrays of 64, 8 x 8) as columns."""
-    from chronoform.functions import scalar
-
-    a, b = F.col(x), F.col(y)
-    n = F.size(a)
-    size = lambda c: F.transform(c, lambda v: F.abs(v))
-    rough = lambda c: scalar.pairwise(F.slice(c, 2, 10**6), F.slice(c, F.lit(1), F.size(c) - 1), lambda p, q: F.abs(p - q)) / F.size(c)
-    return {
-        "pixel": scalar.pairwise(a, b, lambda p, q: F.abs(p - q)) / n,
-        "histogram": scalar.bhattacharyya(size(a), size(b)),
-        "hash": scalar.hamming(scalar.dhash_bits(a, 8, 8), scalar.dhash_bits(b, 8, 8)).cast("double"),
-        "luminance": F.abs(scalar.mean(a) - scalar.mean(b)),
-        "structure": scalar.clamp(1 - scalar.global_ssim(a, b, span=1.0), 0.0, 1.0),
-        "edge": F.abs(rough(a) - rough(b)),
-    }
-
-
-def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, band: float = 0.01, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
+def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
     """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
 
-    The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired whole.
+    The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired
+    whole. What can be said of one row is worked out before the join; of a pair, the cheap differences are taken first.
     """
-    from chronoform.functions import scalar
-
-    width = minima["luminance"]
-    rows = df.select(series, order, F.col(vector).alias("x"), F.floor(scalar.mean(F.col(vector)) / width).alias("__band"))
-    right = rows.select(series, F.col(order).alias("seq2"), F.col("x").alias("y"), F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"))
-    pairs = rows.join(right, [series, "__band"]).where(F.col(order) < F.col("seq2"))
-    metrics = raster_metrics("x", "y")
-    close = None
-    for name, least in minima.items():
-        close = metrics[name] < least if close is None else close & (metrics[name] < least)
-    return pairs.where(close).select(series, F.col("seq2").alias(order), F.col(order).alias("duplicate_of"))
+    xs = F.col("x")
+    size = F.transform(xs, F.abs)
+    rough = scalar.pairwise(F.slice(xs, 2, 10**6), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda p, q: F.abs(p - q)) / F.size(xs)
+    bits = F.aggregate(scalar.dhash_bits(xs, 8, 8), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(v.cast("long")))
+    rows = df.select(series, order, F.col(vector).alias("x")).withColumn("m", scalar.mean(xs))
+    rows = rows.withColumns({"rough": rough, "bits": bits, "root": F.transform(size, F.sqrt), "sum": scalar.total(size), "var": scalar.total(F.transform(xs, lambda v: (v - F.col("m")) * (v - F.col("m")))) / F.size(xs)})
+    rows = rows.withColumn("__band", F.floor(F.col("m") / minima["luminance"]))
+    a = rows.select(series, "__band", F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("a"))
+    b = rows.select(series, F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("b"))
+    both = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    (x, y), (ma, mb), (ra, rb), (va, vb), n = both("x"), both("m"), both("rough"), both("var"), F.size("a.x")
+    cheap = (F.abs(ma - mb) < minima["luminance"]) & (F.abs(ra - rb) < minima["edge"]) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) < minima["hash"])
+    pairs = a.join(b, [series, "__band"]).where(F.col(f"a.{order}") < F.col(f"b.{order}")).where(cheap)
+    overlap = scalar.pairwise(*both("root"), lambda p, q: p * q) / F.sqrt(F.col("a.sum") * F.col("b.sum"))
+    covariance = scalar.pairwise(x, y, lambda p, q: (p - ma) * (q - mb)) / n
+    ssim = (2 * ma * mb + 0.01**2) * (2 * covariance + 0.03**2) / ((ma * ma + mb * mb + 0.01**2) * (va + vb + 0.03**2))
+    close = (scalar.pairwise(x, y, lambda p, q: F.abs(p - q)) / n < minima["pixel"]) & (F.sqrt(scalar.clamp(1 - overlap, 0.0, 1.0)) < minima["histogram"]) & (scalar.clamp(1 - ssim, 0.0, 1.0) < minima["structure"])
+    return pairs.where(close).select(series, F.col(f"b.{order}").alias(order), F.col(f"a.{order}").alias("duplicate_of"))
 
 
 def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq") -> DataFrame:
@@ -97,8 +90,6 @@ def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: s
     duplicates(series, seq, duplicate_of) are the linked pairs. Rows are settled in rounds, each a join: a row is settled once all its
     earlier partners are. Rounds are as many as the longest chain of partners.
     """
-    from chronoform.sources.storage import cut
-
     links = cut(duplicates.join(df.where(~F.col(protected)).select(series, order), [series, order], "left_semi"))
     known = cut(df.select(series, order).join(links.select(series, order).distinct(), [series, order], "left_anti").withColumns({"kept": F.lit(True), "duplicate_of": F.lit(None).cast("long")}))
     waiting = links
