@@ -32,6 +32,11 @@ def features(words: set[str]) -> set[int]:
     return {zlib.crc32(w.encode("utf-8", "replace")) for w in words} | {zlib.crc32(b"^" + w[:PREFIX].encode("utf-8", "replace")) for w in words if len(w) > PREFIX}
 
 
+def packed(found: set[int]) -> bytes:
+    """Hashes as bytes, four each, in order."""
+    return np.sort(np.fromiter(found, np.uint32, len(found))).tobytes()
+
+
 def swaps(text: str, groups: tuple) -> Iterator[tuple[set[int], set[int]]]:
     """For each sentence with an identity term, its features and those with the group's next term in its place."""
     after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
@@ -109,7 +114,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: tuple = IDENTITY_TERMS, swap_penalty: float = 1.0, l1: float = 3e-4, rounds: int = 300, min_docs: int = 3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: tuple = IDENTITY_TERMS, swap_penalty: float = 1.0, l1: float = 1e-4, rounds: int = 300, min_docs: int = 3
 ) -> Scorer:
     """A scorer from about ``max_docs`` labelled whole texts, chosen by a hash of the id: the documented bound of the fit.
 
@@ -124,11 +129,11 @@ def fit(
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             pairs = [list(swaps(t, groups)) for t in part.text]
-            own = [sorted(features(set(WORD.findall(t.lower())))) for t in part.text]
-            yield pd.DataFrame({"id": part.id, "y": part.y, "x": own, "was": [[sorted(a) for a, _ in p] for p in pairs], "now": [[sorted(b) for _, b in p] for p in pairs]})
+            own = [packed(features(set(WORD.findall(t.lower())))) for t in part.text]
+            yield pd.DataFrame({"id": part.id, "y": part.y, "x": own, "was": [[packed(a) for a, _ in p] for p in pairs], "now": [[packed(b) for _, b in p] for p in pairs]})
 
-    found = rows.mapInPandas(made, "id string, y double, x array<long>, was array<array<long>>, now array<array<long>>").toPandas().sort_values(["id", "y"], kind="stable")
-    array = lambda x: np.asarray(x, np.int64)
+    found = rows.mapInPandas(made, "id string, y double, x binary, was array<binary>, now array<binary>").toPandas().sort_values(["id", "y"], kind="stable")
+    array = lambda x: np.frombuffer(x, np.uint32).astype(np.int64)
     pairs = [(array(a), array(b)) for was, now in zip(found.was, found.now, strict=True) for a, b in zip(was, now, strict=True)]
     return train([array(x) for x in found.x], found.y.to_numpy(float), pairs, swap_penalty, l1, rounds, min_docs)
 
