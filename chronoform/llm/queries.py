@@ -61,6 +61,16 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).drop("url", "payload")
 
 
+ORACLE["op3_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, count(*) AS n, max(page_id) AS first FROM p GROUP BY h),
+b AS (SELECT h, array_to_string(list_transform(generate_series(1, 40), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(h, i, 1))]), '') AS bits FROM f),
+d AS (SELECT h, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS digest FROM b)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n > 1 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (h) JOIN d USING (h)"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -82,6 +92,15 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op6_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS size FROM v WHERE x IS NOT NULL AND list_bool_and(list_transform(x, lambda a: a IS NOT NULL AND isfinite(a))) AND list_bool_or(list_transform(x, lambda a: a <> 0))),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.a"""
+
+
 @query
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -104,6 +123,31 @@ def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link(table(spark, sf_dir, "conversations"))
 
 
+ORACLE["op8_quotation_links"] = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id AS conv, turn, role, text FROM conversations),
+l0 AS (SELECT r, conv, turn, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM m WHERE text IS NOT NULL),
+l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS lev, regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') AS content FROM l0),
+l2 AS (SELECT *, lag(lev, 1, -1) OVER w <> lev AS fresh, lead(lev, 1, 0) OVER w AS next FROM l1 WINDOW w AS (PARTITION BY r ORDER BY pos)),
+l3 AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l2),
+quotes AS (SELECT r, conv, turn, lev, run, string_agg(content, chr(10) ORDER BY pos) AS t FROM l3 WHERE lev > 0 GROUP BY ALL),
+own AS (SELECT r, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT (next > 0 AND regexp_matches(line, '^[^>]*\b(?:wrote|writes|said):[ \t]*$'))), ''), '^\s+|\s+$', '', 'g') AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
+bodies AS (SELECT m.*, coalesce(own.body, text) AS body FROM m LEFT JOIN own USING (r)),
+piece AS (SELECT k, a, conv, turn, lev, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS x FROM
+  (SELECT k, a, conv, turn, lev, unnest(list_concat([t], string_split_regex(t, '\n[ \t]*\n+'), string_split_regex(t, '\r?\n'))) AS x FROM
+    (SELECT 'quote' AS k, r * 1000000 + run AS a, conv, turn, lev, t FROM quotes UNION ALL SELECT 'own', r, conv, turn, 0, body FROM bodies WHERE body IS NOT NULL))),
+pieces AS (SELECT DISTINCT * FROM piece WHERE x <> '' AND conv IS NOT NULL AND turn IS NOT NULL),
+met AS (SELECT q.a // 1000000 AS r, q.conv, q.turn, q.lev, q.a, q.x, max(o.turn) AS source FROM pieces q JOIN pieces o ON o.k = 'own' AND q.conv = o.conv AND q.x = o.x AND o.turn < q.turn WHERE q.k = 'quote' GROUP BY ALL),
+scored AS (SELECT r, conv, turn, lev, source, sum(len(string_split(x, ' '))) AS words FROM met GROUP BY ALL),
+linked AS (SELECT r, conv, turn, source AS reply_to, (SELECT count(DISTINCT source) FROM scored s WHERE s.r = scored.r) AS n_linked FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY lev, words DESC, source DESC) = 1),
+nodes AS (SELECT conv, turn, max(reply_to) AS up FROM linked GROUP BY ALL),
+walk AS (SELECT conv, turn, up AS at, 1 AS depth, lpad(CAST(up AS VARCHAR), 10, '0') || '/' || lpad(CAST(turn AS VARCHAR), 10, '0') AS path FROM nodes
+  UNION ALL SELECT walk.conv, walk.turn, nodes.up, depth + 1, lpad(CAST(nodes.up AS VARCHAR), 10, '0') || '/' || path FROM walk JOIN nodes ON walk.conv = nodes.conv AND walk.at = nodes.turn),
+far AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY depth DESC) = 1),
+n AS (SELECT r, count(*) AS n FROM quotes WHERE trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) <> '' GROUP BY r)
+SELECT b.conv AS conv_id, b.turn, b.role, b.body, coalesce(n.n, 0) AS n_quotes, coalesce(linked.n_linked, 0) AS n_linked, linked.reply_to, coalesce(far.at, b.turn) AS root_turn, CAST(coalesce(far.depth, 0) AS BIGINT) AS depth, coalesce(far.path, lpad(CAST(b.turn AS VARCHAR), 10, '0')) AS reply_path
+FROM bodies b LEFT JOIN n USING (r) LEFT JOIN linked ON b.r = linked.r LEFT JOIN far ON b.conv = far.conv AND b.turn = far.turn"""
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))

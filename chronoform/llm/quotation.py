@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-QUOTED = r"(?m)^[ \t]*>"
+QUOTED = r"(?md)^[ \t]*>"  # d: lines end at \n alone
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-ATTRIBUTION = r"(?m)^[^\n>]*\b(?:wrote|writes|said):[ \t]*\n(?=[ \t]*>)"
+ATTRIBUTION = r"(?md)^[^\n>]*\b(?:wrote|writes|said):[ \t]*\n(?=[ \t]*>)"
 PARAGRAPHS = r"\n[ \t]*\n+"
 
 
@@ -24,7 +24,8 @@ def normal(text: Column) -> Column:
 
 def without_quotes(text: Column) -> Column:
     """The lines that are no quotes, without the line that names whom they quote."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, ATTRIBUTION, ""), r"(?m)^[ \t]*>.*(?:\n|\z)", ""))
+    kept = F.regexp_replace(F.regexp_replace(text, ATTRIBUTION, ""), r"(?md)^[ \t]*>[^\n]*(?:\n|\z)", "")
+    return F.regexp_replace(kept, r"^\s+|\s+\z", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
+
+from chronoform.llm.queries import ORACLE
 from chronoform.llm.quotation import link
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -43,3 +48,28 @@ def test_native_and_empty(spark):
     out = link(df)
     assert "Python" not in out._jdf.queryExecution().toString()
     assert out.count() == 1 and link(df.where("false")).count() == 0
+
+
+def test_matches_the_sql(spark, tmp_path):
+    rng = random.Random(7)
+    lines = ["how do I do this", "use the other tool", "thanks", "no", "It fails, again!", "", "a b"]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(14):
+            own = [rng.choice(lines) for _ in range(rng.randint(0, 4))]
+            head = []
+            if said and rng.random() < 0.7:
+                head = [rng.choice(["", "Ann wrote:", "Bob said: "])] + [rng.choice(["> ", ">", " > ", ">> ", "> > "]) + x for x in rng.choice(said)[: rng.randint(1, 4)]]
+            said.append(own or ["x"])
+            rows.append((conv, turn, "u", "\n".join(head + own if rng.random() < 0.7 else own + head)))
+    rows += [(1, 3, "u", "> thanks\nagain"), (None, 1, "u", "> no"), (3, 20, None, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "c"))
+    got = link(spark.read.parquet(str(tmp_path / "c")))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE['op8_quotation_links']})").fetchall()
+    key = lambda r: [str(x) for x in r]
+    assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(want, key=key)
+    assert sum(r[columns.index("reply_to")] is not None for r in want) > 20
