@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this drops just the short ones
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")  # in lines, as mail and key files have it
+QUOTED_BYTES = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
 ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: Decompressed bytes of one document beyond which its remaining layers stay packed; a guard against decompression bombs.
 MAX_UNPACKED = 64 << 20
@@ -136,23 +139,33 @@ def readable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) * 10 >= 9 * len(text) else None
 
 
+def opened(raw: bytes, room: list[int]) -> tuple[bytes, bool]:
+    """raw without its layers of compression, and whether it had any. ``room`` is what the document may still unpack."""
+    packed, seen = False, {hashlib.sha1(raw).digest()}
+    while (inner := unpacked(raw, room[0])) is not None:
+        room[0] -= len(inner)
+        raw, packed = inner, True
+        if (mark := hashlib.sha1(inner).digest()) in seen:
+            break
+        seen.add(mark)
+    return raw, packed
+
+
 def from_base64(layer: Layer, room: list[int]) -> Iterator[Layer]:
-    """A layer for each base64 run that holds text or compressed text, nested compression included."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    """A layer for each base64 run, in one line or wrapped, that holds text or compressed text."""
+    taken = 0  # runs within a wrapped one that could be read are parts of it
+    for m in sorted([*BASE64.finditer(layer.text), *(WRAPPED.finditer(layer.text) if "\n" in layer.text else ())], key=lambda m: (m.start(), -m.end())):
+        if m.end() <= taken:
+            continue
+        found = np.array([i for i, c in enumerate(m[0], m.start()) if c not in "=\r\n"])
+        body = "".join(c for c in m[0] if c not in "=\r\n").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        packed, seen = False, set()
-        while (inner := unpacked(raw, room[0])) is not None:
-            if (mark := hashlib.sha1(inner).digest()) in seen:
-                break
-            seen.add(mark)
-            room[0] -= len(inner)
-            raw, packed = inner, True
+        raw, packed = opened(raw, room)
         if (text := readable(raw)) is None:
             continue
         if packed:
@@ -160,10 +173,19 @@ def from_base64(layer: Layer, room: list[int]) -> Iterator[Layer]:
         else:
             ends = np.cumsum([len(c.encode()) for c in text])
             first, last = np.concatenate([[0], ends[:-1]]) * 8 // 6, (ends * 8 - 1) // 6
-            lo, hi = layer.lo[m.start() + first], layer.hi[m.start() + last]
+            lo, hi = layer.lo[found[first]], layer.hi[found[last]]
+        taken = m.end()
         yield Layer(text, lo, hi)
 
 
+def from_quoted_bytes(layer: Layer, room: list[int]) -> Iterator[Layer]:
+    """A layer for each run that is URL-quoted compressed text."""
+    for m in QUOTED_BYTES.finditer(layer.text) if "%" in layer.text else ():
+        raw, packed = opened(unquote_to_bytes(m[0]), room)
+        if packed and (text := readable(raw)) is not None:
+            yield Layer(text, *(np.full(len(text), x) for x in layer.span(m.start(), m.end())))
+
+
 def ordered(spans: set[Span]) -> list[Span]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -191,6 +213,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         if (plain := without_escapes(layer)) is not None and plain.text:
             work.append(plain)
         work.extend(from_base64(layer, room))
+        work.extend(from_quoted_bytes(layer, room))
     return ordered(base), ordered(spans)
 
 

@@ -43,7 +43,7 @@ def test_base_spans(text):
 
 @pytest.mark.parametrize(
     "wrap",
-    [b64, lambda s: urllib.parse.quote(b64(s)), lambda s: b64(gzip.compress(s.encode())), lambda s: b64(bz2.compress(s.encode())), lambda s: b64(zlib.compress(s.encode())), lambda s: "".join(f"%{c:02x}" for c in s.encode()), lambda s: "".join(f"\\u{ord(c):04X}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s), lambda s: b64(b64(gzip.compress(b64(s).encode())))],
+    [b64, lambda s: urllib.parse.quote(b64(s)), lambda s: b64(gzip.compress(s.encode())), lambda s: b64(bz2.compress(s.encode())), lambda s: b64(zlib.compress(s.encode())), lambda s: "".join(f"%{c:02x}" for c in s.encode()), lambda s: "".join(f"\\u{ord(c):04X}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s), lambda s: b64(b64(gzip.compress(b64(s).encode()))), lambda s: urllib.parse.quote(gzip.compress(s.encode())), lambda s: base64.encodebytes(("a" * 90 + " " + s + " " + "b" * 90).encode()).decode().rstrip()],
 )
 def test_layers(wrap):
     text = "é before " + (inner := wrap(SECRET)) + " after"
