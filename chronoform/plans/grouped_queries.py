@@ -11,7 +11,7 @@ from chronoform.operators import series as S
 
 from .fixtures import EV, FEAT, conv, ev, feat, table
 from .registry import r6, registered, rounded
-from .series_queries import GROUPS, daily, peaks
+from .series_queries import DAILY, GROUPS, daily, peaks
 
 TRANSITION_SQL = f"""WITH {GROUPS}, g AS (SELECT series_id, "start" AS g0, "end" AS g1 FROM grouped WHERE "start" >= 1),
 c AS (SELECT g.*, f.seq, f.pixel, f.hist, f.asym, f.combined, f.signal AS luminance, f.seq >= g0 AND f.seq < g1 AS ins FROM g JOIN feat f ON g.series_id = f.series_id AND f.seq >= greatest(1, g0 - 3) AND f.seq < g1 + 3),
@@ -42,12 +42,18 @@ def c12_energy_onsets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.energy_onsets(e, e.select("series_id").distinct().withColumn("threshold", F.lit(0.05))))
 
 
-@registered()
+WEIGHTS = str(G.polynomial_weights(15, 3).tolist())  # [place][coefficient][row]
+FITTED = f"""{DAILY}, n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series_id) AS total FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY seq)), s AS (SELECT *, greatest(0, least(i - 7, total - 15)) AS a FROM n),
+x AS (SELECT s.series_id, s.seq, any_value(s.i) AS i, any_value(s.total) AS total, any_value(s.signal) AS signal, any_value(s.i - s.a) AS place, list(t.signal ORDER BY t.i) AS xs FROM s JOIN n t ON s.series_id = t.series_id AND t.i >= s.a AND t.i < s.a + 15 GROUP BY ALL),
+c AS (SELECT *, [list_inner_product(xs, ({WEIGHTS})[place + 1][k]) FOR k IN [1, 2, 3, 4]] AS c FROM x)"""
+
+
+@registered(f"WITH {FITTED} SELECT series_id, seq, round(c[2] * 25, 6) AS velocity, round(c[3] * 1250, 6) AS acceleration, round(c[4] * 93750, 6) AS jerk FROM c")
 def c15_local_poly_derivatives(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.local_polynomial(daily(spark, d), 25.0).select("series_id", "seq", "velocity", "acceleration", "jerk"))
 
 
-@registered()
+@registered(f"WITH {FITTED} SELECT series_id, seq, round(CASE WHEN i = 0 OR i = total - 1 THEN signal ELSE c[1] END, 6) AS smooth FROM c")
 def c16_local_poly_smooth(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.local_polynomial(daily(spark, d), 25.0).select("series_id", "seq", "smooth"))
 
@@ -58,7 +64,9 @@ def c21_similarity_coupling(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.similarity_coupling(e, 25.0, "cx", "cy", "sc", "ro"))
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {EV}, st AS (SELECT series_id, seq, signal - 0.1 AS dx, edge / 5 - 0.1 AS dy, 0.9 + edge / 5 AS f FROM ev), w AS (SELECT series_id, seq, least(1, greatest(0, 0.5 + dx)) AS x, least(1, greatest(0, 0.5 + dy)) AS y, least(4.0, greatest(0.25, f)) AS scale FROM st WHERE seq = 0
+UNION ALL SELECT st.series_id, st.seq, least(1, greatest(0, x + dx)), least(1, greatest(0, y + dy)), least(4.0, greatest(0.25, scale * f)) FROM w JOIN st ON w.series_id = st.series_id AND st.seq = w.seq + 1), l AS (SELECT series_id, max(seq) AS last FROM st GROUP BY 1)
+SELECT w.series_id, seq AS n, round(x, 6) AS x, round(y, 6) AS y, round(scale, 6) AS scale FROM w JOIN l ON w.series_id = l.series_id WHERE seq IN (0, CAST(round_even(last / 4, 0) AS BIGINT), CAST(round_even(last / 2, 0) AS BIGINT), CAST(round_even(3 * last / 4, 0) AS BIGINT), last)""")
 def c26_integrate_transform(spark: SparkSession, d: str) -> DataFrame:
     e = ev(spark, d).withColumns({"dx": F.col("signal") - 0.1, "dy": F.col("edge") / 5 - 0.1, "f": 0.9 + F.col("edge") / 5})
     return rounded(G.integrate_transform(e, "dx", "dy", "f"))
