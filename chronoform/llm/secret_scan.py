@@ -25,8 +25,9 @@ ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this drops just the short ones
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")  # in lines, as mail and key files have it
-QUOTED_BYTES = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")  # in lines, as mail and key files have it
+RUN = re.compile(r"\S+")
+QUOTED_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: Decompressed bytes of one document beyond which its remaining layers stay packed; a guard against decompression bombs.
 MAX_UNPACKED = 64 << 20
@@ -180,7 +181,11 @@ def from_base64(layer: Layer, room: list[int]) -> Iterator[Layer]:
 
 def from_quoted_bytes(layer: Layer, room: list[int]) -> Iterator[Layer]:
     """A layer for each run that is URL-quoted compressed text."""
-    for m in QUOTED_BYTES.finditer(layer.text) if "%" in layer.text else ():
+    if not QUOTED_BYTE.search(layer.text):
+        return
+    for m in RUN.finditer(layer.text):
+        if "%" not in m[0] or not QUOTED_BYTE.search(m[0]):
+            continue
         raw, packed = opened(unquote_to_bytes(m[0]), room)
         if packed and (text := readable(raw)) is not None:
             yield Layer(text, *(np.full(len(text), x) for x in layer.span(m.start(), m.end())))

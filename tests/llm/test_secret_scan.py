@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -66,6 +67,13 @@ def test_cycles_end_and_broken_layers_are_left_alone():
     assert S.find(None) == S.find("") == ([], [])
 
 
+@pytest.mark.parametrize("text", ["A" * 400_000 + " \n x", "%a" + "x" * 400_000, "ab" * 200_000 + "\n" + "token" * 50_000, "\\u00" * 100_000, "%41" * 100_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    S.find(text)
+    assert time.process_time() - began < 20
+
+
 def test_bombs_are_not_unpacked(monkeypatch):
     monkeypatch.setattr(S, "MAX_UNPACKED", 1000)
     assert S.find(b64(zlib.compress((SECRET + " " * 5000).encode())))[1] == []
