@@ -64,7 +64,8 @@ def budgeted_sample(bounds: DataFrame, segments: DataFrame, transitions: DataFra
     """(series, frame, role, reasons, protected): ends, spread samples of segments, neighbourhoods of transitions, pins, then a fill to the budget.
 
     A frame keeps its strictly highest role, the earliest added among equals; the fill takes the first new frames of an even sample; over
-    budget, unprotected frames go from the end if the protected ones fit. Ranks replace the loop, so a series needs two sorts.
+    budget, unprotected frames go from the end if the protected ones fit. Frames of the fill are candidates from the start and ranked
+    with the rest, so all of it is one aggregation and one pass of windows.
     """
     priority = F.create_map(*[F.lit(x) for kv in ROLES for x in kv])
     role = lambda df, frame, name, step: df.select(series, frame.cast("long").alias("frame"), F.lit(name).alias("role"), F.lit(step).alias("step"))
@@ -73,6 +74,7 @@ def budgeted_sample(bounds: DataFrame, segments: DataFrame, transitions: DataFra
     parts = [
         role(bounds, F.col("lo"), "first", 0), role(bounds, F.col("hi") - 1, "last", 1), role(spread, F.col("f"), "representative", 2),
         role(transitions, F.col("frame") - 1, "pre", 3), role(transitions, F.col("frame"), "boundary", 4), role(transitions, F.col("frame") + 1, "post", 5), role(pins, F.col("frame"), "pinned", 6),
+        role(bounds.withColumn("f", F.explode(even_frames(F.col("lo"), F.col("hi") - F.col("lo"), F.lit(budget)))), F.col("f"), "interior", 7),
     ]
     rows = parts[0]
     for part in parts[1:]:
@@ -80,10 +82,10 @@ def budgeted_sample(bounds: DataFrame, segments: DataFrame, transitions: DataFra
     rows = rows.join(bounds, series).where("frame >= lo and frame < hi").drop("lo", "hi")
     rank = F.struct(priority[F.col("role")].alias("p"), -F.col("step"), F.col("role").alias("role"))
     kept = rows.groupBy(series, "frame").agg(F.max(rank)["role"].alias("role"), F.array_sort(F.collect_set("role")).alias("reasons"))
-    n = kept.groupBy(series).agg(F.count("*").alias("n"))
-    fill = bounds.join(n, series).where(F.col("n") < budget).withColumn("frame", F.explode(even_frames(F.col("lo"), F.col("hi") - F.col("lo"), F.lit(budget))))
-    fill = fill.join(kept.select(series, "frame"), [series, "frame"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy(series).orderBy("frame"))).where(F.col("k") <= budget - F.col("n"))
-    kept = kept.unionByName(fill.select(series, "frame", F.lit("interior").alias("role"), F.array(F.lit("interior")).alias("reasons")))
+    fill = F.col("role") == "interior"
+    kept = kept.withColumn("reasons", F.when(fill, F.col("reasons")).otherwise(F.array_remove("reasons", "interior")))
+    kept = kept.withColumns({"__own": F.sum((~fill).cast("int")).over(Window.partitionBy(series)), "__k": F.row_number().over(Window.partitionBy(series, fill).orderBy("frame"))})
+    kept = kept.where(~fill | (F.col("__k") <= budget - F.col("__own"))).drop("__own", "__k")
     kept = kept.withColumn("protected", F.col("role").isin(*PROTECTED))
     w = Window.partitionBy(series)
     kept = kept.withColumns({"__n": F.count("*").over(w), "__safe": F.sum(F.col("protected").cast("int")).over(w), "__k": F.row_number().over(Window.partitionBy(series, "protected").orderBy("frame"))})

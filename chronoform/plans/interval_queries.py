@@ -197,7 +197,18 @@ def d8_deterministic_order(spark: SparkSession, d: str) -> DataFrame:
     return P.first_k_per_group(intervals(spark, d), 2**31 - 1, "start", "end", "kind").select("series_id", "seq", F.col("n").cast("long").alias("place"))
 
 
-@registered()
+EVEN = """CASE WHEN m <= 1 THEN a ELSE a + CAST(round_even(i * (dur - 1) / CAST(m - 1 AS DOUBLE), 0) AS BIGINT) END"""
+
+
+@registered(f"""WITH {SEGMENTS}, cuts AS (SELECT series_id, seq AS f FROM peaks WHERE combined >= 0.55), sp AS (SELECT series_id, "start" AS a, "end" - "start" AS dur, least("end" - "start", 4, greatest(3, least(5, "end" - "start"))) AS m FROM segments),
+roles AS (SELECT series_id, "start" AS f, 'first' AS role, 4 AS p, 0 AS s FROM bounds UNION ALL SELECT series_id, "end" - 1, 'last', 4, 1 FROM bounds UNION ALL SELECT series_id, {EVEN}, 'representative', 1, 2 FROM (SELECT *, unnest(generate_series(0, m - 1)) AS i FROM sp)
+ UNION ALL SELECT series_id, f - 1, 'pre', 2, 3 FROM cuts UNION ALL SELECT series_id, f, 'boundary', 3, 4 FROM cuts UNION ALL SELECT series_id, f + 1, 'post', 2, 5 FROM cuts UNION ALL SELECT series_id, seq, 'pinned', 5, 6 FROM ev WHERE kind = 'error' AND seq % 20 = 7),
+kept AS (SELECT r.series_id, f, arg_max(role, p * 10 - s) AS role, string_agg(DISTINCT role, ',' ORDER BY role) AS reasons FROM roles r JOIN bounds b ON r.series_id = b.series_id AND f >= b."start" AND f < b."end" GROUP BY ALL),
+n AS (SELECT series_id, count(*) AS n FROM kept GROUP BY 1), ev0 AS (SELECT DISTINCT series_id, n, {EVEN} AS f FROM (SELECT b.series_id, n, b."start" AS a, b."end" - b."start" AS dur, least(24, b."end" - b."start") AS m, unnest(generate_series(0, least(24, b."end" - b."start") - 1)) AS i FROM bounds b JOIN n ON b.series_id = n.series_id WHERE n < 24)),
+fill AS (SELECT series_id, f FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY f) AS k FROM ev0 WHERE (series_id, f) NOT IN (SELECT (series_id, f) FROM kept)) WHERE k <= 24 - n),
+everything AS (SELECT * FROM kept UNION ALL SELECT series_id, f, 'interior', 'interior' FROM fill), t AS (SELECT *, role NOT IN ('interior', 'representative') AS protected FROM everything),
+u AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS total, sum(CAST(protected AS INT)) OVER (PARTITION BY series_id) AS safe, row_number() OVER (PARTITION BY series_id, protected ORDER BY f) AS k FROM t)
+SELECT series_id, f AS frame, role, reasons, protected FROM u WHERE NOT (total > 24 AND safe <= 24 AND NOT protected AND k > 24 - safe)""")
 def d2_budgeted_sample(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d).select("series_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
     cuts = peaks(spark, d).where("combined >= 0.55").select("series_id", F.col("seq").alias("frame"))

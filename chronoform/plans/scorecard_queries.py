@@ -296,16 +296,22 @@ def b7_saliency(spark: SparkSession, d: str) -> DataFrame:
 LOOSE_MINIMA = {"pixel": 0.16, "histogram": 0.6, "hash": 32.0, "luminance": 0.01, "structure": 1.0, "edge": 0.05}
 
 
-@registered(f"""WITH {EMB}, p AS (SELECT a.series_id, b.seq, a.seq AS duplicate_of, a.x, b.x AS y FROM emb a JOIN emb b ON a.series_id = b.series_id AND a.seq < b.seq AND abs(list_avg(a.x) - list_avg(b.x)) < 0.01),
+PAIRED = f"""{EMB}, p AS (SELECT a.series_id, b.seq, a.seq AS duplicate_of, a.x, b.x AS y FROM emb a JOIN emb b ON a.series_id = b.series_id AND a.seq < b.seq AND abs(list_avg(a.x) - list_avg(b.x)) < 0.01),
 m AS (SELECT *, list_avg(x) AS ma, list_avg(y) AS mb, list_sum([abs(x[i] - y[i]) FOR i IN generate_series(1, 64)]) / 64 AS pixel, list_sum([abs(x[i + 1] - x[i]) FOR i IN generate_series(1, 63)]) / 64 AS ra, list_sum([abs(y[i + 1] - y[i]) FOR i IN generate_series(1, 63)]) / 64 AS rb,
  list_sum([sqrt(abs(x[i]) * abs(y[i])) FOR i IN generate_series(1, 64)]) / sqrt(list_sum([abs(v) FOR v IN x]) * list_sum([abs(v) FOR v IN y])) AS ov, list_sum([CAST((x[(i // 7) * 8 + i % 7 + 2] > x[(i // 7) * 8 + i % 7 + 1]) <> (y[(i // 7) * 8 + i % 7 + 2] > y[(i // 7) * 8 + i % 7 + 1]) AS INT) FOR i IN generate_series(0, 55)]) AS h FROM p),
-s AS (SELECT *, (2 * ma * mb + 0.0001) * (2 * list_sum([(x[i] - ma) * (y[i] - mb) FOR i IN generate_series(1, 64)]) / 64 + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (list_sum([pow(v - ma, 2) FOR v IN x]) / 64 + list_sum([pow(v - mb, 2) FOR v IN y]) / 64 + 0.0009)) AS ssim FROM m)
-SELECT series_id, seq, duplicate_of FROM s WHERE pixel < 0.16 AND sqrt(greatest(0, least(1, 1 - ov))) < 0.6 AND h < 32 AND abs(ma - mb) < 0.01 AND greatest(0, least(1, 1 - ssim)) < 1.0 AND abs(ra - rb) < 0.05""")
+s AS (SELECT *, (2 * ma * mb + 0.0001) * (2 * list_sum([(x[i] - ma) * (y[i] - mb) FOR i IN generate_series(1, 64)]) / 64 + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (list_sum([pow(v - ma, 2) FOR v IN x]) / 64 + list_sum([pow(v - mb, 2) FOR v IN y]) / 64 + 0.0009)) AS ssim FROM m),
+dups AS (SELECT series_id, seq, duplicate_of FROM s WHERE pixel < 0.16 AND sqrt(greatest(0, least(1, 1 - ov))) < 0.6 AND h < 32 AND abs(ma - mb) < 0.01 AND greatest(0, least(1, 1 - ssim)) < 1.0 AND abs(ra - rb) < 0.05)"""
+
+
+@registered(f"WITH {PAIRED} SELECT * FROM dups")
 def h1_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return V.near_duplicates(vectors(spark, d), LOOSE_MINIMA)
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {PAIRED}, o AS (SELECT series_id, seq, row_number() OVER (PARTITION BY series_id ORDER BY seq) AS i, seq % 10 = 0 AS safe, (SELECT list(duplicate_of) FROM dups WHERE dups.series_id = emb.series_id AND dups.seq = emb.seq) AS links FROM emb),
+walk AS (SELECT series_id, i, seq, [seq] AS stay, CAST(NULL AS BIGINT) AS dup FROM o WHERE i = 1 UNION ALL
+ SELECT series_id, i, seq, CASE WHEN dup IS NULL THEN list_append(stay, seq) ELSE stay END, dup FROM (SELECT o.series_id, o.i, o.seq, w.stay, CASE WHEN NOT o.safe THEN list_min(list_filter(o.links, lambda k: list_contains(w.stay, k))) END AS dup FROM walk w JOIN o ON w.series_id = o.series_id AND o.i = w.i + 1))
+SELECT series_id, seq, dup IS NULL AS kept, coalesce(dup, -1) AS duplicate_of FROM walk""")
 def h2_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).select("series_id", "seq", "x", (F.col("seq") % 10 == 0).alias("protected"))
     found = V.greedy_dedup(rows, V.near_duplicates(rows, LOOSE_MINIMA), "protected")
