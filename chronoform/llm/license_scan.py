@@ -89,9 +89,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("reserved",)),
 )
 #: A line that ends within a sentence and goes on, after a comment mark or not, in lower case or with an opening bracket.
-WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:[#*/;]+|--)?[ \t]*([a-z(])"
-#: Where sentences end: at a stop, and where a line ends that does not go on. A colon or semicolon within a line is no end.
-END = r"[.!?]+\s+|[.!?]*\s*\n\s*|[.!?]+$"
+WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?:[#*/;]+|--)[ \t]*)?([a-z(])"
+#: Where sentences end: at a stop before a blank, and where a line ends that does not go on. A colon or semicolon within a line is no end.
+END = r"[.!?](?:\s|$)|\n"
 
 
 def plain(sentence: str) -> str:

@@ -130,7 +130,7 @@ l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)
 l2 AS (SELECT *, lag(lev, 1, -1) OVER w <> lev AS fresh, lead(lev, 1, 0) OVER w AS next FROM l1 WINDOW w AS (PARTITION BY r ORDER BY pos)),
 l3 AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l2),
 quotes AS (SELECT r, conv, turn, lev, run, string_agg(content, chr(10) ORDER BY pos) AS t FROM l3 WHERE lev > 0 GROUP BY ALL),
-own AS (SELECT r, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT (next > 0 AND regexp_matches(line, '^[^>]*\b(?:wrote|writes|said):[ \t]*$'))), ''), '^\s+|\s+$', '', 'g') AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
+own AS (SELECT r, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT (next > 0 AND regexp_matches(line, '^[^>]*\b(?:wrote|writes|said):[ \t]*$'))), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
 bodies AS (SELECT m.*, coalesce(own.body, text) AS body FROM m LEFT JOIN own USING (r)),
 piece AS (SELECT k, a, conv, turn, lev, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS x FROM
   (SELECT k, a, conv, turn, lev, unnest(list_concat([t], string_split_regex(t, '\n[ \t]*\n+'), string_split_regex(t, '\r?\n'))) AS x FROM

@@ -25,7 +25,7 @@ def normal(text: Column) -> Column:
 def without_quotes(text: Column) -> Column:
     """The lines that are no quotes, without the line that names whom they quote."""
     kept = F.regexp_replace(F.regexp_replace(text, ATTRIBUTION, ""), r"(?md)^[ \t]*>[^\n]*(?:\n|\z)", "")
-    return F.regexp_replace(kept, r"^\s+|\s+\z", "")
+    return F.btrim(kept, F.lit(" \t\r\n"))
 
 
 def passages(messages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from chronoform.llm import license_scan as L
 
 
@@ -29,3 +31,11 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, L.SENTENCES["mit_name"]), (1, L.SENTENCES["mit_name"])], "doc_id long, text string")
     assert [r.licenses for r in L.scan(df).collect()] == ["MIT", "MIT"]
     assert L.scan(df.where("false")).count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    odd = ["." * 200_000 + "x", " " * 200_000 + "x", "a\n" + " " * 200_000 + "!", "#" * 200_000, "x\n" * 100_000]
+    rows = [(i, t + " " + L.SENTENCES["mit_name"]) for i, t in enumerate(odd)]
+    began = time.time()
+    L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.time() - began < 60
