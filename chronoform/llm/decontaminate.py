@@ -57,7 +57,7 @@ def report(
         runs = F.broadcast(runs)
     pad = window - 1
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w")
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w")
     ).withColumns({"n": F.size("w"), "padded": F.expr(f"concat(array_repeat('', {pad}), w, array_repeat('', {pad}))")})
     probes = ["array(named_struct('len', 0, 'p', 0, 'h', cast(0 as bigint), 'near', cast(array() as array<string>)))"]
     for length in lengths:
@@ -66,15 +66,17 @@ def report(
         probes.append(
             f"if(n >= {g}, transform(sequence(1, greatest(n - {g} + 1, 1), {k}), p -> named_struct('len', {length}, 'p', p, 'h', xxhash64(slice(w, p, {g})), 'near', slice(padded, p + {pad - k + 1}, {g + 2 * (k - 1)}))), array())"
         )
-    met = rows.select("row", "id", "text_hash", "n", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("x")).select("row", "id", "text_hash", "n", "x.*")
+    met = rows.select("id", "text_hash", "n", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("x")).select("id", "text_hash", "n", "x.*")
     met = met.join(runs.withColumnRenamed("len", "len_"), (F.col("len") == F.col("len_")) & (met.h == runs.h), "left").drop(runs.h)
     # the window starts at word (before the run) - at of near, which has len - g words before the run
     k = F.col("len") - F.greatest(F.lit(1), F.least(F.lit(5), F.floor(F.col("len") / 2))).cast("int") + 1
     start = F.col("p") - F.col("at")
     same = (start >= 1) & (start + F.col("len") - 1 <= F.col("n")) & (F.array_join(F.slice("near", F.greatest(k - F.col("at"), F.lit(1)), F.greatest("len", F.lit(1))), " ") == F.col("win"))
     met = met.withColumn("span", F.when(F.col("at").isNotNull() & same, F.struct((start - 1).alias("start"), (start - 1 + F.col("len")).alias("end"))))
-    met = met.where((F.col("len") == 0) | F.col("span").isNotNull()).select("row", "id", "text_hash", "n", "span", F.when(F.col("span").isNotNull(), F.col("items")).alias("items"))
-    found = met.groupBy("row", "id", "text_hash", "n").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
+    met = met.where((F.col("len") == 0) | F.col("span").isNotNull()).select("id", "text_hash", "n", "len", "span", F.when(F.col("span").isNotNull(), F.col("items")).alias("items"))
+    # rows of one id and text have the same hits; each brought one entry of length 0, which tells how many there are
+    found = met.groupBy("id", "text_hash", "n").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"), F.count(F.when(F.col("len") == 0, 1)).cast("int").alias("copies"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     hit = "aggregate(spans, named_struct('n', 0L, 'reach', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.end - greatest(x.start, a.reach)), 'reach', greatest(a.reach, x.end)), a -> a.n)"
     found = found.withColumns({"n_words": F.col("n").cast("long"), "n_hit": F.expr(hit), "items": F.array_sort(F.array_distinct(F.flatten("items")))})
     return found.select(
