@@ -59,9 +59,9 @@ def nearest_timestamp(points: DataFrame, targets: DataFrame, time: str = "t", se
 
 def exists_in_range(ranges: DataFrame, points: DataFrame, series: str = SERIES, order: str = ORDER, width: int = 64) -> DataFrame:
     """ranges with ``found``: whether a point of the series lies in them."""
-    keyed = ranges.withColumn("__row", F.monotonically_increasing_id())
-    hits = point_in_range(points.select(series, order), keyed, order, series, width).select("__row").distinct().withColumn("found", F.lit(True))
-    return keyed.join(hits, "__row", "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("__row")
+    spans = ranges.select(series, "start", "end").distinct()
+    hits = point_in_range(points.select(series, order), spans, order, series, width).select(series, "start", "end").distinct().withColumn("found", F.lit(True))
+    return ranges.join(hits, [series, "start", "end"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def near_boundary_lookup(rows: DataFrame, transitions: DataFrame, distance: int = 1, series: str = SERIES, frame: str = "frame") -> DataFrame:
