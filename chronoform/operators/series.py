@@ -55,11 +55,11 @@ def unwrap_degrees(df: DataFrame, value: str = VALUE, series: str = SERIES, orde
 def robust_threshold(df: DataFrame, value: str = VALUE, k: float = 6.0, floor: float = 0.08, lo: float | None = 0.16, hi: float | None = 0.65, series: str = SERIES, order: str = ORDER) -> DataFrame:
     """(series, median, mad, threshold): median + max(floor, k raw MAD), kept within [lo, hi]. The first row of a series does not count.
 
-    Two aggregations; the medians join back as a small table, which Spark broadcasts if it is.
+    The median is taken in a window and its deviation in the aggregation behind it, all in one partitioning by series.
     """
     rows = df.withColumn("__first", F.lag(order).over(along(series, order)).isNull()).where("not __first").select(series, F.col(value).alias("x"))
-    mid = rows.groupBy(series).agg(F.median("x").alias("median"))
-    mad = rows.join(mid, series).groupBy(series, "median").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+    rows = rows.withColumn("median", F.percentile("x", F.lit(0.5)).over(whole(series)))
+    mad = rows.groupBy(series).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
     return mad.withColumn("threshold", clamp(F.col("median") + F.greatest(F.lit(floor), k * F.col("mad")), lo, hi))
 
 
