@@ -9,7 +9,7 @@ from chronoform.functions import scalar
 from chronoform.operators import grouped as G
 from chronoform.operators import series as S
 
-from .fixtures import EV, FEAT, conv, ev, feat, table
+from .fixtures import CONV, EV, conv, ev, feat, table
 from .registry import r6, registered, rounded
 from .series_queries import DAILY, GROUPS, daily, peaks
 
@@ -79,7 +79,12 @@ def c32_search_phase_warp(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.search_phase_warp(e, (-6, -4, -2, 0, 2, 4, 6), best=3))
 
 
-@registered()
+@registered(f"""WITH RECURSIVE {CONV}, sc AS (SELECT series_id, list("end" - "start" ORDER BY seq) AS w, list(CAST(round_even(("start" + 1.7) * 25, 0) AS BIGINT)) AS pauses, CAST(round_even(max("end") * 25, 0) AS BIGINT) AS frames FROM conv GROUP BY series_id),
+c AS (SELECT *, len(w) AS n, [list_sum([greatest(0.5, v) FOR v IN w[1:i]]) FOR i IN generate_series(1, len(w))] AS cum FROM sc WHERE frames > 100),
+walk AS (SELECT series_id, 0 AS i, CAST(0 AS BIGINT) AS last, CAST([0] AS BIGINT[]) AS cues FROM c UNION ALL
+ SELECT series_id, i + 1, cue, list_append(cues, cue) FROM (SELECT series_id, i, cues, greatest(lo, least(hi, coalesce(pick, want))) AS cue FROM (SELECT *, (SELECT arg_min(p, abs(p - want) * 1000000.0 + p) FROM (SELECT unnest(pauses) AS p) WHERE p BETWEEN lo AND hi) AS pick FROM
+  (SELECT w.series_id, w.i, w.cues, c.pauses, w.last + 1 AS lo, c.frames - (c.n - 1 - w.i) AS hi, CAST(round_even(c.frames * c.cum[w.i + 1] / c.cum[c.n], 0) AS BIGINT) AS want FROM walk w JOIN c ON w.series_id = c.series_id WHERE w.i < c.n - 1))))
+SELECT w.series_id, array_to_string(list_append(cues, frames), ',') AS bounds FROM walk w JOIN c ON w.series_id = c.series_id AND w.i = c.n - 1""")
 def g11_silence_cues(spark: SparkSession, d: str) -> DataFrame:
     t = conv(spark, d)
     scripts = t.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.col("end") - F.col("start")).alias("w")))), lambda x: x["w"]).alias("weights"), F.collect_list(F.bround((F.col("start") + 1.7) * 25).cast("long")).alias("silences"), F.bround(F.max("end") * 25).cast("long").alias("frames"))
@@ -102,7 +107,8 @@ def first_number(text: str) -> float:
     return float(next(w for w in text.split() if w.isdigit()))
 
 
-@registered()
+@registered(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM documents), n AS (SELECT doc_id, [x FOR x IN w IF regexp_full_match(x, '[0-9]+')][1] AS d FROM t)
+SELECT doc_id, 'long_words' AS kind, true AS ok, CAST(len([x FOR x IN w IF length(x) > 8]) AS DOUBLE) AS value, '' AS error_type FROM t WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'first_number', d IS NOT NULL, coalesce(CAST(d AS DOUBLE), -1), CASE WHEN d IS NULL THEN 'StopIteration' ELSE '' END FROM n""")
 def h4_run_analyzers(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     done = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("long_words").alias("kind"))

@@ -125,9 +125,15 @@ def b18_easing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev(spark, d).select("series_id", "seq", *[scalar.easing(n, p).alias(n) for n in EASE]))
 
 
-@registered()
+def bezier_sql() -> str:
+    x, slope = "3 * pow(1 - t, 2) * t * 0.18 + 3 * (1 - t) * t * t * 0.38 + t * t * t", "3 * pow(1 - t, 2) * 0.18 + 6 * (1 - t) * t * 0.2 + 3 * t * t * 0.62"
+    steps = [f"n{i + 1} AS (SELECT series_id, seq, p, greatest(0, least(1, t - ({x} - p) / CASE WHEN abs({slope}) < 1e-9 THEN 1 ELSE {slope} END)) AS t FROM n{i})" for i in range(8)]
+    return f"WITH {EV}, n0 AS (SELECT series_id, seq, greatest(0, least(1, signal * 0.983)) AS p, greatest(0, least(1, signal * 0.983)) AS t FROM ev), {', '.join(steps)} SELECT series_id, seq, round(3 * pow(1 - t, 2) * t * 0.82 + 3 * (1 - t) * t * t + t * t * t, 6) AS eased FROM n8"
+
+
+@registered(bezier_sql())
 def b18_bezier_easing(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ev(spark, d).select("series_id", "seq", scalar.bezier_easing(0.18, 0.82, 0.38, 1.0)("signal").alias("eased")))
+    return rounded(ev(spark, d).select("series_id", "seq", scalar.bezier_easing(0.18, 0.82, 0.38, 1.0)(F.col("signal") * 0.983).alias("eased")))
 
 
 @registered("""WITH m AS (SELECT p_partkey, 1 + p_size / 100.0 AS a, p_size / 500.0 AS b, p_partkey % 7 * 3.0 AS tx, -p_size / 400.0 AS c, 0.9 + p_partkey % 11 / 50.0 AS e, p_partkey % 5 * 2.0 AS ty, p_partkey % 3 / 100000.0 AS g, p_size / 1000000.0 AS h FROM part),
