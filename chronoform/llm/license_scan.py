@@ -1,6 +1,6 @@
 """Licence scans by sentence rules: sentences to identifiers of known licence sentences, then identifier sequences to licences.
 
-After Nomos-like sentence matching (German, Manabe, Inoue: "A sentence-matching method for automatic license identification of
+After the sentence-matching method of German, Manabe and Inoue ("A sentence-matching method for automatic license identification of
 source code files", 2010). DataFrame functions only.
 """
 
