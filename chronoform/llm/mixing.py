@@ -88,7 +88,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), turns.alias("positions"))
 
 
+def by_position(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows in ranges of the order, sorted in each: partitions stand one after the other."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def schedule(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(position, id): the training order, one row for each time that a document is read, in ranges of position."""
-    turns = mixed.select(F.explode("positions").alias("position"), id_col)
-    return turns.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+    return by_position(mixed.select(F.explode("positions").alias("position"), id_col), "position", id_col)
+
+
+def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of a mix by their first position, in ranges of it; documents that are never read come last. All positions stay."""
+    return by_position(mixed, F.try_element_at("positions", F.lit(1)).asc_nulls_last(), F.col(id_col).asc_nulls_last())

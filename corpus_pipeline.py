@@ -33,9 +33,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, and where its first reading stands in training (null if never read)."""
-    mixed = mixing.mix(docs)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
+    """What the mix takes of each document, where its first reading stands in training (null if never read) and where all do, in that order."""
+    mixed = mixing.in_order(mixing.mix(docs))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"), "positions")
 
 
 STAGES = [

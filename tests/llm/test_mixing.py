@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+import math
+
 import pytest
 
+import corpus_pipeline
 from chronoform.llm import mixing
+from chronoform.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -66,3 +71,53 @@ def test_position_inverts_the_integral(spark, slope):
 
     df = spark.range(11).select((F.col("id") / 10).alias("t")).withColumn("done", 8.0 * (F.col("t") + slope * (F.col("t") * F.col("t") - F.col("t"))))
     assert all(abs(r.t - r.p) < 1e-9 for r in df.select("t", mixing.position(F.col("done"), F.lit(8.0), F.lit(slope)).alias("p")).collect())
+
+
+def brute_positions(data, weights, slopes):
+    """(id, positions) by bisection on the integrated schedules, from documents in order of md5."""
+    names = sorted({s for _, _, s in data})
+    sizes = {s: sum(len(t.split()) for _, t, x in data if x == s) for s in names}
+    targets = water_fill(sizes, dict(zip(names, weights, strict=True)))
+    out = {i: [] for i, _, _ in data}
+    for s, slope in zip(names, slopes, strict=True):
+        mine, done = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, x in data if x == s), 0
+        end = math.floor(targets[s] + 1e-6)
+        while done < end:
+            for _, i, size in mine:
+                if done >= end:
+                    break
+                lo, hi, want = 0.0, 1.0, min(1.0, (done + size / 2) / targets[s])
+                for _ in range(60):
+                    at = (lo + hi) / 2
+                    lo, hi = (at, hi) if at + slope * (at * at - at) < want else (lo, at)
+                out[i].append(lo)
+                done += size
+    return out
+
+
+def ordered_parts(df):
+    """The rows partition by partition."""
+    return [r for part in df.rdd.glom().collect() for r in part]
+
+
+def test_order_matches_a_brute_force_inversion(spark):
+    data = rows({"a": [3, 1, 2] * 20, "b": [7, 5] * 90, "c": [4] * 200})
+    mixed = mixing.mix(spark.createDataFrame(data, SCHEMA), bucket_rows=40)
+    want = brute_positions(data, mixing.WEIGHTS, mixing.SLOPES)
+    got = {r.doc_id: r.positions for r in mixed.collect()}
+    assert any(len(p) > 1 for p in want.values()) and got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    order = ordered_parts(mixing.schedule(mixed))
+    assert [(r.position, r.doc_id) for r in order] == sorted((p, i) for i, ps in got.items() for p in ps)
+
+
+def test_query_and_stage_return_all_positions_in_order(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.positions for r in mixing.mix(docs).collect()}
+    assert any(len(p) > 1 for p in want.values())
+    for df in (QUERIES["op7_curriculum_mix"](spark, sf), corpus_pipeline.mix_sources(spark, docs, sf)):
+        got = ordered_parts(df)
+        assert {r.doc_id: r.positions for r in got} == want and len(got) == docs.count()
+        first = [(r.positions[0] if r.positions else 2.0, r.doc_id) for r in got]
+        assert first == sorted(first)
