@@ -6,6 +6,7 @@ source code files", 2010). DataFrame functions only.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?:[#*/;]+|--)[ \t]*)?([a-z(])"
 #: Where sentences end: at a stop before a blank, and where a line ends that does not go on. A colon or semicolon within a line is no end.
 END = r"[.!?](?:\s|$)|\n"
+#: The first of these alone.
+STOP = r"[.!?](?:\s|$)"
 
 
 def plain(sentence: str) -> str:
@@ -109,17 +112,37 @@ def sentences_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
+def marked(text: Column) -> Column:
+    """A text normalised, with \\x01 where a stop ends a sentence and \\x02 where a line ends that does not go on, at both ends too."""
+    joined = F.regexp_replace(text, WRAP, "$1 $2")
+    ended = F.translate(F.regexp_replace(joined, STOP, "\x01"), "\n", "\x02")
+    return F.concat(F.lit("\x02"), F.regexp_replace(ascii_lower(ended), "[^a-z0-9\x01\x02]+", " "), F.lit("\x02"))
+
+
+def pattern(sentence: str) -> str:
+    """A known sentence as it may stand in a marked text: its own stops are stops there, and lines may end between any two words."""
+    parts = [p for s in re.split(STOP, sentence) if (p := plain(s).split())]
+    return r"[ \x02]*+\x01[ \x02]*+".join(r"[ \x02]++".join(words) for words in parts)
+
+
+def known_sentences(text: Column, sentences: dict[str, str]) -> Column:
+    """The normalised known sentences of a text in order: each from where a sentence or line starts to where one ends, longer ones first."""
+    any_of = "|".join(sorted(map(pattern, sentences.values()), key=len, reverse=True))
+    found = F.regexp_extract_all(marked(text), F.lit(rf"[\x01\x02] ?({any_of})(?= ?[\x01\x02])"), F.lit(1))
+    return F.coalesce(F.transform(found, lambda s: F.regexp_replace(s, r"[ \x01\x02]+", " ")), F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """For each row: id, n_sentences, sentence_ids (known ones in order), licenses (distinct, sorted), n_matches, unmatched.
 
     Rules are tried in order on the sequence of known sentences; a match uses its sentences up. What no rule uses is
     ``unmatched``. Sentences between that are not known do not part a sequence. Null and empty texts: no sentences, empty
-    strings. Repeated rows are scanned one by one. No shuffle.
+    strings. Repeated rows are scanned one by one. No shuffle. A known sentence may be wrapped anywhere, also before upper case,
+    after a colon or semicolon or around blank lines; ``n_sentences`` counts a line that WRAP does not join as a sentence.
     """
     known = {plain(s): k for k, s in sentences.items()}
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = docs.select(F.col(id_col).alias("id"), sentences_of(F.col(text)).alias("s"))
-    rows = rows.select("id", F.size("s").cast("long").alias("n_sentences"), F.filter("s", lambda s: s.isin(*known)).alias("s"))
+    rows = docs.select(F.col(id_col).alias("id"), F.size(sentences_of(F.col(text))).cast("long").alias("n_sentences"), known_sentences(F.col(text), sentences).alias("s"))
     rows = rows.withColumn("found", F.transform("s", lambda s: F.element_at(ids, s))).drop("s")
     rest = F.concat(F.lit("<"), F.array_join("found", "><"), F.lit(">"))
     rows = rows.withColumn("rest", F.when(F.size("found") > 0, rest).otherwise(""))
