@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -167,6 +167,16 @@ def near_fingerprints(fps: DataFrame, chunk: int = 4096) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare_runs, "src long, dst long").distinct()
 
 
+def grouped(own: DataFrame) -> DataFrame:
+    """own, rows with id and ``fp``, with ``root``, which names the group, and ``component_id``, its smallest id."""
+    least = own.groupBy("fp").agg(F.min("id").alias("least"))
+    joined = connected_components(near_fingerprints(least.select("fp")))
+    named = least.join(joined, least.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = cut(named)
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(named.join(roots, "root").select("fp", "root", "component_id"), "fp")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' ids with ``fp`` (signed long) and ``component_id``, the smallest id reachable over links of 4 bits or less.
 
@@ -175,12 +185,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     unless it has no other id; then the component is null. No shuffle carries a text.
     """
     own = cut(docs.select(F.col(id_col).alias("id"), simhash64(F.col(text)).alias("fp")))
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = connected_components(near_fingerprints(least.select("fp")))
-    named = least.join(joined, least.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = cut(named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(roots, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return grouped(own).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex64(fp) -> F.Column:
@@ -188,8 +193,35 @@ def hex64(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; rows without an id stay. Repeated rows of the kept id all stay."""
-    found = components(docs, id_col, text)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__cf_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__cf_gone"], "left_anti")
+def text_hash(text: Column) -> Column:
+    """Equal texts have equal hashes; null is a text of its own."""
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group. Rows are told apart by id and text, so an id that occurs with texts of
+    several groups loses only the rows of groups with a smaller id.
+
+    With ``repeats``, repeated rows of the kept id stay, and so do rows without an id. Without, each group keeps exactly one row: the
+    smallest id (null last), then the smallest hash of the text, then the smallest row. Rows of one id and text are counted
+    before groups are formed, and only a kept id and text that is repeated has its rows aggregated.
+    """
+    own = cut(docs.select(F.col(id_col).alias("id"), text_hash(F.col(text)).alias("hash"), simhash64(F.col(text)).alias("fp")))
+    found = grouped(own.groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("n")))
+    key = docs[id_col].eqNullSafe(F.col("__cf_id")) & (text_hash(docs[text]) == F.col("__cf_hash"))
+    names = F.col("id").alias("__cf_id"), F.col("hash").alias("__cf_hash")
+    if repeats:
+        return docs.join(found.where(F.col("component_id") < F.col("id")).select(*names), key, "left_anti")
+    found = cut(found.select("id", "hash", "n", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "n")).alias("first"))
+    kept = cut(first.select("first.*"))
+    single, several = kept.where("n = 1").select("id", "hash"), kept.where("n > 1")
+    same = F.expr("a.id <=> b.id and a.hash = b.hash")
+    gone = found.alias("a").join(single.alias("b"), same, "left_anti").select(*names)
+    out = docs.join(gone, key, "left_anti")
+    if several.isEmpty():
+        return out
+    several = several.select(*names)
+    repeated = docs.join(F.broadcast(several) if several.count() <= 100_000 else several, key)
+    one = repeated.groupBy("__cf_id", "__cf_hash").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return out.unionByName(one.select("row.*"))

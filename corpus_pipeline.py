@@ -18,8 +18,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps one document of each group of near copies: the one with the smallest id, rows without an id last."""
+    return simhash.keep_one(docs, repeats=False).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from chronoform.llm import simhash
 from chronoform.llm.graph import connected_components
 
@@ -76,6 +77,19 @@ def test_documents(spark):
     assert simhash.components(df.where("false")).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, b), (None, c), (None, c), (7, None), (7, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    shown = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert shown(simhash.keep_one(df)) == sorted([(1, a), (2, b), (2, b), (None, b), (None, c), (None, c), (7, None), (7, "")], key=str)
+    got = shown(simhash.keep_one(df, repeats=False))
+    assert [x for x in got if x[1]] == sorted([(1, a), (2, b), (None, c)], key=str) and [x[0] for x in got if not x[1]] == [7]
+    assert shown(simhash.keep_one(df.repartition(3), repeats=False)) == got
+    stage = corpus_pipeline.drop_near_duplicates(spark, df.selectExpr("doc_id", "text", "'en' as lang", "source", "1L as n_chars"), "")
+    assert shown(stage) == got
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)] + [(500, 501), (501, 500)]])
 def test_connected_components(spark, edges):
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
