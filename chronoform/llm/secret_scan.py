@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -28,6 +27,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}")  # in lines, as mail and key files have it
 RUN = re.compile(r"\S+")
 QUOTED_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
+QUOTED_CHAR = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
+WIDE = re.compile(r"(?:[\x01-\x7f]\x00){8,}")  # ASCII in UTF-16, of either byte order
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+ZLIB = re.compile(b"\x78[" + b"".join(re.escape(bytes([x])) for x in range(256) if (0x7800 + x) % 31 == 0) + b"]")
 ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*|\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: Decompressed bytes of one document beyond which its remaining layers stay packed; a guard against decompression bombs.
 MAX_UNPACKED = 64 << 20
@@ -108,8 +111,8 @@ def without_escapes(layer: Layer) -> Layer | None:
     return Layer("".join([*parts, layer.text[done:]]), np.concatenate([*lo, layer.lo[done:]]), np.concatenate([*hi, layer.hi[done:]]))
 
 
-def unpacked(raw: bytes, room: int) -> bytes | None:
-    """The content of a compressed string of bytes; None if it is none, is broken or takes more than ``room`` bytes."""
+def member(raw: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """The content of the first member of a compressed string of bytes, and what follows it; None as in :func:`unpacked`."""
     try:
         if raw[:2] == b"\x1f\x8b":
             tool = zlib.decompressobj(31)
@@ -120,17 +123,35 @@ def unpacked(raw: bytes, room: int) -> bytes | None:
         elif raw[:6] == b"\xfd7zXZ\x00":
             tool = lzma.LZMADecompressor(memlimit=256 << 20)
         elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as reader:
-                out = reader.read(room + 1)
-            return out if len(out) <= room else None
+            tool, out = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), []
+            for at in range(0, len(raw), 1024):  # it takes no bound, so the input goes in by pieces
+                out.append(tool.decompress(raw[at : at + 1024]))
+                if (room := room - len(out[-1])) < 0:
+                    return None
+                if tool.eof:
+                    return b"".join(out), tool.unused_data + raw[at + 1024 :]
+            return b"".join(out), b""
         else:
             return None
         out = tool.decompress(raw, room + 1)
-        return out if len(out) <= room else None
+        return (out, tool.unused_data) if len(out) <= room else None
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         return None
 
 
+def unpacked(raw: bytes, room: int) -> tuple[bytes, int] | None:
+    """The content of a compressed string of bytes, all its members joined, and how many bytes follow them.
+
+    None if the first member is none or is broken, or if all take more than ``room`` bytes.
+    """
+    parts = []
+    while (found := member(raw, room)) is not None:
+        parts.append(found[0])
+        room -= len(found[0])
+        raw = found[1]
+    return (b"".join(parts), len(raw)) if parts else None
+
+
 def readable(raw: bytes) -> str | None:
     """raw as text, if it is valid UTF-8 and nine tenths of it are printable."""
     try:
@@ -140,55 +161,96 @@ def readable(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) * 10 >= 9 * len(text) else None
 
 
-def opened(raw: bytes, room: list[int]) -> tuple[bytes, bool]:
-    """raw without its layers of compression, and whether it had any. ``room`` is what the document may still unpack."""
-    packed, seen = False, {hashlib.sha1(raw).digest()}
+def views(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """raw as text, and where in raw each character starts and ends: UTF-8 if it reads as that; else Latin-1, and the same with UTF-16's zeros out.
+
+    Every secret is ASCII, so Latin-1 shows those between bytes that are no text.
+    """
+    if (text := readable(raw)) is not None:
+        ends = np.cumsum([len(c.encode()) for c in text])
+        yield text, np.concatenate([[0], ends[:-1]]), ends
+    elif raw:
+        text, at = raw.decode("latin-1"), np.arange(len(raw))
+        yield text, at, at + 1
+        if WIDE.search(text):
+            kept = np.ones(len(raw), bool)
+            for m in WIDE.finditer(text):
+                kept[m.start() + 1 : m.end() : 2] = False
+            at = at[kept]
+            yield "".join(text[i] for i in at), at, at + 1
+
+
+def opened(raw: bytes, room: list[int]) -> bytes:
+    """raw without further layers of compression. ``room`` is what the document may still unpack."""
+    seen = {hashlib.sha1(raw).digest()}
     while (inner := unpacked(raw, room[0])) is not None:
-        room[0] -= len(inner)
-        raw, packed = inner, True
-        if (mark := hashlib.sha1(inner).digest()) in seen:
+        raw = inner[0]
+        room[0] -= len(raw)
+        if (mark := hashlib.sha1(raw).digest()) in seen:
             break
         seen.add(mark)
-    return raw, packed
+    return raw
+
+
+def packed_parts(raw: bytes, starts: list[int], room: list[int]) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of the compressed parts of raw that begin at one of ``starts``, leftmost first, none within another."""
+    done, view = 0, memoryview(raw)
+    for at in sorted(set(starts)):
+        if at >= done and (found := unpacked(view[at:], room[0])) is not None:
+            room[0] -= len(found[0])
+            done = len(raw) - found[1]
+            yield at, done, opened(found[0], room)
+
+
+def spread(layer: Layer, raw: bytes, start: int, end: int) -> Iterator[Layer]:
+    """The views of raw, each character with the span of layer from start to end."""
+    lo, hi = layer.span(start, end)
+    for text, _, _ in views(raw):
+        yield Layer(text, np.full(len(text), lo), np.full(len(text), hi))
 
 
 def from_base64(layer: Layer, room: list[int]) -> Iterator[Layer]:
-    """A layer for each base64 run, in one line or wrapped, that holds text or compressed text."""
+    """Layers for each base64 run, in one line or wrapped, at each of its four alignments, and for compressed parts of what it encodes.
+
+    A run that reads as text from its first character is that text, and other alignments are not tried.
+    """
     taken = 0  # runs within a wrapped one that could be read are parts of it
     for m in sorted([*BASE64.finditer(layer.text), *(WRAPPED.finditer(layer.text) if "\n" in layer.text else ())], key=lambda m: (m.start(), -m.end())):
         if m.end() <= taken:
             continue
         found = np.array([i for i, c in enumerate(m[0], m.start()) if c not in "=\r\n"])
         body = "".join(c for c in m[0] if c not in "=\r\n").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        raw, packed = opened(raw, room)
-        if (text := readable(raw)) is None:
-            continue
-        if packed:
-            lo, hi = (np.full(len(text), x) for x in layer.span(m.start(), m.end()))
-        else:
-            ends = np.cumsum([len(c.encode()) for c in text])
-            first, last = np.concatenate([[0], ends[:-1]]) * 8 // 6, (ends * 8 - 1) // 6
-            lo, hi = layer.lo[found[first]], layer.hi[found[last]]
-        taken = m.end()
-        yield Layer(text, lo, hi)
+        breaks = [0, *(i + 1 for i, c in enumerate(body) if c in "+/")]
+        for skip in range(4):
+            part = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]  # one character alone holds no byte
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            starts = [x.start() for x in MAGIC.finditer(raw)] + [o for b in breaks if b >= skip and (b - skip) % 4 == 0 and ZLIB.match(raw, o := (b - skip) // 4 * 3)]
+            whole = False
+            for start, end, content in packed_parts(raw, starts, room):
+                whole |= skip == 0 == start and end == len(raw)
+                yield from spread(layer, content, int(found[skip + start * 8 // 6]), int(found[skip + (end * 8 - 1) // 6]) + 1)
+            if whole:
+                taken = m.end()
+                break
+            for text, first, last in views(raw):
+                yield Layer(text, layer.lo[found[skip + first * 8 // 6]], layer.hi[found[skip + (last * 8 - 1) // 6]])
+            if skip == 0 and readable(raw) is not None:
+                taken = m.end()
+                break
 
 
 def from_quoted_bytes(layer: Layer, room: list[int]) -> Iterator[Layer]:
-    """A layer for each run that is URL-quoted compressed text."""
+    """A layer for each compressed text, URL-quoted, within a run of characters that are not blank."""
     if not QUOTED_BYTE.search(layer.text):
         return
     for m in RUN.finditer(layer.text):
         if "%" not in m[0] or not QUOTED_BYTE.search(m[0]):
             continue
-        raw, packed = opened(unquote_to_bytes(m[0]), room)
-        if packed and (text := readable(raw)) is not None:
-            yield Layer(text, *(np.full(len(text), x) for x in layer.span(m.start(), m.end())))
+        raw, at = unquote_to_bytes(m[0]), None
+        for start, end, content in packed_parts(raw, [x.start() for x in [*MAGIC.finditer(raw), *ZLIB.finditer(raw)]], room):
+            if at is None:  # where in the run each byte stands
+                at = [x.span() for x in QUOTED_CHAR.finditer(m[0]) for _ in range(1 if len(x[0]) == 3 else len(x[0].encode("utf-8", "surrogatepass")))]
+            yield from spread(layer, content, m.start() + at[start][0], m.start() + at[end - 1][1])
 
 
 def ordered(spans: set[Span]) -> list[Span]:

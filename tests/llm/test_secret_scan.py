@@ -3,12 +3,14 @@ from __future__ import annotations
 import base64
 import bz2
 import gzip
+import lzma
 import re
 import time
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from chronoform.llm import secret_scan as S
 
@@ -86,3 +88,28 @@ def test_frames(spark):
     assert got == [(1, "assign:0:25", "assign:0:25")] * 2 + [(2, "", ""), (3, "", ""), (4, "assign:300000:300025", "assign:300000:300025")]
     assert S.find_secrets(df.where("false")).count() == 0
     assert [r.text for r in S.redact(df).orderBy("doc_id").collect()][:4] == ['[REDACTED]"', '[REDACTED]"', None, ""]
+
+
+GZIP, TAIL = gzip.compress(SECRET.encode()), gzip.compress(b"nothing of note in here")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"https://example.com/cb/{'x' * k}/{b64(SECRET)}" for k in range(4)] + [f"{glue}{b64(SECRET).rstrip('=')}" for glue in ("auth-", "key_", "abcde")] + [f"auth-{b64(GZIP)}", f"key_{b64(zlib.compress(SECRET.encode()))}"]
+    + [b64(SECRET.encode(code)) for code in ("utf-16", "utf-16-le", "utf-16-be")] + [b64(bytes(range(128, 256)) + SECRET.encode() + b"\xff\xfe"), b64(gzip.compress(b"\x80\xff" * 50 + SECRET.encode()))]
+    + [b64(TAIL + GZIP), b64(bz2.compress(b"none") + bz2.compress(SECRET.encode())), b64(lzma.compress(b"none") + lzma.compress(SECRET.encode())), b64(zstandard.compress(b"none") + zstandard.compress(SECRET.encode()))]
+    + ["data=" + urllib.parse.quote(GZIP), "data=" + urllib.parse.quote(zlib.compress(SECRET.encode())) + "&next=1", b64("see auth-" + b64(GZIP))],
+)
+def test_layers_in_odd_places(text):
+    for whole in (text, "é before " + text + " after"):
+        assert [x[2] for x in S.find(whole)[1]].count("assign") >= 1
+        masked = S.masked(whole, "[M]")
+        assert S.find(masked)[1] == [] and "[M]" in masked and ("after" in masked) == ("after" in whole)
+    assert "data" not in text or S.masked(text, "[M]").startswith("data=[M]")
+
+
+@pytest.mark.parametrize("text", ["/eJz" * 50_000, "/H4sI" * 40_000, "A/" * 200_000, "x%9C" * 50_000])
+def test_odd_places_take_linear_time(text):
+    began = time.process_time()
+    S.find(text)
+    assert time.process_time() - began < 20
