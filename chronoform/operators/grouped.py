@@ -189,8 +189,8 @@ def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, va
     """(series, early, tail, error, bend): the anchor shifts at a third and two thirds of a series that bring it nearest to a straight ramp.
 
     The grid is bounded by ``shifts``, the same for every series, and evaluated for all series in one job: candidates are made per series
-    as rows, warped values are interpolated by two equi-joins, and one aggregation ranks them. A first pass over single shifts
-    keeps the ``best`` of either anchor.
+    as rows, warped values are interpolated by two equi-joins, and one aggregation ranks them. Of more than ``best`` shifts, a first pass
+    over single shifts keeps the ``best`` of either anchor; otherwise every pair is evaluated.
     """
     ends = df.groupBy(series).agg(F.max(order).alias("last"), F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b")).where("last >= 6")
 
@@ -213,7 +213,10 @@ def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, va
         single = errors(ends.withColumns({name: F.explode(grid), other: F.lit(0)}))
         return single.withColumn("k", F.row_number().over(Window.partitionBy(series).orderBy(F.round("error", 9), F.abs(name), name))).where(F.col("k") <= best).select(series, name)
 
-    both = ends.join(top("early", "tail"), series).join(top("tail", "early"), series)
+    if len(shifts) <= best:
+        both = ends.withColumn("early", F.explode(grid)).withColumn("tail", F.explode(grid))
+    else:
+        both = ends.join(top("early", "tail"), series).join(top("tail", "early"), series)
     found = errors(both).withColumn("bend", F.abs(F.col("early")) + F.abs(F.col("tail")))
     rank = Window.partitionBy(series).orderBy(F.round("error", 9), "bend", F.abs(F.col("early")), "early", "tail")
     return found.withColumn("k", F.row_number().over(rank)).where("k = 1").drop("k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoform.functions import scalar
@@ -74,9 +74,9 @@ def c26_integrate_transform(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def c32_search_phase_warp(spark: SparkSession, d: str) -> DataFrame:
-    w = S.along().rowsBetween(-(2**31), 0)
+    w = S.along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = ev(spark, d).select("series_id", "seq", F.sum("signal").over(w).alias("signal"))
-    return rounded(G.search_phase_warp(e, (-6, -4, -2, 0, 2, 4, 6), best=3))
+    return rounded(G.search_phase_warp(e, (-6, -4, -2, 0, 2, 4, 6)))
 
 
 @registered(f"""WITH RECURSIVE {CONV}, sc AS (SELECT series_id, list("end" - "start" ORDER BY seq) AS w, list(CAST(round_even(("start" + 1.7) * 25, 0) AS BIGINT)) AS pauses, CAST(round_even(max("end") * 25, 0) AS BIGINT) AS frames FROM conv GROUP BY series_id),

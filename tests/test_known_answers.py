@@ -181,3 +181,31 @@ def test_failures_are_rows(spark):
     df = spark.createDataFrame([(1, "4"), (2, "x")], "k long, v string")
     out = {(r.k, r.kind): (r.ok, r.value, r.error_type) for r in G.run_analyzers(df, {"n": float, "len": len}, "k", "v").collect()}
     assert out == {(1, "n"): (True, 4.0, None), (1, "len"): (True, 1.0, None), (2, "n"): (False, None, "ValueError"), (2, "len"): (True, 1.0, None)}
+
+
+def brute_warp(y, shifts):
+    """(early, tail, error) over every pair of shifts."""
+    last, found = len(y) - 1, []
+    third, two, out = last // 3, 2 * last // 3, np.arange(len(y))
+    for early in shifts:
+        for tail in shifts:
+            if 0 < third + early < two + tail < last:
+                shown = np.interp(np.interp(out, [0, third, two, last], [0, third + early, two + tail, last]), out, y)
+                error = float(np.sqrt(np.mean((shown - (y[0] + (y[-1] - y[0]) * out / last)) ** 2)))
+                found.append((round(error, 9), abs(early) + abs(tail), abs(early), early, tail))
+    error, _, _, early, tail = min(found)
+    return early, tail, error
+
+
+def test_warp_search_measures_every_pair(spark, monkeypatch):
+    from chronoform.plans import grouped_queries as Q
+
+    shifts, rng = (-6, -4, -2, 0, 2, 4, 6), np.random.default_rng(5)
+    ys = {i: np.cumsum(rng.random(int(rng.integers(7, 40))) ** 4) for i in range(60)}
+    rows = [(i, n, float(x)) for i, y in ys.items() for n, x in enumerate(np.diff(y, prepend=0))]
+    monkeypatch.setattr(Q, "ev", lambda *_: spark.createDataFrame(rows, "series_id long, seq long, signal double"))
+    got = {r.series_id: (r.early, r.tail, r.error) for r in Q.c32_search_phase_warp(spark, "").collect()}
+    assert got.keys() == ys.keys()
+    for i, y in ys.items():
+        early, tail, error = brute_warp(y, shifts)
+        assert got[i] == (early, tail, pytest.approx(error, abs=2e-6)), i
