@@ -2,7 +2,7 @@
 
 Every window of L words (13, or all words of a shorter item) holds exactly one run of g words that starts at a multiple of
 k = L - g + 1. So a document is probed at each k-th word only, its probes meet a hash set of the benchmark's runs, and the
-windows around a meeting are compared word by word. Nothing is missed and nothing is guessed.
+windows around a meeting meet the benchmark's windows word by word. Nothing is missed and nothing is guessed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, hot_join, without
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -26,35 +26,44 @@ def run_of(length: int) -> tuple[int, int]:
     return g, length - g + 1
 
 
-def item_runs(benchmark: DataFrame, item_col: str, text: str, window: int) -> DataFrame:
-    """(len, h, at, win, items): each window of the benchmark once for each of its runs, with the items that hold it."""
+def item_windows(benchmark: DataFrame, item_col: str, text: str, window: int) -> DataFrame:
+    """(wid, len, win, w, items): each distinct window of the benchmark, its words, and the items that hold it."""
     words = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     words = words.withColumn("len", F.least(F.size("w"), F.lit(window)))
     windows = words.select("item", "len", F.explode(F.expr("transform(sequence(1, size(w) - len + 1), s -> slice(w, s, len))")).alias("w"))
     windows = windows.groupBy("len", "w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return windows.select(F.monotonically_increasing_id().alias("wid"), "len", F.array_join("w", " ").alias("win"), "w", "items")
+
+
+def runs_of(windows: DataFrame) -> DataFrame:
+    """(len, h, ats): the hash of each run of the windows once, with the places in a window at which it stands.
+
+    A run that very many windows share, such as a template in all items, is one row; which of them is meant is told by the whole window.
+    """
     g = F.greatest(F.lit(1), F.least(F.lit(5), F.floor(F.col("len") / 2))).cast("int")
-    return (
-        windows.withColumn("g", g)
-        .select("len", "w", "items", "g", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))).alias("at"))
-        .select("len", F.expr("xxhash64(slice(w, at + 1, g))").alias("h"), "at", F.array_join("w", " ").alias("win"), "items")
-    )
+    runs = windows.select("len", "w", g.alias("g")).select("len", "w", "g", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))).alias("at"))
+    return runs.groupBy("len", F.expr("xxhash64(slice(w, at + 1, g))").alias("h")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
 
 
 def report(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, max_broadcast_rows: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, max_broadcast_rows: int = 500_000, max_broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
     """For each row of docs: id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated and spans.
 
     A document word inside any occurrence of a window is hit; contaminated means n_hit > 0 and 20 n_hit >= n_words. spans
     are the [start, end) word numbers of the windows found. Null, empty or wordless texts have no words and no hit; a
     repeated row is reported once for each time it occurs; a repeated item counts once; an item without an id hits but is not listed.
-    The runs are broadcast if they number ``max_broadcast_rows`` (some 150 bytes each) or less; beyond that the join is Spark's to plan.
-    One pass over docs; what is shuffled is one narrow row a document and one for each window found.
+    A probe meets its run, then each place of the run makes one window, which meets the window of the same words: at most 9 rows
+    a probe and one a window, however many windows share a run. Runs and windows are broadcast if the runs number
+    ``max_broadcast_rows`` and the windows' texts take ``max_broadcast_bytes`` or less; beyond that the joins are Spark's to plan.
+    One pass over docs; what is shuffled is one narrow row a document and one for each window found. Items join last.
     """
-    runs = item_runs(benchmark, item_col, item_text, window)
-    lengths = sorted(r[0] for r in benchmark.select(F.least(F.size(words_of(F.col(item_text))), F.lit(window)).alias("len")).where("len > 0").distinct().collect())
-    if runs.count() <= max_broadcast_rows:
-        runs = F.broadcast(runs)
+    windows = cut(item_windows(benchmark, item_col, item_text, window))
+    runs = cut(runs_of(windows))
+    size = windows.agg(F.sum(F.octet_length("win")).alias("bytes"), F.sum(F.size("items")).alias("items")).first()
+    small = runs.count() <= max_broadcast_rows and (size["bytes"] or 0) <= max_broadcast_bytes
+    near_by = F.broadcast if small else lambda df: df
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
     pad = window - 1
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w")
@@ -67,18 +76,30 @@ def report(
             f"if(n >= {g}, transform(sequence(1, greatest(n - {g} + 1, 1), {k}), p -> named_struct('len', {length}, 'p', p, 'h', xxhash64(slice(w, p, {g})), 'near', slice(padded, p + {pad - k + 1}, {g + 2 * (k - 1)}))), array())"
         )
     met = rows.select("id", "text_hash", "n", F.explode(F.expr(f"concat({', '.join(probes)})")).alias("x")).select("id", "text_hash", "n", "x.*")
-    met = met.join(runs.withColumnRenamed("len", "len_"), (F.col("len") == F.col("len_")) & (met.h == runs.h), "left").drop(runs.h)
+    met = met.join(near_by(runs), ["len", "h"], "left").where((F.col("len") == 0) | F.col("ats").isNotNull())
+    met = met.select("id", "text_hash", "n", "len", "p", "near", F.explode_outer("ats").alias("at"))
     # the window starts at word (before the run) - at of near, which has len - g words before the run
     k = F.col("len") - F.greatest(F.lit(1), F.least(F.lit(5), F.floor(F.col("len") / 2))).cast("int") + 1
     start = F.col("p") - F.col("at")
-    same = (start >= 1) & (start + F.col("len") - 1 <= F.col("n")) & (F.array_join(F.slice("near", F.greatest(k - F.col("at"), F.lit(1)), F.greatest("len", F.lit(1))), " ") == F.col("win"))
-    met = met.withColumn("span", F.when(F.col("at").isNotNull() & same, F.struct((start - 1).alias("start"), (start - 1 + F.col("len")).alias("end"))))
-    met = met.where((F.col("len") == 0) | F.col("span").isNotNull()).select("id", "text_hash", "n", "len", "span", F.when(F.col("span").isNotNull(), F.col("items")).alias("items"))
+    inside = (start >= 1) & (start + F.col("len") - 1 <= F.col("n"))
+    met = met.withColumns({"start": start - 1, "win": F.when(inside, F.array_join(F.slice("near", F.greatest(k - F.col("at"), F.lit(1)), F.greatest("len", F.lit(1))), " "))})
+    met = met.join(near_by(windows.select("len", "win", "wid")), ["len", "win"], "left").where((F.col("len") == 0) | F.col("wid").isNotNull())
+    span = F.when(F.col("wid").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end")))
     # rows of one id and text have the same hits; each brought one entry of length 0, which tells how many there are
-    found = met.groupBy("id", "text_hash", "n").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"), F.count(F.when(F.col("len") == 0, 1)).cast("int").alias("copies"))
+    found = met.groupBy("id", "text_hash", "n").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("wid").alias("wids"), F.count(F.when(F.col("len") == 0, 1)).cast("int").alias("copies"))
+    found = cut(found)
+    hits = found.where(F.size("wids") > 0).select("id", "text_hash", F.explode("wids").alias("wid"))
+    named = windows.select("wid", "items")
+    if (size["items"] or 0) <= 10 * max_broadcast_rows and small:
+        listed = hits.join(F.broadcast(named), "wid")
+    else:
+        named = cut(named.join(hits.groupBy("wid").agg(F.count(F.lit(1)).alias("n_hits")), "wid"))
+        listed = hot_join(hits, named, "wid", "n_hits")
+    listed = listed.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.alias("f").join(listed.alias("l"), F.expr("f.id <=> l.id and f.text_hash = l.text_hash"), "left").select("f.*", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     hit = "aggregate(spans, named_struct('n', 0L, 'reach', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.end - greatest(x.start, a.reach)), 'reach', greatest(a.reach, x.end)), a -> a.n)"
-    found = found.withColumns({"n_words": F.col("n").cast("long"), "n_hit": F.expr(hit), "items": F.array_sort(F.array_distinct(F.flatten("items")))})
+    found = found.withColumns({"n_words": F.col("n").cast("long"), "n_hit": F.expr(hit)})
     return found.select(
         F.col("id").alias(id_col),
         "text_hash",
@@ -94,4 +115,4 @@ def report(
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns and texts they came with."""
     bad = report(docs, benchmark, id_col, text, **options).where("contaminated").select(F.col(id_col).alias("__cf_id"), F.col("text_hash").alias("__cf_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__cf_id"]) & (F.xxhash64(docs[text]) == bad["__cf_hash"]), "left_anti")
+    return without(docs, bad, docs[id_col].eqNullSafe(F.col("__cf_id")) & (F.xxhash64(docs[text]) == F.col("__cf_hash")))

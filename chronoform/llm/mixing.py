@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -55,28 +55,33 @@ def position(done: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, y).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 50_000, **options) -> DataFrame:
-    """For each row of docs: id, source, size, source_size, target, taken and positions (one for each pass that takes it).
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 50_000, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """For each row of docs: id, source, size, source_size, target, taken and positions (one for each pass that takes it), and the columns of ``carry``.
 
     Every document is in each whole pass; the last, partial pass takes documents until the target is reached and cuts the one
     that reaches it, so a source's sum of taken words differs from its target by less than one word. The order is that of md5(id), so
     reruns agree; repeated rows are documents of their own. Null source: a source, last. Null or empty text: size 0, taken 0. A
     source without words has target 0. Running sums are kept within hash buckets of some ``bucket_rows`` rows, offset by the sums of
-    the buckets before, so that no task gets a source whole.
+    the buckets before, so that no task gets a source whole. Carried columns are shuffled once, by bucket; totals are made without them.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sizes = cut(sizes.withColumn("rank", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    targets = source_targets(sizes, **options)
+    read = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([F.struct(*carry).alias("carried")] if carry else []))
+    read = read.withColumn("rank", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    sizes = cut(read.select("id", "source", "size", "rank"))
+    targets = cut(source_targets(sizes, **options))
     # the bucket is the leading bits of the rank, so that buckets stand in the order of the documents
     rows = sizes.count()
     digits = next(d for d in range(1, 9) if 16**d * bucket_rows >= rows or d == 8)
-    sizes = sizes.withColumn("bucket", F.substring("rank", 1, digits))
+    bucket = F.substring("rank", 1, digits).alias("bucket")
+    rest = ["a.carried"] if carry else []
+    sizes, read = sizes.select("*", bucket), (read if carry else sizes).select("*", bucket)
     totals = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sizes.withColumn("upto", F.sum("size").over(within)).alias("a").join(offsets.alias("b"), F.expr("a.source <=> b.source and a.bucket = b.bucket")).select("a.id", "a.source", "size", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
-    placed = placed.alias("a").join(F.broadcast(targets.alias("b")) if targets.count() <= 100_000 else targets.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "source_size", "target", "slope")
+    offsets = cut(offsets)
+    ties = [F.xxhash64("carried")] if carry else []
+    within = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = read.withColumn("upto", F.sum("size").over(within)).alias("a").join(bounded(offsets, offsets.count()).alias("b"), F.expr("a.source <=> b.source and a.bucket = b.bucket")).select("a.id", "a.source", "size", *rest, (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
+    placed = placed.alias("a").join(bounded(targets, targets.count(), 100_000).alias("b"), F.expr("a.source <=> b.source")).select("a.*", "source_size", "target", "slope")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int")
     left = F.floor(F.col("target") + 1e-6) - F.col("whole") * F.col("source_size") - F.col("start")
     placed = placed.withColumn("whole", whole).withColumn("part", F.greatest(F.lit(0), F.least("size", left)))
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     turns = F.transform(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1), lambda k: position(k * F.col("source_size") + middle, F.col("target"), F.col("slope")))
     taken = F.col("whole") * F.col("size") + F.col("part")
     turns = F.when(passes > 0, turns).otherwise(F.array().cast("array<double>"))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), turns.alias("positions"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"), turns.alias("positions"), *(["carried.*"] if carry else []))
 
 
 def by_position(rows: DataFrame, *order: Column | str) -> DataFrame:
@@ -98,6 +103,17 @@ def schedule(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return by_position(mixed.select(F.explode("positions").alias("position"), id_col), "position", id_col)
 
 
+def readings(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each time that a document is read, in ranges of its position: mixed with ``pass`` (from 1) and ``position`` in place of
+    positions, and ``taken`` the words of this reading. A document that is never read is one row without pass and position, at the end.
+    """
+    rest = [c for c in mixed.columns if c not in ("positions", "taken")]
+    rows = mixed.select(*rest, "taken", F.posexplode_outer("positions").alias("pass", "position"))
+    words = F.when(F.col("pass").isNull(), 0).otherwise(F.least("size", F.col("taken") - F.col("pass") * F.col("size"))).cast("long")
+    rows = rows.select(*rest, words.alias("taken"), (F.col("pass") + 1).alias("pass"), "position")
+    return by_position(rows, F.col("position").asc_nulls_last(), F.col(id_col).asc_nulls_last(), "pass")
+
+
 def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of a mix by their first position, in ranges of it; documents that are never read come last. All positions stay."""
     return by_position(mixed, F.try_element_at("positions", F.lit(1)).asc_nulls_last(), F.col(id_col).asc_nulls_last())

@@ -103,19 +103,25 @@ SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
 
 @query
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_order(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    mixed = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
+    billionths = F.transform("positions", lambda p: F.floor(p * 1e9 + 0.5).cast("string"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get(billionths, F.lit(0)).cast("long").alias("position"), F.array_join(billionths, ",").alias("positions"))
 
 
 ORACLE["op7_curriculum_mix"] = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS rank, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
+  [-0.5, 0.0, 0.5][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS slope FROM d GROUP BY source),
 l AS (SELECT *, sum(source_size) OVER () AS total, (sum(source_size) OVER () - 3 * (sum(source_size) OVER f - source_size)) / CAST(sum(w) OVER () - sum(w) OVER f + w AS DOUBLE) AS level
   FROM s WINDOW f AS (ORDER BY source_size / CAST(w AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-t AS (SELECT source, source_size, CASE WHEN level * w > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
+t AS (SELECT source, source_size, slope, CASE WHEN level * w > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
   ELSE CAST(total - 3 * coalesce(sum(source_size) FILTER (WHERE level * w > 3 * source_size) OVER (), 0) AS DOUBLE) * w / sum(w) FILTER (WHERE NOT level * w > 3 * source_size) OVER () END AS target FROM l),
-p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, CAST(floor(target / source_size + 1e-9) AS BIGINT) AS whole
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, floor(target + 1e-6) - whole * source_size - start)) AS BIGINT) AS taken FROM p"""
+p AS (SELECT d.*, source_size, target, slope, sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, CAST(floor(target / source_size + 1e-9) AS BIGINT) AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, greatest(0, least(size, floor(target + 1e-6) - whole * source_size - start)) AS part FROM p),
+y AS (SELECT *, list_transform(range(CAST(CASE WHEN size > 0 THEN whole + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT)), lambda k: CAST(greatest(0.0, least(1.0, (k * source_size + start + size / 2.0::DOUBLE) / target)) AS DOUBLE)) AS ys FROM q),
+z AS (SELECT *, list_transform(ys, lambda y: CAST(floor((CASE WHEN slope = 0 THEN y ELSE (sqrt(greatest(0.0, pow(1 - slope, 2) + 4 * slope * y)) - (1 - slope)) / (2 * slope) END) * 1e9 + 0.5) AS BIGINT)) AS at FROM y)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, at[1] AS position, array_to_string(at, ',') AS positions FROM z"""
 
 
 @query

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut
+from .common import bounded, cut, hot_join, without
 from .graph import connected_components, local_forest
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -153,28 +153,35 @@ def near_fingerprints(fps: DataFrame, chunk: int = 4096) -> DataFrame:
         return pd.Series(np.split(found[order].astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(values)))[:-1]))
 
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number of its own: keys are up to 108 times as many rows
-    keyed = fps.select("fp", F.explode(keys("fp")).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
-    hot = cut(hot)
+    keyed = cut(fps.select("fp", keys("fp").alias("keys")))  # made once, and kept as arrays: half the size of rows
+    hot = keyed.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > chunk)
+    hot = cut(hot.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
+    n_hot = hot.count()
+    keyed = keyed.select("fp", F.explode("keys").alias("key"))
     unit = F.col("key").cast("long")
-    if hot.isEmpty():
+    if not n_hot:
         units = keyed.select(unit.alias("unit"), "fp")
     else:
         # unit of chunks i <= j of a bucket: i and j take 18 bits each above the key's 26
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.shiftleft(F.least(own, j).cast("long"), 44).bitwiseOR(F.shiftleft(F.greatest(own, j).cast("long"), 26)).bitwiseOR(unit))
-        units = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array(unit)).otherwise(pair)).alias("unit"), "fp")
+        units = keyed.join(bounded(hot, n_hot), "key", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array(unit)).otherwise(pair)).alias("unit"), "fp")
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare_runs, "src long, dst long").distinct()
 
 
 def grouped(own: DataFrame) -> DataFrame:
-    """own, rows with id and ``fp``, with ``root``, which names the group, and ``component_id``, its smallest id."""
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    joined = connected_components(near_fingerprints(least.select("fp")))
-    named = least.join(joined, least.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = cut(named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(roots, "root").select("fp", "root", "component_id"), "fp")
+    """own, rows with id and ``fp``, with ``root``, which names the group, and ``component_id``, its smallest id.
+
+    A fingerprint that very many rows have, and a group of very many fingerprints, are met by broadcast.
+    """
+    least = cut(own.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_rows")))
+    linked = connected_components(near_fingerprints(least.select("fp"))).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    linked = cut(linked.join(least, "fp"))
+    roots = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_fps")))
+    found = hot_join(linked.select("fp", "root"), roots, "root", "n_fps").select("fp", "root", "component_id")
+    alone = least.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")).join(linked.select("fp"), "fp", "left_anti")
+    named = cut(found.unionByName(alone).join(least.select("fp", "n_rows"), "fp"))
+    return hot_join(own, named, "fp", "n_rows").drop("n_rows")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,17 +218,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repeat
     key = docs[id_col].eqNullSafe(F.col("__cf_id")) & (text_hash(docs[text]) == F.col("__cf_hash"))
     names = F.col("id").alias("__cf_id"), F.col("hash").alias("__cf_hash")
     if repeats:
-        return docs.join(found.where(F.col("component_id") < F.col("id")).select(*names), key, "left_anti")
+        return without(docs, found.where(F.col("component_id") < F.col("id")).select(*names), key)
     found = cut(found.select("id", "hash", "n", "root"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "n")).alias("first"))
     kept = cut(first.select("first.*"))
     single, several = kept.where("n = 1").select("id", "hash"), kept.where("n > 1")
     same = F.expr("a.id <=> b.id and a.hash = b.hash")
     gone = found.alias("a").join(single.alias("b"), same, "left_anti").select(*names)
-    out = docs.join(gone, key, "left_anti")
+    out = without(docs, gone, key)
     if several.isEmpty():
         return out
     several = several.select(*names)
-    repeated = docs.join(F.broadcast(several) if several.count() <= 100_000 else several, key)
+    repeated = docs.join(bounded(several, several.count()), key)
     one = repeated.groupBy("__cf_id", "__cf_hash").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
     return out.unionByName(one.select("row.*"))

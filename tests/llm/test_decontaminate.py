@@ -44,6 +44,18 @@ def test_matches_brute_force(spark):
     assert sorted((r.doc_id, r.n_hit) for r in decontaminate.report(d, b, max_broadcast_rows=0).collect()) == sorted((i, h) for i, _, h, _, _ in got)
 
 
+def test_a_run_in_all_windows_makes_one_row_a_probe(spark):
+    template = "answer the following question with one word only please"
+    items = spark.createDataFrame([(i, f"{template} about topic number {i} of many {i}") for i in range(300)], "item_id long, text string")
+    windows = decontaminate.item_windows(items, "item_id", "text", 13)
+    runs = decontaminate.runs_of(windows)
+    assert windows.count() > 600 and runs.groupBy("len", "h").count().where("count > 1").count() == 0
+    docs = spark.createDataFrame([(k, f"x {template} about topic number {k * 100} of many {k * 100} y") for k in range(4)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, r.n_items) for r in decontaminate.report(docs, items).collect())
+    want = sorted((i, h, len(f)) for i, (_, h, f, _) in ((r.doc_id, brute(r.text, [(x.item_id, x.text) for x in items.collect()])) for r in docs.collect()))
+    assert got == want
+
+
 def test_empty_tables_and_removal(spark):
     d = spark.createDataFrame([(1, "one two three", "a"), (2, "free text", "b"), (None, None, "c")], "doc_id long, text string, n string")
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")

@@ -50,8 +50,8 @@ def test_positions_follow_the_schedule(spark):
     got = mixing.mix(spark.createDataFrame(data, SCHEMA), weights=(1, 1, 1)).collect()
     mean = lambda s: sum(p for r in got if r.source == s for p in r.positions) / sum(len(r.positions) for r in got if r.source == s)
     assert mean("a") < 0.45 < mean("b") < 0.55 < mean("c")
-    order = [r.position for r in mixing.schedule(mixing.mix(spark.createDataFrame(data, SCHEMA))).coalesce(1).collect()]
-    assert sorted(order) == sorted(order) and len(order) == sum(len(r.positions) for r in mixing.mix(spark.createDataFrame(data, SCHEMA)).collect())
+    order = [r.position for r in ordered_parts(mixing.schedule(mixing.mix(spark.createDataFrame(data, SCHEMA))))]
+    assert order == sorted(order) and len(order) == sum(len(r.positions) for r in mixing.mix(spark.createDataFrame(data, SCHEMA)).collect())
 
 
 def test_odd_rows(spark):
@@ -111,13 +111,26 @@ def test_order_matches_a_brute_force_inversion(spark):
     assert [(r.position, r.doc_id) for r in order] == sorted((p, i) for i, ps in got.items() for p in ps)
 
 
-def test_query_and_stage_return_all_positions_in_order(spark):
+def test_query_returns_all_positions_in_order(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {r.doc_id: r.positions for r in mixing.mix(docs).collect()}
+    want = {r.doc_id: [math.floor(p * 1e9 + 0.5) for p in r.positions] for r in mixing.mix(docs).collect()}
     assert any(len(p) > 1 for p in want.values())
-    for df in (QUERIES["op7_curriculum_mix"](spark, sf), corpus_pipeline.mix_sources(spark, docs, sf)):
-        got = ordered_parts(df)
-        assert {r.doc_id: r.positions for r in got} == want and len(got) == docs.count()
-        first = [(r.positions[0] if r.positions else 2.0, r.doc_id) for r in got]
-        assert first == sorted(first)
+    got = ordered_parts(QUERIES["op7_curriculum_mix"](spark, sf))
+    assert {r.doc_id: [int(x) for x in r.positions.split(",") if x] for r in got} == want and len(got) == docs.count()
+    first = [(r.position if r.position is not None else 2e9, r.doc_id) for r in got]
+    assert first == sorted(first)
+
+
+def test_stage_returns_texts_in_training_order(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = ordered_parts(corpus_pipeline.mix_sources(spark, docs, sf))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == texts[r.doc_id] for r in got) and {r.doc_id for r in got} == set(texts)
+    read = [r for r in got if r.position is not None]
+    assert got[: len(read)] == read and [(r.position, r.doc_id) for r in read] == sorted((p, i) for i, r in want.items() for p in r.positions)
+    for i, r in want.items():
+        assert sum(x.taken for x in got if x.doc_id == i) == r.taken
+        assert all(x["pass"] == k for k, x in enumerate((x for x in read if x.doc_id == i), 1))
