@@ -120,8 +120,8 @@ p AS (SELECT d.*, source_size, target, slope, sum(size) OVER (PARTITION BY d.sou
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, greatest(0, least(size, floor(target + 1e-6) - whole * source_size - start)) AS part FROM p),
 y AS (SELECT *, list_transform(range(CAST(CASE WHEN size > 0 THEN whole + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT)), lambda k: CAST(greatest(0.0, least(1.0, (k * source_size + start + size / 2.0::DOUBLE) / target)) AS DOUBLE)) AS ys FROM q),
-z AS (SELECT *, list_transform(ys, lambda y: CAST(floor((CASE WHEN slope = 0 THEN y ELSE (sqrt(greatest(0.0, pow(1 - slope, 2) + 4 * slope * y)) - (1 - slope)) / (2 * slope) END) * 1e9 + 0.5) AS BIGINT)) AS at FROM y)
-SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, at[1] AS position, array_to_string(at, ',') AS positions FROM z"""
+z AS (SELECT *, list_transform(ys, lambda y: CAST(floor((CASE WHEN slope = 0 THEN y ELSE (sqrt(greatest(0.0, pow(1 - slope, 2) + 4 * slope * y)) - (1 - slope)) / (2 * slope) END) * 1e9 + 0.5) AS BIGINT)) AS turns FROM y)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, turns[1] AS position, array_to_string(turns, ',') AS positions FROM z"""
 
 
 @query
