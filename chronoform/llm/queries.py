@@ -158,7 +158,7 @@ FROM bodies b LEFT JOIN n USING (r) LEFT JOIN linked ON b.r = linked.r LEFT JOIN
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS]
-    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"), "unopened")
 
 
 @query

@@ -76,9 +76,34 @@ def test_long_runs_take_linear_time(text):
     assert time.process_time() - began < 20
 
 
-def test_bombs_are_not_unpacked(monkeypatch):
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_contents_beyond_the_bound_are_read_as_streams(monkeypatch, pack):
     monkeypatch.setattr(S, "MAX_UNPACKED", 1000)
-    assert S.find(b64(zlib.compress((SECRET + " " * 5000).encode())))[1] == []
+    monkeypatch.setattr(S, "PIECE", 700)
+    monkeypatch.setattr(S, "OVERLAP", 100)
+    text = "x " + (inner := b64(pack((" " * 4990 + SECRET + " " * 5000).encode()))) + " y"
+    base, every, unopened = S.search(text)
+    assert base == [] and every == [(2, 2 + len(inner.rstrip("=")), "assign")] and unopened == 1
+    assert S.search("x " + b64(pack(b64(SECRET).encode())))[2] == 0
+
+
+def test_nested_escapes_take_near_linear_time():
+    for text in ("%" + "25" * 100_000 + "41KIAABCDEFGHIJKLMNOP", "%" + "25" * 50_000 + " %" + "25" * 49_999 + "41KIAABCDEFGHIJKLMNOP", "%4" + "%3" * 60_000 + "%31KIAABCDEFGHIJKLMNOP", "%5Cu0025" * 1 + "5Cu0025" * 30_000 + "41KIAABCDEFGHIJKLMNOP"):
+        began = time.process_time()
+        spans = S.find(text)[1]
+        assert time.process_time() - began < 6, text[:20]
+        assert any(k == "access" and b == len(text) for _, b, k in spans), text[:20]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 5, 15, 40])
+def test_escapes_of_many_levels(levels):
+    inner = SECRET
+    for k in range(levels):
+        inner = urllib.parse.quote(inner) if k % 2 else "".join(f"\\x{ord(c):02x}" if c in '" %' else c for c in inner)
+    text = "before " + inner + " after"
+    spans = [x for x in S.find(text)[1] if x[2] == "assign"]
+    assert any(a == 7 for a, _, _ in spans) and all(b <= 7 + len(inner) for _, b, _ in spans)
+    assert "after" in S.masked(text, "[M]") and S.find(S.masked(text, "[M]"))[1] == []
 
 
 def test_frames(spark):
