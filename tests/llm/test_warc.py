@@ -33,7 +33,26 @@ def test_archives_are_zstd_files_with_a_leading_dictionary(spark):
         size = int.from_bytes(content[4:8], "little")
         tool = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + size]))
         text = tool.stream_reader(io.BytesIO(content[8 + size :]), read_across_frames=True).read()
-        assert text.startswith(b"WARC/1.1\r\n") and text.count(b"WARC/1.1\r\n") > 1
+        assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and text.count(b"WARC/1.1\r\n") == archive.n_records + 1
+
+
+def test_files_hold_the_same_records(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "same" if i % 3 else f"page {i} " * 40) for i in range(200)]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path, archive_bytes=5_000)
+    done = {r.archive: r.bytes for r in warc.export(spark, path, f"file://{tmp_path}/out").collect()}
+    assert {f.name: f.stat().st_size for f in (tmp_path / "out").iterdir() if not f.name.endswith(".crc")} == {f"{k}.warc.zst": n for k, n in done.items()}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"file://{tmp_path}/out")
+    columns = ["page_id", "url", "payload_digest", "record_type", "refers_to", "payload"]
+    assert sorted(warc.unpacked(files).select(columns).collect(), key=str) == sorted(warc.read(spark, path).select(columns).collect(), key=str)
+
+
+def test_without_broadcasts_and_payload_shuffles(spark):
+    rows = [(i, "u", "hot" if i % 2 else f"text {i // 4}") for i in range(3000)] + [(None, "u", "hot"), (9000, "u", None), (9001, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shown = lambda d: sorted(((r.page_id, r.refers_to, r.revisit) for r in d.collect()), key=str)
+    assert shown(warc.classified(df)) == shown(warc.classified(df, max_broadcast_rows=0))
+    assert "Exchange hashpartitioning" not in warc.classified(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_minimum_size_and_empty_table(spark):
