@@ -139,19 +139,20 @@ quotes AS (SELECT r, conv, turn, lev, run, string_agg(content, chr(10) ORDER BY
 own AS (SELECT r, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT (next > 0 AND regexp_matches(line, '^[^>]*\b(?:wrote|writes|said):[ \t]*$'))), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
 bodies AS (SELECT m.*, coalesce(own.body, text) AS body FROM m LEFT JOIN own USING (r)),
 piece AS (SELECT k, a, conv, turn, lev, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS x FROM
-  (SELECT k, a, conv, turn, lev, unnest(list_concat([t], string_split_regex(t, '\n[ \t]*\n+'), string_split_regex(t, '\r?\n'))) AS x FROM
+  (SELECT k, a, conv, turn, lev, unnest(list_concat([t], string_split_regex(t, '\n[ \t]*\n+'), string_split_regex(t, '\r?\n'), string_split_regex(t, '[.!?]+[ \t\r\n]+'))) AS x FROM
     (SELECT 'quote' AS k, r * 1000000 + run AS a, conv, turn, lev, t FROM quotes UNION ALL SELECT 'own', r, conv, turn, 0, body FROM bodies WHERE body IS NOT NULL))),
 pieces AS (SELECT DISTINCT * FROM piece WHERE x <> '' AND conv IS NOT NULL AND turn IS NOT NULL),
 met AS (SELECT q.a // 1000000 AS r, q.conv, q.turn, q.lev, q.a, q.x, max(o.turn) AS source FROM pieces q JOIN pieces o ON o.k = 'own' AND q.conv = o.conv AND q.x = o.x AND o.turn < q.turn WHERE q.k = 'quote' GROUP BY ALL),
 scored AS (SELECT r, conv, turn, lev, source, sum(len(string_split(x, ' '))) AS words FROM met GROUP BY ALL),
 linked AS (SELECT r, conv, turn, source AS reply_to, (SELECT count(DISTINCT source) FROM scored s WHERE s.r = scored.r) AS n_linked FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY lev, words DESC, source DESC) = 1),
 nodes AS (SELECT conv, turn, max(reply_to) AS up FROM linked GROUP BY ALL),
-walk AS (SELECT conv, turn, up AS at, 1 AS depth, lpad(CAST(up AS VARCHAR), 10, '0') || '/' || lpad(CAST(turn AS VARCHAR), 10, '0') AS path FROM nodes
-  UNION ALL SELECT walk.conv, walk.turn, nodes.up, depth + 1, lpad(CAST(nodes.up AS VARCHAR), 10, '0') || '/' || path FROM walk JOIN nodes ON walk.conv = nodes.conv AND walk.at = nodes.turn),
+walk AS (SELECT conv, turn, up AS top, 1 AS depth, [up, turn] AS path FROM nodes
+  UNION ALL SELECT walk.conv, walk.turn, nodes.up, depth + 1, list_prepend(nodes.up, path) FROM walk JOIN nodes ON walk.conv = nodes.conv AND walk.top = nodes.turn),
 far AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY depth DESC) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv, top ORDER BY path) - 1 AS thread_order FROM (SELECT conv, turn, top, depth, path FROM far UNION SELECT conv, top, top, 0, [top] FROM far)),
 n AS (SELECT r, count(*) AS n FROM quotes WHERE trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) <> '' GROUP BY r)
-SELECT b.conv AS conv_id, b.turn, b.role, b.body, coalesce(n.n, 0) AS n_quotes, coalesce(linked.n_linked, 0) AS n_linked, linked.reply_to, coalesce(far.at, b.turn) AS root_turn, CAST(coalesce(far.depth, 0) AS BIGINT) AS depth, coalesce(far.path, lpad(CAST(b.turn AS VARCHAR), 10, '0')) AS reply_path
-FROM bodies b LEFT JOIN n USING (r) LEFT JOIN linked ON b.r = linked.r LEFT JOIN far ON b.conv = far.conv AND b.turn = far.turn"""
+SELECT b.conv AS conv_id, b.turn, b.role, b.body, coalesce(n.n, 0) AS n_quotes, coalesce(linked.n_linked, 0) AS n_linked, linked.reply_to, coalesce(placed.top, b.turn) AS root_turn, CAST(coalesce(placed.depth, 0) AS BIGINT) AS depth, CAST(coalesce(placed.thread_order, 0) AS BIGINT) AS thread_order
+FROM bodies b LEFT JOIN n USING (r) LEFT JOIN linked ON b.r = linked.r LEFT JOIN placed ON b.conv = placed.conv AND b.turn = placed.turn"""
 
 
 @query

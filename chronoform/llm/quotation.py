@@ -1,7 +1,7 @@
 """Quotation linking in conversations, with DataFrame functions only.
 
 Quoted lines (``>``, nested levels ``>>``) are cut into passages; normalised passages and lines are hashed and meet the messages of the
-same conversation that they were copied from; the message that gave most words is the one replied to.
+same conversation that they were copied from; the message that gave most words is the one replied to. Threads are numbered in reply order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ QUOTED = r"(?md)^[ \t]*>"  # d: lines end at \n alone
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 ATTRIBUTION = r"(?md)^[^\n>]*\b(?:wrote|writes|said):[ \t]*\n(?=[ \t]*>)"
 PARAGRAPHS = r"\n[ \t]*\n+"
+SENTENCES = r"[.!?]+[ \t\r\n]+"  # over line ends, so a part quoted in other lines is found
 
 
 def normal(text: Column) -> Column:
@@ -40,8 +41,8 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def pieces(text: Column) -> Column:
-    """What of a text can be recognised: its paragraphs, its lines and all of it, normalised and distinct."""
-    parts = F.concat(F.array(text), F.split(text, PARAGRAPHS), F.split(text, r"\r?\n"))
+    """What of a text can be recognised: its paragraphs, its lines, its sentences and all of it, normalised and distinct."""
+    parts = F.concat(F.array(text), F.split(text, PARAGRAPHS), F.split(text, r"\r?\n"), F.split(text, SENTENCES))
     return F.array_remove(F.array_distinct(F.transform(parts, normal)), "")
 
 
@@ -68,37 +69,65 @@ def latest_source(quoted: DataFrame, own: DataFrame, span: int) -> DataFrame:
     return both.join(ends, ["conv", "hash", "span"]).withColumn("source", F.coalesce("within", "before")).drop("within", "before", "mine", "span")
 
 
+def neighbours(links: DataFrame, span: int) -> DataFrame:
+    """links(conv, turn, up) with ``elder``, the turn before among those with the same up (null of the first).
+
+    Turns are cut into spans, so the replies to a message that has very many are not one task's work.
+    """
+    rows = links.withColumn("span", F.floor(F.col("turn") / span))
+    key = ["conv", "up"]
+    ends = rows.groupBy(*key, "span").agg(F.max("turn").alias("end"))
+    ends = ends.select(*key, "span", F.lag("end").over(Window.partitionBy(*key).orderBy("span")).alias("before"))
+    rows = rows.withColumn("elder", F.lag("turn").over(Window.partitionBy(*key, "span").orderBy("turn")))
+    return rows.join(ends, [*key, "span"]).select("conv", "turn", "up", F.coalesce("elder", "before").alias("elder"))
+
+
+def threads(links: DataFrame, span: int) -> DataFrame:
+    """(conv, turn, root_turn, depth, thread_order) of the messages in threads, from links(conv, turn, up), one a message.
+
+    The walk down and up every thread is a list of entries, each with the one before it; entries find what lies before them by doubling their
+    reach, so rounds grow with the logarithm of the longest thread, and no entry is the target of two. The number of steps down is the
+    place in reply order, that of steps down less steps up the depth.
+    """
+    links = cut(links)
+    own = neighbours(links, span)
+    youngest = links.groupBy("conv", F.col("up").alias("turn")).agg(F.max("turn").alias("child"))
+    members = links.select("conv", "turn").unionByName(links.select("conv", F.col("up").alias("turn"))).distinct()
+    members = cut(members.join(own, ["conv", "turn"], "left").join(youngest, ["conv", "turn"], "left"))
+    down = members.select("conv", "turn", F.lit(True).alias("down"), F.coalesce("elder", "up").alias("to"), F.when(F.col("up").isNotNull(), F.col("elder").isNull()).alias("to_down"))
+    up = members.select("conv", "turn", F.lit(False).alias("down"), F.coalesce("child", "turn").alias("to"), F.col("child").isNull().alias("to_down"))
+    walk = down.unionByName(up).withColumns({"steps": F.when(F.col("to_down"), 1).otherwise(0).cast("long"), "depth": F.when(F.col("to").isNull(), 0).when(F.col("to_down"), 1).otherwise(-1).cast("long")})
+    walk = cut(walk.withColumn("root", F.when(F.col("to").isNull(), F.col("turn"))))
+    while not walk.where("to is not null").isEmpty():
+        ahead = walk.select("conv", F.col("turn").alias("to"), F.col("down").alias("to_down"), F.col("to").alias("to2"), F.col("to_down").alias("to_down2"), F.col("steps").alias("steps2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
+        rest = walk.where("to is not null").join(ahead, ["conv", "to", "to_down"])
+        rest = rest.select("conv", "turn", "down", F.col("to2").alias("to"), F.col("to_down2").alias("to_down"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"))
+        walk = cut(walk.where("to is null").unionByName(rest))
+    return walk.where("down").select("conv", "turn", F.col("root").alias("root_turn"), "depth", F.col("steps").alias("thread_order"))
+
+
 def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", span: int = 4096) -> DataFrame:
-    """For each message: conv, turn, role, body (without quotes), n_quotes, n_linked, reply_to, root_turn, depth and reply_path.
+    """For each message: conv, turn, role, body (without quotes), n_quotes, n_linked, reply_to, root_turn, depth and thread_order.
 
     reply_to is the earlier turn of the conversation that the message's outermost linked quotes copy most words from (the later one
-    among equals); null if it quotes nothing known. Ordered by reply_path, which lists the turns from the root down, replies stand under what they reply to.
+    among equals); null if it quotes nothing known. In order of root_turn and thread_order, replies stand under what they reply to,
+    earlier ones first; a message in no thread is a root of its own. Turns may be negative and of any size.
     Null text: a null body. A message without conversation or turn has no links. Repeated messages are rows of their
-    own and one place in the thread. Links are followed by doubling, so rounds grow with the logarithm of a thread's depth; only
-    messages that quote take part.
+    own and one place in the thread. Quotes of other conversations are not looked for: no order tells which came first. Only
+    messages that quote, and those that they quote, take part in threads.
     """
     rows = cut(conversations.select(F.monotonically_increasing_id().alias("row"), F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
     rows = rows.withColumn("body", F.when(F.col("text").rlike(QUOTED), without_quotes(F.col("text"))).otherwise(F.col("text")))
     quotes = cut(passages(rows))
-    place = lambda c: F.lpad(c.cast("string"), 10, "0")
     n_quotes = quotes.where(normal(F.col("passage")) != "").groupBy("row").agg(F.count("*").alias("n_quotes"))
     own = keyed(rows.where("conv is not null and turn is not null and body is not null"), "body")
     found = latest_source(keyed(quotes.where("conv is not null and turn is not null"), "passage", "row", "level"), own, span).where("source is not null")
     by_source = found.groupBy("row", "conv", "turn", "level", "source").agg(F.sum("words").alias("words"))
     linked = by_source.groupBy("row", "conv", "turn").agg(F.max(F.struct(-F.col("level"), "words", "source")).alias("best"), F.count_distinct("source").alias("n_linked"))
     linked = cut(linked.select("row", "conv", "turn", "n_linked", F.col("best.source").alias("reply_to")))
-    # one parent a place; then ancestors by doubling: up is the farthest known ancestor, path what lies from it down to the message
-    nodes = cut(linked.groupBy("conv", "turn").agg(F.max("reply_to").alias("up"), F.lit(1).alias("depth")).withColumn("path", place(F.col("turn"))))
-    while True:
-        above = nodes.select("conv", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"), F.col("path").alias("front"))
-        step = nodes.join(above, ["conv", "up"], "left")
-        nodes = cut(step.select("conv", "turn", F.coalesce("higher", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.concat_ws("/", "front", "path").alias("path"), F.col("higher").isNotNull().alias("moved")))
-        if nodes.where("moved").isEmpty():
-            break
-        nodes = nodes.drop("moved")
-    nodes = nodes.select("conv", "turn", F.col("up").alias("root_turn"), "depth", F.concat_ws("/", place(F.col("up")), "path").alias("reply_path"))
+    nodes = threads(linked.groupBy("conv", "turn").agg(F.max("reply_to").alias("up")), span)
     out = rows.select("row", "conv", "turn", "role", "body").join(n_quotes, "row", "left").join(linked.select("row", "n_linked", "reply_to"), "row", "left").join(nodes, ["conv", "turn"], "left")
     return out.select(
         F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "body", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        "reply_to", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("reply_path", place(F.col("turn"))).alias("reply_path"),
+        "reply_to", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("thread_order", F.lit(0)).cast("long").alias("thread_order"),
     )

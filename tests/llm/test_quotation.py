@@ -24,7 +24,7 @@ def test_links_threads_and_bodies(spark):
     one = by_turn(got)
     assert {t: r.reply_to for t, r in one.items()} == {0: None, 1: 0, 2: 1, 3: None, 4: 2, 5: 0, 6: None}
     assert one[2].body == "It fails." and one[2].n_quotes == 2 and one[2].depth == 2 and one[4].root_turn == 0 and one[6].body is None
-    order = [r.turn for r in sorted(one.values(), key=lambda r: r.reply_path)]
+    order = [r.turn for r in sorted(one.values(), key=lambda r: (r.root_turn, r.thread_order))]
     assert order == [0, 1, 2, 4, 5, 3, 6]
     assert all(r.reply_to is None for r in got if r.conv_id != 1)
 
@@ -40,7 +40,18 @@ def test_deep_chains_and_long_texts(spark):
     rows = [(1, 0, "u", "line zero")] + [(1, t, "u", f"> line {'zero' if t == 1 else t - 1}\nline {t}") for t in range(1, 40)] + [(2, 0, "u", "word " * 50_000)]
     got = link(spark.createDataFrame(rows, SCHEMA)).collect()
     one = by_turn(got)
-    assert one[39].depth == 39 and one[39].root_turn == 0 and one[39].reply_path.count("/") == 39
+    assert one[39].depth == 39 and one[39].root_turn == 0 and one[39].thread_order == 39
+
+
+def test_turns_of_any_size_and_many_replies(spark):
+    far = 10**10
+    rows = [(1, -5, "u", "first of all"), (1, far, "u", "> first of all\nsecond of all"), (1, far + 5, "u", "> first of all\nother"), (1, far + 7, "u", "> second of all\nunder the second")]
+    rows += [(2, 0, "u", "Ask me anything. Now.")] + [(2, t, "u", f"> Ask me\n> anything.\nreply {t}") for t in range(1, 60)] + [(2, 100, "u", "> reply 7\nlast")]
+    for span in (3, 4096):
+        got = link(spark.createDataFrame(rows, SCHEMA), span=span).collect()
+        one, two = by_turn(got), by_turn(got, 2)
+        assert [(one[t].root_turn, one[t].thread_order, one[t].depth) for t in (-5, far, far + 7, far + 5)] == [(-5, 0, 0), (-5, 1, 1), (-5, 2, 2), (-5, 3, 1)]
+        assert [r.turn for r in sorted(two.values(), key=lambda r: r.thread_order)] == [*range(8), 100, *range(8, 60)] and {r.root_turn for r in two.values()} == {0}
 
 
 def test_native_and_empty(spark):
@@ -52,7 +63,7 @@ def test_native_and_empty(spark):
 
 def test_matches_the_sql(spark, tmp_path):
     rng = random.Random(7)
-    lines = ["how do I do this", "use the other tool", "thanks", "no", "It fails, again!", "", "a b"]
+    lines = ["how do I do this", "use the other tool. Or none", "thanks", "no", "It fails, again!", "", "a b"]
     rows = []
     for conv in range(12):
         said = []
