@@ -53,7 +53,37 @@ SENTENCES: dict[str, str] = {
     "ccby_work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0_name": "This work is dedicated to the public domain under CC0 1.0.",
     "reserved": "All rights reserved.",
+    "bsd_as_is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd_liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "gpl3_only_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "gpl2_only_grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21_grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl_see": "See the GNU Lesser General Public License for more details.",
+    "lgpl3_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3_received": "You should have received a copy of the GNU Lesser General Public License along with this program.",
+    "agpl_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl_see": "See the GNU Affero General Public License for more details.",
+    "agpl_received": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zero_bsd_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc_as_is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc_liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib_origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "zlib_credit": "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "zlib_altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "zlib_notice": "This notice may not be removed or altered from any source distribution.",
+    "epl2_terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "unlicense_domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense_free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost_name": "Distributed under the Boost Software License, Version 1.0.",
 }
+# Further identifiers by which a licence is named after SPDX-License-Identifier.
+SPDX = ("Apache-2.0 OR MIT", "MIT OR Apache-2.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "GPL-2.0-or-later", "ISC", "0BSD", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"spdx_{n}": f"SPDX-License-Identifier: {name}" for n, name in enumerate(SPDX)}
 #: (licence, sequence of sentence identifiers), tried in this order: fuller texts before the short notices.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
@@ -62,14 +92,40 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("gpl3_grant", "gpl_hope", "gpl_see")),
     ("GPL-2.0-or-later", ("gpl2_grant", "gpl_hope", "gpl_see", "gpl_received")),
     ("GPL-2.0-or-later", ("gpl2_grant", "gpl_hope", "gpl_see")),
+    ("BSD-3-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
+    ("BSD-2-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("LGPL-2.1-or-later", ("lgpl21_grant", "lgpl_hope", "lgpl_see")),
+    ("LGPL-3.0-or-later", ("lgpl3_grant", "gpl_hope", "lgpl_see", "lgpl3_received")),
+    ("LGPL-3.0-or-later", ("lgpl3_grant", "gpl_hope", "lgpl_see")),
+    ("AGPL-3.0-or-later", ("agpl_grant", "gpl_hope", "agpl_see", "agpl_received")),
+    ("AGPL-3.0-or-later", ("agpl_grant", "gpl_hope", "agpl_see")),
+    ("GPL-3.0-only", ("gpl3_only_grant", "gpl_hope", "gpl_see", "gpl_received")),
+    ("GPL-3.0-only", ("gpl3_only_grant", "gpl_hope", "gpl_see")),
+    ("GPL-2.0-only", ("gpl2_only_grant", "gpl_hope", "gpl_see", "gpl_received")),
+    ("GPL-2.0-only", ("gpl2_only_grant", "gpl_hope", "gpl_see")),
+    ("ISC", ("isc_grant", "isc_as_is", "isc_liability")),
+    ("0BSD", ("zero_bsd_grant", "isc_as_is", "isc_liability")),
+    ("Zlib", ("zlib_as_is", "zlib_liability", "zlib_grant", "zlib_origin", "zlib_credit", "zlib_altered", "zlib_notice")),
+    ("Unlicense", ("unlicense_domain", "unlicense_free")),
     ("MPL-2.0", ("mpl_grant", "mpl_copy")),
     ("Apache-2.0", ("apache_grant",)),
     ("GPL-3.0-or-later", ("gpl3_grant",)),
     ("GPL-2.0-or-later", ("gpl2_grant",)),
     ("MPL-2.0", ("mpl_grant",)),
     ("MIT", ("mit_grant",)),
+    ("LGPL-2.1-or-later", ("lgpl21_grant",)),
+    ("LGPL-3.0-or-later", ("lgpl3_grant",)),
+    ("AGPL-3.0-or-later", ("agpl_grant",)),
+    ("GPL-3.0-only", ("gpl3_only_grant",)),
+    ("GPL-2.0-only", ("gpl2_only_grant",)),
+    ("ISC", ("isc_grant",)),
+    ("Unlicense", ("unlicense_domain",)),
+    ("EPL-2.0", ("epl2_terms",)),
+    ("BSL-1.0", ("boost_name",)),
     ("MIT", ("mit_name",)),
     ("MIT", ("mit_name_2",)),
     ("MIT", ("mit_name_3",)),
@@ -87,6 +143,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("ccby_work",)),
     ("CC-BY-SA-4.0", ("ccbysa_name",)),
     ("CC0-1.0", ("cc0_name",)),
+    *((name, (f"spdx_{n}",)) for n, name in enumerate(SPDX)),
     ("all-rights-reserved", ("reserved",)),
 )
 #: A line that ends within a sentence and goes on, after a comment mark or not, in lower case or with an opening bracket.
@@ -125,35 +182,55 @@ def pattern(sentence: str) -> str:
     return r"[ \x02]*+\x01[ \x02]*+".join(r"[ \x02]++".join(words) for words in parts)
 
 
-def known_sentences(text: Column, sentences: dict[str, str]) -> Column:
-    """The normalised known sentences of a text in order: each from where a sentence or line starts to where one ends, longer ones first."""
+def anchors(sentences: dict[str, str]) -> list[str]:
+    """Words such that each sentence holds one of them, chosen greedily, long ones first among equals: a text without any holds no known sentence."""
+    left, chosen = [{w for w in plain(s).split() if len(w) > 3} or set(plain(s).split()) for s in sentences.values()], []
+    while left:
+        best = min({w for s in left for w in s}, key=lambda w: (-sum(w in s for s in left), -len(w), w))
+        chosen.append(best)
+        left = [s for s in left if best not in s]
+    return chosen
+
+
+#: What numbers a list: as a sentence of its own it parts nothing, and a known sentence may stand behind it.
+LABEL = r"(?:[0-9]{1,2}|[a-z])"
+
+
+def tokens(text: Column, sentences: dict[str, str]) -> Column:
+    """A text as the identifiers of its known sentences in order, with ``?`` where other sentences stand before, between or after them.
+
+    A known sentence reaches from where a sentence or line starts to where one ends; longer ones are tried first.
+    """
+    known = {plain(s): k for k, s in sentences.items()}
+    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     any_of = "|".join(sorted(map(pattern, sentences.values()), key=len, reverse=True))
-    found = F.regexp_extract_all(marked(text), F.lit(rf"[\x01\x02] ?({any_of})(?= ?[\x01\x02])"), F.lit(1))
-    return F.coalesce(F.transform(found, lambda s: F.regexp_replace(s, r"[ \x01\x02]+", " ")), F.array().cast("array<string>"))
+    parts = F.split(F.regexp_replace(marked(text), rf"(?<=[\x01\x02]) ?(?:{LABEL} )?({any_of})(?= ?[\x01\x02])", "\x03$1\x03"), "\x03")
+    between = F.lit(rf"^(?:[ \x01\x02]*{LABEL} ?[\x01\x02])*[ \x01\x02]*$")
+    found = F.transform(parts, lambda s, i: F.when(i % 2 == 1, F.element_at(ids, F.regexp_replace(s, r"[ \x01\x02]+", " "))).when(F.rlike(s, between), "").otherwise("?"))
+    holds = text.rlike("(?i)" + "|".join(anchors(sentences)))
+    return F.when(holds, F.array_remove(found, "")).otherwise(F.array(F.lit("?")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """For each row: id, n_sentences, sentence_ids (known ones in order), licenses (distinct, sorted), n_matches, unmatched.
 
-    Rules are tried in order on the sequence of known sentences; a match uses its sentences up. What no rule uses is
-    ``unmatched``. Sentences between that are not known do not part a sequence. Null and empty texts: no sentences, empty
-    strings. Repeated rows are scanned one by one. No shuffle. A known sentence may be wrapped anywhere, also before upper case,
-    after a colon or semicolon or around blank lines; ``n_sentences`` counts a line that WRAP does not join as a sentence.
+    Rules are tried in order on the sequence of sentences; a match uses its sentences up. What no rule uses is
+    ``unmatched``. A sentence that is not known parts a sequence, unless it is just the number or letter of a list. Null and empty
+    texts: no sentences, empty strings. Repeated rows are scanned one by one. No shuffle. A known sentence may be wrapped anywhere, also
+    before upper case, after a colon or semicolon or around blank lines; ``n_sentences`` counts a line that WRAP does not join as a sentence.
     """
-    known = {plain(s): k for k, s in sentences.items()}
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    rows = docs.select(F.col(id_col).alias("id"), F.size(sentences_of(F.col(text))).cast("long").alias("n_sentences"), known_sentences(F.col(text), sentences).alias("s"))
-    rows = rows.withColumn("found", F.transform("s", lambda s: F.element_at(ids, s))).drop("s")
+    rows = docs.select(F.col(id_col).alias("id"), F.size(sentences_of(F.col(text))).cast("long").alias("n_sentences"), F.coalesce(tokens(F.col(text), sentences), F.array().cast("array<string>")).alias("found"))
     rest = F.concat(F.lit("<"), F.array_join("found", "><"), F.lit(">"))
-    rows = rows.withColumn("rest", F.when(F.size("found") > 0, rest).otherwise(""))
+    rows = rows.withColumn("known", F.array_remove("found", "?"))
+    rows = rows.withColumn("rest", F.when(F.size("known") > 0, rest).otherwise(""))
     counts = []
     for n, (_, sequence) in enumerate(rules):
         mark = "".join(f"<{s}>" for s in sequence)
-        rows = rows.withColumn(f"n{n}", ((F.length("rest") - F.length(F.replace("rest", F.lit(mark), F.lit("")))) / len(mark)).cast("long")).withColumn("rest", F.replace("rest", F.lit(mark), F.lit("|")))
+        rows = rows.withColumn(f"n{n}", ((F.length("rest") - F.length(F.replace("rest", F.lit(mark), F.lit("|")))) / (len(mark) - 1)).cast("long")).withColumn("rest", F.replace("rest", F.lit(mark), F.lit("|")))
         counts.append(F.col(f"n{n}"))
     licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c > 0, F.lit(rule[0])) for c, rule in zip(counts, rules, strict=True)]))))
-    unmatched = F.regexp_replace(F.trim(F.regexp_replace("rest", r"[<>|]+", " ")), " ", ",")
-    return rows.select(F.col("id").alias(id_col), "n_sentences", F.array_join("found", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"), reduce(lambda a, b: a + b, counts).alias("n_matches"), unmatched.alias("unmatched"))
+    unmatched = F.regexp_replace(F.trim(F.regexp_replace("rest", r"[<>|?]+", " ")), " ", ",")
+    return rows.select(F.col("id").alias(id_col), "n_sentences", F.array_join("known", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"), reduce(lambda a, b: a + b, counts).alias("n_matches"), unmatched.alias("unmatched"))
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
@@ -168,8 +245,8 @@ def oracle(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
     total = " + ".join(f"n{n}" for n in range(len(rules)))
     return rf"""WITH known(s, k) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(regexp_replace(coalesce(text, ''), '{WRAP}', '\1 \2', 'g'), '{END}', chr(1), 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
-e AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM d),
-f AS (SELECT r, list(k ORDER BY p) AS found FROM e JOIN known USING (s) GROUP BY r),
-q AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(found, ','), '') AS sentence_ids, coalesce('<' || array_to_string(found, '><') || '>', '') AS rest FROM d LEFT JOIN f USING (r)),
+e AS (SELECT r, regexp_replace(unnest(s), '^{LABEL} ', '') AS s, generate_subscripts(s, 1) AS p FROM d),
+f AS (SELECT r, list(coalesce(k, '?') ORDER BY p) AS tokens, list(k ORDER BY p) FILTER (WHERE k IS NOT NULL) AS found FROM e LEFT JOIN known USING (s) WHERE k IS NOT NULL OR NOT regexp_full_match(s, '{LABEL}') GROUP BY r),
+q AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(found, ','), '') AS sentence_ids, CASE WHEN found IS NULL THEN '' ELSE '<' || array_to_string(tokens, '><') || '>' END AS rest FROM d LEFT JOIN f USING (r)),
 {", ".join(steps)}
-SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ',') AS licenses, {total} AS n_matches, replace(trim(regexp_replace(rest, '[<>|]+', ' ', 'g')), ' ', ',') AS unmatched FROM {last}"""
+SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ',') AS licenses, {total} AS n_matches, replace(trim(regexp_replace(rest, '[<>|?]+', ' ', 'g')), ' ', ',') AS unmatched FROM {last}"""

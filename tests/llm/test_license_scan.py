@@ -114,8 +114,85 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+LGPL3 = GPL3.replace("GNU General", "GNU Lesser General")
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+ISC = """Copyright (c) 2020 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+BSD_TAIL = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+
+def test_other_sentences_part_a_sequence(spark):
+    s = L.SENTENCES
+    three = [s["bsd_grant"], s["bsd_source"], s["bsd_binary"]]
+    rows = [(1, "\n".join(three), ""), (2, f"{three[0]}\nFeed the cat.\n{three[1]}\n{three[2]}", ""), (3, f"{three[0]}\n1. {three[1]}\n2. {three[2]}", ""), (4, f"{three[0]}\n(a) {three[1]}\n(b) {three[2]}", ""), (5, "word " * 5000 + ". " + s["mit_name"], "")]
+    got = scan(spark, rows)
+    assert [got[i].licenses for i in range(1, 6)] == ["BSD-2-Clause", "", "BSD-2-Clause", "BSD-2-Clause", "MIT"]
+    assert got[2].unmatched == got[2].sentence_ids == "bsd_grant,bsd_source,bsd_binary" and got[2].n_matches == 0
+
+
+def test_every_known_sentence_holds_an_anchor():
+    words = L.anchors(L.SENTENCES)
+    assert all(any(w in L.plain(s) for w in words) for s in L.SENTENCES.values()) and len(words) < 12
+
+
 def test_published_headers(spark):
-    want = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (BSD3, "BSD-3-Clause"), (BSD3.rsplit("\n\n", 1)[0], "BSD-2-Clause"), (MPL, "MPL-2.0")]
+    want = [(LGPL21, "LGPL-2.1-or-later"), (LGPL3, "LGPL-3.0-or-later"), (AGPL, "AGPL-3.0-or-later"), (GPL2_ONLY, "GPL-2.0-only"), (ISC, "ISC"), (ZLIB, "Zlib"), (BSD3 + BSD_TAIL, "BSD-3-Clause"), (UNLICENSE, "Unlicense"), ("SPDX-License-Identifier: LGPL-3.0-only", "LGPL-3.0-only"),
+            (APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (BSD3, "BSD-3-Clause"), (BSD3.rsplit("\n\n", 1)[0], "BSD-2-Clause"), (MPL, "MPL-2.0")]
     shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */"]
     rows = [(10 * i + k, shape(t), "") for i, (t, _) in enumerate(want) for k, shape in enumerate(shapes)]
     got = scan(spark, rows)
