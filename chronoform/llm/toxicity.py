@@ -1,7 +1,7 @@
 """A toxicity classifier whose score is held steady when identity terms are swapped (counterfactual logit pairing).
 
 Logistic regression over the presence of words and word beginnings. For each labelled sentence with an identity term, a copy
-with another term of the same group is made; the squared change of the logit between the two is added to the loss.
+with each other term of its group is made; the squared change of the logit between the two is added to the loss.
 """
 
 from __future__ import annotations
@@ -18,13 +18,36 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 PREFIX = 5
-#: Terms that may stand for one another, by group; a parameter of the fit.
-IDENTITY_TERMS = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
-    ("immigrants", "refugees", "foreigners", "locals"), ("disabled", "deaf", "blind"), ("old", "young", "elderly"),
-)
+#: Terms that may stand for one another, by language and group; a parameter of the fit.
+IDENTITY_TERMS = {
+    "en": (
+        ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("black", "white", "asian", "latino", "arab"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
+        ("immigrants", "refugees", "foreigners", "locals"), ("disabled", "deaf", "blind"), ("old", "young", "elderly"),
+    ),
+    "de": (
+        ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("schwarze", "weiße", "asiaten", "araber"), ("schwule", "lesben", "bisexuelle"), ("einwanderer", "flüchtlinge", "ausländer", "einheimische"), ("behinderte", "gehörlose", "blinde"),
+    ),
+    "fr": (
+        ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("noirs", "blancs", "asiatiques", "arabes"), ("homosexuels", "lesbiennes", "bisexuels"), ("immigrés", "réfugiés", "étrangers"), ("handicapés", "sourds", "aveugles"),
+    ),
+    "es": (
+        ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("negros", "blancos", "asiáticos", "árabes"), ("homosexuales", "lesbianas", "bisexuales"), ("inmigrantes", "refugiados", "extranjeros"), ("discapacitados", "sordos", "ciegos"),
+    ),
+}
+
+
+def others(groups: dict[str, tuple]) -> dict[str, list[str]]:
+    """For each term the terms that may stand in its place: the others of its groups, in whatever language."""
+    out: dict[str, list[str]] = {}
+    for terms in (g for of_language in groups.values() for g in of_language):
+        for t in terms:
+            out[t] = list(dict.fromkeys([*out.get(t, []), *(x for x in terms if x != t)]))
+    return out
 
 
 def features(words: set[str]) -> set[int]:
@@ -37,16 +60,16 @@ def packed(found: set[int]) -> bytes:
     return np.sort(np.fromiter(found, np.uint32, len(found))).tobytes()
 
 
-def swaps(text: str, groups: tuple) -> Iterator[tuple[set[int], set[int]]]:
-    """For each sentence with an identity term, its features and those with the group's next term in its place."""
-    after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+def swaps(text: str, instead: dict[str, list[str]]) -> Iterator[tuple[set[int], set[int]]]:
+    """For each identity term of each sentence and each term that may stand in its place, the sentence's features and those with the other term."""
     low = text.lower()
-    if not any(t in low for t in after):
+    if not any(t in low for t in instead):
         return
     for sentence in SENTENCE.split(low):
-        words = WORD.findall(sentence)
-        if any(w in after for w in words):
-            yield features(set(words)), features({after.get(w, w) for w in words})
+        words = set(WORD.findall(sentence))
+        for term in sorted(w for w in words if w in instead):
+            for other in instead[term]:
+                yield features(words), features(words - {term} | {other})
 
 
 class Scorer:
@@ -114,21 +137,24 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: tuple = IDENTITY_TERMS, swap_penalty: float = 1.0, l1: float = 1e-4, rounds: int = 300, min_docs: int = 3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: dict[str, tuple] = IDENTITY_TERMS, swap_penalty: float = 10.0, l1: float = 1e-4, rounds: int = 300, min_docs: int = 3
 ) -> Scorer:
     """A scorer from about ``max_docs`` labelled whole texts, chosen by a hash of the id: the documented bound of the fit.
 
     Features are made by Spark; the driver gets their hashes, for ``max_docs`` documents. Rows without a label teach nothing; a null
-    text is an empty one. No row: every score is 0.5.
+    text is an empty one. No row: every score is 0.5. Where no labelled sentence has an identity term, there is nothing to swap and the loss is
+    that of plain logistic regression.
     """
     labels = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"))
     n = labels.count()
     chosen = labels.where(F.xxhash64("id", F.lit("fit")) / F.lit(2.0**64) + 0.5 <= (max_docs / n if n else 1.0))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "y")
 
+    instead = others(groups)
+
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            pairs = [list(swaps(t, groups)) for t in part.text]
+            pairs = [list(swaps(t, instead)) for t in part.text]
             own = [packed(features(set(WORD.findall(t.lower())))) for t in part.text]
             yield pd.DataFrame({"id": part.id, "y": part.y, "x": own, "was": [[packed(a) for a, _ in p] for p in pairs], "now": [[packed(b) for _, b in p] for p in pairs]})
 

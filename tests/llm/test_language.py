@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 from chronoform.llm import language
 
 ENGLISH = ["the cat sat on the mat and the dog was there with them", "this is the house that they built on the hill"]
@@ -36,6 +38,39 @@ def test_counts_match_brute_force():
     assert found == dict(want)
 
 
+def ranked(counts, size):
+    """Most frequent first, then by the n-gram as it is coded: its characters' code points, from the left, shorter ones as smaller numbers."""
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def brute_predict(text, profiles, size):
+    """(language, score) by the definition: each n-gram of the text costs how far its rank is from that in the profile, or ``size`` if it is not there."""
+    own = ranked(brute(text, {}, 0, 3), size)
+    if not own:
+        return "und", 0.0
+    cost = {lang: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+    best = min(sorted(cost), key=cost.get)
+    return best, 1 - cost[best] / (size * len(own))
+
+
+@pytest.mark.parametrize("size", [300, 25])
+def test_predictions_match_brute_force_on_real_documents(spark, size):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if r.lang and r.text:
+            counts.setdefault(r.lang, Counter()).update(brute(r.text, {}, 0, 3))
+    profiles = {lang: ranked(c, size) for lang, c in counts.items()}
+    fitted = language.fit_profiles(docs, size=size)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, fitted).collect()}
+    assert set(fitted.langs) == set(profiles)
+    for r in rows[::2]:
+        lang, score = brute_predict(r.text or "", profiles, size)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=1e-12)
+
+
 def test_predicts_and_handles_odd_rows(spark):
     docs = spark.createDataFrame([*rows(), (200, None, None), (201, "", "en"), (202, "12 34 !!", "en"), (203, "the dog", None), (203, "the dog", None), (204, "und der mann ist nicht hier " * 20000, None)], SCHEMA)
     profiles = language.fit_profiles(docs)
