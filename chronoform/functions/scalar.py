@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def col(x: Column | str) -> Column:
@@ -140,8 +141,7 @@ def matrix_parameters(m, source_width, source_height, frame_width, frame_height)
     c, e = (at[3] * d - ny * at[6]) / (d * d), (at[4] * d - ny * at[7]) / (d * d)
     q, r = F.hypot(a + e, c - b) / 2, F.hypot(a - e, c + b) / 2  # singular values are q + r and |q - r|
     norms = F.hypot(a, c) * F.hypot(b, e)
-    # the nearest rotation; of a mirroring matrix the smaller singular direction is turned over
-    rotation = F.when(a * e - b * c >= 0, F.atan2(c - b, a + e)).otherwise(F.atan2(c - b, a + e))
+    rotation = F.atan2(c - b, a + e)  # of the nearest rotation, also of a mirroring matrix, whose smaller singular direction is turned over
     return F.struct(
         (nx / d / fw).alias("center_x"),
         (ny / d / fh).alias("center_y"),
@@ -174,10 +174,24 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def canonical_hash(*fields: Column | str) -> Column:
-    """SHA-256 of the fields in the given (sorted) order, null told apart from empty."""
-    parts = [F.coalesce(F.concat(F.lit("="), col(f).cast("string")), F.lit("~")) for f in fields]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+def canonical_hash(*fields: Column | str, names: tuple[str, ...] | None = None) -> Column:
+    """SHA-256 of compact JSON of the fields as text, sorted by name, so that no two different rows read alike; null is null.
+
+    Columns given by expression need ``names``.
+    """
+    named = sorted(zip(names or fields, map(col, fields), strict=True), key=lambda x: x[0])
+    return F.sha2(F.to_json(F.struct(*[c.cast("string").alias(n) for n, c in named]), {"ignoreNullFields": "false"}), 256)
+
+
+def stripped(value: Column, kind: DataType, volatile: frozenset[str], constants: dict[str, str]) -> Column:
+    """A value as text in its own structure, at any depth without the volatile fields and with constants in place of references; fields sorted."""
+    if isinstance(kind, StructType):
+        kept = sorted((f for f in kind.fields if f.name not in volatile), key=lambda f: f.name)
+        inner = [(F.lit(constants[f.name]) if f.name in constants else stripped(value.getField(f.name), f.dataType, volatile, constants)).alias(f.name) for f in kept]
+        return F.when(value.isNotNull(), F.struct(*inner)) if inner else F.lit(None).cast("string")
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: stripped(x, kind.elementType, volatile, constants))
+    return value.cast("string")
 
 
 def normalize_words(text) -> Column:

@@ -32,7 +32,7 @@ def classify_transition(groups: DataFrame, samples: DataFrame, external: DataFra
         F.avg(only(F.col("pixel"))).alias("mean_pixel"), F.avg(only(F.col("hist"))).alias("mean_hist"), F.max(only(F.col("asym"))).alias("asym"),
     )
     lum, item = F.col("lumas.luminance"), F.col("item")
-    steps = F.zip_with(F.slice(lum, 2, 10**6), F.slice(lum, F.lit(1), F.greatest(F.size(lum) - 1, F.lit(0))), lambda b, a: b - a)
+    steps = F.zip_with(F.slice(lum, F.lit(2), F.greatest(F.size(lum) - 1, F.lit(0))), F.slice(lum, F.lit(1), F.greatest(F.size(lum) - 1, F.lit(0))), lambda b, a: b - a)
     share = lambda f: F.size(F.filter(steps, f)) / F.greatest(F.size(steps), F.lit(1))
     agg = agg.withColumns({"n": F.col("g1") - F.col("g0"), "neighbor": F.coalesce("neighbor", F.lit(0.0)), "mono": F.greatest(share(lambda x: x >= -0.005), share(lambda x: x <= 0.005)), "__ext": F.lit(0.0)})
     if external is not None:
@@ -96,70 +96,90 @@ def polynomial_weights(size: int, degree: int) -> np.ndarray:
     return np.stack([np.linalg.pinv(np.vander(x - p, degree + 1, increasing=True).astype(float)) for p in x])
 
 
-def local_polynomial(df: DataFrame, rate: float, window: int = 15, degree: int = 3, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """df with ``smooth``, ``velocity``, ``acceleration`` and ``jerk`` of a cubic fitted to a full window at each row, shifted inside the ends.
+def weights_sql(window: int, degree: int) -> str:
+    """The weights of every window length up to ``window`` as one constant, [length - 1][place][coefficient][row]; coefficients beyond the degree are zero."""
+    text = lambda xs: "array(" + ",".join(f"{x!r}D" if isinstance(x, float) else text(x) for x in xs) + ")"
+    out = []
+    for n in range(1, window + 1):
+        w = polynomial_weights(n, min(degree, n - 1))
+        out.append(np.pad(w, ((0, 0), (0, max(0, 4 - w.shape[1])), (0, 0)))[:, :4].tolist())
+    return text(out)
+
+
+def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window: int = 15, degree: int = 3, series: str = SERIES, order: str = ORDER, odd: bool = False) -> DataFrame:
+    """df with a struct<smooth, velocity, acceleration, jerk> for each of the values (name of the struct to column), of a polynomial fitted to a full
+    window at each row, shifted inside the ends.
 
     A fit at a given place in its window is a fixed weighting of the rows, so this is a dot product over a window frame, however long
-    the series is. The ends keep their raw values. A series not longer than the degree is fitted by its own length.
+    the series is, and all channels share one sort. Smoothed ends keep their raw values. A series not longer than the degree is fitted by its own length. With
+    ``odd``, a series shorter than the window has the longest odd window that fits, of 3 rows at least.
     """
     w = Window.partitionBy(series).orderBy(order)
-    rows = df.withColumns({"__n": F.row_number().over(w) - 1, "__total": F.count("*").over(Window.partitionBy(series))})
-    half = window // 2
-    near = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-(window - 1), window - 1))
-    size = F.least(F.lit(window), F.col("__total"))
-    start = F.greatest(F.lit(0), F.least(F.col("__n") - half, F.col("__total") - size))
-    rows = rows.withColumns({"__size": size, "__place": F.col("__n") - start, "__near": near, "__skip": start - F.greatest(F.lit(0), F.col("__n") - (window - 1))})
-    rows = rows.withColumn("__xs", F.slice("__near", F.col("__skip").cast("int") + 1, F.col("__size").cast("int")))
-
-    @F.pandas_udf("smooth double, velocity double, acceleration double, jerk double")
-    def fit(xs: pd.Series, place: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(xs), 4))
-        sizes = xs.map(len).to_numpy()
-        for n in np.unique(sizes):
-            at = np.flatnonzero(sizes == n)
-            deg = min(degree, n - 1)
-            weights = polynomial_weights(n, deg)[place.to_numpy()[at]]
-            c = np.einsum("ikr,ir->ik", weights, np.stack(xs.iloc[at]))
-            for k, times in enumerate((1.0, rate, 2 * rate**2, 6 * rate**3)):
-                if k <= deg:
-                    out[at, k] = c[:, k] * times
-        return pd.DataFrame(out, columns=["smooth", "velocity", "acceleration", "jerk"])
-
-    rows = rows.withColumn("__fit", fit("__xs", F.col("__place").cast("int"))).select("*", "__fit.*")
+    near = {f"__near_{k}": F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(-(window - 1), window - 1)) for k, c in values.items()}
+    rows = df.withColumns({"__n": F.row_number().over(w) - 1, "__total": F.count("*").over(Window.partitionBy(series)), **near})
+    size = F.least(F.lit(window), F.col("__total")).cast("int")
+    if odd:
+        size = F.when((size % 2 == 0) & (size > 3), size - 1).otherwise(size)
+    start = F.greatest(F.lit(0), F.least(F.col("__n") - window // 2, F.col("__total") - size))
+    rows = rows.withColumns({"__size": size, "__place": (F.col("__n") - start).cast("int"), "__skip": (start - F.greatest(F.lit(0), F.col("__n") - (window - 1))).cast("int")})
+    at = F.get(F.get(F.expr(weights_sql(window, degree)), F.col("__size") - 1), F.col("__place"))
     ends = (F.col("__n") == 0) | (F.col("__n") == F.col("__total") - 1)
-    return rows.withColumn("smooth", F.when(ends, F.col(value)).otherwise(F.col("smooth"))).drop("__n", "__total", "__near", "__size", "__place", "__skip", "__xs", "__fit")
+    rows = rows.withColumn("__w", at)
+    for k, c in values.items():
+        xs = F.slice(f"__near_{k}", F.col("__skip") + 1, F.col("__size"))
+        dot = lambda i, xs=xs: F.aggregate(F.zip_with(xs, F.get("__w", F.lit(i)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        smooth = F.when(ends, F.col(c)).otherwise(dot(0))
+        rows = rows.withColumn(k, F.struct(smooth.alias("smooth"), (dot(1) * rate).alias("velocity"), (dot(2) * (2 * rate**2)).alias("acceleration"), (dot(3) * (6 * rate**3)).alias("jerk")))
+    return rows.drop("__n", "__total", "__size", "__place", "__skip", "__w", *near)
+
+
+def local_polynomial(df: DataFrame, rate: float, window: int = 15, degree: int = 3, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
+    """df with ``smooth``, ``velocity``, ``acceleration`` and ``jerk`` of :func:`local_polynomials` for one channel."""
+    return local_polynomials(df, rate, {"__fit": value}, window, degree, series, order).select("*", "__fit.*").drop("__fit")
 
 
 def similarity_coupling(df: DataFrame, rate: float, cx: str, cy: str, scale: str, rotation: str, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """(series, relation, max_offset, lag, rmse, deviation, confidence): how the centre's progress runs against that of scale and rotation.
+    """How the centre's progress runs against that of scale and rotation: (series, relation, explanation, start, peak, end, max_offset (signed), lag, rmse,
+    centre_rmse, deviation, heading_change, confidence).
 
-    The four channels are smoothed by :func:`local_polynomial`; what follows are windows and one aggregation. Series whose centre, or whose
-    scale and rotation, end where they start have no progress to compare and are left out.
+    The four channels are smoothed by :func:`local_polynomials`, and so are the velocities of both progresses and of the path; what follows are windows
+    and one aggregation. Places are row numbers from 0. Series of fewer than 5 rows, and those whose centre, or whose scale and rotation, end
+    where they start, have no progress to compare and are left out.
     """
-    wide = df.select(series, order, *[F.col(c).alias(n) for c, n in ((cx, "cx"), (cy, "cy"), (scale, "sc"), (rotation, "ro"))])
-    for c in ("cx", "cy", "sc", "ro"):
-        wide = local_polynomial(wide, rate, value=c, series=series, order=order).withColumn(c, F.col("smooth")).drop("smooth", "velocity", "acceleration", "jerk")
-    every = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = {"cx": cx, "cy": cy, "sc": scale, "ro": rotation}
+    wide = local_polynomials(df.select(series, order, *[F.col(c).alias(n) for n, c in names.items()]), rate, {f"f{n}": n for n in names}, series=series, order=order)
+    w = Window.partitionBy(series).orderBy(order)
+    wide = wide.select(series, order, *[F.col(f"f{n}.smooth").alias(n) for n in names], (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(series)).alias("total")).where("total >= 5")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     a, b = (lambda c: F.first(c).over(every)), (lambda c: F.last(c).over(every))
-    rows = wide.withColumns({f"d{c}": b(c) - a(c) for c in ("cx", "cy", "sc", "ro")} | {f"x{c}": F.col(c) - a(c) for c in ("cx", "cy", "sc", "ro")})
+    rows = wide.withColumns({f"d{c}": b(c) - a(c) for c in names} | {f"x{c}": F.col(c) - a(c) for c in names})
     part = lambda c: F.when(F.abs(F.col(f"d{c}")) > 1e-9, F.col(f"x{c}") / F.col(f"d{c}"))
     norm = F.col("dcx") * F.col("dcx") + F.col("dcy") * F.col("dcy")
     rows = rows.withColumns({"ps": part("sc"), "pr": part("ro"), "norm": norm}).where("norm > 1e-12 and (ps is not null or pr is not null)")
     shared = F.coalesce((F.col("ps") + F.col("pr")) / 2, "ps", "pr")
     rows = rows.withColumns({"shared": shared, "centre": (F.col("xcx") * F.col("dcx") + F.col("xcy") * F.col("dcy")) / F.col("norm"), "gap": F.abs(F.col("xcx") * F.col("dcy") - F.col("xcy") * F.col("dcx")) / F.sqrt("norm")})
-    rows = rows.withColumn("offset", F.col("shared") - F.col("centre"))
-    w = Window.partitionBy(series).orderBy(order)
-    rows = rows.withColumns({"vc": F.abs(F.coalesce(F.lead("centre").over(w), "centre") - F.coalesce(F.lag("centre").over(w), "centre")), "vs": F.abs(F.coalesce(F.lead("shared").over(w), "shared") - F.coalesce(F.lag("shared").over(w), "shared"))})
-    peak = lambda c, out: F.max(F.struct(c, -F.col(order), out))
+    rows = local_polynomials(rows.select(series, order, "i", "cx", "cy", "ps", "pr", "shared", "centre", "gap"), rate, {"vs": "shared", "vc": "centre", "vx": "cx", "vy": "cy"}, series=series, order=order, odd=True)
+    v = lambda c: F.col(f"{c}.velocity")
+    rows = rows.select(series, order, "i", "ps", "pr", "gap", (F.col("shared") - F.col("centre")).alias("offset"), F.abs(v("vs")).alias("vs"), F.abs(v("vc")).alias("vc"), F.hypot(v("vx"), v("vy")).alias("speed"), F.atan2(v("vy"), v("vx")).alias("heading"))
+    all_ = Window.partitionBy(series)
+    rows = rows.withColumns({"most": F.max(F.abs("offset")).over(all_), "fastest": F.max("speed").over(all_), "turn": F.pmod(F.col("heading") - F.lag("heading").over(w) + np.pi, F.lit(2 * np.pi)) - np.pi})
+    strong, active = F.abs("offset") >= F.greatest(F.lit(0.02), 0.75 * F.col("most")), F.col("speed") >= F.greatest(F.lit(1e-12), 0.15 * F.col("fastest"))
+    rows = rows.withColumns({"active": active, "first": F.min(F.when(active, F.col("i"))).over(all_), "last": F.max(F.when(active, F.col("i"))).over(all_)})
+    peak = lambda c: F.struct(c.alias("x"), (-F.col("i")).alias("i"))
     agg = rows.groupBy(series).agg(
-        peak(F.abs(F.col("offset")), F.col("offset").alias("v"))["v"].alias("extreme"), (-(peak(F.col("vc"), F.lit(0))["col2"]) + peak(F.col("vs"), F.lit(0))["col2"]).alias("lag"),
-        F.coalesce(F.sqrt(F.avg(F.pow(F.col("ps") - F.col("pr"), F.lit(2.0)))), F.lit(0.0)).alias("rmse"), F.max("gap").alias("deviation"),
+        F.max(F.struct(F.abs("offset").alias("x"), (-F.col("i")).alias("i"), F.col("offset").alias("v"))).alias("top"), F.min(F.when(strong, F.col("i"))).alias("s0"), F.max(F.when(strong, F.col("i"))).alias("s1"),
+        (F.max(peak(F.col("vs")))["i"] - F.max(peak(F.col("vc")))["i"]).alias("lag"), F.coalesce(F.sqrt(F.avg(F.pow(F.col("ps") - F.col("pr"), F.lit(2.0)))), F.lit(0.0)).alias("rmse"),
+        F.sqrt(F.avg(F.col("offset") * F.col("offset"))).alias("centre_rmse"), F.max("gap").alias("deviation"), F.coalesce(F.degrees(F.sum(F.when((F.col("i") > F.col("first")) & (F.col("i") <= F.col("last")), F.col("turn")))), F.lit(0.0)).alias("heading_change"),
     )
-    size = F.abs(F.col("extreme"))
-    relation = F.when(size < 0.02, "synchronized").when(F.col("extreme") > 0, "centre lags").otherwise("centre leads")
+    extreme, place = F.col("top.v"), -F.col("top.i")
+    size = F.abs(extreme)
+    relation = F.when(size < 0.02, "synchronized").when(extreme > 0, "centre lags").otherwise("centre leads")
     explained = F.when(F.col("rmse") > 0.05, "scale and rotation differ").when((size >= 0.05) & (F.col("deviation") >= 0.001), "offset on a curve").when(size >= 0.05, "offset").when(F.col("deviation") >= 0.001, "curve").otherwise("shared")
-    confidence = F.exp(-20 * F.col("rmse")) * (0.7 + 0.3 * F.least(F.lit(1.0), size / 0.08 + F.col("deviation") / 0.005))
-    return agg.select(series, relation.alias("relation"), explained.alias("explanation"), size.alias("max_offset"), "lag", "rmse", "deviation", confidence.alias("confidence"))
+    confidence = clamp(F.exp(-20 * F.col("rmse")) * (0.7 + 0.3 * F.least(F.lit(1.0), size / 0.08 + F.col("deviation") / 0.005)), 0.0, 1.0)
+    return agg.select(
+        series, relation.alias("relation"), explained.alias("explanation"), F.coalesce("s0", place).alias("start"), place.alias("peak"), F.coalesce("s1", place).alias("end"), extreme.alias("max_offset"), "lag", "rmse", "centre_rmse", "deviation", "heading_change",
+        confidence.alias("confidence"),
+    )
 
 
 def integrate_transform(steps: DataFrame, dx: str, dy: str, factor: str, checkpoints: int = 5, series: str = SERIES, order: str = ORDER) -> DataFrame:
@@ -268,13 +288,18 @@ def align_to_script(scripts: DataFrame, series: str = SERIES) -> DataFrame:
             came = np.zeros((m + 1, n + 1), int)
             best[0, 0] = 0
             for i in range(1, m + 1):
+                matcher = difflib.SequenceMatcher(None, "", "")
                 for end in range(i, n - (m - i) + 1):
                     for start in range(i - 1, end):
-                        if np.isfinite(best[i - 1, start]):
-                            near = difflib.SequenceMatcher(None, b[i - 1], " ".join(s[start:end])).ratio()
-                            cost = best[i - 1, start] + 1 - near + 0.15 * abs((end - start) / n - share[i - 1])
-                            if cost < best[i, end]:
-                                best[i, end], came[i, end] = cost, start
+                        so_far = best[i - 1, start] + 0.15 * abs((end - start) / n - share[i - 1])
+                        if so_far >= best[i, end]:  # a part costs nothing at least
+                            continue
+                        matcher.set_seqs(b[i - 1], " ".join(s[start:end]))
+                        if so_far + 1 - matcher.real_quick_ratio() >= best[i, end] or so_far + 1 - matcher.quick_ratio() >= best[i, end]:  # no ratio is above these
+                            continue
+                        cost = best[i - 1, start] + 1 - matcher.ratio() + 0.15 * abs((end - start) / n - share[i - 1])
+                        if cost < best[i, end]:
+                            best[i, end], came[i, end] = cost, start
             ends, at = [], n
             for i in range(m, 0, -1):
                 ends.append(at)
@@ -288,7 +313,7 @@ def align_to_script(scripts: DataFrame, series: str = SERIES) -> DataFrame:
 def run_analyzers(df: DataFrame, analyzers: dict, key: str, value: str, existing: DataFrame | None = None) -> DataFrame:
     """(key, kind, ok, value, error_type, message): every named function on every row; a failure is a row, and what exists already is not run again.
 
-    Functions take a value and return a float.
+    Functions take a value and return a float, or (kind, float); a kind other than the one asked for is a failure too.
     """
     rows = df.select(key, F.col(value).alias("__v"), F.explode(F.array(*map(F.lit, sorted(analyzers)))).alias("kind"))
     rows = rows.join(existing.select(key, "kind"), [key, "kind"], "left_anti") if existing is not None else rows
@@ -298,7 +323,11 @@ def run_analyzers(df: DataFrame, analyzers: dict, key: str, value: str, existing
         out = []
         for kind, v in zip(kinds, values, strict=True):
             try:
-                out.append((True, float(analyzers[kind](v)), None, None))
+                got = analyzers[kind](v)
+                named, got = got if isinstance(got, tuple) else (kind, got)
+                if named != kind:
+                    raise ValueError(f"contract mismatch: expected {kind}, received {named}")
+                out.append((True, float(got), None, None))
             except Exception as e:  # any failure of a plugged-in function is a typed row, by contract
                 out.append((False, None, type(e).__name__, str(e)))
         return pd.DataFrame(out, columns=["ok", "value", "error_type", "message"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 SERIES = "series_id"
 
@@ -114,29 +117,150 @@ def patch_log(ops: DataFrame, doc: str = "doc_id", path: str = "path", order: st
     return rows.withColumns({"inverse_op": F.when(F.col("op") == "test", "test").when(F.col("before").isNull(), "remove").when(F.col("op") == "remove", "add").otherwise("replace"), "inverse_value": F.col("before")}).drop("before")
 
 
-def densify_curve(keys: DataFrame, times: DataFrame, mode: str = "linear", value: str = "value", order: str = "seq", series: str = SERIES) -> DataFrame:
-    """Values of a keyframe curve at times(series, t): held before the first and after the last key; hold, linear, hermite or monotone between.
-
-    Monotone uses harmonic means of neighbouring slopes as tangents. The time meets its segment by a bucketed range join.
-    """
+def curve_segments(keys: DataFrame, times: DataFrame, values: tuple[str, ...], order: str, series: str, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(times within a segment, with x0, x1, p and for each value v its v_0 and v_1, and so for the columns of ``also``; times outside with the value held there)."""
     from .joins import point_in_range
 
     w = Window.partitionBy(series).orderBy(order)
-    x, y = F.col(order).cast("double"), F.col(value)
-    seg = keys.withColumns({"x1": F.lead(order).over(w).cast("double"), "y1": F.lead(value).over(w)}).withColumn("slope", (F.col("y1") - y) / (F.col("x1") - x))
-    seg = seg.withColumns({"__before": F.lag("slope").over(w), "__after": F.lead("slope").over(w)})
-    harmonic = lambda a, b: F.when(F.col(a) * F.col(b) > 0, 2 * F.col(a) * F.col(b) / (F.col(a) + F.col(b))).otherwise(0.0)
-    seg = seg.withColumns({"m0": F.when(F.col("__before").isNull(), F.col("slope")).otherwise(harmonic("__before", "slope")), "m1": F.when(F.col("__after").isNull(), F.col("slope")).otherwise(harmonic("slope", "__after"))})
-    seg = seg.where("x1 is not null").select(series, F.col(order).alias("start"), F.col("x1").cast("long").alias("end"), x.alias("x0"), y.alias("y0"), "x1", "y1", "m0", "m1")
-    ends = keys.groupBy(series).agg(F.min_by(value, order).alias("__first"), F.min(order).alias("__lo"), F.max_by(value, order).alias("__last"), F.max(order).alias("__hi"))
-    rows = times.join(ends, series)
-    outside = rows.where("t < __lo or t >= __hi").select(series, "t", F.when(F.col("t") < F.col("__lo"), F.col("__first")).otherwise(F.col("__last")).alias(value))
+    ends = [F.col(c).alias(f"{c}_0") for c in (*values, *also)] + [F.lead(c).over(w).alias(f"{c}_1") for c in (*values, *also)]
+    seg = keys.select(series, F.col(order).alias("start"), F.lead(order).over(w).alias("end"), *ends).where("end is not null")
+    held = F.struct(F.col(order).alias("o"), *values)
+    edge = keys.groupBy(series).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.min_by(held, order).alias("__first"), F.max_by(held, order).alias("__last"))
+    rows = times.join(edge, series)
+    at_end = lambda v: F.when(F.col("t") < F.col("__lo"), F.col(f"__first.{v}")).otherwise(F.col(f"__last.{v}"))
+    outside = rows.where("t < __lo or t >= __hi").select(series, "t", *[at_end(v).alias(v) for v in values])
     inner = point_in_range(rows.where("t >= __lo and t < __hi").select(series, "t"), seg, order="t", series=series)
-    p, span = (F.col("t") - F.col("x0")) / (F.col("x1") - F.col("x0")), F.col("x1") - F.col("x0")
-    smooth = (2 * p * p * p - 3 * p * p + 1) * F.col("y0") + (-2 * p * p * p + 3 * p * p) * F.col("y1")
-    tangents = (p * p * p - 2 * p * p + p) * span * F.col("m0") + (p * p * p - p * p) * span * F.col("m1")
-    at = {"hold": F.col("y0"), "linear": F.col("y0") + (F.col("y1") - F.col("y0")) * p, "hermite": smooth, "monotone": smooth + tangents}[mode]
-    return inner.select(series, "t", at.alias(value)).unionByName(outside)
+    inner = inner.withColumns({"x0": F.col("start").cast("double"), "x1": F.col("end").cast("double")}).withColumn("p", (F.col("t") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    return inner, outside
+
+
+def blend(p: Column, span: Column, y0: Column, y1: Column, m0: Column, m1: Column) -> Column:
+    """The cubic from y0 to y1 with slopes m0 and m1 over a span, at progress p."""
+    return (2 * p * p * p - 3 * p * p + 1) * y0 + (-2 * p * p * p + 3 * p * p) * y1 + (p * p * p - 2 * p * p + p) * span * m0 + (p * p * p - p * p) * span * m1
+
+
+def monotone_tangents(keys: DataFrame, value: str, order: str = "seq", series: str = SERIES) -> DataFrame:
+    """keys with ``m``: the harmonic mean of the slopes on either side, weighted by their widths; 0 where they differ in sign; the one slope at an end."""
+    w = Window.partitionBy(series).orderBy(order)
+    h = F.col(order) - F.lag(order).over(w)
+    rows = keys.withColumns({"__h": h, "__s": (F.col(value) - F.lag(value).over(w)) / h})
+    rows = rows.withColumns({"__h1": F.lead("__h").over(w), "__s1": F.lead("__s").over(w)})
+    a, b = 2 * F.col("__h1") + F.col("__h"), F.col("__h1") + 2 * F.col("__h")
+    inner = F.when(F.col("__s") * F.col("__s1") > 0, (a + b) / (a / F.col("__s") + b / F.col("__s1"))).otherwise(0.0)
+    return rows.withColumn("m", F.coalesce(F.when(F.col("__s").isNull(), F.col("__s1")).when(F.col("__s1").isNull(), F.col("__s")).otherwise(inner), F.lit(0.0))).drop("__h", "__s", "__h1", "__s1")
+
+
+def densify_curve(keys: DataFrame, times: DataFrame, mode: str = "linear", value: str | tuple[str, ...] = "value", order: str = "seq", series: str = SERIES) -> DataFrame:
+    """Values of a keyframe curve at times(series, t): held before the first and after the last key; between, by mode.
+
+    hold, linear, hermite (flat at the keys), monotone (tangents of :func:`monotone_tangents`) or tangents (for each value v the columns v_in and v_out are the
+    slopes before and after a key). Several values are the coordinates of one path. The time meets its segment by a bucketed range join.
+    """
+    values = (value,) if isinstance(value, str) else tuple(value)
+    also: list[str] = []
+    for v in values:
+        if mode == "monotone":
+            keys = monotone_tangents(keys, v, order, series).withColumnRenamed("m", f"__m_{v}")
+            also.append(f"__m_{v}")
+        elif mode == "tangents":
+            also += [f"{v}_in", f"{v}_out"]
+    inner, outside = curve_segments(keys, times, values, order, series, tuple(also))
+    p, span, none = F.col("p"), F.col("x1") - F.col("x0"), F.lit(0.0)
+    out = []
+    for v in values:
+        y0, y1 = F.col(f"{v}_0"), F.col(f"{v}_1")
+        slopes = {"monotone": (f"__m_{v}_0", f"__m_{v}_1"), "tangents": (f"{v}_out_0", f"{v}_in_1")}.get(mode)
+        at = {"hold": y0, "linear": y0 + (y1 - y0) * p}.get(mode)
+        out.append((at if at is not None else blend(p, span, y0, y1, *(map(F.col, slopes) if slopes else (none, none)))).alias(v))
+    return inner.select(series, "t", *out).unionByName(outside)
+
+
+def bezier_parameter(steps: int = 12):
+    """The parameter at which a cubic Bezier of times (x0, a, b, x1) is at t, as a vectorised function: Newton steps kept between bounds that close in on it."""
+
+    @F.pandas_udf("double")
+    def solve(t: pd.Series, x0: pd.Series, a: pd.Series, b: pd.Series, x1: pd.Series) -> pd.Series:
+        t, x0, a, b, x1 = (c.to_numpy(float) for c in (t, x0, a, b, x1))
+        lo, hi = np.zeros(len(t)), np.ones(len(t))
+        u = np.clip((t - x0) / (x1 - x0), 0, 1)
+        for _ in range(steps):
+            v = 1 - u
+            off = v**3 * x0 + 3 * v * v * u * a + 3 * v * u * u * b + u**3 * x1 - t
+            slope = 3 * v * v * (a - x0) + 6 * v * u * (b - a) + 3 * u * u * (x1 - b)
+            done = np.abs(off) <= 1e-12
+            lo, hi = np.where(off < 0, u, lo), np.where(off < 0, hi, u)
+            step = u - off / np.where(np.abs(slope) > 1e-12, slope, np.inf)
+            inside = (np.abs(slope) > 1e-12) & (step > lo) & (step < hi)
+            u = np.where(done, u, np.where(inside, step, (lo + hi) / 2))
+        return pd.Series(u)
+
+    return solve
+
+
+def densify_bezier(keys: DataFrame, times: DataFrame, value: str | tuple[str, ...] = "value", order: str = "seq", series: str = SERIES) -> DataFrame:
+    """A curve of cubic Bezier segments at times(series, t): keys have out_t and in_t, the handles' offsets in time, and for each value v its v_out and v_in offsets.
+
+    A path's coordinates share the handles' times, so the parameter is solved once a time.
+    """
+    values = (value,) if isinstance(value, str) else tuple(value)
+    inner, outside = curve_segments(keys, times, values, order, series, ("out_t", "in_t", *[f"{v}_{d}" for v in values for d in ("out", "in")]))
+    rows = inner.withColumn("u", bezier_parameter()(F.col("t").cast("double"), "x0", F.col("x0") + F.col("out_t_0"), F.col("x1") + F.col("in_t_1"), "x1"))
+    u = F.col("u")
+    at = lambda v: (1 - u) * (1 - u) * (1 - u) * F.col(f"{v}_0") + 3 * (1 - u) * (1 - u) * u * (F.col(f"{v}_0") + F.col(f"{v}_out_0")) + 3 * (1 - u) * u * u * (F.col(f"{v}_1") + F.col(f"{v}_in_1")) + u * u * u * F.col(f"{v}_1")
+    return rows.select(series, "t", *[at(v).alias(v) for v in values]).unionByName(outside)
+
+
+def densify_matrix(keys: DataFrame, times: DataFrame, mode: str = "linear", matrix: str = "m", order: str = "seq", series: str = SERIES) -> DataFrame:
+    """(series, t, matrix): a curve of 3 x 3 matrices (arrays of 9) element by element; hold, linear or tangents (columns ``<matrix>_in`` and ``<matrix>_out``).
+
+    Between keys the result is divided by its last element unless that is 0; a singular one fails the query.
+    """
+    inner, outside = curve_segments(keys, times, (matrix,), order, series, (f"{matrix}_in", f"{matrix}_out") if mode == "tangents" else ())
+    p, span, a, b = F.col("p"), F.col("x1") - F.col("x0"), F.col(f"{matrix}_0"), F.col(f"{matrix}_1")
+    if mode == "hold":
+        mixed = a
+    elif mode == "linear":
+        mixed = F.zip_with(a, b, lambda x, y: x + (y - x) * p)
+    else:
+        mixed = F.zip_with(F.arrays_zip(a.alias("y"), F.col(f"{matrix}_out_0").alias("m")), F.arrays_zip(b.alias("y"), F.col(f"{matrix}_in_1").alias("m")), lambda s, e: blend(p, span, s["y"], e["y"], s["m"], e["m"]))
+    rows = inner.select(series, "t", mixed.alias("__m"))
+    last = F.get("__m", F.lit(8))
+    rows = rows.select(series, "t", F.when(F.abs(last) > 1e-12, F.transform("__m", lambda x: x / last)).otherwise(F.col("__m")).alias(matrix))
+    m = [F.get(matrix, F.lit(i)) for i in range(9)]
+    det = m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+    sound = F.when(F.abs(det) > 1e-12, F.col(matrix)).otherwise(F.raise_error(F.lit("an interpolated matrix is singular")).cast("array<double>"))
+    return rows.select(series, "t", sound.alias(matrix)).unionByName(outside)
+
+
+def curve_extrema(keys: DataFrame, densify, parts: int = 64, order: str = "seq", value: str = "value", series: str = SERIES) -> DataFrame:
+    """(series, least, most) of a curve seen at ``parts`` evenly spaced times of each segment and at its last key; densify(keys, times) gives its values."""
+    w = Window.partitionBy(series).orderBy(order)
+    spans = keys.select(series, F.col(order).alias("a"), F.lead(order).over(w).alias("b"))
+    inside = spans.where("b is not null").select(series, F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / parts)).alias("t"))
+    times = inside.unionByName(spans.where("b is null").select(series, F.col("a").cast("double").alias("t")))
+    return densify(keys, times).groupBy(series).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+@F.pandas_udf(LongType())
+def common_divisor(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.gcd(a.to_numpy(np.int64), b.to_numpy(np.int64)))
+
+
+def retime_curve(keys: DataFrame, source: tuple[int, int], target: tuple[int, int], order: str = "seq", tangents: tuple[str, ...] = (), handles: tuple[str, ...] = ()) -> DataFrame:
+    """keys with their times moved from the source range to the target range, exactly: ``num`` over ``den`` in lowest terms; slopes and handle times follow.
+
+    A source that does not hold a key fails the query.
+    """
+    (a, b), (c, d) = source, target
+    if a >= b or c >= d:
+        raise ValueError("ranges must have a positive length")
+    k = F.when(F.col(order).between(a, b), F.col(order).cast("long")).otherwise(F.raise_error(F.lit("a key lies outside the source range")).cast("long"))
+    num, den = F.lit(c * (b - a)).cast("long") + (k - a) * (d - c), F.lit(b - a).cast("long")
+    rows = keys.withColumns({"num": num, "den": den})
+    rows = rows.withColumn("__g", common_divisor("num", "den"))
+    scale = (d - c) / (b - a)
+    rows = rows.withColumns({"num": (F.col("num") / F.col("__g")).cast("long"), "den": (F.col("den") / F.col("__g")).cast("long")} | {t: F.col(t) / scale for t in tangents} | {h: F.col(h) * scale for h in handles})
+    return rows.drop("__g")
 
 
 def event_timeline(*parts: DataFrame, totals: DataFrame, series: str = SERIES) -> DataFrame:

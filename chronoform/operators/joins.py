@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoform.sources.storage import cut
+
 SERIES, ORDER = "series_id", "seq"
 
 
@@ -24,6 +26,43 @@ def point_in_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, ser
     return rows.join(parts, [series, "__bucket"]).where((F.col(order) >= F.col("start")) & (F.col(order) < F.col("end"))).drop("__bucket")
 
 
+def required_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int = 64) -> DataFrame:
+    """points with the columns of the range that they lie in; a point that lies in none fails the query, as :func:`point_in_range` would lose it."""
+    parts = bucketed(ranges, "start", "end", width).withColumn("__in", F.lit(True))
+    rows = points.withColumn("__bucket", F.floor(F.col(order) / width)).withColumn("__id", F.monotonically_increasing_id())
+    inside = (rows[order] >= F.col("start")) & (rows[order] < F.col("end"))
+    met = rows.alias("p").join(parts.alias("r"), (F.col(f"p.{series}") == F.col(f"r.{series}")) & (F.col("p.__bucket") == F.col("r.__bucket")) & inside, "left")
+    problem = F.concat(F.lit("no range holds "), F.col(f"p.{order}").cast("string"), F.lit(" of series "), F.col(f"p.{series}").cast("string"))
+    held = F.when(F.col("__in"), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    return met.where(held).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in ranges.columns if c != series])
+
+
+def inclusive_overlap(left: DataFrame, right: DataFrame, fps: float, series: str = SERIES, width: int = 256) -> DataFrame:
+    """Pairs of left(first, last in seconds) and right(start, end in frames): the half-even last frame at or after the start, the first before the end.
+
+    Ends count in, so an event that ends on the frame where a range starts belongs to it.
+    """
+    at = lambda c: F.bround(F.col(c) * fps).cast("long")
+    rows = left.withColumns({"start": at("first"), "end": at("last") + 1})
+    named = right.withColumnsRenamed({"start": "start2", "end": "end2"})
+    return interval_overlap(rows, named, series, width).drop("overlap_start", "overlap_end")
+
+
+def remapped_captions(captions: DataFrame, kept: DataFrame, totals: DataFrame, fps: float, series: str = SERIES, width: int = 256) -> DataFrame:
+    """captions(start, end in seconds) cut to kept(start, end, output_start) spans and moved to where the output shows these: (cue_start, cue_duration) in frames.
+
+    A cue starts before the end of totals(series, total) and lasts a frame at least, but not beyond it.
+    """
+    seconds = 1000  # buckets are made of whole milliseconds
+    a = captions.withColumns({"__s": F.col("start"), "__e": F.col("end"), "start": F.floor(F.col("start") * seconds), "end": F.ceil(F.col("end") * seconds)})
+    b = kept.select(series, "output_start", F.col("start").alias("__ks"), F.col("end").alias("__ke"), F.floor(F.col("start") * seconds).alias("start2"), F.ceil(F.col("end") * seconds).alias("end2"))
+    rows = interval_overlap(a, b, series, width * seconds).withColumns({"from": F.greatest("__s", "__ks"), "to": F.least("__e", "__ke")}).where(F.col("to") > F.col("from")).join(totals, series)
+    rows = rows.withColumn("cue_start", F.least(F.col("total") - 1, F.col("output_start") + F.bround((F.col("from") - F.col("__ks")) * fps).cast("long")))
+    length = F.greatest(F.lit(1), F.bround((F.col("to") - F.col("from")) * fps).cast("long"))
+    rows = rows.withColumn("cue_duration", F.greatest(F.lit(1), F.least(length, F.col("total") - F.col("cue_start"))))
+    return rows.drop("__s", "__e", "__ks", "__ke", "start", "end", "start2", "end2", "overlap_start", "overlap_end")
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, width: int = 256) -> DataFrame:
     """Pairs of left(start, end) and right(start2, end2) of a series that overlap, with their intersection.
 
@@ -93,12 +132,30 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame, node: str = "id") -> Data
     return gone("src").unionByName(gone("dst"))
 
 
-def version_chain(edges: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor, steps): everything above the starts, following edges(child, parent), up to a depth. One join a step, ending early."""
-    level = starts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps"))
-    found = level
-    for n in range(1, depth + 1):
-        level = level.join(edges, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(n).alias("steps"))
+def graph_problems(nodes: DataFrame, edges: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(graph, problem, id): ids that a graph has twice, edges that leave it, approved graphs without a version, and in those decisions that are not
+    approved or cannot be undone. nodes(graph, id, approval, n_inverse), edges(graph, src, dst), graphs(graph, state, version).
+    """
+    twice = nodes.groupBy("graph", "id").count().where("count > 1").select("graph", F.lit("repeated id").alias("problem"), "id")
+    known = nodes.select("graph", F.col("id").alias("__k")).distinct()
+    gone = lambda end: edges.alias("e").join(known.alias("k"), (F.col("e.graph") == F.col("k.graph")) & (F.col(f"e.{end}") == F.col("__k")), "left_anti").select("graph", F.lit(f"no {end}").alias("problem"), F.col(end).alias("id"))
+    approved = graphs.where("state = 'approved'")
+    unnamed = approved.where("version is null").join(nodes.select("graph").distinct(), "graph", "left_semi").select("graph", F.lit("no version").alias("problem"), F.lit(None).cast(nodes.schema["id"].dataType).alias("id"))
+    open_ = nodes.where("not (approval <=> 'approved') or coalesce(n_inverse, 0) = 0").join(approved.select("graph"), "graph", "left_semi").select("graph", F.lit("not approved or not reversible").alias("problem"), "id")
+    return twice.unionByName(gone("src")).unionByName(gone("dst")).unionByName(unnamed).unionByName(open_)
+
+
+def version_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, ancestor, steps): everything above the starts, following edges(child, parent), each ancestor once, by the shortest way.
+
+    One join a step, ending when nothing new is found, so a cycle ends too; with ``depth``, after that many steps.
+    """
+    level = cut(starts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps")).distinct())
+    found, n = level, 0
+    while depth is None or n < depth:
+        n += 1
+        step = level.join(edges, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(n).alias("steps")).distinct()
+        level = cut(step.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
         if level.isEmpty():
             break
         found = found.unionByName(level)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoform.functions.scalar import canonical_hash
+from chronoform.functions.scalar import stripped
 
 
 def effective_evidence(evidence: DataFrame) -> DataFrame:
@@ -39,6 +39,18 @@ def lineage_gate(inputs: DataFrame, forbidden: DataFrame, allowed: DataFrame, gr
     return out.withColumn("ok", (F.col("n_forbidden") == 0) & (F.col("n_unknown") == 0))
 
 
+def forbidden_mentions(payloads: DataFrame, forbidden: DataFrame, key: str, text: str, digest: str, length: int = 64) -> DataFrame:
+    """(key, digest): forbidden hashes that stand anywhere in a payload's text, whatever is around them.
+
+    Hashes are hexadecimal of a fixed length, so a text is cut into its runs of such digits and each window of that length meets the hashes by an
+    equi-join; no text is compared with every hash.
+    """
+    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"([0-9a-f]{{{length},}})"), F.lit(1))
+    windows = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - length + 1), lambda i: F.substr(r, i, F.lit(length)))))
+    found = payloads.select(key, F.explode(F.array_distinct(windows)).alias(digest))
+    return found.join(forbidden.select(F.lower(F.col(digest)).alias(digest)).distinct(), digest).select(key, digest)
+
+
 def cache_lookup(requests: DataFrame, jobs: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """requests with the succeeded job of the same key, the last finished (then the largest id); null: a miss."""
     hit = jobs.where("status = 'succeeded'").groupBy(*key).agg(F.max(F.struct("finished_at", "job_id"))["job_id"].alias("cached_job"))
@@ -62,9 +74,10 @@ def proof_join(requirements: DataFrame, receipts: dict[str, DataFrame], key: str
 
 
 def semantic_fingerprint(df: DataFrame, volatile: tuple[str, ...], constants: dict[str, str] | None = None) -> DataFrame:
-    """df with ``fingerprint``: the hash of its columns in order of name, without volatile ones and with references made constant."""
-    fields = [F.lit((constants or {})[c]) if c in (constants or {}) else F.col(c) for c in sorted(df.columns) if c not in volatile]
-    return df.withColumn("fingerprint", canonical_hash(*fields))
+    """df with ``fingerprint``: SHA-256 of its columns as JSON, sorted by name, without volatile fields and with references made constant, at any depth."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+    clean = stripped(whole, df.schema, frozenset(volatile), constants or {})
+    return df.withColumn("fingerprint", F.sha2(F.to_json(clean, {"ignoreNullFields": "false"}), 256))
 
 
 def replay_equivalence(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -50,6 +50,20 @@ def diagnostic_topk(df: DataFrame, residual: str, outlier: str, k: int = 8, orde
     return rows.withColumn("reasons", reasons).where(F.size("reasons") > 0).drop("__first", "__last", "__top")
 
 
+def diagnostic_frames(df: DataFrame, residual: str, outlier: str, phases: DataFrame, available: DataFrame, k: int = 8, order: str = "seq", series: str = SERIES) -> DataFrame:
+    """(series, frame, reasons, available): :func:`diagnostic_topk` with the frames of phases(series, frame), kept within the series, and of each the nearest frame
+    of available(series, frame), the first among equals.
+    """
+    from .joins import nearest_timestamp
+
+    ends = df.groupBy(series).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    marks = phases.join(ends, series).select(series, F.greatest("__lo", F.least("__hi", "frame")).alias("frame"), F.lit("phase").alias("reason"))
+    own = diagnostic_topk(df, residual, outlier, k, order, series).select(series, F.col(order).alias("frame"), F.explode("reasons").alias("reason"))
+    rows = own.unionByName(marks).groupBy(series, "frame").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    near = nearest_timestamp(rows.withColumn("t", F.col("frame").cast("double")), available.select(series, F.col("frame").cast("double").alias("t")).distinct(), "t", series)
+    return near.select(series, "frame", "reasons", F.col("nearest").cast("long").alias("available"))
+
+
 def phase_frames(bounds: DataFrame, *marks: str, series: str = SERIES) -> DataFrame:
     """The marks of each series kept within [lo, hi], distinct and in order."""
     inside = F.array_sort(F.array_distinct(F.array(*[F.least(F.greatest(F.col(m), F.col("lo")), F.col("hi")) for m in marks])))

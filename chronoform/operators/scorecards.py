@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import along, gradient
+
 
 def rmse(df: DataFrame, pairs: dict[str, tuple[Column, Column]], group: str, angular: tuple[str, ...] = ()) -> DataFrame:
     """(group, channel errors): root mean square differences; of angular channels the shortest turn. No row with both values: infinity."""
@@ -22,6 +24,25 @@ def centre_rmse(df: DataFrame, group: str, ex: str, ey: str, ax: str, ay: str) -
     return df.groupBy(group).agg(F.sqrt(F.avg(dx * dx + dy * dy)).alias("centre"))
 
 
+def derivative_rmse(df: DataFrame, position: tuple[tuple[str, str], tuple[str, str]], scale: tuple[str, str], rotation: tuple[str, str], rate: float, group: str = "series_id", order: str = "seq") -> DataFrame:
+    """(group, velocity, acceleration and jerk errors of position, scale and rotation, combined_jerk): by finite differences of expected and actual.
+
+    position has the (x, y) columns of the expected and the actual path, the others (expected, actual); rotation is unwrapped before. The error
+    of position is that of the distance; combined_jerk is the largest of the three. No row: infinity.
+    """
+    w = along(group, order)
+    names = {"ex": position[0][0], "ey": position[0][1], "ax": position[1][0], "ay": position[1][1], "es": scale[0], "as": scale[1], "er": rotation[0], "ar": rotation[1]}
+    rows = df.select(group, order, *[F.col(c).cast("double").alias(f"{k}0") for k, c in names.items()])
+    for n in range(3):
+        rows = rows.withColumns({f"{k}{n + 1}": gradient(f"{k}{n}", rate, w) for k in names})
+    off = lambda a, n: F.col(f"e{a}{n}") - F.col(f"a{a}{n}")
+    root = lambda c: F.coalesce(F.sqrt(F.avg(c)), F.lit(float("inf")))
+    out = []
+    for n, name in enumerate(("velocity", "acceleration", "jerk"), 1):
+        out += [root(off("x", n) * off("x", n) + off("y", n) * off("y", n)).alias(f"{name}_position"), root(off("s", n) * off("s", n)).alias(f"{name}_scale"), root(off("r", n) * off("r", n)).alias(f"{name}_rotation")]
+    return rows.groupBy(group).agg(*out).withColumn("combined_jerk", F.greatest("jerk_position", "jerk_scale", "jerk_rotation"))
+
+
 GRID9 = tuple((x, y) for y in (0.0, 0.5, 1.0) for x in (0.0, 0.5, 1.0))
 GRID5 = ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.5, 0.5))
 
@@ -52,6 +73,20 @@ def threshold_checks(metrics: DataFrame, criteria: dict[str, tuple[str, float]],
     return rows.select(key, "metric", "value", "limit", F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status"))
 
 
+#: Limits that hold where no criterion is given.
+DEFAULT_CRITERIA = {"scale_rmse": ("max", 0.03), "rotation_rmse_degrees": ("max", 0.30), "center_rmse_normalized": ("max", 0.015), "vmaf_mean": ("min", 80.0), "ssim_all": ("min", 0.90)}
+
+
+def criteria_checks(metrics: DataFrame, criteria: DataFrame, key: str, defaults: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+    """(key, metric, value, limit, status): metrics in columns against criteria(key, metric, limit); a metric without one has its default limit."""
+    defaults = defaults or DEFAULT_CRITERIA
+    own = criteria.groupBy(key, "metric").agg(F.max("limit").alias("__own"))
+    parts = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(kind).alias("kind"), F.lit(float(limit)).alias("__default")) for m, (kind, limit) in defaults.items() if m in metrics.columns]
+    rows = metrics.select(key, F.inline(F.array(*parts))).join(own, [key, "metric"], "left").withColumn("limit", F.coalesce("__own", "__default"))
+    ok = F.when(F.col("kind") == "min", F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit"))
+    return rows.select(key, "metric", "value", "limit", F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status"))
+
+
 def overall_status(checks: DataFrame, key: str, warn_is_ok: bool = False) -> DataFrame:
     """(key, status, n): fail if any check fails, warn if any warns or is skipped, else pass; with warn_is_ok, warnings pass."""
     grade = F.when(F.col("status") == "fail", 2).when(F.col("status").isin("warn", "skip"), 0 if warn_is_ok else 1).otherwise(0)
@@ -100,6 +135,48 @@ def boundary_scorecard(truth: DataFrame, detected: DataFrame, matches: DataFrame
     return rows.select(series, "n_truth", "n_detected", "n_matched", precision.alias("precision"), recall.alias("recall"), F.coalesce("mean_error", F.lit(0.0)).alias("mean_error"))
 
 
+#: Transitions that part no shots, and the confidence that others need to do so.
+NO_SPLIT, SPLIT_CONFIDENCE = ("flash", "continuous"), 0.55
+
+
+def full_scorecard(
+    totals: DataFrame, truth: DataFrame, detected: DataFrame, short: DataFrame, samples: DataFrame, unresolved: DataFrame, labels: DataFrame, observed: DataFrame, audio_truth: DataFrame, audio: DataFrame, series: str = "series_id"
+) -> DataFrame:
+    """The ten metrics of each series of totals(series, total): precision, recall, mean_error, type_accuracy, short_recall, duplicate_reduction,
+    unresolved_ratio, audio_coverage, label_error and accent_error.
+
+    truth(frame, tolerance, type, splits, label), detected(frame, type, confidence), short(start, end), samples(frame, kept),
+    unresolved(start, end), labels(label), observed(label), audio_truth(kind), audio(kind, frame). Precision and recall are of true splits against detections that part
+    shots; the type is judged over all of both. Nothing wanted counts as reached; an accent error is measured from the boundary whose label ends in
+    ``boundary``, and is the whole range if there is no accent.
+    """
+    from .joins import exists_in_range
+
+    splits = detected.where(~F.col("type").isin(*NO_SPLIT) & (F.col("confidence") >= SPLIT_CONFIDENCE))
+    split_truth = truth.where("splits")
+    card = boundary_scorecard(split_truth, splits, match_within_tolerance(split_truth, splits.select(series, "frame"), series), series).select(series, "n_truth", "n_detected", "precision", "recall", "mean_error")
+    every = match_within_tolerance(truth, detected.select(series, "frame"), series).where("detected_frame is not null")
+    kinds = truth.select(series, "frame", F.col("type").alias("__t")).join(every, [series, "frame"]).join(detected.select(series, F.col("frame").alias("detected_frame"), F.col("type").alias("__d")), [series, "detected_frame"])
+    right = kinds.groupBy(series).agg(F.sum((F.col("__t") == F.col("__d")).cast("long")).alias("__right"))
+    n_all = truth.groupBy(series).agg(F.count("*").alias("__all"))
+    seen = exists_in_range(short, samples.where("kept"), series, "frame").groupBy(series).agg(F.avg(F.col("found").cast("double")).alias("short_recall"))
+    dropped = samples.groupBy(series).agg(F.avg((~F.col("kept")).cast("double")).alias("duplicate_reduction"))
+    lost = unresolved.groupBy(series).agg(F.sum(F.col("end") - F.col("start")).alias("__lost"))
+    reached = lambda wanted, there, c, out: wanted.select(series, c).distinct().join(there.select(series, c).distinct().withColumn("__there", F.lit(1.0)), [series, c], "left").groupBy(series).agg(F.avg(F.coalesce("__there", F.lit(0.0))).alias(out))
+    mark = truth.where(F.col("label").endswith("boundary")).groupBy(series).agg(F.min("frame").alias("__mark"))
+    accents = audio.where("kind = 'accent'").join(mark, series).groupBy(series).agg(F.min(F.abs(F.col("frame") - F.col("__mark"))).cast("double").alias("__accent"))
+    rows = totals
+    for part in (card, right, n_all, seen, dropped, lost, reached(labels, observed, "label", "__labels"), reached(audio_truth, audio, "kind", "audio_coverage"), mark, accents):
+        rows = rows.join(part, series, "left")
+    one, none = F.lit(1.0), F.lit(0.0)
+    return rows.select(
+        series, F.coalesce("precision", one).alias("precision"), F.coalesce("recall", one).alias("recall"), F.coalesce("mean_error", none).alias("mean_error"),
+        F.coalesce(F.coalesce("__right", F.lit(0)) / F.col("__all"), one).alias("type_accuracy"), F.coalesce("short_recall", one).alias("short_recall"), F.coalesce("duplicate_reduction", none).alias("duplicate_reduction"),
+        (F.coalesce("__lost", F.lit(0)) / F.col("total")).alias("unresolved_ratio"), F.coalesce("audio_coverage", one).alias("audio_coverage"), F.coalesce(1 - F.col("__labels"), none).alias("label_error"),
+        F.when(F.col("__mark").isNull(), 0.0).otherwise(F.coalesce("__accent", F.col("total").cast("double"))).alias("accent_error"),
+    )
+
+
 def aggregate_scorecard(cases: DataFrame, group: str, fixture: str, profile: str, preferred: str = "structural") -> DataFrame:
     """(group, n, precision, recall, reduction, coverage): one case a fixture, the preferred profile's if any; micro from counts, mean and minimum."""
     rest = F.struct("matched", "detected", "truth", "reduction", "coverage")
@@ -116,6 +193,22 @@ def coverage_report(segments: DataFrame, samples_in: DataFrame, totals: DataFram
     return totals.join(per, series, "left").join(lost, series, "left").select(series, (1 - F.coalesce("lost", F.lit(0)) / F.col("total")).alias("ratio"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("n_empty", F.lit(0)).alias("n_empty"))
 
 
+def coverage_checks(gap_rows: DataFrame, protected: DataFrame, totals: DataFrame, series: str = "series_id") -> DataFrame:
+    """(series, n_gaps, gaps_overlap, outside, n_protected): whether gaps overlap one another or leave [0, total), and how many samples are protected."""
+    w = Window.partitionBy(series).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    rows = gap_rows.withColumn("__reach", F.max("end").over(w)).join(totals, series)
+    found = rows.groupBy(series).agg(F.count("*").alias("n_gaps"), F.max(F.coalesce(F.col("__reach") > F.col("start"), F.lit(False))).alias("gaps_overlap"), F.max((F.col("start") < 0) | (F.col("end") > F.col("total"))).alias("outside"))
+    ids = protected.groupBy(series).agg(F.count_distinct("sample_id").alias("n_protected"))
+    no = F.lit(False)
+    return totals.select(series).join(found, series, "left").join(ids, series, "left").select(series, F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("gaps_overlap", no).alias("gaps_overlap"), F.coalesce("outside", no).alias("outside"), F.coalesce("n_protected", F.lit(0)).alias("n_protected"))
+
+
+def manifest_order(rows: DataFrame, group: str, key: str, place: str, time: str) -> DataFrame:
+    """(group, chronological, unique_ids): times never go back in order of place, and no id is there twice."""
+    back = rows.withColumn("__back", F.col(time) < F.lag(time).over(Window.partitionBy(group).orderBy(place)))
+    return back.groupBy(group).agg((F.max(F.coalesce("__back", F.lit(False)).cast("int")) == 0).alias("chronological"), (F.count_distinct(key) == F.count("*")).alias("unique_ids"))
+
+
 def manifest_counts(rows: DataFrame, group: str, key: str, duplicate_of: str) -> DataFrame:
     """(group, n, n_kept, n_duplicate, n_dangling): duplicates must point to a row of the group."""
     there = rows.select(group, F.col(key).alias(duplicate_of), F.lit(1).alias("__there"))
@@ -131,6 +224,12 @@ def confidence_rollup(parts: DataFrame, series: str, dimension: str, confidence:
     return out.withColumn("overall", F.least(*dimensions))
 
 
+def structure_confidence(all_series: DataFrame, segments: DataFrame, transitions: DataFrame, series: str = "series_id") -> DataFrame:
+    """(series, confidence): the mean over segments and transitions together; 1 for a series with neither."""
+    both = segments.select(series, "confidence").unionByName(transitions.select(series, "confidence"))
+    return all_series.select(series).distinct().join(both.groupBy(series).agg(F.avg("confidence").alias("confidence")), series, "left").select(series, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
 def completeness_status(coverage: DataFrame, series: str, needed: dict[str, float], unresolved: str) -> DataFrame:
     """(series, reasons, status): complete if every dimension is covered as needed and nothing is unresolved."""
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0.0)) < least, F.lit(f"{c} below {least}")) for c, least in needed.items()], F.when(F.col(unresolved) > 0, F.lit("unresolved"))))
@@ -144,16 +243,34 @@ def hypothesis_gates(rows: DataFrame, series: str, valid: Column, least: int = 2
 
 
 def phase_model(rows: DataFrame, series: str, model: str) -> DataFrame:
-    """(series, model, twist): unknown or perspective where their shares say so, else the most frequent; twist is the perspective share."""
-    out = rows.groupBy(series).agg(F.avg((F.col(model) == "homography").cast("double")).alias("twist"), F.avg((F.col(model) == "unknown").cast("double")).alias("u"), F.avg((F.col(model) == "affine").cast("double")).alias("a"))
-    return out.select(series, F.when(F.col("u") >= 0.20, "unknown").when(F.col("twist") >= 0.25, "homography").when(F.col("a") >= 0.5, "affine").otherwise("similarity").alias("model"), "twist")
+    """(series, model, perspective): unknown or perspective where their shares say so, else the most frequent, the first by name among equals."""
+    counts = rows.groupBy(series, model).agg(F.count("*").alias("n"))
+    agg = counts.groupBy(series).agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col(model) == "homography", F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(F.col(model) == "unknown", F.col("n"))), F.lit(0)).alias("u"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(model).alias("m"))))[0]["m"].alias("most"),
+    )
+    share = F.col("p") / F.col("total")
+    return agg.select(series, F.when(share >= 0.25, "homography").when(F.col("u") / F.col("total") >= 0.20, "unknown").otherwise(F.col("most")).alias("model"), share.alias("perspective"))
+
+
+def twist_candidates(rows: DataFrame, coupling: DataFrame, series: str, model: str) -> DataFrame:
+    """(series, explanation, twist): why a series turns as it does, and how much of a twist that is.
+
+    coupling(series, explanation, max_offset, deviation, confidence) as of ``similarity_coupling``; perspective and unknown shares go before
+    its explanation.
+    """
+    shares = rows.groupBy(series).agg(F.avg((F.col(model) == "homography").cast("double")).alias("__p"), F.avg((F.col(model) == "unknown").cast("double")).alias("__u"))
+    out = shares.join(coupling, series)
+    explanation = F.when(F.col("__p") >= 0.25, "perspective with coupled rotation").when(F.col("__u") >= 0.20, "structured residual or local warp").otherwise(F.col("explanation"))
+    twist = F.col("confidence") * F.least(F.lit(1.0), F.abs(F.col("max_offset")) / 0.20 + F.col("deviation") / 0.02)
+    return out.select(series, explanation.alias("explanation"), twist.alias("twist"))
 
 
 def paired_diagnostics(pairs: DataFrame, group: str, reference: str, candidate: str, order: str = "seq") -> DataFrame:
     """(group, means, black, sharpness, mae, rmse): rasters of a candidate against those of a reference, errors weighted by element count."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     mean = lambda c: total(F.col(c)) / F.size(c)
-    rough = lambda c: total(F.zip_with(F.slice(c, 2, 10**6), F.slice(F.col(c), F.lit(1), F.size(c) - 1), lambda a, b: F.abs(a - b)))
+    rough = lambda c: total(F.zip_with(F.slice(F.col(c), F.lit(2), F.size(c) - 1), F.slice(F.col(c), F.lit(1), F.size(c) - 1), lambda a, b: F.abs(a - b)))
     rows = pairs.withColumns({
         "__r": mean(reference), "__c": mean(candidate), "__sharp": rough(candidate) / F.greatest(F.lit(1e-9), rough(reference)), "__n": F.size(reference),
         "__abs": total(F.zip_with(reference, candidate, lambda a, b: F.abs(a - b))), "__sq": total(F.zip_with(reference, candidate, lambda a, b: (a - b) * (a - b))),
@@ -175,6 +292,26 @@ def corpus_diversity(cases: DataFrame, group: str, digest: str, aspect: str, kin
     return cases.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(digest).alias("n_unique"), F.min(aspect).alias("min_aspect"), F.max(aspect).alias("max_aspect"), missing.alias("n_missing"))
 
 
+def corpus_replay(cases: DataFrame, replayed: DataFrame, group: str, case: str, digest: str) -> DataFrame:
+    """(group, n, n_equal, n_only, replay_equal): whether a second run made the same digests for the same cases."""
+    b = replayed.select(group, case, F.col(digest).alias("__d"), F.lit(1).alias("__b"))
+    rows = cases.select(group, case, digest, F.lit(1).alias("__a")).join(b, [group, case], "full_outer")
+    same = F.col(digest).eqNullSafe(F.col("__d")) & F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    out = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(same.cast("long")).alias("n_equal"), F.sum((F.col("__a").isNull() | F.col("__b").isNull()).cast("long")).alias("n_only"))
+    return out.withColumn("replay_equal", F.col("n") == F.col("n_equal"))
+
+
+def contract_extrema(rows: DataFrame, series: str, order: str, centre: tuple[str, str], pivot: tuple[str, str], at: tuple[float, float], expected: str, actual: str) -> DataFrame:
+    """(series, max_center_step, max_matrix_error, max_pivot_deviation): the largest move of the centre between neighbouring rows, difference of an
+    element of the expected and the actual matrix (arrays of 9), and distance of the pivot from where it should be.
+    """
+    w = Window.partitionBy(series).orderBy(order)
+    x, y = F.col(centre[0]), F.col(centre[1])
+    steps = rows.withColumn("__step", F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)))
+    off = F.array_max(F.zip_with(expected, actual, lambda a, b: F.abs(a - b)))
+    return steps.groupBy(series).agg(F.coalesce(F.max("__step"), F.lit(0.0)).alias("max_center_step"), F.max(off).alias("max_matrix_error"), F.max(F.hypot(F.col(pivot[0]) - at[0], F.col(pivot[1]) - at[1])).alias("max_pivot_deviation"))
+
+
 def step_extrema(rows: DataFrame, series: str, order: str, *channels: str) -> DataFrame:
     """(series, the largest step of each channel between neighbouring rows)."""
     w = Window.partitionBy(series).orderBy(order)
@@ -185,3 +322,9 @@ def step_extrema(rows: DataFrame, series: str, order: str, *channels: str) -> Da
 def requirement_index(cases: DataFrame, case: str, tags: Column) -> DataFrame:
     """(tag, n, first, last): cases by tag. The list of a tag is left exploded (tag, case) upstream; here its size and ends."""
     return cases.select(F.explode(tags).alias("tag"), F.col(case).alias("c")).groupBy("tag").agg(F.count_distinct("c").alias("n"), F.min("c").alias("first"), F.max("c").alias("last"))
+
+
+def requirement_postings(cases: DataFrame, case: str, tags: Column, span: int = 10_000) -> DataFrame:
+    """(tag, part, ids): the sorted, distinct ids of the cases of each tag, in parts by range of id, so no list is longer than ``span``."""
+    rows = cases.select(F.explode(tags).alias("tag"), F.col(case).alias("c"))
+    return rows.groupBy("tag", F.floor(F.col("c") / span).alias("part")).agg(F.array_sort(F.collect_set("c")).alias("ids"))

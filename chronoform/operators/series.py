@@ -22,17 +22,23 @@ def whole(series: str = SERIES) -> WindowSpec:
 
 
 def adjacent_deltas(samples: DataFrame, vector: str = "x", width: int = 8, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """Change of each raster against the one before: mean absolute difference, change of mean and left-right asymmetry; 0 for the first."""
+    """Change of each raster against the one before: mean absolute difference, change of mean, of edges and left-right asymmetry; 0 for the first.
+
+    The change of edges is the mean absolute difference of the horizontal neighbour differences.
+    """
     prev = F.lag(vector).over(along(series, order))
     diff = F.zip_with(F.col(vector), F.col("prev"), lambda a, b: F.abs(a - b))
     avg = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
     df = samples.withColumn("prev", prev).withColumn("diff", diff)
+    across = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - 2), lambda i: F.abs(F.get(xs, i + 1) - F.get(xs, i)) * (i % width != width - 1).cast("double"))
+    edges = F.zip_with(across(F.col(vector)), across(F.col("prev")), lambda a, b: F.abs(a - b))
     left, right = F.filter("diff", lambda x, i: i % width < width // 2), F.filter("diff", lambda x, i: i % width >= width // 2)
     return df.select(
         series,
         order,
         F.coalesce(avg(F.col("diff")), F.lit(0.0)).alias("pixel_change"),
         F.coalesce(F.abs(avg(F.col(vector)) - avg(F.col("prev"))), F.lit(0.0)).alias("luminance_change"),
+        F.when(F.col("prev").isNull(), 0.0).otherwise(F.aggregate(edges, F.lit(0.0), lambda s, x: s + x) / (F.size(vector) - F.size(vector) / width)).alias("edge_change"),
         F.when(F.col("prev").isNull(), 0.0).otherwise(F.least(F.lit(1.0), 4 * F.abs(avg(left) - avg(right)))).alias("asymmetry"),
     )
 
@@ -177,7 +183,9 @@ def hampel(df: DataFrame, half: int = 2, sigma: float = 3.5, value: str = VALUE,
     return df.withColumn("filtered", F.when(~F.col("outlier"), F.col(value)).otherwise(F.coalesce(between, F.col("__a.x"), F.col("__b.x"), F.col(value)))).drop("__n", "__med", "__near", "__range", "__a", "__b")
 
 
-CURVES = ("linear", "ease_in", "ease_out", "ease_in_out", "hermite", "overshoot", "settle")
+CURVES = ("linear", "ease_in", "ease_out", "ease_in_out", "cubic_bezier", "hermite", "overshoot", "settle")
+#: Control points of the Bezier easing.
+BEZIER = (0.18, 0.82, 0.38, 1.0)
 
 
 def classify_curve(df: DataFrame, value: str = VALUE, curves: tuple = CURVES, series: str = SERIES, order: str = ORDER) -> DataFrame:
@@ -185,13 +193,16 @@ def classify_curve(df: DataFrame, value: str = VALUE, curves: tuple = CURVES, se
 
     Fewer than 4 rows: underdetermined; start and end equal: hold. One aggregation; the curves are columns, not rows.
     """
-    from chronoform.functions.scalar import easing
+    from chronoform.functions.scalar import bezier_easing, easing
 
     w = along(series, order)
     first, last = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = df.withColumns({"a": first, "b": last, "p": (F.row_number().over(w) - 1) / (F.count("*").over(whole(series)) - 1)})
     rows = rows.withColumn("y", F.when(F.abs(F.col("b") - F.col("a")) >= 1e-8, (F.col(value) - F.col("a")) / (F.col("b") - F.col("a"))))
-    errors = [F.sqrt(F.avg(F.pow(F.col("y") - easing(c, F.col("p")), F.lit(2.0)))).alias(f"__{c}") for c in curves]
+    if "cubic_bezier" in curves:
+        rows = rows.withColumn("__bezier", bezier_easing(*BEZIER)(F.col("p")))
+    eased = lambda c: F.col("__bezier") if c == "cubic_bezier" else easing(c, F.col("p"))
+    errors = [F.sqrt(F.avg(F.pow(F.col("y") - eased(c), F.lit(2.0)))).alias(f"__{c}") for c in curves]
     out = rows.groupBy(series).agg(F.count("*").alias("n"), F.max(F.abs(F.col("b") - F.col("a"))).alias("delta"), *errors)
     ranked = F.array_sort(F.array(*[F.struct(F.col(f"__{c}").alias("error"), F.lit(i).alias("i"), F.lit(c).alias("curve")) for i, c in enumerate(curves)]))
     out = out.withColumn("ranked", ranked)
@@ -239,6 +250,20 @@ def overshoot(df: DataFrame, value: str = VALUE, tolerance: float | None = None,
     return agg.select(series, ((below > 0) | (above > 0)).alias("overshoot"), below.alias("below"), above.alias("above"))
 
 
+def path_overshoot(df: DataFrame, x: str, y: str, scale: str, rotation: str, scale_slack: float, rotation_slack: float, centre_slack: float, series: str = SERIES, order: str = ORDER) -> DataFrame:
+    """(series, by_scale, by_rotation, by_centre, overshoot): whether scale or rotation leave the band between their ends, or the centre's progress
+    along the line between its ends leaves [0, 1], each by more than its slack. A path that ends where it starts makes no progress.
+    """
+    ends = F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(scale).alias("s"), F.col(rotation).alias("r"))
+    agg = df.groupBy(series).agg(F.min(ends).alias("a"), F.max(ends).alias("b"), F.min(scale).alias("s0"), F.max(scale).alias("s1"), F.min(rotation).alias("r0"), F.max(rotation).alias("r1"))
+    agg = agg.withColumns({"dx": F.col("b.x") - F.col("a.x"), "dy": F.col("b.y") - F.col("a.y")}).withColumn("norm", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    along_line = F.when(F.col("norm") > 1e-12, ((F.col(x) - F.col("a.x")) * F.col("dx") + (F.col(y) - F.col("a.y")) * F.col("dy")) / F.col("norm")).otherwise(0.0)
+    far = df.select(series, x, y).join(agg.select(series, "a", "dx", "dy", "norm"), series).withColumn("__p", along_line).groupBy(series).agg(F.min("__p").alias("p0"), F.max("__p").alias("p1"))
+    out = lambda k, slack: (F.col(f"{k}0") < F.least(f"a.{k}", f"b.{k}") - slack) | (F.col(f"{k}1") > F.greatest(f"a.{k}", f"b.{k}") + slack)
+    rows = agg.join(far, series).select(series, out("s", scale_slack).alias("by_scale"), out("r", rotation_slack).alias("by_rotation"), ((F.col("p0") < -centre_slack) | (F.col("p1") > 1 + centre_slack)).alias("by_centre"))
+    return rows.withColumn("overshoot", F.col("by_scale") | F.col("by_rotation") | F.col("by_centre"))
+
+
 def monotonicity(df: DataFrame, value: str = VALUE, tolerance: float = 0.005, series: str = SERIES, order: str = ORDER) -> DataFrame:
     """(series, direction, ratio): increasing, decreasing or none, and the share of steps that go one way within the tolerance."""
     step = df.withColumn("d", F.col(value) - F.lag(value).over(along(series, order)))
@@ -257,6 +282,29 @@ def motion_summary(df: DataFrame, mean: str, p95: str, residual: str, found: str
     return agg.withColumns({"motion_class": kind, "confidence": clamp(0.55 + 0.35 * F.col("found"), 0.25, 0.98)})
 
 
+#: Offsets from which a median speaks for a movement of the camera.
+HYPOTHESES = (("pan", "dx", 0.0, 0.0005), ("tilt", "dy", 0.0, 0.0005), ("zoom", "scale", 1.0, 0.0005), ("rotation", "rotation", 0.0, 0.03))
+
+
+def camera_hypotheses(df: DataFrame, found: str, segment_id: str = "segment", series: str = SERIES) -> DataFrame:
+    """(series, segment, hypotheses): movements whose median over the rows with a transform is off by enough. df has dx, dy, scale and rotation."""
+    medians = [F.median(F.when(F.col(found), F.col(c))).alias(f"__{name}") for name, c, _, _ in HYPOTHESES]
+    out = df.groupBy(series, segment_id).agg(*medians)
+    return out.select(series, segment_id, F.array_compact(F.array(*[F.when(F.abs(F.col(f"__{name}") - rest) >= least, name) for name, _, rest, least in HYPOTHESES])).alias("hypotheses"))
+
+
+def quarter_phases(df: DataFrame, segments: DataFrame, magnitude: str, segment_id: str = "segment", series: str = SERIES, order: str = ORDER) -> DataFrame:
+    """(series, segment, role, start, end, confidence): the quarters of segments(start, end) of 4 rows or more; the peak is surer if the largest magnitude lies in it."""
+    top = df.groupBy(series, segment_id).agg((-F.max(F.struct(F.col(magnitude), (-F.col(order)).alias("o")))["o"]).alias("__at"))
+    rows = segments.where(F.col("end") - F.col("start") >= 4).join(top, [series, segment_id], "left")
+    d = F.col("end") - F.col("start")
+    points = [F.col("start"), F.col("start") + F.floor(d / 4), F.col("start") + F.floor(d / 2), F.col("start") + F.floor(3 * d / 4), F.col("end")]
+    phase = lambda role, a, b: F.struct(F.lit(role).alias("role"), a.cast("long").alias("start"), b.cast("long").alias("end"))
+    rows = rows.select(series, segment_id, "__at", F.inline(F.array(*[phase(r, a, b) for r, a, b in zip(("onset", "development", "peak", "settle"), points, points[1:], strict=False)])))
+    sure = (F.col("role") == "peak") & (F.col("__at") >= F.col("start")) & (F.col("__at") < F.col("end"))
+    return rows.select(series, segment_id, "role", "start", "end", F.when(sure, 0.8).otherwise(0.65).alias("confidence"))
+
+
 def dominant_model(df: DataFrame, model: str = "kind", series: str = SERIES, order: str = ORDER, unknown: str = "unknown") -> DataFrame:
     """(series, model, mismatch): unknown if a quarter of the rows are; else the most frequent known one, the first seen among equals."""
     counts = df.groupBy(series, model).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
@@ -316,6 +364,22 @@ def binding_continuity(rows: DataFrame, spec: str, ord_: str, group: str, start:
     return checked.where("gap or speed_jump or wrong_duration")
 
 
+def focus_breaks(rows: DataFrame, spec: str, ord_: str, group: str, focus_start: str, focus_end: str) -> DataFrame:
+    """Rows whose focus does not begin where that of the row before ends, if both are of the same continuity group."""
+    w = Window.partitionBy(spec).orderBy(ord_)
+    same = F.col(group) == F.lag(group).over(w)
+    return rows.withColumn("__broken", F.coalesce(same & ~F.col(focus_start).eqNullSafe(F.lag(focus_end).over(w)), F.lit(False))).where("__broken").drop("__broken")
+
+
+def order_breaks(rows: DataFrame, spec: str, ord_: str, part: str, segment_order: str) -> DataFrame:
+    """Rows whose segment order does not count from one within each run of rows of the same part."""
+    w = Window.partitionBy(spec).orderBy(ord_)
+    new = ~F.col(part).eqNullSafe(F.lag(part).over(w)) | (F.row_number().over(w) == 1)
+    runs = rows.withColumn("__new", new.cast("long")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.withColumn("expected", F.row_number().over(Window.partitionBy(spec, "__run").orderBy(ord_)))
+    return runs.where(F.col(segment_order) != F.col("expected")).drop("__new", "__run")
+
+
 def group_reappears(rows: DataFrame, spec: str, ord_: str, group: str) -> DataFrame:
     """(spec, group): groups whose rows are not together in the order."""
     w = Window.partitionBy(spec).orderBy(ord_)
@@ -329,6 +393,12 @@ def study_deltas(passes: DataFrame, study: str, pass_: str, metric: str, value:
     return passes.withColumn("delta", F.col(value) - F.lag(value).over(w))
 
 
+def same_candidates(passes: DataFrame, study: str, pass_: str, candidate: str) -> DataFrame:
+    """passes with ``same``: whether the candidate is that of the pass before; false for the first."""
+    w = Window.partitionBy(study).orderBy(pass_)
+    return passes.withColumn("same", F.coalesce(F.col(candidate) == F.lag(candidate).over(w), F.lit(False)))
+
+
 def selection_gate(passes: DataFrame, study: str, selected: Column, passed: Column) -> DataFrame:
     """(study, n_selected, ok): exactly one selected pass, and it passes."""
     return passes.groupBy(study).agg(F.sum(selected.cast("long")).alias("n_selected"), F.sum((selected & passed).cast("long")).alias("__ok")).select(study, "n_selected", ((F.col("n_selected") == 1) & (F.col("__ok") == 1)).alias("ok"))

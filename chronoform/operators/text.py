@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import numpy as np
 import pandas as pd
@@ -67,20 +68,31 @@ def split_script(scripts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return beats.select(key, "ordinal", role.alias("role"), kind.alias("kind"), seconds.alias("seconds"), "beat")
 
 
+# The words of commands, English and Russian; each is found within longer words too.
+COMMAND_WORDS = {
+    "background": ("background", "фон"), "white": ("white", "бел"), "black": ("black", "черн"), "duration": ("duration", "длительность", "длительности", "длительност"), "speed": ("speed", "скорость", "скорости", "скорост"),
+    "to": ("to", "до", "="), "enable": ("enable", "включи"), "disable": ("disable", "exclude", "отключи"), "pin": ("pin ", "pin:", "закрепи"), "unpin": ("unpin", "открепи"),
+}
+
+
+def amount_after(low: Column, words: tuple[str, ...]) -> Column:
+    """The number that follows the first of the words that has one, after a blank, with or without a word that leads to it."""
+    escaped = lambda xs: "|".join(re.escape(x) for x in xs)
+    found = F.regexp_extract(low, rf"(?:{escaped(words)})(?:\s+(?:{escaped(COMMAND_WORDS['to'])}))?\s+([0-9]+(?:[.,][0-9]+)?)", 1)
+    return F.regexp_replace(found, ",", ".").try_cast("double")
+
+
 def tag_commands(df: DataFrame, text: str, fps: float = 25.0, fastest: float = 100.0) -> DataFrame:
-    """df with ``intents`` (name:value, in rule order) and ``error`` for commands that ask for what cannot be."""
+    """df with ``intents`` (name:value, in rule order) and ``error`` for commands, English or Russian, that ask for what cannot be."""
     low = F.lower(F.col(text))
-    number = lambda m: F.regexp_replace(m, ",", ".").try_cast("double")
-    background = low.contains("background") | low.contains("фон")
+    says = lambda name: any_of([low.contains(w) for w in COMMAND_WORDS[name]])
     hexed = F.lower(F.regexp_extract(F.col(text), r"(#[0-9a-fA-F]{6})", 1))
-    color = F.when(hexed != "", hexed).when(low.contains("white") | low.contains("бел"), "#ffffff").when(low.contains("black") | low.contains("черн"), "#000000")
-    seconds = number(F.regexp_extract(low, r"duration(?:\s+(?:to|=))?\s+(\d+(?:[.,]\d+)?)", 1))
-    rate = number(F.regexp_extract(low, r"speed(?:\s+(?:to|=))?\s+(\d+(?:[.,]\d+)?)\s*x?", 1))
-    on, off = low.contains("enable"), low.contains("disable") | low.contains("exclude")
-    pin, unpin = low.contains("pin ") | low.contains("pin:"), low.contains("unpin")
+    color = F.when(hexed != "", hexed).when(says("white"), "#ffffff").when(says("black"), "#000000")
+    seconds, rate = amount_after(low, COMMAND_WORDS["duration"]), amount_after(low, COMMAND_WORDS["speed"])
+    background, on, off, pin, unpin = map(says, ("background", "enable", "disable", "pin", "unpin"))
     intents = F.array_compact(F.array(
         F.when(background, F.concat(F.lit("background:"), color)), F.when(seconds > 0, F.concat(F.lit("duration:"), F.greatest(F.lit(1), F.bround(seconds * fps).cast("long")).cast("string"))), F.when(rate.between(0.5, fastest), F.concat(F.lit("speed:"), F.format_number(rate, 2))),
-        F.when(on | off, F.concat(F.lit("enabled:"), (on & ~off).cast("string"))), F.when(pin | unpin, F.concat(F.lit("pinned:"), (~unpin).cast("string"))),
+        F.when(on | off, F.concat(F.lit("enabled:"), (on & ~off).cast("string"))), F.when(pin | unpin, F.concat(F.lit("pinned:"), (pin & ~unpin).cast("string"))),
     ))
     error = F.when(F.trim(F.col(text)) == "", "empty").when(background & color.isNull(), "background needs a colour").when(seconds <= 0, "duration must be positive").when(~rate.between(0.5, fastest), "speed out of range").when(F.size(intents) == 0, "no rule matched")
     return df.withColumns({"intents": intents, "error": error})
@@ -124,3 +136,22 @@ def recurring_terms(docs: DataFrame, group: str, key: str, text: str = "text", s
     words = docs.select(group, key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("term")).where(F.length("term") >= shortest)
     counts = words.groupBy(group, "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("term"))).where(F.col("place") <= first)
+
+
+def recurring_motifs(docs: DataFrame, events: DataFrame, group: str, key: str, text: str = "text", shortest: int = 5, least: int = 2, first: int = 20) -> DataFrame:
+    """(group, motif, n): words of at least ``shortest`` letters that occur in ``least`` documents or more of a group, within longer words too, and accents
+    that come so often; the first by name.
+
+    events(group, kind). A word holds no blank, so it occurs in a document where it occurs in one of its words: words meet by five of their
+    letters, and no document is searched for every word.
+    """
+    words = docs.select(group, key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("word")).where(F.length("word") >= shortest)
+    distinct = words.select(group, "word").distinct()
+    terms = distinct.select(group, F.col("word").alias("term"), F.left("word", F.lit(shortest)).alias("__g"))
+    tails = distinct.select(group, "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - shortest + 1), lambda i: F.substr("word", i))).alias("__tail")).withColumn("__g", F.left("__tail", F.lit(shortest)))
+    held = tails.join(terms, [group, "__g"]).where(F.startswith("__tail", "term")).select(group, "term", "word").distinct()
+    counts = held.join(words, [group, "word"]).groupBy(group, "term").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= least)
+    motifs = counts.select(group, F.concat(F.lit("recurring visual term: "), "term").alias("motif"), "n")
+    accents = events.where(F.col("kind").isin("accent", "onset")).groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    motifs = motifs.unionByName(accents.select(group, F.concat(F.lit("recurring audio accents: "), F.col("n").cast("string")).alias("motif"), "n"))
+    return motifs.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("motif"))).where(F.col("place") <= first)

@@ -66,7 +66,7 @@ def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: st
     """
     xs = F.col("x")
     size = F.transform(xs, F.abs)
-    rough = scalar.pairwise(F.slice(xs, 2, 10**6), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda p, q: F.abs(p - q)) / F.size(xs)
+    rough = scalar.pairwise(F.slice(xs, F.lit(2), F.size(xs) - 1), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda p, q: F.abs(p - q)) / F.size(xs)
     bits = F.aggregate(scalar.dhash_bits(xs, 8, 8), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(v.cast("long")))
     rows = df.select(series, order, F.col(vector).alias("x")).withColumn("m", scalar.mean(xs))
     rows = rows.withColumns({"rough": rough, "bits": bits, "root": F.transform(size, F.sqrt), "sum": scalar.total(size), "var": scalar.total(F.transform(xs, lambda v: (v - F.col("m")) * (v - F.col("m")))) / F.size(xs)})

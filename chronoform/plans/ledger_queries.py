@@ -85,11 +85,9 @@ def a9_compatibility_report(spark: SparkSession, d: str) -> DataFrame:
     return E.compatibility_report(parts, support, "document", "effect").select("document", "effect", "support")
 
 
-ORDER_HASH = "sha256(concat_ws(chr(31), {0}))"
-
-
 def hash_sql(*fields: str) -> str:
-    return ORDER_HASH.format(", ".join(f"coalesce('=' || CAST({f} AS VARCHAR), '~')" for f in fields))
+    """SHA-256 of the fields as canonical JSON."""
+    return f"sha256(CAST(json_object({', '.join(f"'{f}', CAST({f} AS VARCHAR)" for f in sorted(fields))}) AS VARCHAR))"
 
 
 @registered(f"SELECT o_orderkey, {hash_sql('o_custkey', 'o_orderkey', 'o_orderpriority', 'o_orderstatus')} AS digest FROM orders")

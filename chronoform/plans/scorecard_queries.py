@@ -160,8 +160,9 @@ def f12_hypothesis_gates(spark: SparkSession, d: str) -> DataFrame:
     return K.hypothesis_gates(ev(spark, d), "series_id", F.col("signal") > 0.45)
 
 
-@registered(f"""WITH {EV}, m AS (SELECT series_id, CASE kind WHEN 'click' THEN 'homography' WHEN 'error' THEN 'unknown' WHEN 'view' THEN 'affine' ELSE 'similarity' END AS m FROM ev), s AS (SELECT series_id, avg(CAST(m = 'homography' AS INT)) AS t, avg(CAST(m = 'unknown' AS INT)) AS u, avg(CAST(m = 'affine' AS INT)) AS a FROM m GROUP BY 1)
-SELECT series_id, CASE WHEN u >= 0.20 THEN 'unknown' WHEN t >= 0.25 THEN 'homography' WHEN a >= 0.5 THEN 'affine' ELSE 'similarity' END AS model, round(t, 6) AS twist FROM s""")
+@registered(f"""WITH {EV}, m AS (SELECT series_id, CASE kind WHEN 'click' THEN 'homography' WHEN 'error' THEN 'unknown' WHEN 'view' THEN 'affine' ELSE 'similarity' END AS m FROM ev), c AS (SELECT series_id, m, count(*) AS n FROM m GROUP BY ALL),
+s AS (SELECT series_id, sum(n) FILTER (WHERE m = 'homography') / sum(n) AS p, sum(n) FILTER (WHERE m = 'unknown') / sum(n) AS u, arg_min(m, {{'n': -n, 'm': m}}) AS most FROM c GROUP BY series_id)
+SELECT series_id, CASE WHEN coalesce(p, 0) >= 0.25 THEN 'homography' WHEN coalesce(u, 0) >= 0.20 THEN 'unknown' ELSE most END AS model, round(coalesce(p, 0), 6) AS perspective FROM s""")
 def f13_phase_model(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "click", "homography").when(F.col("kind") == "error", "unknown").when(F.col("kind") == "view", "affine").otherwise("similarity")
     return rounded(K.phase_model(ev(spark, d).withColumn("m", kind), "series_id", "m"))

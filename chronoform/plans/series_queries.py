@@ -30,7 +30,7 @@ q AS (SELECT *, list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2])) AS di
 SELECT series_id, seq, round(CASE WHEN y IS NULL THEN 0 ELSE list_avg(diff) END, 6) AS pixel_change, round(CASE WHEN y IS NULL THEN 0 ELSE abs(list_avg(x) - list_avg(y)) END, 6) AS luminance_change,
  round(CASE WHEN y IS NULL THEN 0 ELSE least(1.0, 4 * abs(list_avg(list_filter(diff, lambda v, i: (i - 1) % 8 < 4)) - list_avg(list_filter(diff, lambda v, i: (i - 1) % 8 >= 4)))) END, 6) AS asymmetry FROM q""")
 def b2_adjacent_deltas(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.adjacent_deltas(vectors(spark, d)))
+    return rounded(S.adjacent_deltas(vectors(spark, d)).drop("edge_change"))
 
 
 PAIRS = f"{EMB}, pairs AS (SELECT series_id, seq, x, lag(x) OVER (PARTITION BY series_id ORDER BY seq) AS y FROM emb QUALIFY y IS NOT NULL)"
@@ -315,12 +315,14 @@ def c17_hampel(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.hampel(ev(spark, d)).select("series_id", "seq", "outlier", "filtered"))
 
 
-CURVE_SQL = ", ".join(f"sqrt(avg(pow(y - ({EASE[c]}), 2))) AS e{i}" for i, c in enumerate(S.CURVES))
+CURVE_SQL = ", ".join(f"sqrt(avg(pow(y - ({EASE.get(c, 'bz')}), 2))) AS e{i}" for i, c in enumerate(S.CURVES))
+BEZIER_X, BEZIER_SLOPE = "3 * pow(1 - t, 2) * t * 0.18 + 3 * (1 - t) * t * t * 0.38 + t * t * t", "3 * pow(1 - t, 2) * 0.18 + 6 * (1 - t) * t * 0.2 + 3 * t * t * 0.62"
+BEZIER_STEPS = ", ".join(["bz0 AS (SELECT *, p AS t FROM n)", *[f"bz{i + 1} AS (SELECT * EXCLUDE (t), greatest(0, least(1, t - ({BEZIER_X} - p) / CASE WHEN abs({BEZIER_SLOPE}) < 1e-9 THEN 1 ELSE {BEZIER_SLOPE} END)) AS t FROM bz{i})" for i in range(8)], "bzd AS (SELECT *, 3 * pow(1 - t, 2) * t * 0.82 + 3 * (1 - t) * t * t + t * t * t AS bz FROM bz8)"])
 CURVE_LIST = ", ".join(f"{{'error': e{i}, 'i': {i}, 'curve': '{c}'}}" for i, c in enumerate(S.CURVES))
 
 
 @registered(f"""WITH {EV}, f AS (SELECT *, first_value(signal) OVER u AS a, last_value(signal) OVER u AS b, (row_number() OVER (PARTITION BY series_id ORDER BY seq) - 1) / (count(*) OVER (PARTITION BY series_id) - 1) AS p FROM ev WINDOW u AS (PARTITION BY series_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-n AS (SELECT *, CASE WHEN abs(b - a) >= 1e-8 THEN (signal - a) / (b - a) END AS y FROM f), g AS (SELECT series_id, count(*) AS n, max(abs(b - a)) AS delta, {CURVE_SQL} FROM n GROUP BY series_id),
+n AS (SELECT *, CASE WHEN abs(b - a) >= 1e-8 THEN (signal - a) / (b - a) END AS y FROM f), {BEZIER_STEPS}, g AS (SELECT series_id, count(*) AS n, max(abs(b - a)) AS delta, {CURVE_SQL} FROM bzd GROUP BY series_id),
 l AS (SELECT *, list_sort([{CURVE_LIST}]) AS r FROM g)
 SELECT series_id, CASE WHEN n < 4 THEN 'underdetermined' WHEN delta < 1e-8 THEN 'hold' ELSE r[1].curve END AS curve, round(CASE WHEN n >= 4 AND delta >= 1e-8 THEN r[1].error ELSE 0 END, 6) AS error,
  round(CASE WHEN n < 4 THEN 0 WHEN delta < 1e-8 THEN 1 ELSE greatest(0, least(1, 0.55 * greatest(0, least(1, (r[2].error - r[1].error) / greatest(r[2].error, 1e-12))) + 0.45 * exp(-12 * r[1].error))) END, 6) AS confidence FROM l""")

@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from chronoform.functions.scalar import canonical_hash
 
+from .storage import cut
 
-def read_evidence(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
-    """Every JSON document under a path in a strict schema, with the file that it came from; a malformed one fails the read."""
-    read = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+
+def unknown_fields(found: DataType, wanted: DataType, path: str = "") -> list[str]:
+    """Paths of the fields that are found but not wanted, at any depth."""
+    if isinstance(found, ArrayType) and isinstance(wanted, ArrayType):
+        return unknown_fields(found.elementType, wanted.elementType, f"{path}[]")
+    if not isinstance(found, StructType) or not isinstance(wanted, StructType):
+        return []
+    known = {f.name: f.dataType for f in wanted.fields}
+    return [x for f in found.fields for x in (unknown_fields(f.dataType, known[f.name], f"{path}.{f.name}") if f.name in known else [f"{path}.{f.name}".lstrip(".")])]
+
+
+def read_evidence(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False, strict: bool = True) -> DataFrame:
+    """Every JSON document under a path in a strict schema, with the file that it came from; a malformed one fails the read.
+
+    ``strict`` also fails if any document has a field that the schema does not name, at any depth; that takes a pass of its own over the documents.
+    """
+    options = {"multiLine": str(multi_line).lower(), "mode": "FAILFAST"}
+    read = spark.read.schema(schema).options(**options).json(path)
+    if strict and (extra := unknown_fields(spark.read.options(**options).json(path).schema, read.schema)):
+        raise ValueError(f"fields that the schema does not name: {', '.join(sorted(extra))}")
     return read.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
@@ -35,12 +53,15 @@ def build_catalog(tables: dict[str, tuple[DataFrame, str, tuple[str, ...]]]) ->
 def ingest(files: DataFrame, sealed: DataFrame, project: str, file_id: str, content: str) -> DataFrame:
     """(project, file_id, sha256, status, asset_id): sealed content is refused, repeated content of a project is the asset that has it.
 
-    The first of equal files is found by an aggregation, so a file with very many copies is no one task's work.
+    The first of equal files is found by an aggregation, and contents that a project has very often are then met by broadcast, so a file with
+    very many copies is no one task's work.
     """
     rows = files.select(F.col(project).alias("project"), F.col(file_id).alias("file_id"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("sha256"))
     closed = sealed.select(F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("sha256")).distinct().withColumn("sealed", F.lit(True))
-    first = rows.groupBy("project", "sha256").agg(F.min("file_id").alias("asset_id"))
-    joined = rows.join(first, ["project", "sha256"]).join(closed, "sha256", "left")
+    first = cut(rows.groupBy("project", "sha256").agg(F.min("file_id").alias("asset_id"), F.count("*").alias("__n")))
+    often = first.where(F.col("__n") > max(1000, (first.agg(F.sum("__n")).first()[0] or 0) // 100_000)).drop("__n")  # 100,000 at most
+    seldom = rows.join(F.broadcast(often), ["project", "sha256"], "left_anti").join(first.drop("__n"), ["project", "sha256"])
+    joined = rows.join(F.broadcast(often), ["project", "sha256"]).unionByName(seldom).join(closed, "sha256", "left")
     status = F.when(F.col("sealed"), "refused").when(F.col("file_id") == F.col("asset_id"), "new").otherwise("existing")
     return joined.select("project", "file_id", "sha256", status.alias("status"), F.when(F.col("sealed").isNull(), F.col("asset_id")).alias("asset_id"))
 
@@ -81,6 +102,21 @@ def merge_append_only(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
+def append_only(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
+    """Adds the rows of df whose key is new to the Parquet table at path, and returns (key, status) of all keys; the first write makes the table.
+
+    A key that is stored with other content fails the call, and then nothing is written.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    stored = spark.read.parquet(path) if there else df.where("false")
+    status = cut(merge_append_only(df, stored, key))
+    if (n := status.where("status = 'conflict'").count()) > 0:
+        raise ValueError(f"{n} keys are stored with other content")
+    df.join(status.where("status = 'new'").select(key), key, "left_semi").dropDuplicates([key]).write.mode("append").parquet(path)
+    return status
+
+
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """Persists a report; refuses to replace one."""
     df.write.mode("errorifexists").format(kind).save(path)
