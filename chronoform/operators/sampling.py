@@ -82,17 +82,16 @@ def budgeted_sample(bounds: DataFrame, segments: DataFrame, transitions: DataFra
     with the rest, so all of it is one aggregation and one pass of windows.
     """
     priority = F.create_map(*[F.lit(x) for kv in ROLES for x in kv])
-    role = lambda df, frame, name, step: df.select(series, frame.cast("long").alias("frame"), F.lit(name).alias("role"), F.lit(step).alias("step"))
-    spread = segments.withColumn("d", F.col("end") - F.col("start"))
-    spread = spread.withColumn("f", F.explode(even_frames(F.col("start"), F.col("d"), F.least(F.lit(per_segment), F.greatest(F.lit(3), F.least(F.lit(5), F.col("d").cast("int")))))))
-    parts = [
-        role(bounds, F.col("lo"), "first", 0), role(bounds, F.col("hi") - 1, "last", 1), role(spread, F.col("f"), "representative", 2),
-        role(transitions, F.col("frame") - 1, "pre", 3), role(transitions, F.col("frame"), "boundary", 4), role(transitions, F.col("frame") + 1, "post", 5), role(pins, F.col("frame"), "pinned", 6),
-        role(bounds.withColumn("f", F.explode(even_frames(F.col("lo"), F.col("hi") - F.col("lo"), F.lit(budget)))), F.col("f"), "interior", 7),
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    role = lambda frame, name, step: F.struct(frame.cast("long").alias("frame"), F.lit(name).alias("role"), F.lit(step).alias("step"))
+    d = F.col("end") - F.col("start")
+    spread = even_frames(F.col("start"), d, F.least(F.lit(per_segment), F.greatest(F.lit(3), F.least(F.lit(5), d.cast("int")))))
+    fill = F.transform(even_frames(F.col("lo"), F.col("hi") - F.col("lo"), F.lit(budget)), lambda f: role(f, "interior", 7))
+    at = F.col("frame")
+    # one branch for each input, which expands to all its roles
+    rows = bounds.select(series, F.inline(F.concat(F.array(role(F.col("lo"), "first", 0), role(F.col("hi") - 1, "last", 1)), fill)))
+    rows = rows.unionByName(segments.select(series, F.inline(F.transform(spread, lambda f: role(f, "representative", 2)))))
+    rows = rows.unionByName(transitions.select(series, F.inline(F.array(role(at - 1, "pre", 3), role(at, "boundary", 4), role(at + 1, "post", 5)))))
+    rows = rows.unionByName(pins.select(series, F.inline(F.array(role(at, "pinned", 6)))))
     rows = rows.join(bounds, series).where("frame >= lo and frame < hi").drop("lo", "hi")
     rank = F.struct(priority[F.col("role")].alias("p"), -F.col("step"), F.col("role").alias("role"))
     kept = rows.groupBy(series, "frame").agg(F.max(rank)["role"].alias("role"), F.array_sort(F.collect_set("role")).alias("reasons"))

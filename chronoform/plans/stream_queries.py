@@ -33,6 +33,22 @@ def two_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, n - 1)).parquet(f"{folder}/rows")
 
 
+def parts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The events as a stream of n batches, each with every n-th row."""
+    folder = new_path(spark, "events")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(n):
+        rows.where(F.col("event_id") % n == k).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+
+
+@registered("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def s1_stream_append_new(spark: SparkSession, d: str) -> DataFrame:
+    folder, stream = new_path(spark, "s1"), parts(spark, d, 2)
+    X.append_new(stream.unionByName(parts(spark, d, 3)), f"{folder}/table", f"{folder}/checkpoint", "event_id").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/table").select("event_id", "user_id", "event_type", "value"))
+
+
 @registered("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
 def s1_stream_evidence(spark: SparkSession, d: str) -> DataFrame:
     stream = events(spark, d, closing=False)
@@ -42,11 +58,10 @@ def s1_stream_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("""SELECT asset_id, kind, id, authority FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, kind ORDER BY authority = 'human-correction' DESC, ts DESC, id DESC) AS n FROM (SELECT user_id AS asset_id, event_type AS kind, event_id AS id, ts, CASE WHEN event_id % 13 = 0 THEN 'human-correction' ELSE 'measured' END AS authority FROM events)) WHERE n = 1""")
 def s2_stream_effective(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d, closing=False).select(F.col("user_id").alias("asset_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 13 == 0, "human-correction").otherwise("measured").alias("authority"), F.col("ts").alias("generated_at"))
+    rows = parts(spark, d, 3).select(F.col("user_id").alias("asset_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 13 == 0, "human-correction").otherwise("measured").alias("authority"), F.col("ts").alias("generated_at"))
     folder = new_path(spark, "s2")
     X.merge_effective(rows, f"{folder}/ledger", f"{folder}/effective", f"{folder}/checkpoint", ("asset_id", "kind")).awaitTermination()
-    found = spark.read.parquet(f"{folder}/effective")
-    return found.where(F.col("version") == found.agg(F.max("version")).first()[0]).select("asset_id", "kind", "id", "authority")
+    return X.effective_now(spark, f"{folder}/effective").select("asset_id", "kind", "id", "authority")
 
 
 @registered("""SELECT CAST(epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) // 1000000 AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total, round(sqrt(avg(value * value)), 4) AS rms FROM events GROUP BY ALL""")
@@ -66,13 +81,13 @@ def s4_stream_quiet(spark: SparkSession, d: str) -> DataFrame:
 kept AS (SELECT user_id, ts, value, nt FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM n) WHERE k = 1 UNION ALL SELECT n.user_id, n.ts, n.value, n.nt FROM kept JOIN n ON kept.user_id = n.user_id AND kept.nt = n.ts)
 SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS us, round(value, 6) AS value FROM kept""")
 def s5_stream_onsets(spark: SparkSession, d: str) -> DataFrame:
-    out = X.run_to_table(X.onsets(events(spark, d, closing=False), 50.0, 43200.0), new_path(spark, "s5"))
+    out = X.run_to_table(X.onsets(events(spark, d), 50.0, 43200.0), new_path(spark, "s5")).where("user_id >= 0")
     return rounded(out.select("user_id", F.unix_micros("ts").alias("us"), "value"))
 
 
 @registered("SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS us, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts)), 0), 6) AS delta FROM events")
 def s6_stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    out = X.run_to_table(X.changes(events(spark, d, closing=False)), new_path(spark, "s6"))
+    out = X.run_to_table(X.changes(events(spark, d)), new_path(spark, "s6")).where("user_id >= 0")
     return rounded(out.select("user_id", F.unix_micros("ts").alias("us"), "delta"))
 
 

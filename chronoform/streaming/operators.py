@@ -1,12 +1,12 @@
 """Structured Streaming forms of the incremental operators. Each takes and returns a streaming (or batch) DataFrame.
 
 Late rows: windows, sessions and stateful operators drop what comes after the watermark. Corrections are never dropped:
-:func:`merge_effective` recomputes a key from all its evidence whenever a batch brings more of it.
+:func:`merge_effective` keeps the best of each key, whenever it comes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,39 +39,63 @@ def sessions(rows: DataFrame, gap: str, *groups: str, time: str = "ts", delay: s
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *groups, "n")
 
 
-def onsets(rows: DataFrame, threshold: float, gap: float, key: str = "user_id", value: str = "value", time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """(key, ts, value): rows at or above the threshold, at least ``gap`` seconds after the last kept one of the key. State: one time a key."""
+def settled(rows: DataFrame, settle: Callable[[tuple, list[tuple[int, float]], float | None], tuple[list[tuple], float | None]], name: str, key: str, value: str, time: str, delay: str) -> DataFrame:
+    """Rows of each key handed to settle(key, [(microseconds, value)], last) in order of time, once the watermark has passed them; it returns what comes out and the new last.
+
+    Rows wait in the state until then, so rows that come in any order within the delay, whatever their batches, give what they would give in order.
+    Later ones are dropped. The state holds a key's rows of the delay and one number.
+    """
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, values = state.get if state.exists else (None, [], [])
+        waiting = list(zip(at, values, strict=True))
+        mark = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for part in parts:
+                stamps = part["ts"].astype("datetime64[us]").astype("int64")
+                waiting += [(int(t), float(v)) for t, v in zip(stamps, part["value"], strict=True) if t > mark]
+        waiting.sort()
+        done = [w for w in waiting if w[0] <= mark]
+        found, last = settle(group, done, last) if done else ([], last)
+        waiting = waiting[len(done) :]
+        state.update((last, [t for t, _ in waiting], [v for _, v in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(found, columns=[key, "ts", "out"])
+        out["ts"] = pd.to_datetime(out["ts"], unit="us")
+        yield out
+
+    slim = rows.withWatermark(time, delay).select(key, F.col(time).alias("ts"), F.col(value).alias("value"))
     kind = dict(rows.dtypes)[key]
+    out = slim.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, out double", "last double, at array<long>, value array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumnRenamed("out", name)
 
-    def keep(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1e18
-        part = pd.concat(list(parts)).sort_values("ts")
+
+def onsets(rows: DataFrame, threshold: float, gap: float, key: str = "user_id", value: str = "value", time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """(key, ts, value): rows at or above the threshold, at least ``gap`` seconds after the last kept one of the key, as of :func:`settled`."""
+
+    def settle(group: tuple, done: list[tuple[int, float]], last: float | None) -> tuple[list[tuple], float | None]:
         out = []
-        for row in part.itertuples(index=False):
-            at = row.ts.timestamp()
-            if row.value >= threshold and at - last >= gap:
-                out.append((group[0], row.ts, row.value))
-                last = at
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", "value"])
+        for at, v in done:
+            if v >= threshold and (last is None or at / 1e6 - last >= gap):
+                out.append((group[0], at, v))
+                last = at / 1e6
+        return out, last
 
-    slim = rows.withWatermark(time, delay).select(key, F.col(time).alias("ts"), F.col(value).alias("value"))
-    return slim.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, ts timestamp, value double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return settled(rows, settle, "value", key, value, time, delay)
 
 
 def changes(rows: DataFrame, key: str = "user_id", value: str = "value", time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """(key, ts, delta): each row's change against the row before of its key, 0 for the first. State: one value a key."""
-    kind = dict(rows.dtypes)[key]
+    """(key, ts, delta): each row's change against the row before of its key in order of time, 0 for the first, as of :func:`settled`."""
 
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts)).sort_values("ts")
-        before = part["value"].shift()
-        before.iloc[0] = state.get[0] if state.exists else part["value"].iloc[0]
-        state.update((float(part["value"].iloc[-1]),))
-        yield pd.DataFrame({key: group[0], "ts": part["ts"], "delta": (part["value"] - before).abs()})
+    def settle(group: tuple, done: list[tuple[int, float]], last: float | None) -> tuple[list[tuple], float | None]:
+        out = []
+        for at, v in done:
+            out.append((group[0], at, abs(v - (v if last is None else last))))
+            last = v
+        return out, last
 
-    slim = rows.withWatermark(time, delay).select(key, F.col(time).alias("ts"), F.col(value).alias("value"))
-    return slim.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, delta double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return settled(rows, settle, "delta", key, value, time, delay)
 
 
 def phase_progress(rows: DataFrame, stalled_after_ms: int, key: str = "user_id", phase: str = "event_type", time: str = "ts", delay: str = "1 minute") -> DataFrame:
@@ -98,23 +122,58 @@ def phase_progress(rows: DataFrame, stalled_after_ms: int, key: str = "user_id",
     return slim.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, phase string, at long, n long, stalled boolean", "phase string, at long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def merge_effective(rows: DataFrame, ledger: str, effective: str, checkpoint: str, key: tuple[str, ...]):
-    """Starts a query that appends each batch to the ledger (by batch, so a replay replaces itself) and rewrites what holds now.
+def append_new(rows: DataFrame, table: str, checkpoint: str, key: str):
+    """Starts a query that appends to the table, by batch, the rows whose key no earlier batch brought, however long ago; the first of a batch stays.
+
+    A replayed batch replaces itself.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if batch_id:
+            known = spark.read.option("basePath", table).schema(batch.schema.add("batch", "long")).parquet(table).where(F.col("batch") < batch_id)
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    What holds is computed from the whole ledger, so a correction counts however late it comes.
+def merge_effective(rows: DataFrame, ledger: str, effective: str, checkpoint: str, key: tuple[str, ...], buckets: int = 64):
+    """Starts a query that appends each batch to the ledger (by batch, so a replay replaces itself) and brings what holds now up to date.
+
+    What holds is the best row of a key by (human correction, time, id); the best of what held and of the batch is the best of all, so a
+    correction counts however late it comes, and a batch reads and writes only the buckets of its own keys. :func:`effective_now` reads the result.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        everything = spark.read.parquet(ledger).drop("batch")
-        rest = [c for c in everything.columns if c not in key]
-        best = everything.groupBy(*key).agg(F.max(F.struct(F.col("authority") == "human-correction", "generated_at", "id", *[c for c in rest if c not in ("generated_at", "id")])).alias("r"))
-        best.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{effective}/version={batch_id}")
+        rows = spark.read.parquet(f"{ledger}/batch={batch_id}")
+        columns = rows.columns
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
+        touched = rows.select(bucket).distinct()
+        rows = rows.select("*", bucket)
+        if batch_id:
+            held = effective_now(spark, effective, batch_id).join(F.broadcast(touched), "bucket", "left_semi")  # a row a bucket
+            rows = rows.unionByName(held.select(*columns, "bucket"))
+        rest = [c for c in columns if c not in key]
+        best = rows.groupBy("bucket", *key).agg(F.max(F.struct(F.col("authority") == "human-correction", "generated_at", "id", *[c for c in rest if c not in ("generated_at", "id")])).alias("r"))
+        out = best.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest], "bucket")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{effective}/version={batch_id}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def effective_now(spark: SparkSession, effective: str, before: int | None = None) -> DataFrame:
+    """What holds now, or held before a batch: of each bucket its latest version."""
+    found = spark.read.option("basePath", effective).parquet(effective)
+    if before is not None:
+        found = found.where(F.col("version") < before)
+    latest = found.groupBy("bucket").agg(F.max("version").alias("version"))
+    return found.join(F.broadcast(latest), ["bucket", "version"]).drop("version")  # a row a bucket
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now into Parquet under a folder, and reads the result."""
     spark = stream.sparkSession
