@@ -72,7 +72,11 @@ def c26_integrate_transform(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.integrate_transform(e, "dx", "dy", "f"))
 
 
-@registered()
+@registered(f"""WITH {EV}, v AS (SELECT series_id, seq, sum(signal) OVER (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS x FROM ev), l AS (SELECT series_id, max(seq) AS last, arg_min(x, seq) AS a, arg_max(x, seq) AS b FROM v GROUP BY series_id HAVING max(seq) >= 6),
+g AS (SELECT unnest([-6, -4, -2, 0, 2, 4, 6]) AS k), c AS (SELECT l.*, e.k AS early, t.k AS tail, last // 3 AS o1, 2 * last // 3 AS o2, last // 3 + e.k AS s1, 2 * last // 3 + t.k AS s2 FROM l, g e, g t WHERE last // 3 + e.k > 0 AND 2 * last // 3 + t.k > last // 3 + e.k AND 2 * last // 3 + t.k < last),
+r AS (SELECT *, unnest(generate_series(0, last)) AS o FROM c), p AS (SELECT *, CASE WHEN o <= o1 THEN s1 * o / CAST(o1 AS DOUBLE) WHEN o <= o2 THEN s1 + (s2 - s1) * (o - o1) / CAST(o2 - o1 AS DOUBLE) ELSE s2 + (last - s2) * (o - o2) / CAST(last - o2 AS DOUBLE) END AS at_ FROM r),
+m AS (SELECT p.series_id, early, tail, sqrt(avg(pow(lo.x + (hi.x - lo.x) * (at_ - floor(at_)) - (a + (b - a) * o / last), 2))) AS error FROM p JOIN v lo ON lo.series_id = p.series_id AND lo.seq = floor(at_) JOIN v hi ON hi.series_id = p.series_id AND hi.seq = ceil(at_) GROUP BY ALL)
+SELECT series_id, early, tail, round(error, 6) AS error, abs(early) + abs(tail) AS bend FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(error, 9), abs(early) + abs(tail), abs(early), early, tail) = 1""")
 def c32_search_phase_warp(spark: SparkSession, d: str) -> DataFrame:
     w = S.along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = ev(spark, d).select("series_id", "seq", F.sum("signal").over(w).alias("signal"))

@@ -154,8 +154,8 @@ SELECT c_custkey AS asset_id, p.o_orderpriority AS cache_key, coalesce((SELECT j
 def e16_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     jobs = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("asset_id"), F.col("o_orderpriority").alias("cache_key"), F.col("o_orderdate").alias("finished_at"), F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed").alias("status"))
-    keys = [r[0] for r in jobs.select("cache_key").distinct().collect()]  # the priorities, five
-    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), F.explode(F.array(*map(F.lit, keys))).alias("cache_key"))
+    keys = jobs.select("cache_key", F.lit(1).alias("one")).distinct()  # the priorities, five
+    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), F.lit(1).alias("one")).join(F.broadcast(keys), "one").drop("one")
     return L.cache_lookup(requests, jobs, ("asset_id", "cache_key")).withColumn("cached_job", F.coalesce("cached_job", F.lit(-1)))
 
 

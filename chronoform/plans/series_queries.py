@@ -348,13 +348,14 @@ def c20_phase_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return S.phase_boundaries(ev(spark, d))
 
 
-@registered(f"""WITH {EV}, a AS (SELECT series_id, seq, {grad1("signal")} AS x1, {grad1("edge")} AS y1 FROM ev {W}), b AS (SELECT *, {grad1("x1")} AS x2, {grad1("y1")} AS y2 FROM a {W})
-SELECT series_id, seq, CASE WHEN pow(x1 * x1 + y1 * y1, 1.5) > 1e-4 THEN round(abs(x1 * y2 - y1 * x2) / pow(x1 * x1 + y1 * y1, 1.5), 4) ELSE -1 END AS curvature FROM b""")
+@registered(f"""WITH {EV}, a AS (SELECT series_id, seq, {grad1("signal")} AS x1, {grad1("edge")} AS y1 FROM ev {W}), b AS (SELECT *, {grad1("x1")} AS x2, {grad1("y1")} AS y2 FROM a {W}),
+c AS (SELECT series_id, seq, CASE WHEN pow(x1 * x1 + y1 * y1, 1.5) > 1e-12 THEN abs(x1 * y2 - y1 * x2) / pow(x1 * x1 + y1 * y1, 1.5) ELSE 0 END AS c FROM b)
+SELECT series_id, seq, CASE WHEN c > 0 THEN CAST(floor(log10(c)) AS BIGINT) ELSE 0 END AS exponent, CASE WHEN c > 0 THEN round(c / pow(10, floor(log10(c))), 6) ELSE 0 END AS digits FROM c""")
 def c22_path_curvature(spark: SparkSession, d: str) -> DataFrame:
-    w = S.along()
-    e = S.path_curvature(ev(spark, d), "signal", "edge").withColumns({"x1": S.gradient("signal", 1.0, w, False), "y1": S.gradient("edge", 1.0, w, False)})
-    moving = F.pow(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1"), F.lit(1.5)) > 1e-4  # rounding is not comparable where the path all but stands still
-    return e.select("series_id", "seq", F.when(moving, F.round("curvature", 4)).otherwise(-1.0).alias("curvature"))
+    c = F.col("curvature")  # as digits and a power of ten, so that small and very large ones are compared alike
+    power = F.when(c > 0, F.floor(F.log10(c))).otherwise(0).cast("long")
+    found = S.path_curvature(ev(spark, d), "signal", "edge").select("series_id", "seq", "curvature", power.alias("exponent"))
+    return found.select("series_id", "seq", "exponent", r6(F.when(c > 0, c / F.pow(F.lit(10.0), F.col("exponent"))).otherwise(0.0)).alias("digits"))
 
 
 @registered(f"""WITH {EV}, a AS (SELECT series_id, arg_min(signal, seq) AS a, arg_max(signal, seq) AS b, min(signal) AS lo, max(signal) AS hi FROM ev GROUP BY series_id),
