@@ -58,11 +58,12 @@ def saliency(df: DataFrame, red: str, green: str, blue: str, width: int, height:
 MINIMA = {"pixel": 0.02, "histogram": 0.04, "hash": 4.0, "luminance": 0.01, "structure": 0.02, "edge": 0.01}
 
 
-def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
+def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 4096) -> DataFrame:
     """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
 
     The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired
-    whole. What can be said of one row is worked out before the join; of a pair, the cheap differences are taken first.
+    whole. A band of more than ``chunk`` rows is dealt out over as many tasks as it has chunks. What can be said of one row is worked out
+    before the join; of a pair, the cheap differences are taken first. All pairs are what it returns; :func:`dedup` needs those of different vectors only.
     """
     xs = F.col("x")
     size = F.transform(xs, F.abs)
@@ -73,10 +74,17 @@ def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: st
     rows = rows.withColumn("__band", F.floor(F.col("m") / minima["luminance"]))
     a = rows.select(series, "__band", F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("a"))
     b = rows.select(series, F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("b"))
+    full = cut(df.groupBy(series, F.floor(scalar.mean(F.col(vector)) / minima["luminance"]).alias("__band")).count().where(F.col("count") > chunk).select(series, "__band", F.ceil(F.col("count") / chunk).alias("__parts")))
+    key = [series, "__band"]
+    if not full.isEmpty():
+        parts = F.coalesce("__parts", F.lit(1))
+        a = a.join(full, key, "left").withColumn("__part", F.pmod(F.xxhash64(f"a.{order}"), parts)).drop("__parts")
+        b = b.join(full, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+        key.append("__part")
     both = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
     (x, y), (ma, mb), (ra, rb), (va, vb), n = both("x"), both("m"), both("rough"), both("var"), F.size("a.x")
     cheap = (F.abs(ma - mb) < minima["luminance"]) & (F.abs(ra - rb) < minima["edge"]) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) < minima["hash"])
-    pairs = a.join(b, [series, "__band"]).where(F.col(f"a.{order}") < F.col(f"b.{order}")).where(cheap)
+    pairs = a.join(b, key).where(F.col(f"a.{order}") < F.col(f"b.{order}")).where(cheap)
     overlap = scalar.pairwise(*both("root"), lambda p, q: p * q) / F.sqrt(F.col("a.sum") * F.col("b.sum"))
     covariance = scalar.pairwise(x, y, lambda p, q: (p - ma) * (q - mb)) / n
     ssim = (2 * ma * mb + 0.01**2) * (2 * covariance + 0.03**2) / ((ma * ma + mb * mb + 0.01**2) * (va + vb + 0.03**2))
@@ -102,3 +110,23 @@ def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: s
         known = cut(known.unionByName(done.select(series, order, F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")))
         waiting = cut(waiting.join(known.select(series, order), [series, order], "left_anti"))
     return df.join(known, [series, order], "left")
+
+
+def dedup(df: DataFrame, protected: str, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
+    """df with ``kept`` and ``duplicate_of``, as :func:`greedy_dedup` over :func:`near_duplicates`, without pairing equal vectors.
+
+    The rows that are compared are the first of each vector and the protected ones. Any later row of a vector has the partners of its first, so it
+    is a duplicate of the first kept one of these, or of that first row: a still picture of n rows makes no pairs.
+    """
+    rows = df.select(series, order, vector, protected)
+    firsts = rows.groupBy(series, vector).agg(F.min(order).alias("__first"))
+    nodes = rows.join(firsts, [series, vector]).where((F.col(order) == F.col("__first")) | F.col(protected)).drop("__first")
+    nodes = cut(nodes)
+    pairs = cut(near_duplicates(nodes, minima, vector, series, order))
+    found = cut(greedy_dedup(nodes, pairs, protected, series, order).select(series, order, "kept", "duplicate_of"))
+    # of a first row its first kept partner, which a protected one has too although it stays
+    kept = found.where("kept").select(series, F.col(order).alias("duplicate_of"))
+    partner = pairs.join(kept, [series, "duplicate_of"]).groupBy(series, F.col(order).alias("__first")).agg(F.min("duplicate_of").alias("__partner"))
+    survivors = firsts.join(partner, [series, "__first"], "left").select(series, vector, F.coalesce("__partner", "__first").alias("__survivor"))
+    rest = rows.join(nodes.select(series, order), [series, order], "left_anti").join(survivors, [series, vector]).select(series, order, F.lit(False).alias("kept"), F.col("__survivor").alias("duplicate_of"))
+    return df.join(found.unionByName(rest), [series, order])

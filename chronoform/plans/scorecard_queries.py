@@ -315,7 +315,7 @@ walk AS (SELECT series_id, i, seq, [seq] AS stay, CAST(NULL AS BIGINT) AS dup FR
 SELECT series_id, seq, dup IS NULL AS kept, coalesce(dup, -1) AS duplicate_of FROM walk""")
 def h2_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).select("series_id", "seq", "x", (F.col("seq") % 10 == 0).alias("protected"))
-    found = V.greedy_dedup(rows, V.near_duplicates(rows, LOOSE_MINIMA), "protected")
+    found = V.dedup(rows, "protected", LOOSE_MINIMA)
     return found.select("series_id", "seq", "kept", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))
 
 

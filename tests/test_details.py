@@ -15,6 +15,7 @@ from chronoform.operators import scorecards as K
 from chronoform.operators import series as S
 from chronoform.operators import surface
 from chronoform.operators import text as T
+from chronoform.operators import vectors as V
 from chronoform.sources import evidence as E
 
 
@@ -179,3 +180,21 @@ def test_windows_of_short_series(spark):
     assert got[14, 5].velocity == pytest.approx(10) and got[1, 0].velocity == 0
     odd = {(r.series_id, r.seq): r.f for r in G.local_polynomials(df, 1.0, {"f": "signal"}, odd=True).collect()}
     assert odd[14, 13].velocity == pytest.approx(26) and odd[6, 2].acceleration == pytest.approx(2)
+
+
+def test_equal_rows_are_not_paired_but_dropped(spark):
+    rng = np.random.default_rng(4)
+    looks = [np.abs(rng.normal(size=64)) / 10 + 0.2 for _ in range(4)]
+    looks += [x + 1e-4 * rng.normal(size=64) for x in looks]
+    rows = [("s", i, looks[int(rng.integers(0, 8))].tolist(), bool(rng.random() < 0.15)) for i in range(60)]
+    df = spark.createDataFrame(rows, "series_id string, seq long, x array<double>, protected boolean")
+    minima = {"pixel": 0.02, "histogram": 0.2, "hash": 20.0, "luminance": 0.01, "structure": 0.2, "edge": 0.01}
+    pairs = {(r.seq, r.duplicate_of) for r in V.near_duplicates(df, minima).collect()}
+    assert pairs == {(r.seq, r.duplicate_of) for r in V.near_duplicates(df, minima, chunk=7).collect()} and len(pairs) > 200
+    kept, want = [], {}
+    for _, i, _, safe in rows:
+        first = next((k for k in kept if (i, k) in pairs), None)
+        want[i] = (True, None) if safe or first is None else (False, first)
+        kept += [i] if want[i][0] else []
+    assert {r.seq: (r.kept, r.duplicate_of) for r in V.dedup(df, "protected", minima).collect()} == want
+    assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, V.near_duplicates(df, minima), "protected").collect()} == want
