@@ -16,11 +16,18 @@ def bucketed(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
 
 
-def point_in_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int = 64) -> DataFrame:
+def usual_length(ranges: DataFrame, start: str = "start", end: str = "end") -> int:
+    """The length that nine tenths of the ranges do not pass: as a bucket's width, most ranges lie in two buckets and few are cut into many."""
+    return max(1, int(ranges.agg(F.percentile_approx(F.col(end) - F.col(start), F.lit(0.9))).first()[0] or 1))
+
+
+def point_in_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int | None = 64) -> DataFrame:
     """points with the columns of the half-open range of their series that they lie in; points outside every range are left out.
 
-    The join is by series and bucket, so it hashes; the range condition filters within a bucket.
+    The join is by series and bucket, so it hashes; the range condition filters within a bucket. A width of None is taken from the ranges'
+    lengths, by a pass of its own: for ranges much longer or shorter than the default.
     """
+    width = width or usual_length(ranges)
     parts = bucketed(ranges, "start", "end", width)
     rows = points.withColumn("__bucket", F.floor(F.col(order) / width))
     return rows.join(parts, [series, "__bucket"]).where((F.col(order) >= F.col("start")) & (F.col(order) < F.col("end"))).drop("__bucket")
@@ -63,11 +70,12 @@ def remapped_captions(captions: DataFrame, kept: DataFrame, totals: DataFrame, f
     return rows.drop("__s", "__e", "__ks", "__ke", "start", "end", "start2", "end2", "overlap_start", "overlap_end")
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, width: int = 256) -> DataFrame:
+def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, width: int | None = 256) -> DataFrame:
     """Pairs of left(start, end) and right(start2, end2) of a series that overlap, with their intersection.
 
-    A pair is reported by the bucket that its intersection starts in, so none is repeated.
+    A pair is reported by the bucket that its intersection starts in, so none is repeated. A width of None is the larger usual length of both sides.
     """
+    width = width or max(usual_length(left), usual_length(right, "start2", "end2"))
     a, b = bucketed(left, "start", "end", width), bucketed(right, "start2", "end2", width)
     both = a.join(b, [series, "__bucket"]).where("start < end2 and start2 < end")
     both = both.withColumns({"overlap_start": F.greatest("start", "start2"), "overlap_end": F.least("end", "end2")})

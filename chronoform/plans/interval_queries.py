@@ -247,7 +247,7 @@ SELECT a.series_id, a.seq, b.seq2, greatest(a."start", start2) AS overlap_start,
 def e7_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     spans = intervals(spark, d)
     left, right = spans.where("kind = 'click'").select("series_id", "seq", "start", "end"), spans.where("kind = 'view'").select("series_id", F.col("seq").alias("seq2"), (F.col("start") + 17).alias("start2"), (F.col("end") + 90).alias("end2"))
-    return J.interval_overlap(left, right).select("series_id", "seq", "seq2", "overlap_start", "overlap_end")
+    return J.interval_overlap(left, right, width=None).select("series_id", "seq", "seq2", "overlap_start", "overlap_end")
 
 
 @registered(f"""WITH {SPANS}, q AS (SELECT series_id, seq * 40 + 60 AS moment FROM spans WHERE kind = 'view') SELECT s.series_id, s.seq, EXISTS (SELECT 1 FROM q WHERE q.series_id = s.series_id AND moment >= s."start" AND moment < s."end") AS found FROM spans s""")

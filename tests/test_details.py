@@ -198,3 +198,14 @@ def test_equal_rows_are_not_paired_but_dropped(spark):
         kept += [i] if want[i][0] else []
     assert {r.seq: (r.kept, r.duplicate_of) for r in V.dedup(df, "protected", minima).collect()} == want
     assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, V.near_duplicates(df, minima), "protected").collect()} == want
+
+
+def test_bucket_widths_do_not_change_joins(spark):
+    spans = spark.createDataFrame([("a", 0, 5), ("a", 3, 100_000), ("a", 99_990, 100_020), ("b", 7, 8)], "series_id string, start long, end long")
+    other = spans.selectExpr("series_id", "start + 2 as start2", "end + 2 as end2")
+    want = sorted((a.series_id, a.start, a.end, b.start2, b.end2) for a in spans.collect() for b in other.collect() if a.series_id == b.series_id and a.start < b.end2 and b.start2 < a.end)
+    for width in (None, 7, 10**6):
+        got = J.interval_overlap(spans, other, width=width).select("series_id", "start", "end", "start2", "end2")
+        assert sorted(tuple(r) for r in got.collect()) == want
+    points = spark.createDataFrame([("a", 4), ("a", 99_995), ("b", 8), ("c", 0)], "series_id string, seq long")
+    assert {J.point_in_range(points, spans, width=w).count() for w in (None, 3, 64)} == {4}
