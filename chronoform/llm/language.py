@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 21  # bits of a code point
@@ -88,14 +88,17 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", si
     share = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
     chosen = labelled.where((F.xxhash64(id_col, F.lit("fit")) / F.lit(2.0**64) + 0.5) <= share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for name, texts in rows.groupby("lang")["text"]:
-                both = [grams(t, n_max) for t in texts]
+            found: dict[str, list] = {}
+            for name, text in zip(rows.column(0), rows.column(1), strict=True):
+                found.setdefault(name.as_py(), []).append(grams(text.as_py(), n_max))
+            for name, both in found.items():
                 codes, at = np.unique(np.concatenate([c for c, _ in both]), return_inverse=True)
-                yield pd.DataFrame({"lang": name, "gram": codes, "n": np.bincount(at, np.concatenate([n for _, n in both])).astype(np.int64)})
+                n = np.bincount(at, np.concatenate([n for _, n in both]), len(codes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     ranked = {}
     for name in rows:
         ranked[name] = [r.gram for r in counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()]
@@ -103,18 +106,24 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", si
     return Profiles({k: v for k, v in ranked.items() if v}, size, n_max)
 
 
+def predictor(profiles: Profiles) -> Callable[[Column], Column]:
+    """A column function: struct<lang_pred, score> of a text."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [profiles.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
+
+    return predict.asNondeterministic()  # so that a filter on the prediction does not make it twice
+
+
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs with lang_pred and score. Null text or text without a letter: ``und``, 0. Columns of these names are replaced.
 
     Rows stay where they are: no shuffle, one text in memory at a time besides the Arrow batch.
     """
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
-
     rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select("*", predict(F.col(text)).alias("__cf_lang")).select(*[F.col(f"`{c}`") for c in rest], "__cf_lang.lang_pred", "__cf_lang.score")
+    return docs.select("*", predictor(profiles)(F.col(text)).alias("__cf_lang")).select(*[F.col(f"`{c}`") for c in rest], "__cf_lang.lang_pred", "__cf_lang.score")
 
 
 #: Nearness below which a text is in none of the learned languages. Alphabets that were not learned score 0, letter junk some 0.15;
@@ -130,5 +139,5 @@ def recognised(docs: DataFrame, profiles: Profiles, text: str = "text", lang: st
     """
     if not profiles.langs:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    named = identify(docs.select(F.struct("*").alias("__cf_row"), F.col(text).alias("text")), profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return named.select(*[(F.coalesce(F.col(f"__cf_row.`{c}`"), "lang_pred") if c == lang else F.col(f"__cf_row.`{c}`")).alias(c) for c in docs.columns])
+    named = docs.select("*", predictor(profiles)(F.col(text)).alias("__cf_lang")).where((F.col("__cf_lang.lang_pred") != "und") & (F.col("__cf_lang.score") >= least))
+    return named.select(*[(F.coalesce(F.col(f"`{c}`"), "__cf_lang.lang_pred") if c == lang else F.col(f"`{c}`")).alias(c) for c in docs.columns])

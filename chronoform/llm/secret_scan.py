@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -413,9 +413,11 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     Columns of these names are replaced. Repeated rows are scanned one by one.
     """
 
-    @F.pandas_udf("base string, all string, unopened long")
-    def spans(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(written(b), written(e), n) for b, e, n in map(search, texts)], columns=["base", "all", "unopened"])
+    @F.arrow_udf("base string, all string, unopened long")
+    def spans(texts: pa.Array) -> pa.Array:
+        found = [(written(b), written(e), n) for b, e, n in (search(t.as_py()) for t in texts)]
+        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=["base", "all", "unopened"])
 
     rest = [c for c in docs.columns if c.lower() not in ("base_spans", "all_spans", "unopened")]
     found = docs.select("*", spans(F.col(text)).alias("__cf_spans"))
@@ -425,8 +427,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """docs with every secret of the text column, decoded ones included, replaced by the mark; other texts stay as they are."""
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, mark) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        return pa.array((masked(t.as_py(), mark) for t in texts), pa.string())
 
     return docs.withColumn(text, mask(F.col(text)))

@@ -100,10 +100,10 @@ def fingerprint_of(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def simhash64(texts: pa.Array) -> pa.Array:
     """The fingerprint as a signed long; null text: zero."""
-    return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint_of(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
 
 def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,8 +168,8 @@ def fit(
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each whole text (0 to 1, higher: likelier toxic). Null and empty texts get the score of no words."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([scorer.score(t) for t in texts], dtype=float)
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn(out, scored(F.col(text)))
