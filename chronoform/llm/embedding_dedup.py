@@ -25,6 +25,9 @@ from .graph import connected_components, local_forest
 
 SEED = 7
 SLACK = 1e-9  # of a budget, for rounding
+#: Least and most rows of a chunk; a quarter of the rows between them, so that copies of a vector are some twenty until 130,000 distinct ones, and
+#: a task holds two chunks of some 50 MB at most.
+CHUNK = (4096, 32768)
 
 
 def rotated(x: np.ndarray) -> np.ndarray:
@@ -249,7 +252,7 @@ def near_vectors(vectors: DataFrame, cosine: float, blocks: int, chunk: int, sam
     return units.groupBy("h", *key, "a", "b").applyInArrow(linked, "id long, n long, peer long")
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, blocks: int = 4, chunk: int = 8192) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, blocks: int = 4, chunk: int | None = None) -> DataFrame:
     """For each row: id, n_links (other rows linked directly), component_id (smallest id reachable) and kept (it is its own component).
 
     Rows link at the given cosine or more, measured in double precision. Null and zero vectors, and vectors with null or non-finite
@@ -261,6 +264,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     own = own.withColumn("h", F.concat_ws(":", F.xxhash64("vec"), F.xxhash64(F.lit("second"), "vec")))
     classes = own.where("vec is not null").groupBy("h", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    chunk = chunk or int(np.clip(classes.count() / 4, *CHUNK))
     found = cut(near_vectors(classes.select("id", "n", "vec"), cosine, blocks, chunk))
     degree = found.where("peer is null").groupBy("id").agg(F.sum("n").alias("linked"))
     joined = connected_components(found.where("peer is not null"), "id", "peer")
