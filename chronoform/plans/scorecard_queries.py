@@ -11,10 +11,10 @@ from chronoform.operators import scorecards as K
 from chronoform.operators import text as T
 from chronoform.operators import vectors as V
 
-from .fixtures import CONV, EMB, EV, FEAT, conv, ev, feat, table, vectors
+from .fixtures import CONV, EMB, EV, conv, ev, table, vectors
 from .interval_queries import HALVES, halves
-from .registry import r6, registered, rounded
-from .series_queries import PEAKS, SEGMENTS, bounds, peaks, segments, vector_pairs
+from .registry import registered, rounded
+from .series_queries import SEGMENTS, bounds, segments, vector_pairs
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from chronoform.functions import scalar
 from chronoform.operators import grouped as G
