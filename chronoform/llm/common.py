@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoform.sources.storage import cut, new_path, shared_dir
 
-__all__ = ["ascii_lower", "bounded", "crc_mod", "cut", "hot_join", "new_path", "shared_dir", "without"]
+__all__ = ["ascii_lower", "bounded", "crc_mod", "cut", "hot_join", "new_path", "shared_dir", "small_batches", "without"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a narrow table that may be broadcast: some 50 MB at 100 bytes a row.
@@ -24,6 +24,17 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; its session hands Python so many rows at a time from now on, unless it has a number of its own.
+
+    Texts may be long, and a batch of the default 10,000 is held on both sides of each Python worker.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for a broadcast if its ``rows`` are ``most`` or fewer; else as it is."""
     return F.broadcast(df) if rows <= most else df

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHIFT = 21  # bits of a code point
 
 
@@ -81,7 +83,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", si
     The number of documents is the documented bound of the fit. Rows without a language or text teach nothing; no row: no
     language. Counts are summed by Spark; only ``size`` n-grams of each language reach the driver.
     """
-    labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    labelled = small_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not rows:
         return Profiles({}, size, n_max)
@@ -122,7 +124,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     Rows stay where they are: no shuffle, one text in memory at a time besides the Arrow batch.
     """
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rest = [c for c in small_batches(docs).columns if c.lower() not in ("lang_pred", "score")]
     return docs.select("*", predictor(profiles)(F.col(text)).alias("__cf_lang")).select(*[F.col(f"`{c}`") for c in rest], "__cf_lang.lang_pred", "__cf_lang.score")
 
 

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -420,7 +422,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays(columns, names=["base", "all", "unopened"])
 
     rest = [c for c in docs.columns if c.lower() not in ("base_spans", "all_spans", "unopened")]
-    found = docs.select("*", spans(F.col(text)).alias("__cf_spans"))
+    found = small_batches(docs).select("*", spans(F.col(text)).alias("__cf_spans"))
     return found.select(*[F.col(f"`{c}`") for c in rest], F.col("__cf_spans.base").alias("base_spans"), F.col("__cf_spans.all").alias("all_spans"), "__cf_spans.unopened")
 
 
@@ -431,4 +433,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> Dat
     def mask(texts: pa.Array) -> pa.Array:
         return pa.array((masked(t.as_py(), mark) for t in texts), pa.string())
 
-    return docs.withColumn(text, mask(F.col(text)))
+    return small_batches(docs).withColumn(text, mask(F.col(text)))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded, cut, hot_join, without
+from .common import bounded, cut, hot_join, small_batches, without
 from .graph import connected_components, local_forest
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -191,7 +191,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     have equal fingerprints and cost one comparison, whatever their number. A null id takes part but never names a component
     unless it has no other id; then the component is null. No shuffle carries a text.
     """
-    own = cut(docs.select(F.col(id_col).alias("id"), simhash64(F.col(text)).alias("fp")))
+    own = cut(small_batches(docs).select(F.col(id_col).alias("id"), simhash64(F.col(text)).alias("fp")))
     return grouped(own).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -213,7 +213,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repeat
     smallest id (null last), then the smallest hash of the text, then the smallest row. Rows of one id and text are counted
     before groups are formed, and only a kept id and text that is repeated has its rows aggregated.
     """
-    own = cut(docs.select(F.col(id_col).alias("id"), text_hash(F.col(text)).alias("hash"), simhash64(F.col(text)).alias("fp")))
+    own = cut(small_batches(docs).select(F.col(id_col).alias("id"), text_hash(F.col(text)).alias("hash"), simhash64(F.col(text)).alias("fp")))
     found = grouped(own.groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("n")))
     key = docs[id_col].eqNullSafe(F.col("__cf_id")) & (text_hash(docs[text]) == F.col("__cf_hash"))
     names = F.col("id").alias("__cf_id"), F.col("hash").alias("__cf_hash")

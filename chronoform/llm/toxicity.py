@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 PREFIX = 5
@@ -149,7 +151,7 @@ def fit(
     labels = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"))
     n = labels.count()
     chosen = labels.where(F.xxhash64("id", F.lit("fit")) / F.lit(2.0**64) + 0.5 <= (max_docs / n if n else 1.0))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "y")
 
     instead = others(groups)
 
@@ -172,4 +174,4 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return small_batches(docs).withColumn(out, scored(F.col(text)))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, hot_join
+from .common import BROADCAST_ROWS, cut, hot_join, small_batches
 
 SKIPPABLE = 0x184D2A5D  # of the dictionary frame, by the .warc.zst specification
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -157,7 +157,7 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, dict_bytes
             yield closed()
 
     ids = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("page_id", "refers_to")]
-    rows = classified(pages, **options).select(ids[0], "url", "payload", ids[1], "revisit")
+    rows = classified(small_batches(pages), **options).select(ids[0], "url", "payload", ids[1], "revisit")
     rows.mapInPandas(pack, "archive string, n_records long, content binary").write.parquet(path)
 
 
