@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, license_scan, max_sketch, mixing, quotation, secret_scan, simhash, token_files, toxicity, warc
+from . import align, decontaminate, embedding_dedup, language, license_scan, max_sketch, mixing, quotation, secret_scan, simhash, token_files, toxicity, warc
 from .common import crc_mod, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,8 @@ t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) A
 f AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM s) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t GROUP BY term),
 x AS (SELECT q.item_id, t.r, t.doc_id, CAST(sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (100 - 50 + (50 * t.n * (SELECT n FROM s)) // CAST((SELECT l FROM s) AS BIGINT))))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term) GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
