@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoform.functions.scalar import clamp
+from chronoform.sources.storage import cut
+
+from .blocks import NUMBER, in_blocks, numbered
+from .blocks import whole as of_whole
 
 SERIES, ORDER, VALUE = "series_id", "seq", "signal"
 
@@ -106,7 +110,7 @@ def weights_sql(window: int, degree: int) -> str:
     return text(out)
 
 
-def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window: int = 15, degree: int = 3, series: str = SERIES, order: str = ORDER, odd: bool = False) -> DataFrame:
+def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window: int = 15, degree: int = 3, series: str = SERIES, order: str = ORDER, odd: bool = False, block_rows: int | None = None) -> DataFrame:
     """df with a struct<smooth, velocity, acceleration, jerk> for each of the values (name of the struct to column), of a polynomial fitted to a full
     window at each row, shifted inside the ends.
 
@@ -114,9 +118,14 @@ def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window
     the series is, and all channels share one sort. Smoothed ends keep their raw values. A series not longer than the degree is fitted by its own length. With
     ``odd``, a series shorter than the window has the longest odd window that fits, of 3 rows at least.
     """
-    w = Window.partitionBy(series).orderBy(order)
-    near = {f"__near_{k}": F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(-(window - 1), window - 1)) for k, c in values.items()}
-    rows = df.withColumns({"__n": F.row_number().over(w) - 1, "__total": F.count("*").over(Window.partitionBy(series)), **near})
+    near = {f"__near_{k}": F.collect_list(F.col(c).cast("double")) for k, c in values.items()}
+
+    def gather(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), window - 1)
+        return rows.withColumns({k: c.over(frame) for k, c in near.items()})
+
+    rows = of_whole(numbered(df, series, order, block_rows=block_rows), {"__total": F.count("*")}, series, block_rows, order)
+    rows = in_blocks(rows, window - 1, gather, series, order, block_rows).withColumnRenamed(NUMBER, "__n")
     size = F.least(F.lit(window), F.col("__total")).cast("int")
     if odd:
         size = F.when((size % 2 == 0) & (size > 3), size - 1).otherwise(size)
@@ -133,9 +142,9 @@ def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window
     return rows.drop("__n", "__total", "__size", "__place", "__skip", "__w", *near)
 
 
-def local_polynomial(df: DataFrame, rate: float, window: int = 15, degree: int = 3, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def local_polynomial(df: DataFrame, rate: float, window: int = 15, degree: int = 3, value: str = VALUE, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """df with ``smooth``, ``velocity``, ``acceleration`` and ``jerk`` of :func:`local_polynomials` for one channel."""
-    return local_polynomials(df, rate, {"__fit": value}, window, degree, series, order).select("*", "__fit.*").drop("__fit")
+    return local_polynomials(df, rate, {"__fit": value}, window, degree, series, order, block_rows=block_rows).select("*", "__fit.*").drop("__fit")
 
 
 def similarity_coupling(df: DataFrame, rate: float, cx: str, cy: str, scale: str, rotation: str, series: str = SERIES, order: str = ORDER) -> DataFrame:
@@ -182,27 +191,45 @@ def similarity_coupling(df: DataFrame, rate: float, cx: str, cy: str, scale: str
     )
 
 
-def integrate_transform(steps: DataFrame, dx: str, dy: str, factor: str, checkpoints: int = 5, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """(series, n, x, y, scale) at evenly spaced checkpoints: steps added and multiplied with a clamp after each.
+def clamped(a: Column, b: Column, lo: Column, hi: Column) -> Column:
+    """The map x -> min(hi, max(lo, a x + b)), a not negative."""
+    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
 
-    The clamp makes it no running sum: each series is folded in order, in one array expression.
-    """
-    rows = steps.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(order, F.col(dx).alias("dx"), F.col(dy).alias("dy"), F.col(factor).alias("f")))).alias("__s"))
 
-    @F.pandas_udf("array<struct<n long, x double, y double, scale double>>")
-    def fold(groups: pd.Series) -> pd.Series:
-        out = []
-        for group in groups:
-            x = y = 0.5
-            scale, places, found = 1.0, {round(i * (len(group) - 1) / (checkpoints - 1)) for i in range(checkpoints)}, []
-            for n, step in enumerate(group):
-                x, y, scale = min(1.0, max(0.0, x + step["dx"])), min(1.0, max(0.0, y + step["dy"])), min(4.0, max(0.25, scale * step["f"]))
-                if n in places:
-                    found.append({"n": n, "x": x, "y": y, "scale": scale})
-            out.append(found)
-        return pd.Series(out)
+def applied(f: Column, x: Column) -> Column:
+    return F.least(f["hi"], F.greatest(f["lo"], f["a"] * x + f["b"]))
+
+
+def after(f: Column, g: Column) -> Column:
+    """g after f, again a map of the kind: g moves what f is clamped to, and clamps it."""
+    return clamped(g["a"] * f["a"], g["a"] * f["b"] + g["b"], applied(g, f["lo"]), applied(g, f["hi"]))
 
-    return rows.select(series, F.inline(fold("__s")))
+
+def integrate_transform(steps: DataFrame, dx: str, dy: str, factor: str, checkpoints: int = 5, series: str = SERIES, order: str = ORDER, part_rows: int = 1024, block_rows: int | None = None) -> DataFrame:
+    """(series, n, x, y, scale) at evenly spaced checkpoints: steps added and multiplied with a clamp after each; factors are not negative.
+
+    A clamped step is a map x -> min(hi, max(lo, a x + b)), and one such map after another is one again. So the steps of each ``part_rows`` rows are composed
+    to one map, the maps of a series give where each part begins, and only the parts that hold a checkpoint are walked step by step. A group is a
+    part, or one row a part; rows are numbered in blocks of ``block_rows`` (see :mod:`blocks`).
+    """
+    names = ("x", "y", "scale")
+    rows = numbered(steps.select(series, order, F.col(dx).alias("dx"), F.col(dy).alias("dy"), F.col(factor).alias("f")), series, order, block_rows=block_rows)
+    one, zero, unit = F.lit(1.0), F.lit(0.0), (F.lit(0.0), F.lit(1.0))
+    most = (F.lit(0.25), F.lit(4.0))
+    step = F.struct(clamped(one, F.col("dx"), *unit).alias("x"), clamped(one, F.col("dy"), *unit).alias("y"), clamped(F.col("f"), zero, *most).alias("scale"))
+    parts = rows.groupBy(series, F.floor(F.col(NUMBER) / part_rows).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(NUMBER).alias("n"), step.alias("m")))), lambda s: s["m"]).alias("steps"))
+    parts = cut(parts)
+    still = F.struct(*[clamped(one, zero, *(most if c == "scale" else unit)).alias(c) for c in names])  # of what is in range already
+    composed = F.aggregate("steps", still, lambda f, g: F.struct(*[after(f[c], g[c]).alias(c) for c in names]))
+    whole = parts.select(series, "part", F.size("steps").alias("n"), composed.alias("m"))
+    line = whole.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("maps"), F.sum("n").alias("total"))
+    begin = F.struct(F.lit(0.5).alias("x"), F.lit(0.5).alias("y"), F.lit(1.0).alias("scale"))
+    walk = lambda maps: F.aggregate(maps, begin, lambda at, m: F.struct(*[applied(m["m"][c], at[c]).alias(c) for c in names]))
+    wanted = line.select(series, "maps", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(checkpoints - 1)), lambda i: F.bround(i * (F.col("total") - 1) / (checkpoints - 1)).cast("long")))).alias("n"))
+    wanted = wanted.withColumn("part", F.floor(F.col("n") / part_rows)).select(series, "n", "part", walk(F.slice("maps", F.lit(1), F.col("part").cast("int"))).alias("at"))
+    own = wanted.join(parts, [series, "part"]).withColumn("steps", F.slice("steps", F.lit(1), (F.col("n") % part_rows + 1).cast("int")))
+    found = F.aggregate("steps", F.col("at"), lambda at, m: F.struct(*[applied(m[c], at[c]).alias(c) for c in names]))
+    return own.select(series, "n", found.alias("v")).select(series, "n", *[f"v.{c}" for c in names])
 
 
 def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:

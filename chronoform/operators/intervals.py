@@ -8,25 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-SERIES = "series_id"
-
+from .blocks import BLOCK, scan
 
-def reach(series: str, *tie: str) -> Column:
-    """The largest end among the rows before, in order of start."""
-    return F.max("end").over(Window.partitionBy(series).orderBy("start", "end", *tie).rowsBetween(Window.unboundedPreceding, -1))
+SERIES = "series_id"
 
 
-def merge_ranges(ranges: DataFrame, series: str = SERIES) -> DataFrame:
-    """Overlapping or touching ranges of a series as one, with the number merged."""
-    rows = ranges.withColumn("__new", F.coalesce((F.col("start") > reach(series)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("__g", F.sum("__new").over(Window.partitionBy(series).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def merge_ranges(ranges: DataFrame, series: str = SERIES, block_rows: int | None = None) -> DataFrame:
+    """Overlapping or touching ranges of a series as one, with the number merged. A range that reaches over block borders is one."""
+    rows = scan(ranges, {"__far": ("max", F.col("end"), False)}, series, "start", "end", block_rows=block_rows)
+    rows = rows.withColumn("__new", F.coalesce((F.col("start") > F.col("__far")).cast("long"), F.lit(1)))
+    rows = scan(rows, {"__g": ("sum", F.col("__new"), True)}, series, "start", "end", block_rows=block_rows)
     return rows.groupBy(series, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("__g")
 
 
-def gaps(segments: DataFrame, totals: DataFrame, tolerance: float = 0.05, series: str = SERIES) -> DataFrame:
+def gaps(segments: DataFrame, totals: DataFrame, tolerance: float = 0.05, series: str = SERIES, block_rows: int | None = None) -> DataFrame:
     """Spans of [0, total) longer than the tolerance that no segment covers, the tail included; totals(series, total)."""
     marked = segments.select(series, "start", "end").unionByName(totals.select(series, F.col("total").alias("start"), F.col("total").alias("end")))
-    rows = marked.withColumn("__from", F.coalesce(F.greatest(reach(series), F.lit(0)), F.lit(0)))
+    rows = scan(marked, {"__far": ("max", F.col("end"), False)}, series, "start", "end", block_rows=block_rows)
+    rows = rows.withColumn("__from", F.coalesce(F.greatest(F.col("__far"), F.lit(0)), F.lit(0)))
     return rows.where(F.col("start") - F.col("__from") > tolerance).select(series, F.col("__from").alias("start"), F.col("start").alias("end"))
 
 
@@ -45,11 +44,11 @@ def keep_complement(silences: DataFrame, totals: DataFrame, pad: float = 0.08, m
     return kept.unionByName(none)
 
 
-def pack_timeline(clips: DataFrame, fps: float, order: str = "seq", series: str = SERIES) -> DataFrame:
+def pack_timeline(clips: DataFrame, fps: float, order: str = "seq", series: str = SERIES, block_rows: int | None = None) -> DataFrame:
     """Clips laid one after another: frames = max(1, half-even seconds x fps), out_start = the sum of those before."""
     frames = F.greatest(F.lit(1), F.bround((F.col("end") - F.col("start")) * fps).cast("long"))
-    before = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return clips.withColumn("frames", frames).withColumn("out_start", F.coalesce(F.sum("frames").over(before), F.lit(0)))
+    rows = scan(clips.withColumn("frames", frames), {"out_start": ("sum", F.col("frames"), False)}, series, order, block_rows=block_rows)
+    return rows.withColumn("out_start", F.coalesce("out_start", F.lit(0))).drop(BLOCK)
 
 
 def montage(segments: DataFrame, fps: float, shortest: float = 0.35, first: int = 6, longest: float = 2.5, series: str = SERIES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators over ordered series: change points, runs, derivatives, filters, curves and phases.
 
-Windows are partitioned by series and run inside one sort of it, so chained operators share one shuffle.
+Windows are partitioned by series and run inside one sort of it, so chained operators share one shuffle. Operators that take ``block_rows`` deal series
+of more rows than that to blocks (see :mod:`blocks`), with the same results; without it a series is one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from chronoform.functions.scalar import clamp, col
 
+from .blocks import BLOCK, NUMBER, in_blocks, numbered, scan, shifted
+from .blocks import whole as of_whole
+from .quantiles import exact_quantiles
+
 SERIES, ORDER, VALUE = "series_id", "seq", "signal"
 
 
@@ -21,15 +26,14 @@ def whole(series: str = SERIES) -> WindowSpec:
     return Window.partitionBy(series)
 
 
-def adjacent_deltas(samples: DataFrame, vector: str = "x", width: int = 8, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def adjacent_deltas(samples: DataFrame, vector: str = "x", width: int = 8, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """Change of each raster against the one before: mean absolute difference, change of mean, of edges and left-right asymmetry; 0 for the first.
 
     The change of edges is the mean absolute difference of the horizontal neighbour differences.
     """
-    prev = F.lag(vector).over(along(series, order))
     diff = F.zip_with(F.col(vector), F.col("prev"), lambda a, b: F.abs(a - b))
     avg = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-    df = samples.withColumn("prev", prev).withColumn("diff", diff)
+    df = shifted(samples, {"prev": (vector, -1)}, series, order, block_rows).withColumn("diff", diff)
     across = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - 2), lambda i: F.abs(F.get(xs, i + 1) - F.get(xs, i)) * (i % width != width - 1).cast("double"))
     edges = F.zip_with(across(F.col(vector)), across(F.col("prev")), lambda a, b: F.abs(a - b))
     left, right = F.filter("diff", lambda x, i: i % width < width // 2), F.filter("diff", lambda x, i: i % width >= width // 2)
@@ -58,21 +62,28 @@ def unwrap_degrees(df: DataFrame, value: str = VALUE, series: str = SERIES, orde
     return df.withColumn("unwrapped", F.first(value).over(w) + F.sum("__turn").over(w)).drop("__turn")
 
 
-def robust_threshold(df: DataFrame, value: str = VALUE, k: float = 6.0, floor: float = 0.08, lo: float | None = 0.16, hi: float | None = 0.65, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def robust_threshold(df: DataFrame, value: str = VALUE, k: float = 6.0, floor: float = 0.08, lo: float | None = 0.16, hi: float | None = 0.65, series: str = SERIES, order: str = ORDER, hot_rows: int | None = None) -> DataFrame:
     """(series, median, mad, threshold): median + max(floor, k raw MAD), kept within [lo, hi]. The first row of a series does not count.
 
-    The median is taken in a window and its deviation in the aggregation behind it, all in one partitioning by series.
+    The median is taken in a window and its deviation in the aggregation behind it, all in one partitioning by series. With ``hot_rows``, series of more rows than that
+    are held by no task: their first row is the one of the least order, and both medians are found by :func:`quantiles.exact_quantiles`.
     """
+    if hot_rows:
+        first = df.groupBy(series).agg(F.min(order).alias("__first"))
+        rows = df.join(first, series).where(F.col(order) > F.col("__first")).select(series, F.col(value).alias("x"))
+        mid = exact_quantiles(rows, "x", {"median": 0.5}, series, hot_rows)
+        off = exact_quantiles(rows.join(mid, series).select(series, F.abs(F.col("x") - F.col("median")).alias("x")), "x", {"mad": 0.5}, series, hot_rows)
+        return mid.join(off, series).withColumn("threshold", clamp(F.col("median") + F.greatest(F.lit(floor), k * F.col("mad")), lo, hi))
     rows = df.withColumn("__first", F.lag(order).over(along(series, order)).isNull()).where("not __first").select(series, F.col(value).alias("x"))
     rows = rows.withColumn("median", F.percentile("x", F.lit(0.5)).over(whole(series)))
     mad = rows.groupBy(series).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
     return mad.withColumn("threshold", clamp(F.col("median") + F.greatest(F.lit(floor), k * F.col("mad")), lo, hi))
 
 
-def local_peaks(df: DataFrame, thresholds: DataFrame, value: str = VALUE, external: DataFrame | None = None, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def local_peaks(df: DataFrame, thresholds: DataFrame, value: str = VALUE, external: DataFrame | None = None, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """Rows at or above the threshold and both neighbours (a missing next one is 0), and rows of the external candidates."""
-    w = along(series, order)
-    rows = df.withColumns({"__prev": F.lag(value).over(w), "__next": F.coalesce(F.lead(value).over(w), F.lit(0.0))}).join(thresholds.select(series, "threshold"), series)
+    rows = shifted(df, {"__prev": (value, -1), "__next": (value, 1)}, series, order, block_rows)
+    rows = rows.withColumn("__next", F.coalesce("__next", F.lit(0.0))).join(thresholds.select(series, "threshold"), series)
     peak = F.col("__prev").isNotNull() & (F.col(value) >= F.col("threshold")) & (F.col(value) >= F.col("__prev")) & (F.col(value) >= F.col("__next"))
     if external is not None:
         rows = rows.join(external.select(series, order).distinct().withColumn("__ext", F.lit(True)), [series, order], "left")
@@ -80,31 +91,30 @@ def local_peaks(df: DataFrame, thresholds: DataFrame, value: str = VALUE, extern
     return rows.where(peak).drop("__prev", "__next", "__ext")
 
 
-def islands(df: DataFrame, holds: Column, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def islands(df: DataFrame, holds: Column, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """The rows for which the condition holds, with ``island``: the number of rows before for which it does not."""
-    w = along(series, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"__on": F.coalesce(holds, F.lit(False))}).withColumn("island", F.sum((~F.col("__on")).cast("long")).over(w)).where("__on").drop("__on")
+    df = df.withColumn("__on", F.coalesce(holds, F.lit(False)))
+    return scan(df, {"island": ("sum", (~F.col("__on")).cast("long"), True)}, series, order, block_rows=block_rows).where("__on").drop("__on", BLOCK)
 
 
-def sustained_runs(df: DataFrame, value: str = VALUE, threshold: float = 0.035, min_len: int = 4, min_sum: float = 0.25, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def sustained_runs(df: DataFrame, value: str = VALUE, threshold: float = 0.035, min_len: int = 4, min_sum: float = 0.25, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """Longest runs of rows at or above the threshold, of at least min_len rows and min_sum in all."""
-    runs = islands(df, F.col(value) >= threshold, series, order).groupBy(series, "island")
+    runs = islands(df, F.col(value) >= threshold, series, order, block_rows).groupBy(series, "island")
     return runs.agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.count("*").alias("n"), F.sum(value).alias("total")).where((F.col("n") >= min_len) & (F.col("total") >= min_sum)).drop("island")
 
 
-def isolated_impulses(df: DataFrame, value: str = VALUE, peak: float = 0.35, floor: float = 0.12, share: float = 0.55, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def isolated_impulses(df: DataFrame, value: str = VALUE, peak: float = 0.35, floor: float = 0.12, share: float = 0.55, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """Rows of at least ``peak`` whose neighbours are at most max(floor, share of it)."""
-    w = along(series, order)
-    beside = F.greatest(F.coalesce(F.lag(value).over(w), F.lit(0.0)), F.coalesce(F.lead(value).over(w), F.lit(0.0)))
-    rows = df.withColumns({"beside": beside, "__first": F.lag(value).over(w).isNull()})
-    return rows.where(~F.col("__first") & (F.col(value) >= peak) & (F.col("beside") <= F.greatest(F.lit(floor), share * F.col(value)))).drop("__first")
+    rows = shifted(df, {"__prev": (value, -1), "__next": (value, 1)}, series, order, block_rows)
+    rows = rows.withColumn("beside", F.greatest(F.coalesce("__prev", F.lit(0.0)), F.coalesce("__next", F.lit(0.0))))
+    return rows.where(F.col("__prev").isNotNull() & (F.col(value) >= peak) & (F.col("beside") <= F.greatest(F.lit(floor), share * F.col(value)))).drop("__prev", "__next")
 
 
-def group_candidates(candidates: DataFrame, isolated: DataFrame, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def group_candidates(candidates: DataFrame, isolated: DataFrame, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """(series, start, end, n): runs of consecutive candidates; isolated ones are groups of their own and part the others."""
     alone = isolated.select(series, order).distinct()
     rest = candidates.select(series, order).distinct().join(alone, [series, order], "left_anti")
-    rest = rest.withColumn("__g", F.col(order) - F.row_number().over(along(series, order)))
+    rest = numbered(rest, series, order, block_rows=block_rows).withColumn("__g", F.col(order) - F.col(NUMBER))
     grouped = rest.groupBy(series, "__g").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.count("*").alias("n")).drop("__g")
     return grouped.unionByName(alone.select(series, F.col(order).alias("start"), (F.col(order) + 1).alias("end"), F.lit(1).cast("long").alias("n")))
 
@@ -118,18 +128,18 @@ def sparse_transitions(df: DataFrame, thresholds: DataFrame, value: str = "combi
     return rows.select(series, F.greatest(F.col("before") + 1, F.least(F.col(order), middle)).alias("frame"), F.lit("unknown").alias("type"), F.least(F.lit(0.5), F.greatest(F.lit(0.3), F.col(value))).alias("confidence"))
 
 
-def segment(bounds: DataFrame, boundaries: DataFrame, min_confidence: float = 0.55, series: str = SERIES) -> DataFrame:
+def segment(bounds: DataFrame, boundaries: DataFrame, min_confidence: float = 0.55, series: str = SERIES, block_rows: int | None = None) -> DataFrame:
     """Contiguous half-open segments of bounds(series, start, end), cut at boundaries(series, frame, confidence) strictly inside."""
     cuts = boundaries.where(F.col("confidence") >= min_confidence).join(bounds, series).where((F.col("frame") > F.col("start")) & (F.col("frame") < F.col("end"))).select(series, "frame")
     marks = cuts.unionByName(bounds.select(series, F.col("start").alias("frame"))).unionByName(bounds.select(series, F.col("end").alias("frame"))).distinct()
-    w = Window.partitionBy(series).orderBy("frame")
-    rows = marks.withColumns({"end": F.lead("frame").over(w), "n": F.row_number().over(w)}).where("end is not null")
+    rows = numbered(marks, series, "frame", block_rows=block_rows)
+    rows = shifted(rows, {"end": ("frame", 1)}, series, "frame", block_rows).withColumn("n", F.col(NUMBER) + 1).where("end is not null")
     return rows.select(series, F.format_string("shot-%04d", "n").alias("segment_id"), F.col("frame").alias("start"), "end")
 
 
-def level_intervals(df: DataFrame, holds: Column, min_len: int, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def level_intervals(df: DataFrame, holds: Column, min_len: int, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """Half-open runs of rows for which the condition holds, of at least min_len rows; a run open at the end goes to the end."""
-    runs = islands(df, holds, series, order).groupBy(series, "island").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"))
+    runs = islands(df, holds, series, order, block_rows).groupBy(series, "island").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"))
     return runs.where(F.col("end") - F.col("start") >= min_len).drop("island")
 
 
@@ -160,27 +170,38 @@ def gradient(value: str, rate: float, w: WindowSpec, second_order: bool = True)
     return F.when(p1.isNull() & n1.isNull(), 0.0).when(p1.isNull(), first).when(n1.isNull(), last).otherwise((n1 - p1) / 2) * rate
 
 
-def finite_derivatives(df: DataFrame, rate: float, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """velocity, acceleration and jerk by three rounds of differences, over one sort."""
-    w = along(series, order)
-    df = df.withColumn("velocity", gradient(value, rate, w))
-    df = df.withColumn("acceleration", gradient("velocity", rate, w))
-    return df.withColumn("jerk", gradient("acceleration", rate, w))
+def finite_derivatives(df: DataFrame, rate: float, value: str = VALUE, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
+    """velocity, acceleration and jerk by three rounds of differences, over one sort. A round looks at two rows on a side at most, so six reach all of them."""
 
+    def derive(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order)
+        rows = rows.withColumn("velocity", gradient(value, rate, w))
+        rows = rows.withColumn("acceleration", gradient("velocity", rate, w))
+        return rows.withColumn("jerk", gradient("acceleration", rate, w))
 
-def hampel(df: DataFrame, half: int = 2, sigma: float = 3.5, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
-    """``outlier`` by the median and MAD of a centred window, and ``filtered``: outliers interpolated between their unflagged neighbours."""
-    w = along(series, order)
-    frame = w.rowsBetween(-half, half)
-    df = df.withColumns({"__n": F.row_number().over(w), "__med": F.percentile(value, F.lit(0.5)).over(frame), "__near": F.collect_list(value).over(frame), "__range": F.max(value).over(whole(series)) - F.min(value).over(whole(series))})
+    return in_blocks(df, 6, derive, series, order, block_rows)
+
+
+def hampel(df: DataFrame, half: int = 2, sigma: float = 3.5, value: str = VALUE, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
+    """``outlier`` by the median and MAD of a centred window, and ``filtered``: outliers interpolated between their unflagged neighbours, however far those are."""
+    columns = df.columns
+    df = numbered(df, series, order, block_rows=block_rows)
+    df = of_whole(df, {"__top": F.max(value), "__low": F.min(value)}, series, block_rows, order)
+
+    def near(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
+        return rows.withColumns({"__med": F.percentile(value, F.lit(0.5)).over(frame), "__near": F.collect_list(value).over(frame)})
+
+    df = in_blocks(df, half, near, series, order, block_rows)
     dev = F.array_sort(F.transform("__near", lambda x: F.abs(x - F.col("__med"))))
     size = F.size(dev)
     mad = (F.element_at(dev, F.floor((size + 1) / 2).cast("int")) + F.element_at(dev, F.floor((size + 2) / 2).cast("int"))) / 2
-    df = df.withColumn("outlier", F.abs(F.col(value) - F.col("__med")) > F.greatest(F.greatest(F.lit(1e-9), 0.02 * F.col("__range")), sigma * 1.4826 * mad))
-    good = F.when(~F.col("outlier"), F.struct(F.col("__n").alias("n"), F.col(value).alias("x")))
-    df = df.withColumns({"__a": F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__b": F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    between = F.col("__a.x") + (F.col("__b.x") - F.col("__a.x")) * (F.col("__n") - F.col("__a.n")) / (F.col("__b.n") - F.col("__a.n"))
-    return df.withColumn("filtered", F.when(~F.col("outlier"), F.col(value)).otherwise(F.coalesce(between, F.col("__a.x"), F.col("__b.x"), F.col(value)))).drop("__n", "__med", "__near", "__range", "__a", "__b")
+    df = df.withColumn("outlier", F.abs(F.col(value) - F.col("__med")) > F.greatest(F.greatest(F.lit(1e-9), 0.02 * (F.col("__top") - F.col("__low"))), sigma * 1.4826 * mad)).drop("__near")
+    good = F.when(~F.col("outlier"), F.struct(F.col(NUMBER).alias("n"), F.col(value).alias("x")))
+    df = scan(df.withColumn("__down", -F.col(NUMBER)), {"__a": ("last", good, False)}, series, NUMBER, block_rows=block_rows).drop(BLOCK)
+    df = scan(df, {"__b": ("last", good, False)}, series, "__down", block_rows=block_rows)
+    between = F.col("__a.x") + (F.col("__b.x") - F.col("__a.x")) * (F.col(NUMBER) - F.col("__a.n")) / (F.col("__b.n") - F.col("__a.n"))
+    return df.withColumn("filtered", F.when(~F.col("outlier"), F.col(value)).otherwise(F.coalesce(between, F.col("__a.x"), F.col("__b.x"), F.col(value)))).select(*columns, "outlier", "filtered")
 
 
 CURVES = ("linear", "ease_in", "ease_out", "ease_in_out", "cubic_bezier", "hermite", "overshoot", "settle")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from chronoform.functions import scalar
 from chronoform.sources.storage import cut
 
+from .quantiles import exact_quantiles
 
-def quantile_mask(df: DataFrame, value: str, quantiles: dict[str, float], series: str = "series_id") -> DataFrame:
-    """For each named quantile: its exact (linear) value in the series and the share of rows at or above it."""
-    limits = df.groupBy(series).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()])
+
+def quantile_mask(df: DataFrame, value: str, quantiles: dict[str, float], series: str = "series_id", hot_rows: int = 1_000_000) -> DataFrame:
+    """For each named quantile: its exact (linear) value in the series and the share of rows at or above it. No task holds a series of more than ``hot_rows`` rows."""
+    limits = exact_quantiles(df, value, quantiles, series, hot_rows)
     shares = [F.avg((F.col(value) >= F.col(name)).cast("double")).alias(f"{name}_share") for name in quantiles]
     return df.select(series, value).join(limits, series).groupBy(series, *quantiles).agg(*shares)
 
