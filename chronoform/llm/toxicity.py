@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 PREFIX = 5
@@ -90,8 +88,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.logit(set(WORD.findall((text or "").lower()))), -30, 30))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap_penalty: float, l1: float, rounds: int, min_docs: int) -> Scorer:
-    """Weights that minimise mean log loss + l1 |w| + swap_penalty mean (change of logit by a swap)^2.
+def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap_penalty: float, l1: float, rounds: int, min_docs: int, counts: np.ndarray | None = None) -> Scorer:
+    """Weights that minimise mean log loss + l1 |w| + swap_penalty mean (change of logit by a swap)^2; counts: how often each pair occurs (once each if None).
 
     Accelerated proximal steps, each weight with its own step length (a diagonal bound of the curvature).
     """
@@ -115,10 +113,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
         crow, ccol, sign = np.concatenate([a, c]), np.concatenate([b, d]), np.concatenate([np.ones(len(a)), -np.ones(len(c))])
     else:
         crow, ccol, sign = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    scale = swap_penalty / max(1, len(pairs))
+    often = np.ones(len(pairs)) if counts is None else counts.astype(float)
+    scale = swap_penalty / max(1.0, often.sum())
     width = np.bincount(row, minlength=n) + 1.0
     cwidth = np.bincount(crow, minlength=len(pairs))
-    curve = 0.25 * np.bincount(col, width[row], m) / n + 2 * scale * np.bincount(ccol, cwidth[crow], m) + 1e-9
+    curve = 0.25 * np.bincount(col, width[row], m) / n + 2 * scale * np.bincount(ccol, (cwidth * often)[crow], m) + 1e-9
     curve0 = 0.25 * width.mean()
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     w, bias, v, vbias, t = np.zeros(m), np.log(share / (1 - share)), np.zeros(m), np.log(share / (1 - share)), 1.0
@@ -128,7 +127,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
         grad = np.bincount(col, r[row], m)
         if len(pairs):
             change = np.bincount(crow, sign * v[ccol], len(pairs))
-            grad += 2 * scale * np.bincount(ccol, sign * change[crow], m)
+            grad += 2 * scale * np.bincount(ccol, sign * (change * often)[crow], m)
         new = v - grad / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         new_bias = vbias - r.sum() / curve0
@@ -140,31 +139,39 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarr
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: dict[str, tuple] = IDENTITY_TERMS, swap_penalty: float = 10.0, l1: float = 1e-4, rounds: int = 300, min_docs: int = 3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 8000, groups: dict[str, tuple] = IDENTITY_TERMS, swap_penalty: float = 10.0, l1: float = 1e-4, rounds: int = 300, min_docs: int = 3, max_pairs: int = 50_000
 ) -> Scorer:
     """A scorer from about ``max_docs`` labelled whole texts, chosen by a hash of the id: the documented bound of the fit.
 
-    Features are made by Spark; the driver gets their hashes, for ``max_docs`` documents. Rows without a label teach nothing; a null
+    Features are made by Spark; the driver gets their hashes, for ``max_docs`` documents, and of the swaps each distinct one once with its count: all of them, or
+    the ``max_pairs`` of the least hash if there are more, some 400 bytes each. Rows without a label teach nothing; a null
     text is an empty one. No row: every score is 0.5. Where no labelled sentence has an identity term, there is nothing to swap and the loss is
     that of plain logistic regression.
     """
     labels = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"))
     n = labels.count()
     chosen = labels.where(F.xxhash64("id", F.lit("fit")) / F.lit(2.0**64) + 0.5 <= (max_docs / n if n else 1.0))
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "y")
 
     instead = others(groups)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            pairs = [list(swaps(t, instead)) for t in part.text]
-            own = [packed(features(set(WORD.findall(t.lower())))) for t in part.text]
-            yield pd.DataFrame({"id": part.id, "y": part.y, "x": own, "was": [[packed(a) for a, _ in p] for p in pairs], "now": [[packed(b) for _, b in p] for p in pairs]})
+            yield pd.DataFrame({"id": part.id, "y": part.y, "x": [packed(features(set(WORD.findall(t.lower())))) for t in part.text]})
 
-    found = rows.mapInPandas(made, "id string, y double, x binary, was array<binary>, now array<binary>").toPandas().sort_values(["id", "y"], kind="stable")
+    def swapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for t in part.text:
+                found = [(packed(a), packed(b)) for a, b in swaps(t, instead)]
+                if found:
+                    yield pd.DataFrame(found, columns=["was", "now"])
+
+    found = rows.mapInPandas(made, "id string, y double, x binary").toPandas().sort_values(["id", "y"], kind="stable")
+    pairs = rows.select("text").mapInPandas(swapped, "was binary, now binary").groupBy("was", "now").agg(F.count(F.lit(1)).alias("n"))
+    chosen_pairs = pairs.orderBy(F.xxhash64("was", "now"), "was", "now").limit(max_pairs).toPandas()
     array = lambda x: np.frombuffer(x, np.uint32).astype(np.int64)
-    pairs = [(array(a), array(b)) for was, now in zip(found.was, found.now, strict=True) for a, b in zip(was, now, strict=True)]
-    return train([array(x) for x in found.x], found.y.to_numpy(float), pairs, swap_penalty, l1, rounds, min_docs)
+    both = [(array(a), array(b)) for a, b in zip(chosen_pairs.was, chosen_pairs.now, strict=True)]
+    return train([array(x) for x in found.x], found.y.to_numpy(float), both, swap_penalty, l1, rounds, min_docs, chosen_pairs.n.to_numpy(float))
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:
@@ -174,4 +181,4 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
 
-    return small_batches(docs).withColumn(out, scored(F.col(text)))
+    return docs.withColumn(out, scored(F.col(text)))

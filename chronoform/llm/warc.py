@@ -13,13 +13,14 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, hot_join, small_batches
+from .common import BROADCAST_ROWS, cut, hot_join
 
 SKIPPABLE = 0x184D2A5D  # of the dictionary frame, by the .warc.zst specification
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -157,7 +158,7 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, dict_bytes
             yield closed()
 
     ids = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("page_id", "refers_to")]
-    rows = classified(small_batches(pages), **options).select(ids[0], "url", "payload", ids[1], "revisit")
+    rows = classified(pages, **options).select(ids[0], "url", "payload", ids[1], "revisit")
     rows.mapInPandas(pack, "archive string, n_records long, content binary").write.parquet(path)
 
 
@@ -175,14 +176,16 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def unpacked(found: DataFrame) -> DataFrame:
     """The records of the archives in column ``content``, such as of ``.warc.zst`` files read as binaryFile, without their warcinfo."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in RECORDS.split(", "))])  # whole numbers stay whole, nulls or not
         for rows in batches:
-            for content in rows.content:
-                got = [parsed(field, block) for field, block in records_of(uncompressed(bytes(content))) if field["WARC-Type"] != "warcinfo"]
+            for content in rows.column("content"):
+                got = [parsed(field, block) for field, block in records_of(uncompressed(content.as_py())) if field["WARC-Type"] != "warcinfo"]
                 if got:
-                    yield pd.DataFrame(got).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pa.RecordBatch.from_pylist(got, schema=schema)
 
-    return found.select("content").mapInPandas(unpack, RECORDS)
+    return found.select("content").mapInArrow(unpack, RECORDS)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:

@@ -62,3 +62,13 @@ def test_minimum_size_and_empty_table(spark):
     path = new_path(spark, "warc")
     warc.write(rows.where("false"), path)
     assert warc.read(spark, path).count() == 0
+
+def test_ids_beyond_the_whole_numbers_of_doubles(spark, tmp_path):
+    """Equal payloads with ids around 2^60 and a null id, in one partition: each id comes back as it was."""
+    big = 2**60
+    for extra in ([], [(None, "u", "same")]):
+        rows = [(big + 1, "u", "same"), (big + 3, "u", "same"), (big + 7, "v", "other"), *extra]
+        path = f"file://{tmp_path}/{len(extra)}"
+        warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+        got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, path).collect()), key=str)
+        assert got == sorted([(big + 1, "revisit", big + 3), (big + 3, "response", None), (big + 7, "response", None), *[(None, "revisit", big + 3)] * len(extra)], key=str)
