@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 1 << 13
-LANES = 2048
+LANES = 1024
 #: The counts of order 0 become probabilities before these steps of a block.
 REFRESH = frozenset([0, 128, 256, 512, 1024, *range(2048, BLOCK_IDS, 2048)])
 HASH_BITS = 12
@@ -77,15 +77,18 @@ class Model:
 
     def refresh(self, k: int) -> None:
         """The probabilities of order 0 from the counts so far: each id of the alphabet has one at least. ``ranges`` hold where an id's range begins and, in the low half, its length."""
-        counts, totals = self.counts[:, :k], 1 << self.bits[:k]
-        scale = (totals - self.sizes[:k]) / counts.sum(axis=0)  # one division of whole numbers below 2 to the 53rd, rounded alike everywhere
-        freq = (counts * scale).astype(np.int64) + (counts > 0)
-        freq[0] += totals - freq.sum(axis=0)
-        below = np.cumsum(freq, axis=0) - freq
-        self.ranges[:, :k] = (below << 16) | freq
+        slots = []
+        for lanes in (slice(a, min(a + 128, k)) for a in range(0, k, 128)):  # some lanes at a time, for what they need beside the tables
+            counts, totals = self.counts[:, lanes], 1 << self.bits[lanes]
+            scale = (totals - self.sizes[lanes]) / counts.sum(axis=0)  # one division of whole numbers below 2 to the 53rd, rounded alike everywhere
+            freq = (counts * scale).astype(np.int64) + (counts > 0)
+            freq[0] += totals - freq.sum(axis=0)
+            self.ranges[:, lanes] = ((np.cumsum(freq, axis=0) - freq) << 16) | freq
+            if self.decoding:
+                slots.append(np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), freq.shape[1]), freq.T.ravel()))
         if self.decoding:
-            self.at = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), k), freq.T.ravel())
-            self.at0 = np.cumsum(totals) - totals
+            self.at = np.concatenate(slots)
+            self.at0 = np.cumsum(1 << self.bits[:k]) - (1 << self.bits[:k])
 
     def predict(self, k: int) -> None:
         """The guess of the first k lanes and its probability, of 4096."""

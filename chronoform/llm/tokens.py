@@ -15,7 +15,7 @@ PLAIN = r"[\t\n\r -~À-ÖØ-öø-ɏ–—‘’“”…]*"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 WORD_START = "Ġ"  # the byte-level form of a blank
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -23,7 +23,7 @@ Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 def byte_bpe(path: str, plain: bool = False) -> Encode:
     """encode(texts) -> (ids of all texts, how many of each), by the tokenizers library without added special tokens.
 
-    The library never merges across the pieces that its byte-level pre-tokenizer makes, so a piece is encoded once and remembered (up to 400,000 pieces);
+    The library never merges across the pieces that its byte-level pre-tokenizer makes, so a piece is encoded once and remembered (up to 200,000 pieces);
     a text with other characters than letters of the Latin script, digits and ASCII, or with a special token, is encoded whole. With ``plain``
     the strings of special tokens are ordinary text.
     """
