@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,18 +29,10 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def joined_bytes(table: list[bytes]) -> Callable[[np.ndarray], tuple[np.ndarray, bytes]]:
-    """(lengths, joined bytes) of ids by a table of each id's bytes."""
-    sizes = np.array([len(b) for b in table], np.int64)
-    return lambda ids: (sizes[ids], b"".join(map(table.__getitem__, ids.tolist())))
-
-
 def byte_bpe_bytes(path: str) -> list[bytes]:
-    vocab, of = Tokenizer.from_file(path).get_vocab(), byte_level()
-    table = [b""] * (max(vocab.values()) + 1)
-    for token, i in vocab.items():
-        table[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-    return table
+    tool, of = Tokenizer.from_file(path), byte_level()
+    tokens = [tool.id_to_token(i) or "" for i in range(tool.get_vocab_size())]
+    return [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in tokens]
 
 
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -65,23 +57,22 @@ def group_numbers(ends_a: np.ndarray, ends_b: np.ndarray, overlaps: pd.DataFrame
     return np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b, int(last_a.sum())
 
 
-def linked_pairs(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, doc_of_group: np.ndarray) -> pd.DataFrame:
-    """(doc, a, b, n): how often each pair of ids is linked in each document. A group's ids meet once each, times how often they occur in it."""
-    side = lambda ids, group: pd.DataFrame({"g": group, "id": ids}).groupby(["g", "id"], sort=True).size().reset_index(name="n")
-    a, b = side(ids_a, group_a), side(ids_b, group_b)
-    first = np.searchsorted(b["g"].to_numpy(), a["g"].to_numpy())
-    width = np.searchsorted(b["g"].to_numpy(), a["g"].to_numpy(), side="right") - first
-    found, at, upto = [], 0, np.cumsum(width)
-    while at < len(a):
+def linked_pairs(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, doc_of_group: np.ndarray, most_a: int, most_b: int) -> tuple[np.ndarray, ...]:
+    """(doc, a, b, n): how often each pair of ids is linked in each document, in order. Each A token meets the B tokens of its group, some at a time, and like pairs become one."""
+    first, width = np.searchsorted(group_b, group_a), np.searchsorted(group_b, group_a, side="right")
+    width -= first
+    upto, at, keys, counts = np.cumsum(width), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while at < len(ids_a):
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
-        rows = np.repeat(np.arange(at, end), width[at:end])
-        other = first[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(width[at:end]) - width[at:end], width[at:end])
-        part = pd.DataFrame({"doc": doc_of_group[a["g"].to_numpy()[rows]], "a": a["id"].to_numpy()[rows], "b": b["id"].to_numpy()[other], "n": a["n"].to_numpy()[rows] * b["n"].to_numpy()[other]})
-        found.append(part.groupby(["doc", "a", "b"], sort=True)["n"].sum().reset_index())
-        at = end
-    if len(found) == 1:
-        return found[0]
-    return pd.concat(found).groupby(["doc", "a", "b"], sort=True)["n"].sum().reset_index() if found else pd.DataFrame({"doc": [], "a": [], "b": [], "n": []}, dtype=np.int64)
+        own = width[at:end]
+        rows = np.repeat(np.arange(at, end), own)
+        other = first[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(own) - own, own)
+        key, n = np.unique((doc_of_group[group_a[rows]] * most_a + ids_a[rows]) * most_b + ids_b[other], return_counts=True)
+        if len(keys):
+            key, place = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+        keys, counts, at = key, n, end
+    return keys // (most_a * most_b), keys // most_b % most_a, keys % most_b, counts
 
 
 def groups_text(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, names: list[list[str]]) -> list[str]:
@@ -103,23 +94,20 @@ def aligned(docs: DataFrame, id_col: str, text: str, byte_bpe_path: str, piece_p
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, model = byte_bpe(byte_bpe_path, plain=True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
         tables = byte_bpe_bytes(byte_bpe_path), piece_bytes(model)
-        bytes_a, bytes_b = map(joined_bytes, tables)
+        length_a, length_b = (np.array([len(x) for x in t], np.int64) for t in tables)
         names = [[f"{i}{end}" for i in range(len(t)) for end in (",", mark)] for t, mark in zip(tables, "|;", strict=True)]
         for rows in parts:
             at = 0
-            for texts in batches(rows.column("text").to_pylist(), 1 << 20):
+            for texts in batches(rows.column("text"), 1 << 18):
                 wanted = [" " + t for t in texts]
                 ids_a, n_a = encode_a(wanted)
                 found = model.encode(texts, num_threads=1)
                 n_b = np.fromiter(map(len, found), np.int64, len(found))
                 ids_b = np.fromiter((i for f in found for i in f), np.int64, int(n_b.sum()))
-                (sizes_a, raw_a), (sizes_b, raw_b) = bytes_a(ids_a), bytes_b(ids_b)
+                sizes_a, sizes_b = length_a[ids_a], length_b[ids_b]
                 # documents whose bytes are those of the text on both sides; an empty text has no tokens
-                same = np.zeros(len(texts), bool)
-                cut_a, cut_b = (np.concatenate([[0], np.cumsum(s)])[np.concatenate([[0], np.cumsum(n)])] for s, n in ((sizes_a, n_a), (sizes_b, n_b)))
-                for i, t in enumerate(wanted):
-                    raw = t.encode()
-                    same[i] = len(t) > 1 and raw_a[cut_a[i] : cut_a[i + 1]] == raw and raw_b[cut_b[i] : cut_b[i + 1]] == raw
+                raw = [[b"".join(map(table.__getitem__, own.tolist())) for own in np.split(ids, np.cumsum(n)[:-1])] for table, ids, n in zip(tables, (ids_a, ids_b), (n_a, n_b), strict=True)]
+                same = np.array([len(t) > 1 and t.encode() == x == y for t, x, y in zip(wanted, *raw, strict=True)], bool)
                 keep_a, keep_b = np.repeat(same, n_a), np.repeat(same, n_b)
                 ids_a, sizes_a, ids_b, sizes_b, n_a, n_b = ids_a[keep_a], sizes_a[keep_a], ids_b[keep_b], sizes_b[keep_b], n_a * same, n_b * same
                 doc_a, doc_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)
@@ -127,16 +115,16 @@ def aligned(docs: DataFrame, id_col: str, text: str, byte_bpe_path: str, piece_p
                 group_a, group_b, n_groups = group_numbers(ends_a, ends_b, covering(ends_a, sizes_a, doc_a, ends_b, sizes_b, doc_b))
                 doc_of_group = np.zeros(n_groups, np.int64)
                 doc_of_group[group_a] = doc_a
-                pairs = linked_pairs(ids_a.astype(np.int64), group_a, ids_b, group_b, doc_of_group)
+                doc, *pairs = linked_pairs(ids_a.astype(np.int64), group_a, ids_b, group_b, doc_of_group, len(tables[0]), len(tables[1]))
                 per_doc = np.bincount(doc_of_group, minlength=len(texts))
                 links = np.zeros(len(texts), np.int64)
-                np.add.at(links, pairs["doc"].to_numpy().astype(np.int64), pairs["n"].to_numpy())
+                np.add.at(links, doc, pairs[2])
                 text_of = groups_text(ids_a, group_a, ids_b, group_b, names)
                 upto = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
                 digest = [hashlib.sha256("".join(text_of[x:y])[:-1].encode()).hexdigest() if y > x else "" for x, y in zip(upto, upto[1:], strict=False)]
-                ends = np.searchsorted(pairs["doc"].to_numpy(), np.arange(len(texts) + 1))
-                of_doc = lambda c, kind, pairs=pairs, ends=ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[c].to_numpy(), kind))
-                columns = [rows.column("id").slice(at, len(texts)), n_a, n_b, per_doc, links, digest, of_doc("a", pa.int32()), of_doc("b", pa.int32()), of_doc("n", pa.int64())]
+                ends = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in zip(pairs, (pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                columns = [rows.column("id").slice(at, len(texts)), n_a, n_b, per_doc, links, digest, *lists]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True)], schema=pa.schema(FIELDS))
                 at += len(texts)
 

@@ -73,7 +73,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         for rows in parts:
             missing, doc_ids, at = rows.column("id").is_null().to_numpy(zero_copy_only=False), rows.column("id").fill_null(0).to_numpy(zero_copy_only=False), 0
-            for texts in batches(rows.column("text").to_pylist()):
+            for texts in batches(rows.column("text")):
                 ids, sizes = encode(texts)
                 with_end = np.full(len(ids) + len(sizes), end_id, np.uint32)
                 with_end[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids

@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: The pre-tokenizer's pieces of texts of these characters only, whose classes no Unicode version changes.
@@ -15,7 +16,7 @@ PLAIN = r"[\t\n\r -~À-ÖØ-öø-ɏ–—‘’“”…]*"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 WORD_START = "Ġ"  # the byte-level form of a blank
-KEPT_PIECES = 200_000
+KEPT_PIECES = 400_000
 
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -23,19 +24,17 @@ Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 def byte_bpe(path: str, plain: bool = False) -> Encode:
     """encode(texts) -> (ids of all texts, how many of each), by the tokenizers library without added special tokens.
 
-    The library never merges across the pieces that its byte-level pre-tokenizer makes, so a piece is encoded once and remembered (up to 200,000 pieces);
+    The library never merges across the pieces that its byte-level pre-tokenizer makes, so a piece is encoded once and remembered (up to 400,000 pieces);
     a text with other characters than letters of the Latin script, digits and ASCII, or with a special token, is encoded whole. With ``plain``
     the strings of special tokens are ordinary text.
     """
     tool = Tokenizer.from_file(path)
     tool.encode_special_tokens = plain
-    setup = json.loads(tool.to_str())
-    step = setup["pre_tokenizer"] or {}
-    by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not setup["normalizer"] and not setup["truncation"] and not setup["padding"]
-    special = [t["content"] for t in setup["added_tokens"]]
+    step = json.loads(tool.pre_tokenizer.__getstate__()) if tool.pre_tokenizer else {}
+    by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not tool.normalizer and not tool.truncation and not tool.padding
+    special = [t.content for t in tool.get_added_tokens_decoder().values()]
     is_plain, pieces_of = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall
-    starts_word = np.zeros(max(tool.get_vocab().values()) + 1, bool)
-    starts_word[[i for t, i in tool.get_vocab().items() if t.startswith(WORD_START)]] = True
+    starts_word = np.array([(tool.id_to_token(i) or "").startswith(WORD_START) for i in range(tool.get_vocab_size())], bool)
     is_word = re.compile(rf" [{LETTERS}]+").fullmatch
     known: dict[str, int] = {}
     flat, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
@@ -91,13 +90,16 @@ def byte_bpe(path: str, plain: bool = False) -> Encode:
     return encode
 
 
-def batches(texts: list[str], most: int = 4 << 20) -> list[list[str]]:
-    """The texts in order, in groups of some ``most`` characters; a longer text is a group of its own."""
-    out, size = [[]], 0
-    for t in texts:
-        if out[-1] and size + len(t) > most:
-            out.append([])
-            size = 0
-        out[-1].append(t)
-        size += len(t)
-    return out if out[0] else []
+def batches(column: pa.Array, most: int = 4 << 20, rows: int = 1000) -> Iterator[list[str]]:
+    """The texts of a column in order, in groups of some ``most`` characters and ``rows`` texts; a longer text is a group of its own."""
+    out: list[str] = []
+    size = 0
+    for at in range(0, len(column), rows):
+        for t in column.slice(at, rows).to_pylist():
+            if out and (size + len(t) > most or len(out) == rows):
+                yield out
+                out, size = [], 0
+            out.append(t)
+            size += len(t)
+    if out:
+        yield out
