@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 import numpy as np
@@ -111,18 +113,35 @@ def easing(name: str, p) -> Column:
     raise ValueError(f"no easing named {name}")
 
 
-def bezier_easing(x1: float, y1: float, x2: float, y2: float, steps: int = 8):
-    """A cubic Bezier easing as a vectorised function of progress: Newton steps for the parameter, then its height."""
-
-    @F.pandas_udf("double")
-    def ease(progress: pd.Series) -> pd.Series:
-        p = progress.to_numpy(float).clip(0, 1)
-        t = p.copy()
+def bezier_knots(x1: float, x2: float, n: int = 256) -> list[float]:
+    """The parameter at which a cubic Bezier easing has come to i / n of its way, for each i, by bisection."""
+    out = []
+    for i in range(n + 1):
+        lo, hi = 0.0, 1.0
+        for _ in range(50):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if 3 * (1 - t) ** 2 * t * x1 + 3 * (1 - t) * t**2 * x2 + t**3 < i / n else (lo, t)
+        out.append((lo + hi) / 2)
+    return out
+
+
+def bezier_easing(x1: float, y1: float, x2: float, y2: float, steps: int = 3) -> Callable[[Column], Column]:
+    """A cubic Bezier easing as a function of progress: the parameter between two knots of a table, refined by Newton steps, then its height. No Python."""
+    knots = bezier_knots(x1, x2)
+    table = F.expr("array(" + ", ".join(f"{t!r}D" for t in knots) + ")")
+
+    def refined(t: Column, p: Column) -> Column:
+        x = 3 * (1 - t) * (1 - t) * t * x1 + 3 * (1 - t) * t * t * x2 + t * t * t
+        slope = 3 * (1 - t) * (1 - t) * x1 + 6 * (1 - t) * t * (x2 - x1) + 3 * t * t * (1 - x2)
+        return clamp(t - F.when(F.abs(slope) < 1e-9, 0.0).otherwise((x - p) / slope), 0.0, 1.0)
+
+    def ease(progress: Column) -> Column:
+        p = clamp(progress, 0.0, 1.0)
+        at = F.least(F.floor(p * (len(knots) - 1)), F.lit(len(knots) - 2)).cast("int")
+        t = F.array(F.get(table, at) + (F.get(table, at + 1) - F.get(table, at)) * (p * (len(knots) - 1) - at))  # arrays of one, so that each step is worked out once
         for _ in range(steps):
-            x = 3 * (1 - t) ** 2 * t * x1 + 3 * (1 - t) * t**2 * x2 + t**3
-            slope = 3 * (1 - t) ** 2 * x1 + 6 * (1 - t) * t * (x2 - x1) + 3 * t**2 * (1 - x2)
-            t = np.clip(t - (x - p) / np.where(np.abs(slope) < 1e-9, 1.0, slope), 0, 1)
-        return pd.Series(3 * (1 - t) ** 2 * t * y1 + 3 * (1 - t) * t**2 * y2 + t**3)
+            t = F.transform(t, lambda x: refined(x, p))
+        return F.get(F.transform(t, lambda x: 3 * (1 - x) * (1 - x) * x * y1 + 3 * (1 - x) * x * x * y2 + x * x * x), F.lit(0))
 
     return ease
 

@@ -272,6 +272,8 @@ def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, va
 def silence_cues(scripts: DataFrame, series: str = SERIES) -> DataFrame:
     """(series, bounds): cue boundaries of scripts(series, weights, silences, frames): each at the nearest pause to its share of time, in order.
 
+    A script of fewer frames than turns has no bounds that rise: null.
+
     One row a script; the weights and pauses of a script are its arrays.
     """
 
@@ -279,6 +281,9 @@ def silence_cues(scripts: DataFrame, series: str = SERIES) -> DataFrame:
     def bounds(weights: pd.Series, silences: pd.Series, frames: pd.Series) -> pd.Series:
         out = []
         for w, pauses, total in zip(weights, silences, frames, strict=True):
+            if total < len(w):
+                out.append(None)
+                continue
             share = np.cumsum(np.maximum(0.5, np.asarray(w, float)))
             wanted = [round(total * s / share[-1]) for s in share[:-1]]
             pauses, cues = np.unique(np.asarray(pauses, np.int64)), [0]

@@ -103,17 +103,48 @@ def editorial_roles(scenes: DataFrame, score: str, order: str = "seq", series: s
     return rows.withColumn("role", role).drop("__top", "total")
 
 
-def patch_log(ops: DataFrame, doc: str = "doc_id", path: str = "path", order: str = "seq") -> DataFrame:
+def failed_patches(ops: list[dict]) -> list[str]:
+    """The patches of one document, in order, that hold a ``test`` that fails. A failed patch is undone before the next one begins, so later ones see what was before it."""
+    state: dict[str, str | None] = {}
+    undo, failed, current = [], [], None
+    for o in ops:
+        if o["patch"] != current:
+            undo, current = [], o["patch"]
+        if failed and failed[-1] == current:
+            continue
+        if o["op"] == "test":
+            if state.get(o["path"]) != o["value"]:
+                failed.append(current)
+                for path, value in reversed(undo):
+                    state[path] = value
+        else:
+            undo.append((o["path"], state.get(o["path"])))
+            state[o["path"]] = None if o["op"] == "remove" else o["value"]
+    return failed
+
+
+def patch_log(ops: DataFrame, doc: str = "doc_id", path: str = "path", order: str = "seq", patch: str | None = None) -> DataFrame:
     """Each change of a scalar path with the value before: the inverse log, to be applied from the last to the first.
 
-    A document with a ``test`` that does not hold has status aborted throughout; an inverse of a first ``add`` is a remove.
+    A patch is the operations of one ``patch`` id, which follow one another in the order; without it all of a document are one. A patch with a ``test`` that does not
+    hold is aborted as a whole and changes nothing: its operations have no inverse, and what comes later sees the state before it. An inverse of a
+    first ``add`` is a remove. Only operations on paths that a document tests are walked in order, one document a row; the rest are windows by path.
     """
-    w = Window.partitionBy(doc, path).orderBy(order)
-    state = F.when(F.col("op").isin("add", "replace"), F.struct(F.col("value").alias("v"))).when(F.col("op") == "remove", F.struct(F.lit(None).cast("string").alias("v")))
-    rows = ops.withColumn("before", F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["v"])
-    failed = (F.col("op") == "test") & ~F.col("value").eqNullSafe(F.col("before"))
-    rows = rows.withColumn("aborted", F.max(failed.cast("int")).over(Window.partitionBy(doc)) == 1)
-    return rows.withColumns({"inverse_op": F.when(F.col("op") == "test", "test").when(F.col("before").isNull(), "remove").when(F.col("op") == "remove", "add").otherwise("replace"), "inverse_value": F.col("before")}).drop("before")
+    rows = ops.withColumn("__patch", F.col(patch).cast("string") if patch else F.lit("0"))
+    tested = rows.where(F.col("op") == "test").select(doc, path).distinct()
+    lists = rows.join(tested, [doc, path]).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col("__patch").alias("patch"), F.col(path).alias("path"), "op", "value"))).alias("ops"))
+
+    @F.pandas_udf("array<string>")
+    def failures(groups: pd.Series) -> pd.Series:
+        return pd.Series([failed_patches(list(g)) for g in groups])
+
+    failed = lists.select(doc, F.explode(failures("ops")).alias("__patch")).distinct().withColumn("__failed", F.lit(True))
+    rows = rows.join(failed, [doc, "__patch"], "left").withColumn("aborted", F.coalesce("__failed", F.lit(False)))
+    before = Window.partitionBy(doc, path).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    state = F.when(F.col("aborted"), None).when(F.col("op").isin("add", "replace"), F.struct(F.col("value").alias("v"))).when(F.col("op") == "remove", F.struct(F.lit(None).cast("string").alias("v")))
+    rows = rows.withColumn("before", F.last(state, ignorenulls=True).over(before)["v"])
+    inverse = F.when(F.col("aborted"), None).when(F.col("op") == "test", "test").when(F.col("before").isNull(), "remove").when(F.col("op") == "remove", "add").otherwise("replace")
+    return rows.withColumns({"inverse_op": inverse, "inverse_value": F.when(~F.col("aborted"), F.col("before"))}).drop("before", "__patch", "__failed")
 
 
 def curve_segments(keys: DataFrame, times: DataFrame, values: tuple[str, ...], order: str, series: str, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

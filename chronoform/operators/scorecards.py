@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +96,35 @@ def overall_status(checks: DataFrame, key: str, warn_is_ok: bool = False) -> Dat
     return checks.groupBy(key).agg(F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass").alias("status"), F.count("*").alias("n"))
 
 
+def nearest_free(wanted: list[tuple[int, int]], found: list[int]) -> list[dict]:
+    """Each wanted (frame, tolerance) in order with the nearest detection that none before took, the lower of two equally near; None if none is within its tolerance.
+
+    What is free to the left and right of a place is kept as pointers that skip what is taken and are shortened as they are followed, so a run takes near-linear time.
+    """
+    found = sorted(found)
+    n = len(found)
+    left, right = list(range(n + 1)), list(range(n + 1))  # of place i - 1 for left, so that 0 stands for none; of place i for right, n for none
+
+    def free(of: list[int], i: int) -> int:
+        root = i
+        while of[root] != root:
+            root = of[root]
+        while of[i] != root:
+            of[i], i = root, of[i]
+        return root
+
+    out = []
+    for frame, tolerance in sorted(wanted):
+        at = bisect.bisect_left(found, frame)
+        below, above = free(left, at) - 1, free(right, at)
+        near = [(abs(found[i] - frame), found[i], i) for i in (below, above) if 0 <= i < n and abs(found[i] - frame) <= tolerance]
+        best = min(near) if near else None
+        if best:
+            left[best[2] + 1], right[best[2]] = best[2], best[2] + 1
+        out.append({"frame": frame, "detected_frame": best[1] if best else None})
+    return out
+
+
 def match_within_tolerance(truth: DataFrame, detected: DataFrame, series: str = "series_id") -> DataFrame:
     """(series, frame, detected_frame): greedy one-to-one matching. Truth rows in order take the nearest unused detection within their tolerance, the first among equals.
 
@@ -110,17 +141,7 @@ def match_within_tolerance(truth: DataFrame, detected: DataFrame, series: str =
 
     @F.pandas_udf("array<struct<frame long, detected_frame long>>")
     def matched(t: pd.Series, f: pd.Series) -> pd.Series:
-        out = []
-        for wanted, found in zip(t, f, strict=True):
-            free, pairs = sorted(found), []
-            for frame, tolerance in sorted((w["frame"], w["tolerance"]) for w in wanted):
-                near = [x for x in free if abs(x - frame) <= tolerance]
-                best = min(near, key=lambda x: (abs(x - frame), x)) if near else None
-                if best is not None:
-                    free.remove(best)
-                pairs.append({"frame": frame, "detected_frame": best})
-            out.append(pairs)
-        return pd.Series(out)
+        return pd.Series([nearest_free([(w["frame"], w["tolerance"]) for w in wanted], list(found)) for wanted, found in zip(t, f, strict=True)])
 
     return runs.select(series, F.inline(matched("t", "f")))
 

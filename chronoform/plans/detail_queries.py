@@ -18,9 +18,9 @@ from chronoform.sources import evidence as E
 from chronoform.sources.storage import new_path
 
 from .fixtures import CONV, EMB, EV, FEAT, SPANS, conv, ev, feat, intervals, table, vectors
-from .registry import registered, rounded
+from .registry import ORACLE, registered, rounded
 from .scorecard_queries import ALIGNED, aligned
-from .series_queries import SEGMENTS, W, grad, segments
+from .series_queries import SEGMENTS, W, bounds, grad, peaks, segments
 
 
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'kept' WHEN o_orderkey % 3 = 1 THEN 'same' ELSE 'new' END AS status, true AS stored FROM orders")
@@ -399,10 +399,11 @@ def g15_curve_extrema(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.curve_extrema(k, lambda k, t: I.densify_curve(k, t, "tangents", "y"), value="y"))
 
 
-@registered(f"WITH {KEYS}, r AS (SELECT series_id, x, y, 100 * 5000 + x * 350 AS n FROM k WHERE x BETWEEN 0 AND 5000) SELECT series_id, x AS seq, n // gcd(n, 5000) AS num, 5000 // gcd(n, 5000) AS den, round(y / 0.07, 6) AS y FROM r")
+@registered(f"WITH {KEYS}, r AS (SELECT series_id, x, y, (SELECT max(x) FROM k) AS m FROM k), q AS (SELECT *, 100 * m + x * 350 AS n FROM r) SELECT series_id, x AS seq, n // gcd(n, m) AS num, m // gcd(n, m) AS den, round(y / (350.0 / CAST(m AS DOUBLE)), 6) AS y FROM q")
 def g15_retime_curve(spark: SparkSession, d: str) -> DataFrame:
-    k = keys(spark, d)[0].where("seq between 0 and 5000")
-    return rounded(I.retime_curve(k, (0, 5000), (100, 450), tangents=("y",)).select("series_id", "seq", "num", "den", "y"))
+    k = keys(spark, d)[0]
+    last = k.agg(F.max("seq")).first()[0]
+    return rounded(I.retime_curve(k, (0, last), (100, 450), tangents=("y",)).select("series_id", "seq", "num", "den", "y"))
 
 
 def off_kind(text: str) -> tuple[str, float]:
@@ -429,4 +430,32 @@ def h6_aggregate_function(spark: SparkSession, d: str) -> DataFrame:
     surface.register(spark)
     rows = ev(spark, d).select("series_id", F.floor(F.col("seq") / 64).alias("block"), "signal")
     counts = rows.groupBy("series_id", "block").agg(F.count("*").alias("n"))
-    return rounded(rows.groupBy("series_id", "block").agg(surface.median_deviation("signal").alias("deviation")).join(counts, ["series_id", "block"]))
+    rows.createOrReplaceTempView("chronoform_blocks")
+    found = spark.sql("SELECT series_id, block, median_deviation(collect_list(signal)) AS deviation FROM chronoform_blocks GROUP BY series_id, block")
+    return rounded(found.join(counts, ["series_id", "block"]))
+
+
+@registered(ORACLE["c18_classify_curve"])
+def h6_classify_curve(spark: SparkSession, d: str) -> DataFrame:
+    surface.register(spark)
+    ev(spark, d).createOrReplaceTempView("chronoform_series")
+    found = spark.sql("SELECT series_id, classify_curve(transform(array_sort(collect_list(struct(seq, signal))), r -> r.signal)) AS c FROM chronoform_series GROUP BY series_id")
+    return rounded(found.select("series_id", "c.*"))
+
+
+@registered(f"""WITH {KEYS}, sg AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY series_id ORDER BY x))
+SELECT series_id, x + j AS t, round(y + (y1 - y) * j / CAST(x1 - x AS DOUBLE), 6) AS y FROM sg, LATERAL (SELECT unnest(generate_series(CAST(0 AS BIGINT), x1 - x - 1)) AS j) WHERE x1 IS NOT NULL UNION ALL SELECT series_id, x, round(y, 6) FROM sg WHERE x1 IS NULL""")
+def h5_densify_curve(spark: SparkSession, d: str) -> DataFrame:
+    surface.register(spark)
+    keys(spark, d)[0].select("series_id", "seq", "y").createOrReplaceTempView("chronoform_keys")
+    return rounded(spark.sql("SELECT * FROM densify_curve(TABLE(SELECT series_id, seq, y FROM chronoform_keys) PARTITION BY series_id ORDER BY seq)"))
+
+
+@registered(f'WITH {SEGMENTS} SELECT series_id, segment_id, "start", "end" FROM segments')
+def h5_split_segments(spark: SparkSession, d: str) -> DataFrame:
+    surface.register(spark)
+    marks = peaks(spark, d).select("series_id", F.col("seq").alias("frame"), F.col("combined").alias("confidence"))
+    ends = bounds(spark, d)
+    rows = marks.join(ends, "series_id").select("series_id", "frame", "confidence", "end")
+    rows.unionByName(ends.select("series_id", F.col("end").alias("frame"), F.lit(0.0).alias("confidence"), "end")).createOrReplaceTempView("chronoform_marks")
+    return spark.sql("SELECT * FROM split_segments(0.55D, TABLE(SELECT series_id, frame, confidence, `end` FROM chronoform_marks) PARTITION BY series_id ORDER BY frame)")

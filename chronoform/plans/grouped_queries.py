@@ -84,15 +84,15 @@ def c32_search_phase_warp(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""WITH RECURSIVE {CONV}, sc AS (SELECT series_id, list("end" - "start" ORDER BY seq) AS w, list(CAST(round_even(("start" + 1.7) * 25, 0) AS BIGINT)) AS pauses, CAST(round_even(max("end") * 25, 0) AS BIGINT) AS frames FROM conv GROUP BY series_id),
-c AS (SELECT *, len(w) AS n, [list_sum([greatest(0.5, v) FOR v IN w[1:i]]) FOR i IN generate_series(1, len(w))] AS cum FROM sc WHERE frames > 100),
+c AS (SELECT *, len(w) AS n, [list_sum([greatest(0.5, v) FOR v IN w[1:i]]) FOR i IN generate_series(1, len(w))] AS cum FROM sc),
 walk AS (SELECT series_id, 0 AS i, CAST(0 AS BIGINT) AS last, CAST([0] AS BIGINT[]) AS cues FROM c UNION ALL
  SELECT series_id, i + 1, cue, list_append(cues, cue) FROM (SELECT series_id, i, cues, greatest(lo, least(hi, coalesce(pick, want))) AS cue FROM (SELECT *, (SELECT arg_min(p, abs(p - want) * 1000000.0 + p) FROM (SELECT unnest(pauses) AS p) WHERE p BETWEEN lo AND hi) AS pick FROM
-  (SELECT w.series_id, w.i, w.cues, c.pauses, w.last + 1 AS lo, c.frames - (c.n - 1 - w.i) AS hi, CAST(round_even(c.frames * c.cum[w.i + 1] / c.cum[c.n], 0) AS BIGINT) AS want FROM walk w JOIN c ON w.series_id = c.series_id WHERE w.i < c.n - 1))))
-SELECT w.series_id, array_to_string(list_append(cues, frames), ',') AS bounds FROM walk w JOIN c ON w.series_id = c.series_id AND w.i = c.n - 1""")
+  (SELECT w.series_id, w.i, w.cues, c.pauses, w.last + 1 AS lo, c.frames - (c.n - 1 - w.i) AS hi, CAST(round_even(c.frames * c.cum[w.i + 1] / c.cum[c.n], 0) AS BIGINT) AS want FROM walk w JOIN c ON w.series_id = c.series_id WHERE w.i < c.n - 1 AND c.frames >= c.n))))
+SELECT c.series_id, coalesce(array_to_string(list_append(cues, frames), ','), '') AS bounds FROM c LEFT JOIN walk w ON w.series_id = c.series_id AND w.i = c.n - 1 AND c.frames >= c.n""")
 def g11_silence_cues(spark: SparkSession, d: str) -> DataFrame:
     t = conv(spark, d)
     scripts = t.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", (F.col("end") - F.col("start")).alias("w")))), lambda x: x["w"]).alias("weights"), F.collect_list(F.bround((F.col("start") + 1.7) * 25).cast("long")).alias("silences"), F.bround(F.max("end") * 25).cast("long").alias("frames"))
-    return G.silence_cues(scripts.where("frames > 100")).withColumn("bounds", F.array_join(F.transform("bounds", lambda x: x.cast("string")), ","))
+    return G.silence_cues(scripts).withColumn("bounds", F.coalesce(F.array_join(F.transform("bounds", lambda x: x.cast("string")), ","), F.lit("")))
 
 
 @registered()

@@ -95,15 +95,20 @@ def g13_editorial_roles(spark: SparkSession, d: str) -> DataFrame:
     return I.editorial_roles(ev(spark, d), "signal").select("series_id", "seq", "role")
 
 
-@registered(f"""WITH {EV}, ops AS (SELECT series_id AS doc_id, kind AS path, seq, CASE WHEN seq % 7 = 5 THEN 'remove' WHEN seq % 50 = 49 THEN 'test' ELSE 'replace' END AS op, CASE WHEN seq % 7 = 5 THEN NULL ELSE CAST(CAST(round(edge * 100) AS BIGINT) AS VARCHAR) END AS value FROM ev),
-s AS (SELECT *, last_value(CASE WHEN op <> 'test' THEN {{'v': value}} END IGNORE NULLS) OVER (PARTITION BY doc_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).v AS before FROM ops),
-t AS (SELECT *, max(CASE WHEN op = 'test' AND value IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 AS aborted FROM s)
-SELECT doc_id, path, seq, aborted, CASE WHEN op = 'test' THEN 'test' WHEN before IS NULL THEN 'remove' WHEN op = 'remove' THEN 'add' ELSE 'replace' END AS inverse_op, before AS inverse_value FROM t""")
+@registered(f"""WITH RECURSIVE {EV}, ops AS (SELECT series_id AS doc_id, kind AS path, seq, seq // 5 AS patch, CASE WHEN seq % 7 = 5 THEN 'remove' WHEN seq % 10 = 8 THEN 'test' ELSE 'replace' END AS op,
+ CASE WHEN seq % 7 = 5 OR seq % 30 = 8 THEN NULL ELSE CAST(CAST(round(edge * 100) AS BIGINT) AS VARCHAR) END AS value FROM ev),
+walk AS (SELECT doc_id, CAST(-1 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS patch, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS state, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS snap, false AS failed FROM (SELECT DISTINCT doc_id FROM ops) UNION ALL
+ SELECT doc_id, seq, patch, CASE WHEN op = 'test' OR failed THEN base ELSE map_concat(base, MAP {{path: value}}) END, snap, failed OR (op = 'test' AND value IS DISTINCT FROM base[path]) FROM
+  (SELECT o.*, CASE WHEN o.patch <> w.patch AND w.failed THEN w.snap ELSE w.state END AS base, CASE WHEN o.patch = w.patch THEN w.snap WHEN w.failed THEN w.snap ELSE w.state END AS snap, o.patch = w.patch AND w.failed AS failed FROM walk w JOIN ops o ON o.doc_id = w.doc_id AND o.seq = w.seq + 1)),
+bad AS (SELECT DISTINCT doc_id, patch FROM walk WHERE failed),
+t AS (SELECT ops.*, bad.patch IS NOT NULL AS aborted FROM ops LEFT JOIN bad ON ops.doc_id = bad.doc_id AND ops.patch = bad.patch),
+u AS (SELECT *, last_value(CASE WHEN op <> 'test' AND NOT aborted THEN {{'v': value}} END IGNORE NULLS) OVER (PARTITION BY doc_id, path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).v AS before FROM t)
+SELECT doc_id, path, seq, aborted, CASE WHEN aborted THEN '' WHEN op = 'test' THEN 'test' WHEN before IS NULL THEN 'remove' WHEN op = 'remove' THEN 'add' ELSE 'replace' END AS inverse_op, CASE WHEN NOT aborted THEN before END AS inverse_value FROM u""")
 def g14_patch_log(spark: SparkSession, d: str) -> DataFrame:
-    op = F.when(F.col("seq") % 7 == 5, "remove").when(F.col("seq") % 50 == 49, "test").otherwise("replace")
-    value = F.when(F.col("seq") % 7 != 5, F.round(F.col("edge") * 100).cast("long").cast("string"))
-    ops = ev(spark, d).select(F.col("series_id").alias("doc_id"), F.col("kind").alias("path"), "seq", op.alias("op"), value.alias("value"))
-    return I.patch_log(ops).select("doc_id", "path", "seq", "aborted", "inverse_op", "inverse_value")
+    op = F.when(F.col("seq") % 7 == 5, "remove").when(F.col("seq") % 10 == 8, "test").otherwise("replace")
+    value = F.when((F.col("seq") % 7 != 5) & (F.col("seq") % 30 != 8), F.round(F.col("edge") * 100).cast("long").cast("string"))
+    ops = ev(spark, d).select(F.col("series_id").alias("doc_id"), F.col("kind").alias("path"), "seq", F.floor(F.col("seq") / 5).alias("patch"), op.alias("op"), value.alias("value"))
+    return I.patch_log(ops, patch="patch").select("doc_id", "path", "seq", "aborted", F.coalesce("inverse_op", F.lit("")).alias("inverse_op"), "inverse_value")
 
 
 def curve_sql(at: str) -> str:

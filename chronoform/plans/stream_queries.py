@@ -56,11 +56,19 @@ def s1_stream_evidence(spark: SparkSession, d: str) -> DataFrame:
     return rounded(X.run_to_table(X.unique_evidence(twice, delay="4000 days"), new_path(spark, "s1")).select("event_id", "user_id", "event_type", "value"))
 
 
-@registered("""SELECT asset_id, kind, id, authority FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, kind ORDER BY authority = 'human-correction' DESC, ts DESC, id DESC) AS n FROM (SELECT user_id AS asset_id, event_type AS kind, event_id AS id, ts, CASE WHEN event_id % 13 = 0 THEN 'human-correction' ELSE 'measured' END AS authority FROM events)) WHERE n = 1""")
+def evidence_of(rows: DataFrame) -> DataFrame:
+    """Events as evidence: every 13th is a correction by hand, and every 9th supersedes the two events before it and the one after, whatever their keys."""
+    i = F.col("event_id")
+    supersedes = F.when(i % 9 == 0, F.array(i - 2, i - 1, i + 1)).otherwise(F.array().cast("array<long>"))
+    return rows.select(F.col("user_id").alias("asset_id"), F.col("event_type").alias("kind"), i.alias("id"), F.when(i % 13 == 0, "human-correction").otherwise("measured").alias("authority"), F.col("ts").alias("generated_at"), supersedes.alias("supersedes"))
+
+
+@registered("""WITH e AS (SELECT user_id AS asset_id, event_type AS kind, event_id AS id, ts, CASE WHEN event_id % 13 = 0 THEN 'human-correction' ELSE 'measured' END AS authority FROM events),
+gone AS (SELECT unnest([id - 2, id - 1, id + 1]) AS id FROM e WHERE id % 9 = 0)
+SELECT asset_id, kind, id, authority FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, kind ORDER BY authority = 'human-correction' DESC, ts DESC, id DESC) AS n FROM e WHERE id NOT IN (SELECT id FROM gone)) WHERE n = 1""")
 def s2_stream_effective(spark: SparkSession, d: str) -> DataFrame:
-    rows = parts(spark, d, 3).select(F.col("user_id").alias("asset_id"), F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 13 == 0, "human-correction").otherwise("measured").alias("authority"), F.col("ts").alias("generated_at"))
     folder = new_path(spark, "s2")
-    X.merge_effective(rows, f"{folder}/ledger", f"{folder}/effective", f"{folder}/checkpoint", ("asset_id", "kind")).awaitTermination()
+    X.merge_effective(evidence_of(parts(spark, d, 3)), f"{folder}/ledger", f"{folder}/effective", f"{folder}/checkpoint", ("asset_id", "kind")).awaitTermination()
     return X.effective_now(spark, f"{folder}/effective").select("asset_id", "kind", "id", "authority")
 
 
@@ -77,6 +85,13 @@ def s4_stream_quiet(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@registered("""WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nt FROM events)
+SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS start_us, CAST(coalesce(epoch_us(nt), -1) AS BIGINT) AS end_us, nt IS NULL AS open FROM g WHERE nt IS NULL OR nt - ts >= INTERVAL 3 HOUR""")
+def s4_stream_gaps(spark: SparkSession, d: str) -> DataFrame:
+    out = X.run_to_table(X.quiet_spans(events(spark, d), "3 hours", "1 day"), new_path(spark, "s4")).where("user_id >= 0")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.coalesce(F.unix_micros("end"), F.lit(-1)).cast("long").alias("end_us"), "open")
+
+
 @registered("""WITH RECURSIVE r AS (SELECT user_id, ts, value FROM events WHERE value >= 50), n AS (SELECT a.user_id, a.ts, a.value, min(b.ts) AS nt FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.ts - a.ts >= INTERVAL 12 HOUR GROUP BY ALL),
 kept AS (SELECT user_id, ts, value, nt FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM n) WHERE k = 1 UNION ALL SELECT n.user_id, n.ts, n.value, n.nt FROM kept JOIN n ON kept.user_id = n.user_id AND kept.nt = n.ts)
 SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS us, round(value, 6) AS value FROM kept""")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def read_rows(spark: SparkSession, path: str, time: str = "ts", files_per_batch: int = 1, name_glob: str | None = None) -> DataFrame:
@@ -34,11 +35,46 @@ def tumbling(rows: DataFrame, width: str, *groups: str, value: str = "value", ti
 
 
 def sessions(rows: DataFrame, gap: str, *groups: str, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Spans of activity of each group; what lies between two is a quiet span of at least the gap."""
+    """Spans of activity of each group; what lies between two is a quiet span of at least the gap (see :func:`quiet_spans`)."""
     out = rows.withWatermark(time, delay).groupBy(F.session_window(time, gap), *groups).agg(F.count("*").alias("n"))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *groups, "n")
 
 
+def quiet_spans(rows: DataFrame, gap: str, tail: str, key: str = "user_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """(key, start, end, open): the spans of at least ``gap`` between one row of a key and the next, once the watermark has passed both.
+
+    What follows the last row of a key is a span that is still open (its end null), reported once the watermark is ``gap`` and ``tail`` beyond it; if rows come
+    after all, the closed span follows. The state holds a key's rows of the delay, its last row before them, and whether its open span was told.
+    """
+    kind = dict(rows.dtypes)[key]
+    width, wait = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (gap, tail))
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told, waiting = state.get if state.exists else (None, False, [])
+        waiting, mark, out = list(waiting), state.getCurrentWatermarkMs() * 1000, []
+        if not state.hasTimedOut:
+            for part in parts:
+                waiting += [t for t in part["at"].tolist() if t > mark]
+        waiting.sort()
+        done = [t for t in waiting if t <= mark]
+        for t in done:
+            if last is not None and t - last >= width:
+                out.append((group[0], last, t, False))
+            last, told = t, False
+        waiting = waiting[len(done) :]
+        if last is not None and not waiting and not told and mark >= last + width + wait:
+            out.append((group[0], last, None, True))
+            told = True
+        state.update((last, told, waiting))
+        if waiting or not told:
+            state.setTimeoutTimestamp(max((waiting[0] if waiting else last + width + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: pd.Series([r[0] for r in out], dtype=None if out else "object"), "start": pd.array([r[1] for r in out], "Int64"), "end": pd.array([r[2] for r in out], "Int64"), "open": pd.array([r[3] for r in out], "boolean")})
+
+    slim = rows.withWatermark(time, delay).select(key, F.col(time), F.unix_micros(time).alias("at"))
+    found = slim.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start long, end long, open boolean", "last long, told boolean, at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(key, F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "open")
+
+
 def settled(rows: DataFrame, settle: Callable[[tuple, list[tuple[int, float]], float | None], tuple[list[tuple], float | None]], name: str, key: str, value: str, time: str, delay: str) -> DataFrame:
     """Rows of each key handed to settle(key, [(microseconds, value)], last) in order of time, once the watermark has passed them; it returns what comes out and the new last.
 
@@ -122,19 +158,36 @@ def phase_progress(rows: DataFrame, stalled_after_ms: int, key: str = "user_id",
     return slim.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, phase string, at long, n long, stalled boolean", "phase string, at long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_new(rows: DataFrame, table: str, checkpoint: str, key: str):
+def earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int, split: str | None = None, parts: list[int] | None = None) -> DataFrame:
+    """The rows that batches up to this one left in a table by batch (and by ``split``, of which only some parts are read); none if there is no table yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = StructType([*schema.fields, StructField("batch", LongType()), *([StructField(split, IntegerType())] if split else [])])
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema).drop("batch")
+    rows = spark.read.schema(schema).parquet(path).where(F.col("batch") <= batch_id)
+    return (rows.where(F.col(split).isin(parts)) if split and parts is not None else rows).drop("batch")
+
+
+def parts_of(rows: DataFrame, split: str) -> list[int]:
+    """Which parts the rows are in: at most as many as there are parts."""
+    return [r[0] for r in rows.select(split).distinct().collect()]
+
+
+def append_new(rows: DataFrame, table: str, checkpoint: str, key: str, parts: int = 256):
     """Starts a query that appends to the table, by batch, the rows whose key no earlier batch brought, however long ago; the first of a batch stays.
 
-    A replayed batch replaces itself.
+    Keys are kept beside the rows, in parts by their hash, and a batch reads the parts of its own keys and no row of the table. A replayed batch replaces itself.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if batch_id:
-            known = spark.read.option("basePath", table).schema(batch.schema.add("batch", "long")).parquet(table).where(F.col("batch") < batch_id)
-            fresh = fresh.join(known.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        spark, part = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+        fresh = batch.dropDuplicates([key]).select("*", part).persist()
+        known = earlier(spark, f"{table}/_keys", fresh.select(key).schema, batch_id - 1, "part", parts_of(fresh, "part"))
+        new = fresh.join(known.select(key), key, "left_anti").select(*batch.columns, "part")
+        new.drop("part").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        written = spark.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}")
+        written.select(key, part).write.mode("overwrite").partitionBy("part").parquet(f"{table}/_keys/batch={batch_id}")
+        fresh.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -142,36 +195,83 @@ def append_new(rows: DataFrame, table: str, checkpoint: str, key: str):
 def merge_effective(rows: DataFrame, ledger: str, effective: str, checkpoint: str, key: tuple[str, ...], buckets: int = 64):
     """Starts a query that appends each batch to the ledger (by batch, so a replay replaces itself) and brings what holds now up to date.
 
-    What holds is the best row of a key by (human correction, time, id); the best of what held and of the batch is the best of all, so a
-    correction counts however late it comes, and a batch reads and writes only the buckets of its own keys. :func:`effective_now` reads the result.
+    What holds is the best row of a key by (human correction, time, id) among those that no row supersedes (``supersedes``, a list of ids, if there is such a column).
+    A correction counts however late it comes. A superseded row is dead whether it came before what supersedes it, with it or after it: the ids met are
+    indexed by their hash with the bucket of their key, and so are the ids superseded, so either finds the other in the parts it is in. A key whose row dies falls back to the
+    best one left in its bucket of the ledger. A batch reads and writes only the buckets of the keys it touches. :func:`effective_now` reads the result.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        rows = spark.read.parquet(f"{ledger}/batch={batch_id}")
-        columns = rows.columns
+        spark, columns = batch.sparkSession, batch.columns
         bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
-        touched = rows.select(bucket).distinct()
-        rows = rows.select("*", bucket)
-        if batch_id:
-            held = effective_now(spark, effective, batch_id).join(F.broadcast(touched), "bucket", "left_semi")  # a row a bucket
-            rows = rows.unionByName(held.select(*columns, "bucket"))
+        part = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("part")
+
+        def put(df: DataFrame, name: str, split: str) -> DataFrame:
+            df.write.mode("overwrite").partitionBy(split).parquet(f"{ledger}/{name}/batch={batch_id}")
+            return spark.read.schema(StructType([*[f for f in df.schema.fields if f.name != split], StructField(split, IntegerType())])).parquet(f"{ledger}/{name}/batch={batch_id}")
+
+        fresh = put(batch.select("*", bucket), "rows", "bucket")
+        ids = put(fresh.select("id", "bucket", part), "ids", "part")
+        superseded = F.explode("supersedes") if "supersedes" in columns else F.explode(F.array().cast(f"array<{dict(batch.dtypes)['id']}>"))
+        gone = put(fresh.select(superseded.alias("id")).distinct().select("id", part), "superseded", "part")
+        known = earlier(spark, f"{ledger}/ids", ids.drop("part").schema, batch_id, "part", parts_of(gone, "part"))
+        known_gone = earlier(spark, f"{ledger}/superseded", gone.drop("part").schema, batch_id, "part", parts_of(ids, "part"))
+        dying = known.join(gone, "id", "left_semi").unionByName(ids.join(known_gone, "id", "left_semi")).select("id", "bucket").distinct()
+        dying = put(dying, "dead", "bucket")
+        touched = sorted({*parts_of(fresh, "bucket"), *parts_of(dying, "bucket")})
+        dead = earlier(spark, f"{ledger}/dead", dying.drop("bucket").schema, batch_id, "bucket", touched).select("id")
+        held = effective_now(spark, effective, batch_id, StructType([*batch.schema.fields])).where(F.col("bucket").isin(touched)).select(*columns, "bucket")
+        lost = held.join(dying.select("id"), "id", "left_semi").select(*key, "bucket").distinct().persist()
+        same = F.expr(" and ".join(f"l.`{k}` <=> k.`{k}`" for k in ("bucket", *key)))
+        others = earlier(spark, f"{ledger}/rows", batch.schema, batch_id, "bucket", parts_of(lost, "bucket")).alias("l").join(lost.alias("k"), same, "left_semi")
+        alive = fresh.unionByName(held).unionByName(others.select(*columns, "bucket")).join(dead, "id", "left_anti")
         rest = [c for c in columns if c not in key]
-        best = rows.groupBy("bucket", *key).agg(F.max(F.struct(F.col("authority") == "human-correction", "generated_at", "id", *[c for c in rest if c not in ("generated_at", "id")])).alias("r"))
-        out = best.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest], "bucket")
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{effective}/version={batch_id}")
+        rank = F.struct((F.col("authority") == "human-correction").alias("h"), "generated_at", "id")
+        best = alive.groupBy("bucket", *key).agg(F.max_by(F.struct(*rest), rank).alias("r"))
+        best.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest], "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{effective}/version={batch_id}")
+        # a bucket that lost its last row leaves no file, so which buckets a version has is written too
+        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{effective}/_touched/batch={batch_id}")
+        lost.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def effective_now(spark: SparkSession, effective: str, before: int | None = None) -> DataFrame:
-    """What holds now, or held before a batch: of each bucket its latest version."""
-    found = spark.read.option("basePath", effective).parquet(effective)
-    if before is not None:
-        found = found.where(F.col("version") < before)
-    latest = found.groupBy("bucket").agg(F.max("version").alias("version"))
-    return found.join(F.broadcast(latest), ["bucket", "version"]).drop("version")  # a row a bucket
+def latest_versions(spark: SparkSession, effective: str, before: int | None = None) -> dict[int, int]:
+    """Of each bucket the last batch that wrote it (before a batch)."""
+    touched = earlier_batches(spark, f"{effective}/_touched").where(F.col("batch") < before if before is not None else F.lit(True))
+    return {r["bucket"]: r["batch"] for r in touched.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}  # a row a bucket
+
+
+def earlier_batches(spark: SparkSession, path: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema("bucket int, batch long").parquet(path) if there else spark.createDataFrame([], "bucket int, batch long")
+
+
+def effective_now(spark: SparkSession, effective: str, before: int | None = None, schema: StructType | None = None) -> DataFrame:
+    """What holds now, or held before a batch: of each bucket its latest version; older versions are neither listed nor read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    places = [f"{effective}/version={version}/bucket={bucket}" for bucket, version in sorted(latest_versions(spark, effective, before).items())]
+    found = [p for p in places if hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(p))]
+    if not found:
+        if schema is None:
+            raise ValueError("nothing holds: pass the schema of the rows")
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("bucket", IntegerType())]))
+    reader = spark.read.option("basePath", effective)
+    return (reader.schema(StructType([*schema.fields, StructField("version", LongType()), StructField("bucket", IntegerType())])) if schema else reader).parquet(*found).drop("version")
+
+
+def drop_old_versions(spark: SparkSession, effective: str, keep: int = 2) -> int:
+    """Deletes what :func:`effective_now` does not read any more, but for the last ``keep`` batches, which a restart may replay; returns how many versions of a bucket went."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rows = [(r["bucket"], r["batch"]) for r in earlier_batches(spark, f"{effective}/_touched").collect()]  # a row a bucket and batch
+    last = max((v for _, v in rows), default=0)
+    held = set(latest_versions(spark, effective, max(0, last - keep + 1)).items())
+    old = [(b, v) for b, v in rows if v <= last - keep and (b, v) not in held]
+    for b, v in old:
+        place = hadoop.Path(f"{effective}/version={v}/bucket={b}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(old)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

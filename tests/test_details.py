@@ -148,7 +148,51 @@ def test_functions_of_sql(spark):
     got = [(r.ordinal, r.beat) for r in spark.sql("SELECT * FROM split_beats('# head\n\nOne here. Two  there!\n\nthree')").collect()]
     assert got == [(0, "One here."), (1, "Two there!"), (2, "three")]
     assert [r.frame for r in spark.sql("SELECT * FROM even_frames(10, 20, 4)").collect()] == [10, 13, 16, 19]
-    assert spark.sql("SELECT median_deviation(x) d FROM VALUES (1.0), (2.0), (9.0), (null) t(x)").first().d == 1.0
+    assert spark.sql("SELECT median_deviation(collect_list(x)) d FROM VALUES (1.0D), (2.0D), (9.0D), (null) t(x)").first().d == 1.0
+    assert spark.sql("SELECT median_deviation(array()) d").first().d is None
+    assert spark.sql("SELECT classify_curve(array(0D, 0.0625D, 0.25D, 0.5625D, 1D)).curve c").first().c == "ease_in"
+
+
+def test_table_functions_over_parted_tables(spark):
+    surface.register(spark)
+    spark.createDataFrame([("a", 4, 8.0), ("a", 0, 0.0), ("b", 7, 1.0)], "s string, t long, y double").createOrReplaceTempView("some_keys")
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM densify_curve(TABLE(some_keys) PARTITION BY s ORDER BY t)").collect())
+    assert got == [("a", 0, 0.0), ("a", 1, 2.0), ("a", 2, 4.0), ("a", 3, 6.0), ("a", 4, 8.0), ("b", 7, 1.0)]
+    spark.createDataFrame([("a", 3, 0.9, 9), ("a", 5, 0.1, 9), ("a", 9, 0.0, 9)], "s string, frame long, confidence double, end long").createOrReplaceTempView("some_marks")
+    got = [tuple(r) for r in spark.sql("SELECT * FROM split_segments(0.5D, TABLE(some_marks) PARTITION BY s ORDER BY frame)").collect()]
+    assert sorted(got) == [("a", "shot-0001", 0, 3), ("a", "shot-0002", 3, 9)]
+
+
+def test_patches_roll_back_alone(spark):
+    """A patch whose test fails changes nothing, whatever it wrote before the test; later patches see the state before it."""
+    ops = [("d", 1, "p1", "/a", "add", "1"), ("d", 2, "p2", "/a", "replace", "2"), ("d", 3, "p2", "/a", "test", "9"), ("d", 4, "p2", "/b", "add", "x"), ("d", 5, "p3", "/a", "test", "1"), ("d", 6, "p3", "/a", "replace", "3"), ("d", 7, "p4", "/b", "test", None), ("d", 8, "p4", "/a", "remove", None), ("e", 1, "p1", "/a", "add", "5")]
+    got = {(r.doc_id, r.seq): (r.aborted, r.inverse_op, r.inverse_value) for r in I.patch_log(spark.createDataFrame(ops, "doc_id string, seq long, patch_id string, path string, op string, value string"), patch="patch_id").collect()}
+    gone = (True, None, None)
+    assert got == {("d", 1): (False, "remove", None), ("d", 2): gone, ("d", 3): gone, ("d", 4): gone, ("d", 5): (False, "test", "1"), ("d", 6): (False, "replace", "1"), ("d", 7): (False, "test", None), ("d", 8): (False, "add", "3"), ("e", 1): (False, "remove", None)}
+
+
+def test_a_dense_run_of_detections_is_matched_in_no_time(spark):
+    import time
+
+    rng = np.random.default_rng(1)
+    frames = rng.integers(0, 150_000, 200_000).tolist()
+    began = time.process_time()
+    got = K.nearest_free([(f, 40) for f in rng.integers(0, 150_000, 100_000).tolist()], frames)
+    assert time.process_time() - began < 8 and len(got) == 100_000  # some 1 s; quadratic work would take hours
+    for _ in range(200):
+        wanted, found = [(int(f), int(t)) for f, t in zip(rng.integers(0, 30, 12), rng.integers(0, 9, 12), strict=True)], rng.integers(0, 30, 10).tolist()
+        free, want = sorted(found), []
+        for f, t in sorted(wanted):
+            near = [x for x in free if abs(x - f) <= t]
+            best = min(near, key=lambda x: (abs(x - f), x)) if near else None
+            free = [x for i, x in enumerate(free) if i != free.index(best)] if best is not None else free
+            want.append({"frame": f, "detected_frame": best})
+        assert K.nearest_free(wanted, found) == want
+
+
+def test_cues_of_fewer_frames_than_turns(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [1], 2), (2, [1.0, 1.0], [], 2)], "series_id long, weights array<double>, silences array<long>, frames long")
+    assert {r.series_id: r.bounds for r in G.silence_cues(df).collect()} == {1: None, 2: [0, 1, 2]}
 
 
 def test_scorecard_of_empty_sides(spark):

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from chronoform.operators.ledger import effective_evidence
 from chronoform.streaming import operators as X
 
 SCHEMA = "user_id long, ts timestamp, value double"
@@ -68,3 +69,36 @@ def test_keys_are_never_forgotten(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     X.append_new(stream, f"file://{tmp_path}/table", f"file://{tmp_path}/c", "user_id").awaitTermination()
     assert sorted((r.user_id, r.value) for r in spark.read.parquet(f"file://{tmp_path}/table").collect()) == [(1, 1.0), (2, 1.0), (3, 20.0), (4, 28.0)]
+
+
+def test_supersession_in_any_order(spark, tmp_path):
+    """A row is dead whether it comes before, with or after what supersedes it; its key falls back to the next best, or to nothing."""
+    schema = "asset_id long, kind string, id long, authority string, generated_at timestamp, supersedes array<long>"
+    rng = np.random.default_rng(4)
+    rows = [(int(a), "k", i, "human-correction" if i % 5 == 0 else "measured", datetime(2024, 1, 1 + int(day)), [int(x) for x in rng.integers(0, 60, k)]) for i, (a, day, k) in enumerate(zip(rng.integers(0, 6, 60), rng.integers(0, 20, 60), rng.choice([0, 0, 0, 1, 2], 60), strict=True))]
+    rows.append((99, "k", 100, "measured", datetime(2024, 1, 1), []))
+    order = rng.permutation(61).tolist()
+    batches_ = [order[:20], order[20:40], order[40:]]
+    lone = [(98, "k", 200, "measured", datetime(2024, 1, 1), [100])]  # 99 loses its only row
+    for part in batches_:
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(1.1)
+    spark.createDataFrame(lone, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    X.merge_effective(stream, f"file://{tmp_path}/ledger", f"file://{tmp_path}/now", f"file://{tmp_path}/c", ("asset_id", "kind"), buckets=8).awaitTermination()
+    whole = effective_evidence(spark.createDataFrame([*rows, *lone], schema).withColumn("failed_kind", F.lit(None).cast("string")))
+    want = {(r.asset_id, r.id) for r in whole.collect()}
+    assert {(r.asset_id, r.id) for r in X.effective_now(spark, f"file://{tmp_path}/now").collect()} == want and 99 not in {a for a, _ in want}
+    assert X.drop_old_versions(spark, f"file://{tmp_path}/now", keep=1) > 0
+    assert {(r.asset_id, r.id) for r in X.effective_now(spark, f"file://{tmp_path}/now").collect()} == want
+
+
+def test_quiet_spans_are_the_gaps_of_a_batch(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    minutes = [0, 5, 9, 60, 61, 300, 330, 332]
+    parts = [pd.DataFrame({"user_id": 1, "ts": [start + pd.Timedelta(minutes=m) for m in part], "value": 1.0}) for part in (minutes[:3], minutes[3:5], minutes[5:])]
+    stream = batches(spark, tmp_path, parts)
+    got = X.run_to_table(X.quiet_spans(stream, "20 minutes", "1 day", delay="10 minutes"), f"file://{tmp_path}/quiet").where("user_id = 1 and not open").orderBy("start").toPandas()
+    assert [((a - start).total_seconds() / 60, (b - start).total_seconds() / 60) for a, b in zip(got.start, got.end, strict=True)] == [(9, 60), (61, 300), (300, 330)]
+    tail = spark.read.parquet(f"file://{tmp_path}/quiet/rows").where("user_id = 1 and open").collect()
+    assert [(r.start - start).total_seconds() / 60 for r in tail] == [332] and tail[0].end is None
