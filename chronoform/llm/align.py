@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import cut, hot_join, new_path
-from .tokens import batches, byte_bpe
+from .tokens import batches, byte_bpe, kept
 
 #: Token pairs of groups that are expanded at a time.
 PAIRS_AT_ONCE = 1 << 22
@@ -88,14 +88,20 @@ FIELDS = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>"
 
 
+def sides(byte_bpe_path: str, piece_path: str) -> tuple:
+    """Both tokenizers, the bytes of each side's ids, their lengths, and the ids as decimals with what may follow them."""
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    tables = byte_bpe_bytes(byte_bpe_path), piece_bytes(model)
+    names = [[f"{i}{end}" for i in range(len(t)) for end in (",", mark)] for t, mark in zip(tables, "|;", strict=True)]
+    return byte_bpe(byte_bpe_path, plain=True), model, tables, tuple(np.array([len(x) for x in t], np.int64) for t in tables), names
+
+
 def aligned(docs: DataFrame, id_col: str, text: str, byte_bpe_path: str, piece_path: str) -> DataFrame:
     """A row a document: its counts, the hash of its groups and its distinct linked pairs of ids as arrays a, b, and n, how often."""
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, model = byte_bpe(byte_bpe_path, plain=True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        tables = byte_bpe_bytes(byte_bpe_path), piece_bytes(model)
-        length_a, length_b = (np.array([len(x) for x in t], np.int64) for t in tables)
-        names = [[f"{i}{end}" for i in range(len(t)) for end in (",", mark)] for t, mark in zip(tables, "|;", strict=True)]
+        encode_a, model, tables, lengths, names = kept(("align", byte_bpe_path, piece_path), lambda: sides(byte_bpe_path, piece_path))
+        length_a, length_b = lengths
         for rows in parts:
             at = 0
             for texts in batches(rows.column("text"), 1 << 18):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .common import bounded, cut
-from .tokens import batches, byte_bpe
+from .tokens import batches, byte_bpe, kept
 
 MAGIC = b"CFTOKEN1"
 HEAD, HEAD_BYTES = "<8sQQQI", 36  # magic, documents, ids, bytes of the document list, its crc32
@@ -62,7 +62,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     model = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, n = byte_bpe(model), TaskContext.get().partitionId(), 0
+        encode, task, n = kept(("byte_bpe", model), lambda: byte_bpe(model)), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
 

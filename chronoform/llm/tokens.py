@@ -1,10 +1,13 @@
-"""Token ids of texts by public tokenizer files, many texts at a time. Each function is made once a task."""
+"""Token ids of texts by public tokenizer files, many texts at a time."""
 
 from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +21,16 @@ PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s
 WORD_START = "Ġ"  # the byte-level form of a blank
 KEPT_PIECES = 400_000
 
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, made once a Python worker and kept for its later tasks: loading a tokenizer for each task takes time, and memory that is not all given back."""
+    held = sys.modules.setdefault("__chronoform_worker__", types.ModuleType("__chronoform_worker__")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -28,6 +41,7 @@ def byte_bpe(path: str, plain: bool = False) -> Encode:
     a text with other characters than letters of the Latin script, digits and ASCII, or with a special token, is encoded whole. With ``plain``
     the strings of special tokens are ordinary text.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tool = Tokenizer.from_file(path)
     tool.encode_special_tokens = plain
     step = json.loads(tool.pre_tokenizer.__getstate__()) if tool.pre_tokenizer else {}
