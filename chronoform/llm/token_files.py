@@ -51,12 +51,12 @@ def unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc_ids, missing, sizes, ids
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text: str = "text", file_ids: int = range_coder.LANES * range_coder.BLOCK_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text: str = "text", file_ids: int = range_coder.LANES * range_coder.BLOCK_IDS, group_chars: int = 4 << 20) -> None:
     """Writes the token ids of docs, each document's followed by ``end_id``, to the table at path: (part, file, n_docs, n_ids, content), in ascending order of id.
 
     Ids are whole numbers of 64 bits; rows without one come first, rows of one id in the order of their texts' hashes. A null text is an empty one; repeated rows
     are written each; no rows: no file. Texts are shuffled once, by ranges of (id, hash, row), so that an id that very many rows share is dealt
-    out too. A task encodes some 4 MB of text at a time and closes a file at the first document that takes it to ``file_ids`` ids. tokenizer:
+    out too. A task encodes some ``group_chars`` of text at a time and closes a file at the first document that takes it to ``file_ids`` ids. tokenizer:
     a path of the tokenizers library's JSON, byte_bpe_50k.json of public_tokenizers if None.
     """
     model = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
@@ -73,7 +73,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         for rows in parts:
             missing, doc_ids, at = rows.column("id").is_null().to_numpy(zero_copy_only=False), rows.column("id").fill_null(0).to_numpy(zero_copy_only=False), 0
-            for texts in batches(rows.column("text")):
+            for texts in batches(rows.column("text"), group_chars):
                 ids, sizes = encode(texts)
                 with_end = np.full(len(ids) + len(sizes), end_id, np.uint32)
                 with_end[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
