@@ -103,6 +103,13 @@ def b12_replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return L.replay_equivalence(mark(o.where("o_orderkey % 5 <> 0")), mark(changed.where("o_orderkey % 7 <> 0")), "o_orderkey")
 
 
+@registered("""SELECT o_orderkey, '{"_redacted_field_count":1,"items":[{"n":' || o_custkey || ',"video-clip":"kept","video_path":"<local-media>"},{"_redacted_field_count":2,"deep":[["<local-path>",' || o_orderkey || ',null]]}],"note":"<redacted>","source":["<local-media>",1],"user":{"files":["<local-path>","' || o_orderstatus || '"],"name":"' || o_orderpriority || '"}}' AS clean FROM orders""")
+def b15_redact_nested(spark: SparkSession, d: str) -> DataFrame:
+    parts = ['{"user": {"name": "', F.col("o_orderpriority"), '", "files": ["file:///x", "', F.col("o_orderstatus"), '"]}, "API-Key": {"a": 1}, "items": [{"video_path": "x/', F.col("o_orderkey"), '", "n": ', F.col("o_custkey"), ', "video-clip": "kept"}, {"my_Tokens": [1, 2], "Authorization": null, "deep": [["/etc/x", ', F.col("o_orderkey"), ', null]]}], "note": "has a Bearer abc", "source": ["in/a", 1]}']
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return table(spark, d, "orders").select("o_orderkey", L.redact_json(text).alias("clean"))
+
+
 @registered("SELECT o_orderkey, 'kind=' || o_orderstatus || ';note=<bearer>;file_path=<path>;place=<path>' AS payload, 2 AS n_dropped FROM orders")
 def b15_redact(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(F.lit("kind"), F.col("o_orderstatus"), F.lit("api_key"), F.col("o_orderpriority"), F.lit("note"), F.concat(F.lit("Bearer "), F.col("o_orderkey").cast("string")), F.lit("file_path"), F.lit("x"), F.lit("user_token"), F.lit("y"), F.lit("place"), F.concat(F.lit("/home/"), F.col("o_custkey").cast("string")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoform.functions import scalar
 from chronoform.operators import grouped as G
@@ -252,3 +253,16 @@ def test_bucket_widths_do_not_change_joins(spark):
         assert sorted(tuple(r) for r in got.collect()) == want
     points = spark.createDataFrame([("a", 4), ("a", 99_995), ("b", 8), ("c", 0)], "series_id string, seq long")
     assert {J.point_in_range(points, spans, width=w).count() for w in (None, 3, 64)} == {4}
+
+
+def test_secrets_leave_nested_payloads(spark):
+    rows = {
+        '{"a": {"token": 1, "b": [{"secret_x": 2, "path": "p", "n": 1.5}]}}': '{"a":{"_redacted_field_count":1,"b":[{"_redacted_field_count":1,"n":1.5,"path":"<local-media>"}]}}',
+        '["/abs", "rel", "x sk-proj-1", null, true, []]': '["<local-path>","rel","<redacted>",null,true,[]]',
+        '{"_redacted_field_count": 7, "password": 1}': '{"_redacted_field_count":1}', '{"_redacted_field_count": 7}': '{"_redacted_field_count":7}',
+        '{"file": 3, "My-File_Path": "x", "": "BEARER y"}': '{"":"<redacted>","My-File_Path":"<local-media>","file":3}', '"file://x"': '"<local-path>"', "12": "12", "null": "null", "{}": "{}", "not json": None, None: None,
+        '{"a":{"a":{"a":{"a":{"token":1}}}}}': '{"a":{"a":{"a":{"a":"<too deep>"}}}}',
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "p string")
+    depth = {r.p: r.c for r in df.select("p", L.redact_json(F.col("p"), 4).alias("c")).collect()}
+    assert depth == rows
