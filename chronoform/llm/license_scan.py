@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower
 
-# Sentences as the licences word them.
+# Sentences as the licences word them; {} stands for what a publisher fills in, of up to twelve words.
 SENTENCES: dict[str, str] = {
     "mit_name": "Released under the MIT License.",
     "mit_name_2": "Licensed under the MIT License.",
@@ -34,17 +34,27 @@ SENTENCES: dict[str, str] = {
     "gpl3_spdx": "SPDX-License-Identifier: GPL-3.0-or-later",
     "gpl3_only_spdx": "SPDX-License-Identifier: GPL-3.0-only",
     "gpl2_spdx": "SPDX-License-Identifier: GPL-2.0-only",
-    "gpl3_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2_grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl3_grant": "{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2_grant": "{} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl_hope": "{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl_see": "See the GNU General Public License for more details.",
-    "gpl_received": "You should have received a copy of the GNU General Public License along with this program.",
+    "gpl_received": "You should have received a copy of the GNU General Public License along with {}.",
     "bsd_spdx_2": "SPDX-License-Identifier: BSD-2-Clause",
     "bsd_spdx_3": "SPDX-License-Identifier: BSD-3-Clause",
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_endorse": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_endorse_own": "Neither the name of {} nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_endorse_author": "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_endorse_names": "The names of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd_advert_2": "This product includes software developed by {}.",
+    "asf_contributors": "Licensed to {} under one or more contributor license agreements.",
+    "asf_notice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+    "asf_grant": "{} licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "lgpl2_grant": "{} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl2_library_grant": "{} is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "mpl_grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ccbync_name": "Licensed under CC BY-NC 4.0.",
@@ -53,18 +63,17 @@ SENTENCES: dict[str, str] = {
     "ccby_work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0_name": "This work is dedicated to the public domain under CC0 1.0.",
     "reserved": "All rights reserved.",
-    "bsd_as_is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
-    "bsd_liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    "gpl3_only_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
-    "gpl2_only_grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
-    "lgpl21_grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "bsd_as_is": "THIS SOFTWARE IS PROVIDED BY {} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd_liability": "IN NO EVENT SHALL {} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "gpl3_only_grant": "{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "gpl2_only_grant": "{} is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21_grant": "{} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "lgpl_see": "See the GNU Lesser General Public License for more details.",
-    "lgpl3_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "lgpl3_received": "You should have received a copy of the GNU Lesser General Public License along with this program.",
-    "agpl_grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3_grant": "{} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3_received": "You should have received a copy of the GNU Lesser General Public License along with {}.",
+    "agpl_grant": "{} is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "agpl_see": "See the GNU Affero General Public License for more details.",
-    "agpl_received": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "agpl_received": "You should have received a copy of the GNU Affero General Public License along with {}.",
     "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "zero_bsd_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "isc_as_is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
@@ -84,6 +93,11 @@ SENTENCES: dict[str, str] = {
 # Further identifiers by which a licence is named after SPDX-License-Identifier.
 SPDX = ("Apache-2.0 OR MIT", "MIT OR Apache-2.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "GPL-2.0-or-later", "ISC", "0BSD", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
 SENTENCES |= {f"spdx_{n}": f"SPDX-License-Identifier: {name}" for n, name in enumerate(SPDX)}
+ENDORSEMENTS = ("bsd_endorse", "bsd_endorse_own", "bsd_endorse_author", "bsd_endorse_names")
+#: Reported only where no other licence is: it stands in the notices of permissive licences too.
+WEAK = "all-rights-reserved"
+#: Sequences that do not match where an unknown item of a numbered list follows: the text goes on with a condition of its own.
+LISTS = frozenset({("bsd_grant", "bsd_source", "bsd_binary")})
 #: (licence, sequence of sentence identifiers), tried in this order: fuller texts before the short notices.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
@@ -92,13 +106,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("gpl3_grant", "gpl_hope", "gpl_see")),
     ("GPL-2.0-or-later", ("gpl2_grant", "gpl_hope", "gpl_see", "gpl_received")),
     ("GPL-2.0-or-later", ("gpl2_grant", "gpl_hope", "gpl_see")),
-    ("BSD-3-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
-    ("BSD-2-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability")),
+    *(("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advert", "bsd_advert_2", e, "bsd_as_is", "bsd_liability")) for e in ENDORSEMENTS),
+    *(("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advert", "bsd_advert_2", e)) for e in ENDORSEMENTS),
+    *(("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", e, "bsd_as_is", "bsd_liability")) for e in ENDORSEMENTS),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability")),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    *(("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", e)) for e in ENDORSEMENTS),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
-    ("LGPL-2.1-or-later", ("lgpl21_grant", "lgpl_hope", "lgpl_see")),
+    ("Apache-2.0", ("asf_contributors", "asf_notice", "asf_grant", "apache_copy", "apache_as_is", "apache_see")),
+    ("Apache-2.0", ("asf_grant", "apache_copy", "apache_as_is", "apache_see")),
+    ("LGPL-2.0-or-later", ("lgpl2_grant", "gpl_hope", "lgpl_see")),
+    ("LGPL-2.1-or-later", ("lgpl21_grant", "gpl_hope", "lgpl_see")),
     ("LGPL-3.0-or-later", ("lgpl3_grant", "gpl_hope", "lgpl_see", "lgpl3_received")),
     ("LGPL-3.0-or-later", ("lgpl3_grant", "gpl_hope", "lgpl_see")),
     ("AGPL-3.0-or-later", ("agpl_grant", "gpl_hope", "agpl_see", "agpl_received")),
@@ -118,6 +135,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("mpl_grant",)),
     ("MIT", ("mit_grant",)),
     ("LGPL-2.1-or-later", ("lgpl21_grant",)),
+    ("LGPL-2.0-or-later", ("lgpl2_grant",)),
+    ("LGPL-2.0-or-later", ("lgpl2_library_grant",)),
+    ("Apache-2.0", ("asf_grant",)),
     ("LGPL-3.0-or-later", ("lgpl3_grant",)),
     ("AGPL-3.0-or-later", ("agpl_grant",)),
     ("GPL-3.0-only", ("gpl3_only_grant",)),
@@ -144,7 +164,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA-4.0", ("ccbysa_name",)),
     ("CC0-1.0", ("cc0_name",)),
     *((name, (f"spdx_{n}",)) for n, name in enumerate(SPDX)),
-    ("all-rights-reserved", ("reserved",)),
+    (WEAK, ("reserved",)),
 )
 #: A line that ends within a sentence and goes on, after a comment mark or not, in lower case or with an opening bracket.
 WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?:[#*/;]+|--)[ \t]*)?([a-z(])"
@@ -176,15 +196,26 @@ def marked(text: Column) -> Column:
     return F.concat(F.lit("\x02"), F.regexp_replace(ascii_lower(ended), "[^a-z0-9\x01\x02]+", " "), F.lit("\x02"))
 
 
-def pattern(sentence: str) -> str:
-    """A known sentence as it may stand in a marked text: its own stops are stops there, and lines may end between any two words."""
-    parts = [p for s in re.split(STOP, sentence) if (p := plain(s).split())]
-    return r"[ \x02]*+\x01[ \x02]*+".join(r"[ \x02]++".join(words) for words in parts)
+SLOT, SLOT_WORDS = "{}", 12
+
+
+def pattern(sentence: str, blank: str = r"[ \x02]++", stop: str = r"[ \x02]*+\x01[ \x02]*+", within: str = r"[ \x01\x02]++", last: str = r"(?= ?(?:\x01|\x02$))") -> str:
+    """A known sentence as it may stand in a marked text: its own stops are stops there, and lines may end between any two words. A slot is any words, with stops as in "Inc."; one that a sentence ends with goes on to a stop."""
+    slot = rf"[a-z0-9]+(?:{within}[a-z0-9]+){{0,{SLOT_WORDS - 1}}}?"
+    parts = []
+    for words in filter(None, map(words_of, re.split(STOP, sentence))):
+        parts.append("".join((slot if w == SLOT else w) + (within if w == SLOT else blank) for w in words[:-1]) + (slot + last if words[-1] == SLOT else words[-1]))
+    return stop.join(parts)
+
+
+def words_of(sentence: str) -> list[str]:
+    """The normalised words of a known sentence, slots among them."""
+    return f" {SLOT} ".join(plain(s) for s in sentence.split(SLOT)).split()
 
 
 def anchors(sentences: dict[str, str]) -> list[str]:
     """Words such that each sentence holds one of them, chosen greedily, long ones first among equals: a text without any holds no known sentence."""
-    left, chosen = [{w for w in plain(s).split() if len(w) > 3} or set(plain(s).split()) for s in sentences.values()], []
+    left, chosen = [{w for w in words_of(s) if len(w) > 3} or set(words_of(s)) - {SLOT} for s in sentences.values()], []
     while left:
         best = min({w for s in left for w in s}, key=lambda w: (-sum(w in s for s in left), -len(w), w))
         chosen.append(best)
@@ -194,19 +225,24 @@ def anchors(sentences: dict[str, str]) -> list[str]:
 
 #: What numbers a list: as a sentence of its own it parts nothing, and a known sentence may stand behind it.
 LABEL = r"(?:[0-9]{1,2}|[a-z])"
+#: What numbers an item that is not known, with which a list of conditions goes on.
+ITEM = r"[0-9]{1,2}"
 
 
 def tokens(text: Column, sentences: dict[str, str]) -> Column:
-    """A text as the identifiers of its known sentences in order, with ``?`` where other sentences stand before, between or after them.
+    """A text as the identifiers of its known sentences in order, with ``?`` where other sentences stand before, between or after them, ``?+`` where the first of these is an item of a numbered list.
 
     A known sentence reaches from where a sentence or line starts to where one ends; longer ones are tried first.
     """
-    known = {plain(s): k for k, s in sentences.items()}
+    known = {plain(s): k for k, s in sentences.items() if SLOT not in s}
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     any_of = "|".join(sorted(map(pattern, sentences.values()), key=len, reverse=True))
     parts = F.split(F.regexp_replace(marked(text), rf"(?<=[\x01\x02]) ?(?:{LABEL} )?({any_of})(?= ?[\x01\x02])", "\x03$1\x03"), "\x03")
     between = F.lit(rf"^(?:[ \x01\x02]*{LABEL} ?[\x01\x02])*[ \x01\x02]*$")
-    found = F.transform(parts, lambda s, i: F.when(i % 2 == 1, F.element_at(ids, F.regexp_replace(s, r"[ \x01\x02]+", " "))).when(F.rlike(s, between), "").otherwise("?"))
+    slotted = [(F.lit(f"^{pattern(s, ' ', ' ', ' ', '')}$"), k) for k, s in sentences.items() if SLOT in s]
+    named = lambda s: F.coalesce(F.element_at(ids, s), *[F.when(F.rlike(s, p), F.lit(k)) for p, k in slotted])
+    item = F.lit(rf"^[ \x01\x02]*{ITEM}[ \x01]+[a-z0-9]")
+    found = F.transform(parts, lambda s, i: F.when(i % 2 == 1, named(F.regexp_replace(s, r"[ \x01\x02]+", " "))).when(F.rlike(s, between), "").when(F.rlike(s, item), "?+").otherwise("?"))
     holds = text.rlike("(?i)" + "|".join(anchors(sentences)))
     return F.when(holds, F.array_remove(found, "")).otherwise(F.array(F.lit("?")))
 
@@ -221,32 +257,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.size(sentences_of(F.col(text))).cast("long").alias("n_sentences"), F.coalesce(tokens(F.col(text), sentences), F.array().cast("array<string>")).alias("found"))
     rest = F.concat(F.lit("<"), F.array_join("found", "><"), F.lit(">"))
-    rows = rows.withColumn("known", F.array_remove("found", "?"))
+    rows = rows.withColumn("known", F.array_remove(F.array_remove("found", "?"), "?+"))
     rows = rows.withColumn("rest", F.when(F.size("known") > 0, rest).otherwise(""))
     counts = []
     for n, (_, sequence) in enumerate(rules):
         mark = "".join(f"<{s}>" for s in sequence)
+        if sequence in LISTS:
+            rows = rows.withColumn("rest", F.replace("rest", F.lit(f"{mark}<?+>"), F.lit(f"{'#' * (n + 1)}<?+>")))
         rows = rows.withColumn(f"n{n}", ((F.length("rest") - F.length(F.replace("rest", F.lit(mark), F.lit("|")))) / (len(mark) - 1)).cast("long")).withColumn("rest", F.replace("rest", F.lit(mark), F.lit("|")))
+        if sequence in LISTS:
+            rows = rows.withColumn("rest", F.replace("rest", F.lit(f"{'#' * (n + 1)}<?+>"), F.lit(f"{mark}<?+>")))
         counts.append(F.col(f"n{n}"))
     licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c > 0, F.lit(rule[0])) for c, rule in zip(counts, rules, strict=True)]))))
-    unmatched = F.regexp_replace(F.trim(F.regexp_replace("rest", r"[<>|?]+", " ")), " ", ",")
+    licences = F.when(F.size(licences) > 1, F.array_remove(licences, WEAK)).otherwise(licences)
+    unmatched = F.regexp_replace(F.trim(F.regexp_replace("rest", r"[<>|?+]+", " ")), " ", ",")
     return rows.select(F.col("id").alias(id_col), "n_sentences", F.array_join("known", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"), reduce(lambda a, b: a + b, counts).alias("n_matches"), unmatched.alias("unmatched"))
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
     """DuckDB SQL for :func:`scan` over documents."""
-    known = ", ".join(f"('{plain(s)}', '{k}')" for k, s in sentences.items())
+    known = ", ".join(f"('{plain(s)}', '{k}')" for k, s in sentences.items() if SLOT not in s)
+    slotted = " ".join(f"WHEN regexp_full_match(s, '{pattern(s, ' ', ' ', ' ', '')}') THEN '{k}'" for k, s in sentences.items() if SLOT in s)
     steps, last = [], "q"
     for n, (_, sequence) in enumerate(rules):
         mark = "".join(f"<{s}>" for s in sequence)
-        steps.append(f"q{n} AS (SELECT * EXCLUDE (rest), CAST((length(rest) - length(replace(rest, '{mark}', ''))) / {len(mark)} AS BIGINT) AS n{n}, replace(rest, '{mark}', '|') AS rest FROM {last})")
+        if sequence in LISTS:
+            steps.append(f"g{n} AS (SELECT * REPLACE (replace(rest, '{mark}<?+>', '{'#' * (n + 1)}<?+>') AS rest) FROM {last})")
+            last = f"g{n}"
+        left = f"replace(replace(rest, '{mark}', '|'), '{'#' * (n + 1)}<?+>', '{mark}<?+>')" if sequence in LISTS else f"replace(rest, '{mark}', '|')"
+        steps.append(f"q{n} AS (SELECT * EXCLUDE (rest), CAST((length(rest) - length(replace(rest, '{mark}', ''))) / {len(mark)} AS BIGINT) AS n{n}, {left} AS rest FROM {last})")
         last = f"q{n}"
     licences = ", ".join(f"CASE WHEN n{n} > 0 THEN '{rule[0]}' END" for n, rule in enumerate(rules))
     total = " + ".join(f"n{n}" for n in range(len(rules)))
     return rf"""WITH known(s, k) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(regexp_replace(coalesce(text, ''), '{WRAP}', '\1 \2', 'g'), '{END}', chr(1), 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
-e AS (SELECT r, regexp_replace(unnest(s), '^{LABEL} ', '') AS s, generate_subscripts(s, 1) AS p FROM d),
-f AS (SELECT r, list(coalesce(k, '?') ORDER BY p) AS tokens, list(k ORDER BY p) FILTER (WHERE k IS NOT NULL) AS found FROM e LEFT JOIN known USING (s) WHERE k IS NOT NULL OR NOT regexp_full_match(s, '{LABEL}') GROUP BY r),
+e0 AS (SELECT r, unnest(s) AS o, generate_subscripts(s, 1) AS p FROM d), e AS (SELECT r, p, regexp_matches(o, '^{ITEM} ') OR coalesce(regexp_full_match(lag(o) OVER (PARTITION BY r ORDER BY p), '{ITEM}'), false) AS item, regexp_replace(o, '^{LABEL} ', '') AS s FROM e0),
+f AS (SELECT r, list(coalesce(k, CASE WHEN item THEN '?+' ELSE '?' END) ORDER BY p) AS tokens, list(k ORDER BY p) FILTER (WHERE k IS NOT NULL) AS found FROM (SELECT e.*, coalesce(known.k, CASE {slotted} END) AS k FROM e LEFT JOIN known USING (s)) WHERE k IS NOT NULL OR NOT regexp_full_match(s, '{LABEL}') GROUP BY r),
 q AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(array_to_string(found, ','), '') AS sentence_ids, CASE WHEN found IS NULL THEN '' ELSE '<' || array_to_string(tokens, '><') || '>' END AS rest FROM d LEFT JOIN f USING (r)),
 {", ".join(steps)}
-SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ',') AS licenses, {total} AS n_matches, replace(trim(regexp_replace(rest, '[<>|?]+', ' ', 'g')), ' ', ',') AS unmatched FROM {last}"""
+SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_filter(list_sort(list_distinct([{licences}])), lambda x: x IS NOT NULL AND (x <> '{WEAK}' OR len(list_distinct([{licences}])) = 1)), ',') AS licenses, {total} AS n_matches, replace(trim(regexp_replace(rest, '[<>|?+]+', ' ', 'g')), ' ', ',') AS unmatched FROM {last}"""

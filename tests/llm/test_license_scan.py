@@ -23,7 +23,7 @@ def test_full_texts_short_notices_and_wrapping(spark):
 
 def test_order_of_rules_and_sequences(spark):
     s = L.SENTENCES
-    got = scan(spark, [(1, f"{s['bsd_grant']}\n{s['bsd_source']}\n{s['bsd_binary']}\n{s['bsd_endorse']}", ""), (2, f"{s['bsd_grant']}\n{s['bsd_source']}\n{s['bsd_binary']}", ""), (3, f"{s['bsd_binary']}\n{s['bsd_source']}\n{s['bsd_grant']}", "")])
+    got = scan(spark, [(1, f"{s['bsd_grant']}\n{s['bsd_source']}\n{s['bsd_binary']}\n{s['bsd_endorse'].format('Google Inc.')}", ""), (2, f"{s['bsd_grant']}\n{s['bsd_source']}\n{s['bsd_binary']}", ""), (3, f"{s['bsd_binary']}\n{s['bsd_source']}\n{s['bsd_grant']}", "")])
     assert [got[i].licenses for i in (1, 2, 3)] == ["BSD-3-Clause", "BSD-2-Clause", ""]
 
 
@@ -206,3 +206,74 @@ def test_known_sentences_keep_their_ends(spark):
     rows = [(1, "Released. Under the MIT License.", ""), (2, "Not released under the MIT License.", ""), (3, "Released under the MIT License agreement.", ""), (4, "License, v\n2.0", ""), (5, "Released under the MIT License. Released under the MIT License.", "")]
     got = scan(spark, rows)
     assert [got[i].sentence_ids for i in range(1, 6)] == ["", "", "", "", "mit_name,mit_name"]
+
+
+LGPL2 = """{} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {} General Public
+License as published by the Free Software Foundation; either
+version 2 of the License, or (at your option) any later version.
+
+{} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{} General Public License for more details."""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one
+or more contributor license agreements.  See the NOTICE file
+distributed with this work for additional information
+regarding copyright ownership.  The ASF licenses this file
+to you under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance
+with the License.  You may obtain a copy of the License at
+
+  http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+KIND, either express or implied.  See the License for the
+specific language governing permissions and limitations
+under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL {} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+PROMOTE = "may be used to endorse or\n   promote products derived from this software without specific prior\n   written permission.\n"
+THIRD = [f"3. Neither the name of {who} nor the names of its\n   contributors {PROMOTE}" for who in ("the copyright holder", "Google Inc.", "the University", "Sun Microsystems, Inc.", "the <organization>", "Django")]
+OTHER_THIRD = ["3. Neither the name of the project nor the names of contributors " + PROMOTE, "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n", "3. The names of its contributors may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n"]
+RESERVED = "Copyright (c) 1999, Some Body.\nAll rights reserved.\n\n"
+GPL_TEXTS = ((GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (AGPL, "AGPL-3.0-or-later"), (LGPL3, "LGPL-3.0-or-later"), (GPL2_ONLY, "GPL-2.0-only"), (LGPL21, "LGPL-2.1-or-later"))
+
+
+def test_texts_as_people_publish_them(spark):
+    """Organisations, programs and versions filled in; what a notice of rights says beside a licence; conditions that no rule knows."""
+    name = lambda t, program: t.replace("This program is", f"{program} is").replace("This library is", f"{program} is").replace("along with this program", f"along with {program}")
+    want = [
+        *[(RESERVED + BSD + t + AS_IS.format("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT OWNER OR CONTRIBUTORS"), "BSD-3-Clause") for t in THIRD],
+        *[(RESERVED + BSD + t + AS_IS.format("THE REGENTS AND CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS"), "BSD-3-Clause") for t in OTHER_THIRD],
+        (BSD + AS_IS.format("THE AUTHOR", "THE AUTHOR"), "BSD-2-Clause"),
+        (RESERVED + BSD, "BSD-2-Clause"),
+        (BSD + "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by the University of California,\n   Berkeley and its contributors.\n4. " + THIRD[2][3:] + AS_IS.format("THE REGENTS", "THE REGENTS"), "BSD-4-Clause"),
+        (BSD + "3. Whoever uses it on a Tuesday sends a postcard.\n", ""),
+        (ASF, "Apache-2.0"), (APACHE, "Apache-2.0"), (RESERVED + APACHE, "Apache-2.0"),
+        *[(name(t, "Foo Bar"), licence) for t, licence in GPL_TEXTS],
+        *[(t, licence) for t, licence in GPL_TEXTS],
+        (LGPL2.format("This library", "Library", "This library", "Library"), "LGPL-2.0-or-later"), (LGPL2.format("GLib", "Lesser", "GLib", "Lesser"), "LGPL-2.0-or-later"),
+        (RESERVED + MIT, "MIT"), (RESERVED, "all-rights-reserved"), (RESERVED + "Redistribution is fine.", "all-rights-reserved"), ("We licence nothing here.", ""),
+    ]
+    got = scan(spark, [(i, t, "") for i, (t, _) in enumerate(want)])
+    assert len(want) >= 30 and [(got[i].licenses, t) for i, (t, _) in enumerate(want)] == [(licence, t) for t, licence in want]

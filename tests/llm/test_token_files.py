@@ -99,7 +99,7 @@ def test_files_give_back_the_documents_in_order(spark, tmp_path):
     big = 2**60
     rows = [(None, "no id"), *[(i, TEXTS[i % len(TEXTS)]) for i in range(20)], (30, None), (big + 1, "x y"), (big + 3, "x z")]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, content string").repartition(3)
-    token_files.write(df, f"file://{tmp_path}/t", file_ids=4000, group_chars=3000)
+    token_files.write(df, f"file://{tmp_path}/t", file_ids=900, group_chars=900)
     assert spark.read.parquet(f"file://{tmp_path}/t").count() > 2
     found = token_files.read(spark, f"file://{tmp_path}/t", with_ids=True).collect()
     assert sorted([tuple(r)[:4] for r in found], key=lambda r: r[1]) == expected(rows)
