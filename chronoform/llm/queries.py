@@ -48,7 +48,7 @@ ns AS (SELECT DISTINCT n FROM win),
 dw AS (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, ns WHERE len(w) >= n),
 hit AS (SELECT dw.r, dw.n, dw.s, win.item_id FROM dw JOIN win ON dw.n = win.n AND array_to_string(dw.w[dw.s:dw.s + dw.n - 1], ' ') = win.g),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+items AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoform.llm import simhash
+from chronoform.llm import language, secret_scan, simhash
 from chronoform.llm.common import bounded, hot_join, without
 
 
@@ -32,3 +32,15 @@ def test_groups_of_very_many_copies(spark):
     got = simhash.grouped(own).collect()
     assert len(got) == len(rows)
     assert {r.component_id for r in got if r.id >= 10_000} == {10_000} and {r.component_id for r in got if r.id < 10_000} == {0}
+
+
+def test_settings_of_the_session_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    docs = spark.createDataFrame([(1, "some text", "en"), (2, "token=abcdefghijklmnop", "en")], "doc_id long, text string, lang string")
+    language.identify(docs, language.fit_profiles(docs)).collect()
+    secret_scan.find_secrets(docs).collect()
+    simhash.components(docs).collect()
+    assert spark.conf.get(key) == "10000"
+    spark.conf.set(key, before)

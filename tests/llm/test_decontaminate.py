@@ -69,3 +69,19 @@ def test_plan_is_native(spark):
     d = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
     plan = decontaminate.report(d, d.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_an_item_without_an_id_hits_but_is_not_listed(spark):
+    """The SQL of the query and the operator agree on it."""
+    import duckdb
+    import pandas as pd
+
+    from chronoform.llm.queries import ORACLE
+
+    docs, items = pd.DataFrame({"doc_id": [1, 2], "text": ["one two three four", "five"]}), pd.DataFrame({"item_id": pd.array([None, 7], "Int64"), "text": ["one two three", "two three four"]})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    con.register("benchmark", items)
+    want = {r[0]: r[1:4] for r in con.sql(f"SELECT doc_id, n_hit, n_items, items_sha256 FROM ({ORACLE['op2_decontamination']})").fetchall()}
+    rows = decontaminate.report(spark.createDataFrame(docs), spark.createDataFrame([(None, "one two three"), (7, "two three four")], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in rows} == want and want[1][:2] == (4, 1)
