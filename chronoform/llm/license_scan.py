@@ -1,18 +1,18 @@
 """Licence scans by sentence rules: sentences to identifiers of known licence sentences, then identifier sequences to licences.
 
 After the sentence-matching method of German, Manabe and Inoue ("A sentence-matching method for automatic license identification of
-source code files", 2010). DataFrame functions only.
+source code files", 2010). Spark deals the texts to tasks; a scanner in each reads them one by one.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER
 
 # Sentences as the licences word them; {} stands for what a publisher fills in, of up to twelve words.
 SENTENCES: dict[str, str] = {
@@ -172,6 +172,7 @@ WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?:[#*/;]+|--)[ \t]*)?([a-z(])"
 END = r"[.!?](?:\s|$)|\n"
 #: The first of these alone.
 STOP = r"[.!?](?:\s|$)"
+WRAP_BYTES, STOP_BYTES, BLANKS = re.compile(WRAP.encode()), re.compile(STOP.encode().replace(b"$", rb"\Z")), re.compile(b"  +")
 
 
 def plain(sentence: str) -> str:
@@ -180,20 +181,14 @@ def plain(sentence: str) -> str:
     return " ".join(kept.split())
 
 
-def sentences_of(text: Column) -> Column:
-    """The normalised sentences of a text, empty ones left out; null: none."""
-    joined = F.regexp_replace(text, WRAP, "$1 $2")
-    ended = F.regexp_replace(joined, END, "\x01")
-    clean = F.regexp_replace(ascii_lower(ended), "[^a-z0-9\x01]+", " ")
-    parts = F.transform(F.split(clean, "\x01"), lambda s: F.trim(s))
-    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
+#: What :func:`marked` makes of each byte: a-z and 0-9 stay, A-Z become lower, a line end is \x02, the mark \x01 stays, all else is a blank.
+AS_MARKED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c == 1 else 2 if c == 10 else 32 for c in range(256))
 
 
-def marked(text: Column) -> Column:
+def marked(text: str) -> str:
     """A text normalised, with \\x01 where a stop ends a sentence and \\x02 where a line ends that does not go on, at both ends too."""
-    joined = F.regexp_replace(text, WRAP, "$1 $2")
-    ended = F.translate(F.regexp_replace(joined, STOP, "\x01"), "\n", "\x02")
-    return F.concat(F.lit("\x02"), F.regexp_replace(ascii_lower(ended), "[^a-z0-9\x01\x02]+", " "), F.lit("\x02"))
+    joined = WRAP_BYTES.sub(rb"\1 \2", text.encode("utf-8", "replace"))
+    return "\x02" + BLANKS.sub(b" ", STOP_BYTES.sub(b"\x01", joined).translate(AS_MARKED)).decode("ascii") + "\x02"
 
 
 SLOT, SLOT_WORDS = "{}", 12
@@ -229,22 +224,70 @@ LABEL = r"(?:[0-9]{1,2}|[a-z])"
 ITEM = r"[0-9]{1,2}"
 
 
-def tokens(text: Column, sentences: dict[str, str]) -> Column:
-    """A text as the identifiers of its known sentences in order, with ``?`` where other sentences stand before, between or after them, ``?+`` where the first of these is an item of a numbered list.
+class Scanner:
+    """What is known of the licences, ready to read texts one by one: a small helper that tasks hold."""
 
-    A known sentence reaches from where a sentence or line starts to where one ends; longer ones are tried first.
-    """
-    known = {plain(s): k for k, s in sentences.items() if SLOT not in s}
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    any_of = "|".join(sorted(map(pattern, sentences.values()), key=len, reverse=True))
-    parts = F.split(F.regexp_replace(marked(text), rf"(?<=[\x01\x02]) ?(?:{LABEL} )?({any_of})(?= ?[\x01\x02])", "\x03$1\x03"), "\x03")
-    between = F.lit(rf"^(?:[ \x01\x02]*{LABEL} ?[\x01\x02])*[ \x01\x02]*$")
-    slotted = [(F.lit(f"^{pattern(s, ' ', ' ', ' ', '')}$"), k) for k, s in sentences.items() if SLOT in s]
-    named = lambda s: F.coalesce(F.element_at(ids, s), *[F.when(F.rlike(s, p), F.lit(k)) for p, k in slotted])
-    item = F.lit(rf"^[ \x01\x02]*{ITEM}[ \x01]+[a-z0-9]")
-    found = F.transform(parts, lambda s, i: F.when(i % 2 == 1, named(F.regexp_replace(s, r"[ \x01\x02]+", " "))).when(F.rlike(s, between), "").when(F.rlike(s, item), "?+").otherwise("?"))
-    holds = text.rlike("(?i)" + "|".join(anchors(sentences)))
-    return F.when(holds, F.array_remove(found, "")).otherwise(F.array(F.lit("?")))
+    def __init__(self, sentences: dict[str, str], rules: tuple) -> None:
+        self.known = {plain(s): k for k, s in sentences.items() if SLOT not in s}
+        self.slotted = [(re.compile(pattern(s, " ", " ", " ", "")), k) for k, s in sentences.items() if SLOT in s]
+        longest = sorted(((pattern(s), s) for s in sentences.values()), key=lambda x: len(x[0]), reverse=True)
+        self.patterns = [(p, [run for run in map(str.strip, " ".join(words_of(s)).split(SLOT)) if run]) for p, s in longest]
+        self.anchors, self.found = anchors(sentences), {}
+        self.rules = [(licence, "".join(f"<{s}>" for s in sequence), sequence in LISTS) for licence, sequence in rules]
+        self.between = re.compile(rf"(?:[ \x01\x02]*{LABEL} ?[\x01\x02])*[ \x01\x02]*")
+        self.item = re.compile(rf"[ \x01\x02]*{ITEM}[ \x01]+[a-z0-9]")
+
+    def finder(self, text: str) -> re.Pattern | None:
+        """The known sentences of which all fixed words stand in the marked text, from where a sentence or line starts to where one ends, longer ones first."""
+        if not any(a in text for a in self.anchors):
+            return None
+        flat = " ".join(text.translate({1: " ", 2: " "}).split())
+        likely = tuple(p for p, runs in self.patterns if all(r in flat for r in runs))
+        if not likely:
+            return None
+        if likely not in self.found:
+            if len(self.found) >= 1000:
+                self.found.clear()
+            self.found[likely] = re.compile(rf"[\x01\x02] ?(?:{LABEL} )?({'|'.join(likely)})(?= ?[\x01\x02])")
+        return self.found[likely]
+
+    def name(self, sentence: str) -> str:
+        """The identifier of a known sentence as it was found."""
+        flat = re.sub(r"[ \x01\x02]+", " ", sentence)
+        return self.known.get(flat) or next(k for p, k in self.slotted if p.fullmatch(flat))
+
+    def tokens(self, text: str) -> list[str]:
+        """A marked text as the identifiers of its known sentences in order, with ``?`` where other sentences stand before, between or after them, ``?+`` where the first of these is an item of a numbered list; empty if none is known."""
+        finder = self.finder(text)
+        out, end = [], 0
+        other = lambda s: [] if self.between.fullmatch(s) else ["?+"] if self.item.match(s) else ["?"]
+        for m in finder.finditer(text) if finder else ():
+            out += [*other(text[end : m.start() + 1]), self.name(m[1])]
+            end = m.end()
+        return out + other(text[end:]) if out else []
+
+    def scan(self, text: str | None) -> dict:
+        """n_sentences, sentence_ids, licenses, n_matches and unmatched of one text."""
+        text = marked(text or "")
+        tokens, counts = self.tokens(text), {}
+        rest = "<" + "><".join(tokens) + ">" if tokens else ""
+        for licence, mark, of_list in self.rules if tokens else ():
+            held = "#" * len(mark)
+            if of_list:
+                rest = rest.replace(f"{mark}<?+>", f"{held}<?+>")
+            if mark in rest:
+                counts[licence] = counts.get(licence, 0) + rest.count(mark)
+                rest = rest.replace(mark, "|")
+            if of_list:
+                rest = rest.replace(f"{held}<?+>", f"{mark}<?+>")
+        licences = sorted(counts) if len(counts) == 1 else sorted(set(counts) - {WEAK})
+        known = ",".join(t for t in tokens if t not in ("?", "?+"))
+        return {"n_sentences": len(RUN.findall(text)), "sentence_ids": known, "licenses": ",".join(licences), "n_matches": sum(counts.values()), "unmatched": ",".join(re.sub(r"[<>|?+]+", " ", rest).split())}
+
+
+#: A sentence or line of a marked text.
+RUN = re.compile("[a-z0-9][a-z0-9 ]*")
+RESULT = "n_sentences long, sentence_ids string, licenses string, n_matches long, unmatched string"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
@@ -254,24 +297,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sentences:
     ``unmatched``. A sentence that is not known parts a sequence, unless it is just the number or letter of a list. Null and empty
     texts: no sentences, empty strings. Repeated rows are scanned one by one. No shuffle. A known sentence may be wrapped anywhere, also
     before upper case, after a colon or semicolon or around blank lines; ``n_sentences`` counts a line that WRAP does not join as a sentence.
+    Texts come to Python in Arrow batches and are read one at a time.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.size(sentences_of(F.col(text))).cast("long").alias("n_sentences"), F.coalesce(tokens(F.col(text), sentences), F.array().cast("array<string>")).alias("found"))
-    rest = F.concat(F.lit("<"), F.array_join("found", "><"), F.lit(">"))
-    rows = rows.withColumn("known", F.array_remove(F.array_remove("found", "?"), "?+"))
-    rows = rows.withColumn("rest", F.when(F.size("known") > 0, rest).otherwise(""))
-    counts = []
-    for n, (_, sequence) in enumerate(rules):
-        mark = "".join(f"<{s}>" for s in sequence)
-        if sequence in LISTS:
-            rows = rows.withColumn("rest", F.replace("rest", F.lit(f"{mark}<?+>"), F.lit(f"{'#' * (n + 1)}<?+>")))
-        rows = rows.withColumn(f"n{n}", ((F.length("rest") - F.length(F.replace("rest", F.lit(mark), F.lit("|")))) / (len(mark) - 1)).cast("long")).withColumn("rest", F.replace("rest", F.lit(mark), F.lit("|")))
-        if sequence in LISTS:
-            rows = rows.withColumn("rest", F.replace("rest", F.lit(f"{'#' * (n + 1)}<?+>"), F.lit(f"{mark}<?+>")))
-        counts.append(F.col(f"n{n}"))
-    licences = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c > 0, F.lit(rule[0])) for c, rule in zip(counts, rules, strict=True)]))))
-    licences = F.when(F.size(licences) > 1, F.array_remove(licences, WEAK)).otherwise(licences)
-    unmatched = F.regexp_replace(F.trim(F.regexp_replace("rest", r"[<>|?+]+", " ")), " ", ",")
-    return rows.select(F.col("id").alias(id_col), "n_sentences", F.array_join("known", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"), reduce(lambda a, b: a + b, counts).alias("n_matches"), unmatched.alias("unmatched"))
+    scanner = Scanner(sentences, rules)
+
+    @F.arrow_udf(RESULT)
+    def scanned(texts: pa.Array) -> pa.Array:
+        return pa.array([scanner.scan(t.as_py()) for t in texts], KINDS)
+
+    rows = docs.select(F.col(id_col).alias("id"), scanned(F.col(text)).alias("r"))
+    return rows.select(F.col("id").alias(id_col), "r.*")
+
+
+KINDS = pa.struct([("n_sentences", pa.int64()), ("sentence_ids", pa.string()), ("licenses", pa.string()), ("n_matches", pa.int64()), ("unmatched", pa.string())])
 
 
 def oracle(sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
