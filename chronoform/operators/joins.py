@@ -21,20 +21,40 @@ def usual_length(ranges: DataFrame, start: str = "start", end: str = "end") -> i
     return max(1, int(ranges.agg(F.percentile_approx(F.col(end) - F.col(start), F.lit(0.9))).first()[0] or 1))
 
 
-def point_in_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int | None = 64) -> DataFrame:
+def dealt(rows: DataFrame, lookup: DataFrame, key: list[str], chunk: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on key, and the key: where more than ``chunk`` of rows share one, they are dealt out by a hash of the row and lookup goes to each part. None: as they are.
+
+    A hash and no running number, so a task that is run again deals alike; rows that are equal in all columns stay together.
+    """
+    if not chunk:
+        return rows, lookup, key
+    full = cut(rows.groupBy(*key).count().where(F.col("count") > chunk).select(*key, F.ceil(F.col("count") / chunk).alias("__parts")))
+    if full.isEmpty():
+        return rows, lookup, key
+    parts = F.coalesce("__parts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*rows.columns), parts)
+    rows = rows.join(full, key, "left").withColumn("__part", spread).drop("__parts")
+    lookup = lookup.join(full, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    return rows, lookup, [*key, "__part"]
+
+
+def point_in_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int | None = 64, chunk: int | None = None) -> DataFrame:
     """points with the columns of the half-open range of their series that they lie in; points outside every range are left out.
 
     The join is by series and bucket, so it hashes; the range condition filters within a bucket. A width of None is taken from the ranges'
-    lengths, by a pass of its own: for ranges much longer or shorter than the default.
+    lengths, by a pass of its own: for ranges much longer or shorter than the default. With ``chunk``, buckets of more points than that are
+    found by a pass and dealt out over several tasks. Ranges may overlap: a point comes once for each that holds it.
     """
     width = width or usual_length(ranges)
-    parts = bucketed(ranges, "start", "end", width)
-    rows = points.withColumn("__bucket", F.floor(F.col(order) / width))
-    return rows.join(parts, [series, "__bucket"]).where((F.col(order) >= F.col("start")) & (F.col(order) < F.col("end"))).drop("__bucket")
+    rows, parts, key = dealt(points.withColumn("__bucket", F.floor(F.col(order) / width)), bucketed(ranges, "start", "end", width), [series, "__bucket"], chunk)
+    return rows.join(parts, key).where((F.col(order) >= F.col("start")) & (F.col(order) < F.col("end"))).drop("__bucket", "__part")
 
 
 def required_range(points: DataFrame, ranges: DataFrame, order: str = ORDER, series: str = SERIES, width: int = 64) -> DataFrame:
-    """points with the columns of the range that they lie in; a point that lies in none fails the query, as :func:`point_in_range` would lose it."""
+    """points with the columns of the range that they lie in; a point that lies in none fails the query, as :func:`point_in_range` would lose it.
+
+    A point comes once for each range that holds it, so ranges that overlap repeat it.
+    """
     parts = bucketed(ranges, "start", "end", width).withColumn("__in", F.lit(True))
     rows = points.withColumn("__bucket", F.floor(F.col(order) / width)).withColumn("__id", F.monotonically_increasing_id())
     inside = (rows[order] >= F.col("start")) & (rows[order] < F.col("end"))
@@ -70,16 +90,18 @@ def remapped_captions(captions: DataFrame, kept: DataFrame, totals: DataFrame, f
     return rows.drop("__s", "__e", "__ks", "__ke", "start", "end", "start2", "end2", "overlap_start", "overlap_end")
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, width: int | None = 256) -> DataFrame:
+def interval_overlap(left: DataFrame, right: DataFrame, series: str = SERIES, width: int | None = 256, chunk: int | None = None) -> DataFrame:
     """Pairs of left(start, end) and right(start2, end2) of a series that overlap, with their intersection.
 
     A pair is reported by the bucket that its intersection starts in, so none is repeated. A width of None is the larger usual length of both sides.
+    With ``chunk``, a bucket of more left rows than that is dealt out over several tasks.
     """
     width = width or max(usual_length(left), usual_length(right, "start2", "end2"))
     a, b = bucketed(left, "start", "end", width), bucketed(right, "start2", "end2", width)
-    both = a.join(b, [series, "__bucket"]).where("start < end2 and start2 < end")
+    a, b, key = dealt(a, b, [series, "__bucket"], chunk)
+    both = a.join(b, key).where("start < end2 and start2 < end")
     both = both.withColumns({"overlap_start": F.greatest("start", "start2"), "overlap_end": F.least("end", "end2")})
-    return both.where(F.floor(F.col("overlap_start") / width) == F.col("__bucket")).drop("__bucket")
+    return both.where(F.floor(F.col("overlap_start") / width) == F.col("__bucket")).drop("__bucket", "__part")
 
 
 def frame_align(expected: DataFrame, actual: DataFrame, values: tuple[str, ...], series: str = SERIES, order: str = ORDER) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoform.functions import scalar
@@ -94,15 +94,47 @@ def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: st
     return pairs.where(close).select(series, F.col(f"b.{order}").alias(order), F.col(f"a.{order}").alias("duplicate_of"))
 
 
-def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq") -> DataFrame:
+def linked_runs(links: DataFrame, series: str, order: str) -> DataFrame:
+    """links(series, order, duplicate_of) with ``__run`` and ``__size``: runs of links whose spans touch, so no link leads from one run to another."""
+    spans = links.groupBy(series, order).agg(F.min("duplicate_of").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(series).orderBy(order)
+    # from the last row backwards: a run starts where no later row reaches before it
+    reach = F.min("__low").over(Window.partitionBy(series).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = spans.withColumn("__reach", reach)
+    fresh = F.coalesce((F.lag(order).over(w) < F.col("__reach")).cast("int"), F.lit(1))
+    spans = spans.withColumn("__run", F.sum(fresh).over(w))
+    spans = spans.withColumn("__size", F.sum("__n").over(Window.partitionBy(series, "__run")))
+    return links.join(spans.select(series, order, "__run", "__size"), [series, order])
+
+
+def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq", fold_links: int = 500_000) -> DataFrame:
     """df with ``kept`` and ``duplicate_of``: in order, a row is dropped if a kept one before it is its near duplicate; protected rows always stay.
 
-    duplicates(series, seq, duplicate_of) are the linked pairs. Rows are settled in rounds, each a join: a row is settled once all its
-    earlier partners are. Rounds are as many as the longest chain of partners.
+    duplicates(series, seq, duplicate_of) are the linked pairs; order and ids are whole numbers. They fall into runs that no link joins: one of up to ``fold_links`` links is
+    settled by one walk over it in a task. Longer runs are settled in rounds, each a join: a row is settled once all its
+    earlier partners are, so these rounds are as many as the longest chain of partners. Repeated (series, seq) are one row to the links.
     """
     links = cut(duplicates.join(df.where(~F.col(protected)).select(series, order), [series, order], "left_semi"))
     known = cut(df.select(series, order).join(links.select(series, order).distinct(), [series, order], "left_anti").withColumns({"kept": F.lit(True), "duplicate_of": F.lit(None).cast("long")}))
-    waiting = links
+    links = cut(linked_runs(links, series, order))
+    kinds = dict(links.dtypes)
+
+    def walk(run: pd.DataFrame) -> pd.DataFrame:
+        """A run's rows in order: the first kept partner before each, if any."""
+        run = run.sort_values([order, "duplicate_of"])
+        gone, out = set(), []
+        for at, partners in run.groupby(order, sort=True)["duplicate_of"]:
+            first = next((int(p) for p in partners if int(p) not in gone), None)
+            if first is not None:
+                gone.add(int(at))
+            out.append((at, first is None, first))
+        found = pd.DataFrame({order: pd.array([o[0] for o in out], "Int64"), "kept": [o[1] for o in out], "duplicate_of": pd.array([o[2] for o in out], "Int64")})
+        found.insert(0, series, run[series].iloc[0])
+        return found
+
+    folded = links.where(F.col("__size") <= fold_links).groupBy(series, "__run").applyInPandas(walk, f"{series} {kinds[series]}, {order} {kinds[order]}, kept boolean, duplicate_of long")
+    known = cut(known.unionByName(folded))
+    waiting = links.where(F.col("__size") > fold_links).drop("__run", "__size")
     while not waiting.isEmpty():
         state = known.select(series, F.col(order).alias("duplicate_of"), F.col("kept").alias("__k"))
         seen = waiting.join(state, [series, "duplicate_of"], "left")

@@ -122,16 +122,28 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("errorifexists").format(kind).save(path)
 
 
-def manifest_of(files: DataFrame, group: str, path: str, content: str, digits: int = 2) -> DataFrame:
-    """(group, n_files, n_bytes, tree_sha256): a hash over files in order of path, through one hash for each leading part of md5(path).
+#: Files that one part of a manifest lists on average at most.
+PART_FILES = 4096
 
-    Two levels, so no task lists a whole group; more digits for more files.
+
+def manifest_of(files: DataFrame, group: str, path: str, content: str, digits: int | None = None) -> DataFrame:
+    """(group, n_files, n_bytes, tree_sha256): a tree of hashes over files in order of path. Leaves are the files that share leading hex digits of md5(path); nodes hash those below them.
+
+    A node has 256 below it at most, and leaves some ``PART_FILES`` files: two digits up to a million files in the largest group, two more for each 256
+    times as many. So no task lists a whole group. ``digits`` (even) sets the depth instead. Null content is empty.
     """
     text = F.coalesce(F.col(content), F.lit(""))
     line = F.concat_ws(" ", F.col(path).cast("string"), F.sha2(text, 256), F.octet_length(text).cast("string"))
-    rows = files.select(group, F.substring(F.md5(F.col(path).cast("string")), 1, digits).alias("part"), line.alias("line"), F.octet_length(text).alias("size"))
-    parts = rows.groupBy(group, "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("sha"))
-    return parts.groupBy(group).agg(F.sum("n").alias("n_files"), F.sum("bytes").alias("n_bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "sha"))), "\n"), 256).alias("tree_sha256"))
+    if digits is None:
+        most = files.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        digits = next(d for d in range(2, 33, 2) if d == 32 or 16**d * PART_FILES >= most)
+    whole = F.md5(F.col(path).cast("string"))
+    rows = files.select(group, F.substring(whole, 1, digits).alias("part"), line.alias("line"), F.octet_length(text).alias("size"))
+    over = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256).alias("sha")
+    parts = rows.groupBy(group, "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), over("line"))
+    for length in range(digits - 2, -1, -2):
+        parts = parts.groupBy(group, F.substring("part", 1, length).alias("part")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), over(F.concat_ws(":", "part", "sha")))
+    return parts.select(group, F.col("n").alias("n_files"), F.col("bytes").alias("n_bytes"), F.col("sha").alias("tree_sha256"))
 
 
 def compatibility_report(effects: DataFrame, support: DataFrame, document: str, effect: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -241,7 +243,49 @@ def test_equal_rows_are_not_paired_but_dropped(spark):
         want[i] = (True, None) if safe or first is None else (False, first)
         kept += [i] if want[i][0] else []
     assert {r.seq: (r.kept, r.duplicate_of) for r in V.dedup(df, "protected", minima).collect()} == want
-    assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, V.near_duplicates(df, minima), "protected").collect()} == want
+    for most in (0, 5, 500_000):
+        assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, V.near_duplicates(df, minima), "protected", fold_links=most).collect()} == want
+
+
+def test_runs_of_links_are_settled_apart(spark):
+    rng = np.random.default_rng(11)
+    pairs = sorted({(s, i, i - int(d)) for s in "ab" for i in range(4, 400) for d in rng.integers(1, 4, 2) if rng.random() < 0.4})
+    safe = {(s, i) for s in "ab" for i in range(400) if rng.random() < 0.1}
+    df = spark.createDataFrame([(s, i, (s, i) in safe) for s in "ab" for i in range(400)], "series_id string, seq long, protected boolean")
+    links, want = spark.createDataFrame(pairs, "series_id string, seq long, duplicate_of long"), {}
+    for s in "ab":
+        for i in range(400):
+            first = None if (s, i) in safe else next((p for t, j, p in pairs if (t, j) == (s, i) and want[s, p][0]), None)
+            want[s, i] = (first is None, first)
+    for most in (3, 10**6):
+        got = V.greedy_dedup(df, links, "protected", fold_links=most)
+        assert {(r.series_id, r.seq): (r.kept, r.duplicate_of) for r in got.collect()} == want
+    runs = V.linked_runs(links, "series_id", "seq").collect()
+    where = {(r.series_id, r.seq): r["__run"] for r in runs}
+    assert len(set(where.values())) > 10 and all(where[r.series_id, r.duplicate_of] == r["__run"] for r in runs if (r.series_id, r.duplicate_of) in where)
+    empty = V.greedy_dedup(df, links.where("false"), "protected").collect()
+    assert len(empty) == 800 and all(r.kept for r in empty)
+
+
+def test_manifests_of_any_depth(spark):
+    files = [("g", i, f"text {i % 7}") for i in range(60)] + [("h", 1, None)]
+    df = spark.createDataFrame(files, "source string, path long, content string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def tree(lines, length, digits):
+        if length == digits:
+            return sha("\n".join(sorted(line for _, line in lines)))
+        parts = sorted({m[: length + 2] for m, _ in lines})
+        return sha("\n".join(f"{p}:{tree([x for x in lines if x[0].startswith(p)], length + 2, digits)}" for p in parts))
+
+    for digits in (2, 4):
+        got = {r.source: r for r in E.manifest_of(df, "source", "path", "content", digits).collect()}
+        for group in "gh":
+            rows = [(p, c or "") for g, p, c in files if g == group]
+            lines = [(hashlib.md5(str(p).encode()).hexdigest(), f"{p} {sha(c)} {len(c)}") for p, c in rows]
+            assert got[group].tree_sha256 == tree(lines, 0, digits) and got[group].n_files == len(rows) and got[group].n_bytes == sum(len(c) for _, c in rows)
+    assert E.manifest_of(df, "source", "path", "content").exceptAll(E.manifest_of(df, "source", "path", "content", 2)).count() == 0
+    assert E.manifest_of(df.where("false"), "source", "path", "content").count() == 0
 
 
 def test_bucket_widths_do_not_change_joins(spark):
@@ -251,7 +295,12 @@ def test_bucket_widths_do_not_change_joins(spark):
     for width in (None, 7, 10**6):
         got = J.interval_overlap(spans, other, width=width).select("series_id", "start", "end", "start2", "end2")
         assert sorted(tuple(r) for r in got.collect()) == want
+    for width in (7, 10**6):
+        got = J.interval_overlap(spans, other, width=width, chunk=1)
+        assert got.columns == J.interval_overlap(spans, other).columns and sorted((r.series_id, r.start, r.end, r.start2, r.end2) for r in got.collect()) == want
     points = spark.createDataFrame([("a", 4), ("a", 99_995), ("b", 8), ("c", 0)], "series_id string, seq long")
+    dense = points.unionByName(points).unionByName(points)
+    assert sorted(map(tuple, J.point_in_range(dense, spans, chunk=2).collect())) == sorted(map(tuple, J.point_in_range(dense, spans).collect()))
     assert {J.point_in_range(points, spans, width=w).count() for w in (None, 3, 64)} == {4}
 
 
