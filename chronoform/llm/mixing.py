@@ -59,14 +59,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """For each row of docs: id, source, size, source_size, target, taken and positions (one for each pass that takes it), and the columns of ``carry``.
 
     Every document is in each whole pass; the last, partial pass takes documents until the target is reached and cuts the one
-    that reaches it, so a source's sum of taken words differs from its target by less than one word. The order is that of md5(id), so
-    reruns agree; repeated rows are documents of their own. Null source: a source, last. Null or empty text: size 0, taken 0. A
+    that reaches it, so a source's sum of taken words differs from its target by less than one word. The order is that of md5(id), or of md5 of the text where the id is null, so
+    reruns agree and rows without an id are spread like others; repeated rows are documents of their own. Null source: a source, last. Null or empty text: size 0, taken 0. A
     source without words has target 0. Running sums are kept within hash buckets of some ``bucket_rows`` rows, offset by the sums of
     the buckets before, so that no task gets a source whole; they are 50,000, or 5,000 with carried columns. Carried columns are shuffled once, by bucket; totals are made without them.
     """
     bucket_rows = bucket_rows or (5_000 if carry else 50_000)
-    read = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([F.struct(*carry).alias("carried")] if carry else []))
-    read = read.withColumn("rank", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    rank = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text), F.lit("")))))
+    read = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), rank.alias("rank"), *([F.struct(*carry).alias("carried")] if carry else []))
     sizes = cut(read.select("id", "source", "size", "rank"))
     targets = cut(source_targets(sizes, **options))
     # the bucket is the leading bits of the rank, so that buckets stand in the order of the documents

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, decontaminate, embedding_dedup, language, license_scan, max_sketch, mixing, quotation, secret_scan, simhash, token_files, toxicity, warc
+from .quotation import DATED, NAMES
 from .common import crc_mod, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,7 +110,7 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_curriculum_mix"] = r"""
-WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS rank, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))) AS rank, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
   [-0.5, 0.0, 0.5][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS slope FROM d GROUP BY source),
 l AS (SELECT *, sum(source_size) OVER () AS total, (sum(source_size) OVER () - 3 * (sum(source_size) OVER f - source_size)) / CAST(sum(w) OVER () - sum(w) OVER f + w AS DOUBLE) AS level
@@ -133,10 +134,10 @@ ORACLE["op8_quotation_links"] = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id AS conv, turn, role, text FROM conversations),
 l0 AS (SELECT r, conv, turn, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM m WHERE text IS NOT NULL),
 l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS lev, regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') AS content FROM l0),
-l2 AS (SELECT *, lag(lev, 1, -1) OVER w <> lev AS fresh, lead(lev, 1, 0) OVER w AS next FROM l1 WINDOW w AS (PARTITION BY r ORDER BY pos)),
-l3 AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l2),
+l2 AS (SELECT *, lag(lev, 1, -1) OVER w <> lev AS fresh, lev = 0 AND lead(lev, 1, 0) OVER w > 0 AND regexp_matches(line, '""" + NAMES + r"""$') AS names FROM l1 WINDOW w AS (PARTITION BY r ORDER BY pos)),
+l3 AS (SELECT *, names OR (lev = 0 AND lead(names, 1, false) OVER (PARTITION BY r ORDER BY pos) AND regexp_matches(line, '^""" + DATED + r""".*[0-9]') AND NOT regexp_matches(line, '[.!?:; \t]$')) AS named, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM l2),
 quotes AS (SELECT r, conv, turn, lev, run, string_agg(content, chr(10) ORDER BY pos) AS t FROM l3 WHERE lev > 0 GROUP BY ALL),
-own AS (SELECT r, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT (next > 0 AND regexp_matches(line, '^[^>]*\b(?:wrote|writes|said):[ \t]*$'))), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
+own AS (SELECT r, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE lev = 0 AND NOT named), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body FROM l3 GROUP BY r HAVING max(lev) > 0),
 bodies AS (SELECT m.*, coalesce(own.body, text) AS body FROM m LEFT JOIN own USING (r)),
 piece AS (SELECT k, a, conv, turn, lev, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS x FROM
   (SELECT k, a, conv, turn, lev, unnest(list_concat([t], string_split_regex(t, '\n[ \t]*\n+'), string_split_regex(t, '\r?\n'), string_split_regex(t, '[.!?]+[ \t\r\n]+'))) AS x FROM

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 QUOTED = r"(?md)^[ \t]*>"  # d: lines end at \n alone
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-ATTRIBUTION = r"(?md)^[^\n>]*\b(?:wrote|writes|said):[ \t]*\n(?=[ \t]*>)"
+#: How a line ends that names whom the quote below it is from, in English, German, French and Spanish.
+NAMES = r"(?:\b(?:wrote|writes|said)|\bschrieb\b[^\n]{0,100}|\ba écrit ?|\bescribió ?):[ \t]*"
+#: How such a line starts that is wrapped into two, with a date in the first.
+DATED = r"(?:On|Am|Le|El)[ \t]"
+ATTRIBUTION = rf"(?md)^(?:{DATED}(?=[^\n]*[0-9])[^\n]*+(?<![.!?:; \t]\r?)\n)?[ \t]*+(?!>)[^\n]*{NAMES}\r?\n(?=[ \t]*>)"
 PARAGRAPHS = r"\n[ \t]*\n+"
 SENTENCES = r"[.!?]+[ \t\r\n]+"  # over line ends, so a part quoted in other lines is found
 
@@ -24,7 +28,7 @@ def normal(text: Column) -> Column:
 
 
 def without_quotes(text: Column) -> Column:
-    """The lines that are no quotes, without the line that names whom they quote."""
+    """The lines that are no quotes, without the line, or two if it is wrapped, that names whom they quote."""
     kept = F.regexp_replace(F.regexp_replace(text, ATTRIBUTION, ""), r"(?md)^[ \t]*>[^\n]*(?:\n|\z)", "")
     return F.btrim(kept, F.lit(" \t\r\n"))
 
@@ -120,7 +124,9 @@ def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = rows.withColumn("body", F.when(F.col("text").rlike(QUOTED), without_quotes(F.col("text"))).otherwise(F.col("text")))
     quotes = cut(passages(rows))
     n_quotes = quotes.where(normal(F.col("passage")) != "").groupBy("row").agg(F.count("*").alias("n_quotes"))
-    own = keyed(rows.where("conv is not null and turn is not null and body is not null"), "body")
+    # only conversations that quote can link: of the others no pieces are made
+    quoting = cut(quotes.where("conv is not null").select("conv").distinct())
+    own = keyed(rows.where("turn is not null and body is not null").join(bounded(quoting, quoting.count()), "conv", "left_semi"), "body")
     found = latest_source(keyed(quotes.where("conv is not null and turn is not null"), "passage", "row", "level"), own, span).where("source is not null")
     by_source = found.groupBy("row", "conv", "turn", "level", "source").agg(F.sum("words").alias("words"))
     linked = by_source.groupBy("row", "conv", "turn").agg(F.max(F.struct(-F.col("level"), "words", "source")).alias("best"), F.count_distinct("source").alias("n_linked"))

@@ -134,3 +134,12 @@ def test_stage_returns_texts_in_training_order(spark):
     for i, r in want.items():
         assert sum(x.taken for x in got if x.doc_id == i) == r.taken
         assert all(x["pass"] == k for k, x in enumerate((x for x in read if x.doc_id == i), 1))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    data = [(None, f"word{i} " * (1 + i % 5), "a") for i in range(300)] + [(i, "w w", "a") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA), bucket_rows=4, carry=("text",)).collect()
+    total = sum(len(t.split()) for _, t, _ in data)
+    places = sorted((p, r.size) for r in got for p in r.positions)
+    assert len(got) == 320 and {r.source_size for r in got} == {total} and sum(r.taken for r in got) == total and len(places) == 320
+    assert [r.text for r in sorted((r for r in got if r.doc_id is None), key=lambda r: r.positions)] == sorted((t for i, t, _ in data if i is None), key=lambda t: hashlib.md5(f"text:{t}".encode()).hexdigest())

@@ -54,6 +54,18 @@ def test_turns_of_any_size_and_many_replies(spark):
         assert [r.turn for r in sorted(two.values(), key=lambda r: r.thread_order)] == [*range(8), 100, *range(8, 60)] and {r.root_turn for r in two.values()} == {0}
 
 
+def test_lines_that_name_the_quoted_are_no_part_of_the_body(spark):
+    heads = {
+        "Bob <b@x.org> wrote:": "", "Am 3. Mai schrieb Anna:": "", "Am 3. Mai 2020 um 10:15 schrieb Anna <a@x.org>:": "", "Le 3 mai, Anna a écrit :": "", "El 3 de mayo, Ana escribió:": "", "On Mon, 3 May, Bob <\nbob@x.org> wrote:": "",
+        "On Mon, 3 May,\r\nBob wrote:\r": "", "On day 3 it failed.\nBob wrote:": "On day 3 it failed.", "It fails.\nBob wrote:": "It fails.", "She wrote: hello": "She wrote: hello", "On my machine\nBob wrote:": "On my machine",
+    }
+    rows = [(i, 0, "u", "How do I mount a disk?") for i in range(len(heads))] + [(i, 1, "u", f"{h}\n> How do I mount a disk?\nUse mount.") for i, h in enumerate(heads)]
+    rows += [(99, 0, "u", "On 3 " + "3" * 100_000 + "\n" + "schrieb " * 20_000 + "\n> x")]
+    got = {r.conv_id: r for r in link(spark.createDataFrame(rows, SCHEMA)).collect() if r.turn == 1}
+    for i, (head, left) in enumerate(heads.items()):
+        assert got[i].body == f"{left}\nUse mount.".strip() and got[i].reply_to == 0, head
+
+
 def test_native_and_empty(spark):
     df = spark.createDataFrame([(1, 0, "u", "x", "y")], SCHEMA + ", body string")
     out = link(df)
@@ -71,7 +83,7 @@ def test_matches_the_sql(spark, tmp_path):
             own = [rng.choice(lines) for _ in range(rng.randint(0, 4))]
             head = []
             if said and rng.random() < 0.7:
-                head = [rng.choice(["", "Ann wrote:", "Bob said: "])] + [rng.choice(["> ", ">", " > ", ">> ", "> > "]) + x for x in rng.choice(said)[: rng.randint(1, 4)]]
+                head = [rng.choice(["", "Ann wrote:", "Bob said: ", "Am 3. Mai schrieb Anna <a@x.org>:", "Le 3 mai, Anna a écrit :", "El 3 de mayo, Ana escribió:", "On Mon, 3 May, Bob <\nbob@x.org> wrote:", "On day 3.\nAnn wrote:"])] + [rng.choice(["> ", ">", " > ", ">> ", "> > "]) + x for x in rng.choice(said)[: rng.randint(1, 4)]]
             said.append(own or ["x"])
             rows.append((conv, turn, "u", "\n".join(head + own if rng.random() < 0.7 else own + head)))
     rows += [(1, 3, "u", "> thanks\nagain"), (None, 1, "u", "> no"), (3, 20, None, None)]
