@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``taken`` are the words of this reading: all of the document, or its first ones where the source's target is reached.
     Documents that the mix never reads come last, once, without pass and position. Repeated rows are documents of their own; a null
-    source is a source; a null id stands where the hash of an empty one does.
+    source is a source; rows without an id stand where the hash of their text does.
     """
     mixed = mixing.mix(docs, carry=("text", "lang", "n_chars"))
     return mixing.readings(mixed).select(*COLUMNS, "size", "source_size", "target", "taken", "pass", "position")
