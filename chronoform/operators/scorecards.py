@@ -251,9 +251,12 @@ def structure_confidence(all_series: DataFrame, segments: DataFrame, transitions
     return all_series.select(series).distinct().join(both.groupBy(series).agg(F.avg("confidence").alias("confidence")), series, "left").select(series, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
-def completeness_status(coverage: DataFrame, series: str, needed: dict[str, float], unresolved: str) -> DataFrame:
-    """(series, reasons, status): complete if every dimension is covered as needed and nothing is unresolved."""
-    reasons = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0.0)) < least, F.lit(f"{c} below {least}")) for c, least in needed.items()], F.when(F.col(unresolved) > 0, F.lit("unresolved"))))
+def completeness_status(coverage: DataFrame, series: str, needed: dict[str, float], unresolved: str, slack: float = 1e-10) -> DataFrame:
+    """(series, reasons, status): complete if every dimension is covered as needed and nothing is unresolved.
+
+    A coverage that is less by no more than ``slack`` is as needed: sums of doubles in another order differ by less, and a mean on the limit is not below it.
+    """
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0.0)) < least - slack, F.lit(f"{c} below {least}")) for c, least in needed.items()], F.when(F.col(unresolved) > 0, F.lit("unresolved"))))
     return coverage.select(series, F.array_join(F.array_sort(F.array_distinct(reasons)), ",").alias("reasons"), F.when(F.size(reasons) == 0, "complete").otherwise("partial").alias("status"))
 
 

@@ -215,3 +215,12 @@ def test_probe_keeps_a_duration_of_zero(spark):
     rows = [(1, '{"format": {"duration": "0.0"}}'), (2, '{"format": {"duration": "-1.5"}}'), (3, '{"format": {"duration": "N/A"}}'), (4, '{"format": {"duration": "2.5"}}'), (5, '{"format": {}}')]
     found = E.parse_probe(spark.createDataFrame(rows, "id long, payload string"), "payload", "id")
     assert {r.id: r.duration for r in found.collect()} == {1: 0.0, 2: -1.5, 3: None, 4: 2.5, 5: None}
+
+
+def test_coverage_on_its_limit_is_not_below_it(spark):
+    from chronoform.operators import scorecards as K
+
+    sums = [0.09999999999999999, 0.1, 0.09]  # the first is ten times 0.1 added up, over ten
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(sums)], "series_id long, visual double, open long")
+    assert sums[0] < 0.1
+    assert {r.series_id: r.status for r in K.completeness_status(df, "series_id", {"visual": 0.1}, "open").collect()} == {0: "complete", 1: "complete", 2: "partial"}
