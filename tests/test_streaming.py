@@ -102,3 +102,23 @@ def test_quiet_spans_are_the_gaps_of_a_batch(spark, tmp_path):
     assert [((a - start).total_seconds() / 60, (b - start).total_seconds() / 60) for a, b in zip(got.start, got.end, strict=True)] == [(9, 60), (61, 300), (300, 330)]
     tail = spark.read.parquet(f"file://{tmp_path}/quiet/rows").where("user_id = 1 and open").collect()
     assert [(r.start - start).total_seconds() / 60 for r in tail] == [332] and tail[0].end is None
+
+
+def test_streams_read_whole_tables_whose_first_split_is_empty(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from chronoform.plans import stream_queries as Q
+
+    n = 4000
+    events = pd.DataFrame({"event_id": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) % (n // 2), unit="h"), "user_id": np.arange(n) // (n // 2), "event_type": "view", "value": np.arange(n) % 97 * 1.0, "props": '{"k": 1}'})
+    events["ts"] = events.ts.astype("datetime64[us]")
+    pq.write_table(pa.Table.from_pandas(events, preserve_index=False), tmp_path / "events.parquet", row_group_size=n // 2)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(1, (tmp_path / "events.parquet").stat().st_size // 16)))
+    try:
+        changed, onsets, gaps = (q(spark, f"file://{tmp_path}").groupBy("user_id").count().toPandas() for q in (Q.s6_stream_changes, Q.s5_stream_onsets, Q.s4_stream_gaps))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert dict(zip(changed.user_id, changed["count"], strict=True)) == {0: n // 2, 1: n // 2}
+    assert sorted(onsets.user_id) == [0, 1] and sorted(gaps.user_id) == [0, 1]
