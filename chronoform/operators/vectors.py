@@ -60,38 +60,69 @@ def saliency(df: DataFrame, red: str, green: str, blue: str, width: int, height:
 MINIMA = {"pixel": 0.02, "histogram": 0.04, "hash": 4.0, "luminance": 0.01, "structure": 0.02, "edge": 0.01}
 
 
-def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 4096) -> DataFrame:
+def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 2048) -> DataFrame:
     """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
 
     The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired
-    whole. A band of more than ``chunk`` rows is dealt out over as many tasks as it has chunks. What can be said of one row is worked out
-    before the join; of a pair, the cheap differences are taken first. All pairs are what it returns; :func:`dedup` needs those of different vectors only.
+    whole. A band and what it meets are dealt out into chunks of some ``chunk`` rows; each pair of chunks is a unit of its own, which a task compares as matrices, a
+    few rows at a time. All pairs are what it returns; :func:`dedup` needs those of different vectors only.
     """
     xs = F.col("x")
-    size = F.transform(xs, F.abs)
     rough = scalar.pairwise(F.slice(xs, F.lit(2), F.size(xs) - 1), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda p, q: F.abs(p - q)) / F.size(xs)
     bits = F.aggregate(scalar.dhash_bits(xs, 8, 8), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(v.cast("long")))
-    rows = df.select(series, order, F.col(vector).alias("x")).withColumn("m", scalar.mean(xs))
-    rows = rows.withColumns({"rough": rough, "bits": bits, "root": F.transform(size, F.sqrt), "sum": scalar.total(size), "var": scalar.total(F.transform(xs, lambda v: (v - F.col("m")) * (v - F.col("m")))) / F.size(xs)})
-    rows = rows.withColumn("__band", F.floor(F.col("m") / minima["luminance"]))
-    a = rows.select(series, "__band", F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("a"))
-    b = rows.select(series, F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), F.struct(order, "x", "m", "rough", "bits", "root", "sum", "var").alias("b"))
-    full = cut(df.groupBy(series, F.floor(scalar.mean(F.col(vector)) / minima["luminance"]).alias("__band")).count().where(F.col("count") > chunk).select(series, "__band", F.ceil(F.col("count") / chunk).alias("__parts")))
-    key = [series, "__band"]
-    if not full.isEmpty():
-        parts = F.coalesce("__parts", F.lit(1))
-        a = a.join(full, key, "left").withColumn("__part", F.pmod(F.xxhash64(f"a.{order}"), parts)).drop("__parts")
-        b = b.join(full, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
-        key.append("__part")
-    both = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
-    (x, y), (ma, mb), (ra, rb), (va, vb), n = both("x"), both("m"), both("rough"), both("var"), F.size("a.x")
-    cheap = (F.abs(ma - mb) < minima["luminance"]) & (F.abs(ra - rb) < minima["edge"]) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) < minima["hash"])
-    pairs = a.join(b, key).where(F.col(f"a.{order}") < F.col(f"b.{order}")).where(cheap)
-    overlap = scalar.pairwise(*both("root"), lambda p, q: p * q) / F.sqrt(F.col("a.sum") * F.col("b.sum"))
-    covariance = scalar.pairwise(x, y, lambda p, q: (p - ma) * (q - mb)) / n
-    ssim = (2 * ma * mb + 0.01**2) * (2 * covariance + 0.03**2) / ((ma * ma + mb * mb + 0.01**2) * (va + vb + 0.03**2))
-    close = (scalar.pairwise(x, y, lambda p, q: F.abs(p - q)) / n < minima["pixel"]) & (F.sqrt(scalar.clamp(1 - overlap, 0.0, 1.0)) < minima["histogram"]) & (scalar.clamp(1 - ssim, 0.0, 1.0) < minima["structure"])
-    return pairs.where(close).select(series, F.col(f"b.{order}").alias(order), F.col(f"a.{order}").alias("duplicate_of"))
+    rows = df.select(series, order, F.col(vector).cast("array<double>").alias("x")).withColumn("m", scalar.mean(xs)).where(F.col("m").isNotNull() & F.col(series).isNotNull() & F.col(order).isNotNull())
+    rows = rows.withColumns({"rough": rough, "bits": bits, "__band": F.floor(F.col("m") / minima["luminance"])})
+    counts = cut(rows.groupBy(series, "__band").count())
+    near = counts.select(series, F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), "count").groupBy(series, "__band").agg(F.sum("count").alias("__near"))
+    sizes = cut(counts.join(near, [series, "__band"]).select(series, "__band", F.ceil(F.col("count") / chunk).alias("__m"), F.ceil(F.col("__near") / chunk).alias("__n")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = F.pmod(F.xxhash64(order), F.col("__m")).alias("__a"), F.pmod(F.xxhash64(order), F.col("__n")).alias("__b")
+    facts = [order, "x", "m", "rough", "bits"]
+    a = rows.join(sizes, [series, "__band"]).select(series, "__band", own[0].alias("__a"), spread(F.col("__n")).alias("__b"), *facts)
+    met = rows.withColumn("__band", F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)))
+    b = met.join(sizes, [series, "__band"]).select(series, "__band", spread(F.col("__m")).alias("__a"), own[1].alias("__b"), *facts)
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of their own, since both sides come from the same rows
+    kinds, unit = dict(df.dtypes), [series, "__band", "__a", "__b"]
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        at, partner = ([], []) if first.empty or second.empty else linked_pairs(first, second, order, minima)
+        out = pd.DataFrame({order: at, "duplicate_of": partner})
+        out.insert(0, series, first[series].iloc[0] if len(out) else None)
+        return out
+
+    # a unit is little data and much work, so how many tasks there are does not follow from its bytes
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    a, b = a.repartition(parts, *unit), b.repartition(parts, *unit)
+    return a.groupBy(*unit).cogroup(b.groupBy(*unit)).applyInPandas(compare, f"{series} {kinds[series]}, {order} {kinds[order]}, duplicate_of {kinds[order]}")
+
+
+def linked_pairs(first: pd.DataFrame, second: pd.DataFrame, order: str, minima: dict[str, float], rows: int = 32, pairs: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) orders of the rows of two chunks that are near duplicates: the cheap differences and the products as matrices of ``rows`` rows, the sums of absolute differences of what is left."""
+    p, q = first[order].to_numpy(), second[order].to_numpy()
+    x, y = np.stack(first["x"].to_numpy()), np.stack(second["x"].to_numpy())
+    (ma, ra, ha), (mb, rb, hb) = ([d[c].to_numpy() for c in ("m", "rough", "bits")] for d in (first, second))
+    root = [np.sqrt(np.abs(v)) for v in (x, y)]
+    total = [np.abs(v).sum(axis=1) for v in (x, y)]
+    off = [x - ma[:, None], y - mb[:, None]]
+    var = [(v * v).mean(axis=1) for v in off]
+    n, later, earlier = x.shape[1], [], []
+    with np.errstate(all="ignore"):
+        for k in range(0, len(p), rows):
+            s = slice(k, k + rows)
+            near = (p[s, None] < q) & (np.abs(ma[s, None] - mb) < minima["luminance"]) & (np.abs(ra[s, None] - rb) < minima["edge"])
+            near &= np.bitwise_count((ha[s, None] ^ hb).view(np.uint64)) < minima["hash"]
+            overlap = root[0][s] @ root[1].T / np.sqrt(total[0][s, None] * total[1])
+            near &= np.sqrt(np.clip(1 - overlap, 0.0, 1.0)) < minima["histogram"]
+            means, covariance = 2 * ma[s, None] * mb, off[0][s] @ off[1].T / n
+            ssim = (means + 0.01**2) * (2 * covariance + 0.03**2) / ((ma[s, None] ** 2 + mb**2 + 0.01**2) * (var[0][s, None] + var[1] + 0.03**2))
+            near &= np.clip(1 - ssim, 0.0, 1.0) < minima["structure"]
+            i, j = np.nonzero(near)
+            for c in range(0, len(i), pairs):
+                u, v = i[c : c + pairs] + k, j[c : c + pairs]
+                close = np.abs(x[u] - y[v]).sum(axis=1) / n < minima["pixel"]
+                later.append(q[v[close]])
+                earlier.append(p[u[close]])
+    return (np.concatenate(later), np.concatenate(earlier)) if later else (q[:0], p[:0])
 
 
 def linked_runs(links: DataFrame, series: str, order: str) -> DataFrame:

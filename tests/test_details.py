@@ -247,6 +247,20 @@ def test_equal_rows_are_not_paired_but_dropped(spark):
         assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, V.near_duplicates(df, minima), "protected", fold_links=most).collect()} == want
 
 
+def test_pairs_of_chunks_are_compared_in_tasks_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64)) / 200 + rng.normal(size=64) / 10 + 0.3
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)] + [(1, 900, None), (None, 901, x[0].tolist()), (2, 902, x[0].tolist())], "series_id long, seq long, x array<double>")
+    minima = {"pixel": 0.0057, "histogram": 0.2, "hash": 9.0, "luminance": 0.001, "structure": 0.2, "edge": 0.01}
+    found = V.near_duplicates(df, minima, chunk=50)
+    assert found.rdd.getNumPartitions() > 1
+    near = {(j, i) for i in range(400) for j in range(i + 1, 400) if np.abs(x[i] - x[j]).mean() < 0.0057 and abs(x[i].mean() - x[j].mean()) < 0.001}
+    bits = [(v.reshape(8, 8)[:, 1:] > v.reshape(8, 8)[:, :-1]) for v in x]
+    near = {(j, i) for j, i in near if (bits[i] != bits[j]).sum() < 9 and abs(np.abs(np.diff(x[i])).sum() - np.abs(np.diff(x[j])).sum()) / 64 < 0.01}
+    got = [(r.seq, r.duplicate_of) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == near and len(got) > 50
+
+
 def test_runs_of_links_are_settled_apart(spark):
     rng = np.random.default_rng(11)
     pairs = sorted({(s, i, i - int(d)) for s in "ab" for i in range(4, 400) for d in rng.integers(1, 4, 2) if rng.random() < 0.4})
