@@ -138,14 +138,18 @@ def linked_runs(links: DataFrame, series: str, order: str) -> DataFrame:
     return links.join(spans.select(series, order, "__run", "__size"), [series, order])
 
 
-def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq", fold_links: int = 500_000) -> DataFrame:
+def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: str = "series_id", order: str = "seq", fold_links: int = 2_000_000) -> DataFrame:
     """df with ``kept`` and ``duplicate_of``: in order, a row is dropped if a kept one before it is its near duplicate; protected rows always stay.
 
-    duplicates(series, seq, duplicate_of) are the linked pairs; order and ids are whole numbers. They fall into runs that no link joins: one of up to ``fold_links`` links is
+    duplicates(series, seq, duplicate_of) are the linked pairs; order and ids are whole numbers. A protected partner is kept, so no later partner of a row can be its
+    first kept one: these links go first. The others fall into runs that no link joins: one of up to ``fold_links`` links is
     settled by one walk over it in a task. Longer runs are settled in rounds, each a join: a row is settled once all its
     earlier partners are, so these rounds are as many as the longest chain of partners. Repeated (series, seq) are one row to the links.
     """
-    links = cut(duplicates.join(df.where(~F.col(protected)).select(series, order), [series, order], "left_semi"))
+    links = duplicates.join(df.where(~F.col(protected)).select(series, order), [series, order], "left_semi")
+    safe = df.where(protected).select(series, order).distinct().join(df.where(~F.col(protected)).select(series, order), [series, order], "left_anti").select(series, F.col(order).alias("duplicate_of"))
+    bound = links.join(safe, [series, "duplicate_of"]).groupBy(series, order).agg(F.min("duplicate_of").alias("__bound"))
+    links = cut(links.join(bound, [series, order], "left").where(F.col("__bound").isNull() | (F.col("duplicate_of") <= F.col("__bound"))).drop("__bound"))
     known = cut(df.select(series, order).join(links.select(series, order).distinct(), [series, order], "left_anti").withColumns({"kept": F.lit(True), "duplicate_of": F.lit(None).cast("long")}))
     links = cut(linked_runs(links, series, order))
     kinds = dict(links.dtypes)
@@ -184,14 +188,15 @@ def dedup(df: DataFrame, protected: str, minima: dict[str, float] = MINIMA, vect
     is a duplicate of the first kept one of these, or of that first row: a still picture of n rows makes no pairs.
     """
     rows = df.select(series, order, vector, protected)
-    firsts = rows.groupBy(series, vector).agg(F.min(order).alias("__first"))
-    nodes = rows.join(firsts, [series, vector]).where((F.col(order) == F.col("__first")) | F.col(protected)).drop("__first")
+    firsts = rows.groupBy(series, vector).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    nodes = rows.join(firsts, [series, vector]).where((F.col(order) == F.col("__first")) | F.col(protected)).drop("__first", "__n")
     nodes = cut(nodes)
     pairs = cut(near_duplicates(nodes, minima, vector, series, order))
     found = cut(greedy_dedup(nodes, pairs, protected, series, order).select(series, order, "kept", "duplicate_of"))
     # of a first row its first kept partner, which a protected one has too although it stays
     kept = found.where("kept").select(series, F.col(order).alias("duplicate_of"))
-    partner = pairs.join(kept, [series, "duplicate_of"]).groupBy(series, F.col(order).alias("__first")).agg(F.min("duplicate_of").alias("__partner"))
+    copied = firsts.where("__n > 1").select(series, F.col("__first").alias(order))
+    partner = pairs.join(copied, [series, order], "left_semi").join(kept, [series, "duplicate_of"]).groupBy(series, F.col(order).alias("__first")).agg(F.min("duplicate_of").alias("__partner"))
     survivors = firsts.join(partner, [series, "__first"], "left").select(series, vector, F.coalesce("__partner", "__first").alias("__survivor"))
     rest = rows.join(nodes.select(series, order), [series, order], "left_anti").join(survivors, [series, vector]).select(series, order, F.lit(False).alias("kept"), F.col("__survivor").alias("duplicate_of"))
     return df.join(found.unionByName(rest), [series, order])

@@ -261,6 +261,23 @@ def test_pairs_of_chunks_are_compared_in_tasks_of_their_own(spark):
     assert len(got) == len(set(got)) and set(got) == near and len(got) > 50
 
 
+def test_links_beyond_a_protected_partner_are_dropped_before_runs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    safe = {i for i in range(300) if i % 10 == 0}
+    pairs = {(j, i) for j in range(300) for i in range(j) if rng.random() < 0.2}
+    df = spark.createDataFrame([(1, i, i in safe) for i in range(300)], "series_id long, seq long, protected boolean")
+    links, seen, runs = spark.createDataFrame([(1, j, i) for j, i in pairs], "series_id long, seq long, duplicate_of long"), [], V.linked_runs
+    monkeypatch.setattr(V, "linked_runs", lambda found, *names: (seen.append(found.count()), runs(found, *names))[1])
+    kept, want = [], {}
+    for i in range(300):
+        first = next((k for k in kept if (i, k) in pairs), None)
+        want[i] = (True, None) if i in safe or first is None else (False, first)
+        kept += [i] if want[i][0] else []
+    for most in (50, 2_000_000):
+        assert {r.seq: (r.kept, r.duplicate_of) for r in V.greedy_dedup(df, links, "protected", fold_links=most).collect()} == want
+    assert all(n < len(pairs) / 2 for n in seen) and len(seen) == 2
+
+
 def test_runs_of_links_are_settled_apart(spark):
     rng = np.random.default_rng(11)
     pairs = sorted({(s, i, i - int(d)) for s in "ab" for i in range(4, 400) for d in rng.integers(1, 4, 2) if rng.random() < 0.4})
