@@ -30,12 +30,13 @@ def events(spark: SparkSession, sf_dir: str, closing: bool = True) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The events as a stream of n batches, each with every n-th row."""
+    """The events as a stream of some n batches, each with every n-th row; of large tables a part is as many files as tasks read it."""
     folder = new_path(spark, "events")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     for k in range(n):
-        rows.where(F.col("event_id") % n == k).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+        rows.where(F.col("event_id") % n == k).write.mode("append").parquet(f"{folder}/rows")
+    files = len(spark.read.parquet(f"{folder}/rows").inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // n)).parquet(f"{folder}/rows")
 
 
 @registered("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")

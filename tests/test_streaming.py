@@ -122,3 +122,23 @@ def test_streams_read_whole_tables_whose_first_split_is_empty(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert dict(zip(changed.user_id, changed["count"], strict=True)) == {0: n // 2, 1: n // 2}
     assert sorted(onsets.user_id) == [0, 1] and sorted(gaps.user_id) == [0, 1]
+
+
+def test_parts_of_a_stream_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, monkeypatch):
+    from chronoform.plans import stream_queries as Q
+
+    made, new_path = [], Q.new_path
+    monkeypatch.setattr(Q, "new_path", lambda *a: (made.append(new_path(*a)), made[-1])[1])
+
+    spark.range(4000).selectExpr("id as event_id", "timestamp'2024-01-01' as ts").repartition(6).write.parquet(f"file://{tmp_path}/events.parquet")
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))  # a file a task
+    try:
+        folder = f"file://{tmp_path}"
+        stream = Q.parts(spark, folder, 2)
+        X.append_new(stream, f"{folder}/table", f"{folder}/checkpoint", "event_id").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+    assert spark.read.parquet(f"{folder}/table").select("event_id").distinct().count() == 4000
+    assert len(spark.read.parquet(made[-1] + "/rows").inputFiles()) > 2
+    assert len(list((tmp_path / "checkpoint" / "offsets").glob("[0-9]*"))) == 2
