@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoform.functions.scalar import clamp
 from chronoform.sources.storage import cut
 
-from .blocks import NUMBER, in_blocks, numbered
+from .blocks import NUMBER, in_blocks, numbered, shifted
 from .blocks import whole as of_whole
 
 SERIES, ORDER, VALUE = "series_id", "seq", "signal"
@@ -232,39 +232,67 @@ def integrate_transform(steps: DataFrame, dx: str, dy: str, factor: str, checkpo
     return own.select(series, "n", found.alias("v")).select(series, "n", *[f"v.{c}" for c in names])
 
 
-def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, value: str = VALUE, series: str = SERIES, order: str = ORDER) -> DataFrame:
+def search_phase_warp(df: DataFrame, shifts: tuple[int, ...], best: int = 10, value: str = VALUE, series: str = SERIES, order: str = ORDER, block_rows: int | None = None) -> DataFrame:
     """(series, early, tail, error, bend): the anchor shifts at a third and two thirds of a series that bring it nearest to a straight ramp.
 
-    The grid is bounded by ``shifts``, the same for every series, and evaluated for all series in one job: candidates are made per series
-    as rows, warped values are interpolated by two equi-joins, and one aggregation ranks them. Of more than ``best`` shifts, a first pass
-    over single shifts keeps the ``best`` of either anchor; otherwise every pair is evaluated.
+    The grid is bounded by ``shifts``, the same for every series, and evaluated for all series in one job. The order counts frames, one row each at most; a warp moves
+    no frame farther than the greatest shift, so warped values are taken from a window frame of that reach, and nothing is joined by frame. What lies before the first anchor
+    follows from ``early`` alone and what lies behind the second from ``tail``, so only the middle is measured for every pair, and what is shuffled is a row a frame. Of more
+    than ``best`` shifts, a first pass over single shifts keeps the ``best`` of either anchor; otherwise every pair is evaluated.
     """
-    ends = df.groupBy(series).agg(F.max(order).alias("last"), F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b")).where("last >= 6")
-
-    def errors(candidates: DataFrame) -> DataFrame:
-        third, two = F.floor(F.col("last") / 3), F.floor(2 * F.col("last") / 3)
-        rows = candidates.withColumns({"o1": third, "o2": two, "s1": third + F.col("early"), "s2": two + F.col("tail")}).where("s1 > 0 and s2 > s1 and s2 < last")
-        rows = rows.withColumn("out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    reach = max(map(abs, shifts), default=0) + 1
+    rows = df.select(series, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).where(F.col(series).isNotNull() & F.col(order).isNotNull())
+    rows = of_whole(rows, {"last": F.max(order), "a": F.min_by(value, order), "b": F.max_by(value, order)}, series, block_rows, order).where((F.col("last") >= 6) & (F.col(order) >= 0))
+    # a frame without a row has no value, but others are shown in its place: the row before stands for it too
+    rows = shifted(rows, {"__next": (order, 1), "__before": (order, -1)}, series, order, block_rows)
+    frames = F.sequence(F.when(F.col("__before").isNull(), 0).otherwise(F.col(order)), F.greatest(F.col(order), F.coalesce(F.col("__next") - 1, order)))
+    rows = rows.withColumn(NUMBER, F.explode(frames)).select(series, NUMBER, "last", "a", "b", F.when(F.col(NUMBER) == F.col(order), F.col(value)).alias("__x"))
+
+    def gather(part: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        # a list leaves out nulls, a struct is none
+        near = F.collect_list(F.struct("__x")).over(Window.partitionBy(*keys).orderBy(NUMBER).rowsBetween(-reach, reach))
+        return part.withColumn("__near", near)
+
+    rows = in_blocks(rows, reach, gather, series, NUMBER, block_rows).withColumnRenamed(NUMBER, "out")
+    anchors = {"o1": F.floor(F.col("last") / 3), "o2": F.floor(2 * F.col("last") / 3)}
+
+    def errors(rows: DataFrame, pairs: Column) -> DataFrame:
+        """(series, early, tail, error) of the pairs, an array of struct<early, tail>, that leave the anchors in order."""
+        none = F.lit(None).cast("int")
+        early = F.transform(F.array_distinct(pairs["early"]), lambda e: F.struct(e.alias("early"), none.alias("tail")))
+        tail = F.transform(F.array_distinct(pairs["tail"]), lambda t: F.struct(none.alias("early"), t.alias("tail")))
+        found = rows.withColumns(anchors)
+        found = found.withColumn("pair", F.explode(F.when(F.col("out") <= F.col("o1"), early).when(F.col("out") <= F.col("o2"), pairs).otherwise(tail)))
+        found = found.withColumns({"early": F.col("pair.early"), "tail": F.col("pair.tail")}).withColumns({"s1": F.col("o1") + F.col("early"), "s2": F.col("o2") + F.col("tail")})
         piece = lambda x0, x1, y0, y1: y0 + (y1 - y0) * (F.col("out") - x0) / (x1 - x0)
         at = F.when(F.col("out") <= F.col("o1"), piece(F.lit(0), F.col("o1"), F.lit(0), F.col("s1"))).when(F.col("out") <= F.col("o2"), piece(F.col("o1"), F.col("o2"), F.col("s1"), F.col("s2"))).otherwise(piece(F.col("o2"), F.col("last"), F.col("s2"), F.col("last")))
-        rows = rows.withColumn("at", at).withColumns({"__lo": F.floor("at"), "__hi": F.ceil("at")})
-        low, high = df.select(series, F.col(order).alias("__lo"), F.col(value).alias("__x")), df.select(series, F.col(order).alias("__hi"), F.col(value).alias("__y"))
-        rows = rows.join(low, [series, "__lo"]).join(high, [series, "__hi"])
-        shown = F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("at") - F.col("__lo"))
+        at_place = lambda n: F.get("__near", (n - F.greatest(F.lit(0), F.col("out") - reach)).cast("int"))["__x"]
+        found = found.withColumn("at", at).withColumns({"__lo": at_place(F.floor("at")), "__hi": at_place(F.ceil("at"))})
+        shown = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("at") - F.floor("at"))
         ramp = F.col("a") + (F.col("b") - F.col("a")) * F.col("out") / F.col("last")
-        return rows.groupBy(series, "early", "tail").agg(F.sqrt(F.avg(F.pow(shown - ramp, F.lit(2.0)))).alias("error"))
-
-    grid = F.array(*map(F.lit, shifts))
-
-    def top(name: str, other: str) -> DataFrame:
-        single = errors(ends.withColumns({name: F.explode(grid), other: F.lit(0)}))
-        return single.withColumn("k", F.row_number().over(Window.partitionBy(series).orderBy(F.round("error", 9), F.abs(name), name))).where(F.col("k") <= best).select(series, name)
+        square = F.pow(shown - ramp, F.lit(2.0))
+        sums = found.groupBy(series, "early", "tail").agg(F.sum(square).alias("s"), F.count(square).alias("n"), F.max("last").alias("last"))
+        only = lambda key, other: F.max(F.when(F.col(other).isNull(), F.struct("s", "n"))).over(Window.partitionBy(series, key))
+        sums = sums.withColumn("__first", only("early", "tail")).withColumn("__third", only("tail", "early")).where("early is not null and tail is not null").withColumns(anchors)
+        sums = sums.where("o1 + early > 0 and o2 + tail > o1 + early and o2 + tail < last")
+        parts = ("__first.", "", "__third.")
+        n = sum((F.col(f"{p}n") for p in parts), F.lit(0))
+        total = sum((F.coalesce(f"{p}s", F.lit(0.0)) for p in parts), F.lit(0.0))
+        return sums.select(series, "early", "tail", F.sqrt(F.when(n > 0, total / n)).alias("error"))
+
+    whole_grid = lambda early, tail: F.array(*[F.struct(F.lit(e).alias("early"), F.lit(t).alias("tail")) for e in early for t in tail])
+
+    def top(name: str, single: DataFrame) -> DataFrame:
+        kept = single.withColumn("k", F.row_number().over(Window.partitionBy(series).orderBy(F.round("error", 9), F.abs(name), name))).where(F.col("k") <= best)
+        return kept.groupBy(series).agg(F.collect_list(name).alias(f"__{name}"))
 
     if len(shifts) <= best:
-        both = ends.withColumn("early", F.explode(grid)).withColumn("tail", F.explode(grid))
+        found = errors(rows, whole_grid(shifts, shifts))
     else:
-        both = ends.join(top("early", "tail"), series).join(top("tail", "early"), series)
-    found = errors(both).withColumn("bend", F.abs(F.col("early")) + F.abs(F.col("tail")))
+        both = top("early", errors(rows, whole_grid(shifts, (0,)))).join(top("tail", errors(rows, whole_grid((0,), shifts))), series)
+        pairs = F.flatten(F.transform("__early", lambda e: F.transform("__tail", lambda t: F.struct(e.alias("early"), t.alias("tail")))))
+        found = errors(rows.join(both.select(series, pairs.alias("pairs")), series), F.col("pairs"))
+    found = found.withColumn("bend", F.abs(F.col("early")) + F.abs(F.col("tail")))
     rank = Window.partitionBy(series).orderBy(F.round("error", 9), "bend", F.abs(F.col("early")), "early", "tail")
     return found.withColumn("k", F.row_number().over(rank)).where("k = 1").drop("k")
 

@@ -224,3 +224,48 @@ def test_coverage_on_its_limit_is_not_below_it(spark):
     df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(sums)], "series_id long, visual double, open long")
     assert sums[0] < 0.1
     assert {r.series_id: r.status for r in K.completeness_status(df, "series_id", {"visual": 0.1}, "open").collect()} == {0: "complete", 1: "complete", 2: "partial"}
+
+
+def warp_errors(y, shifts):
+    """{(early, tail): error} of a series {frame: value}, frames without a value shown by none."""
+    last, found = max(y), {}
+    third, two = last // 3, 2 * last // 3
+    for early in shifts:
+        for tail in shifts:
+            if 0 < third + early < two + tail < last:
+                squares = []
+                for out in range(last + 1):
+                    at = float(np.interp(out, [0, third, two, last], [0, third + early, two + tail, last]))
+                    lo, hi = y.get(int(np.floor(round(at, 9)))), y.get(int(np.ceil(round(at, 9))))
+                    if lo is not None and hi is not None:
+                        squares.append((lo + (hi - lo) * (at - np.floor(round(at, 9))) - (y[min(y)] + (y[last] - y[min(y)]) * out / last)) ** 2)
+                found[early, tail] = float(np.sqrt(np.mean(squares)))
+    return found
+
+
+def least_warp(errors):
+    return min((round(e, 9), abs(early) + abs(tail), abs(early), early, tail) for (early, tail), e in errors.items())[3:]
+
+
+def test_warp_search_of_blocks_gaps_and_many_shifts(spark):
+    rng, shifts = np.random.default_rng(9), (-3, -2, -1, 0, 1, 2, 3)
+    ys = {i: dict(enumerate(np.cumsum(rng.random(int(rng.integers(7, 90))) ** 4).tolist())) for i in range(12)}
+    df = spark.createDataFrame([(i, n, x) for i, y in ys.items() for n, x in y.items()], "series_id long, seq long, signal double")
+    found = lambda df, **k: {r.series_id: (r.early, r.tail) for r in G.search_phase_warp(df, shifts, **k).collect()}
+    want = {i: least_warp(warp_errors(y, shifts)) for i, y in ys.items()}
+    assert found(df) == found(df, block_rows=16) == want
+    gaps = {i: {n: x for n, x in y.items() if n % 5 != 3 or n == max(y)} for i, y in ys.items()}
+    holes = df.join(spark.createDataFrame([(i, n) for i, y in gaps.items() for n in y], "series_id long, seq long"), ["series_id", "seq"])
+    assert found(holes) == {i: least_warp(warp_errors(y, shifts)) for i, y in gaps.items()}
+    # of more shifts than ``best``, those of either anchor that are best with the other at rest
+    few = {}
+    for i, y in ys.items():
+        errors = warp_errors(y, shifts)
+        top = lambda k: sorted((round(e, 9), abs(p[k]), p[k]) for p, e in errors.items() if p[1 - k] == 0)[:2]
+        few[i] = {p: e for p, e in errors.items() if p[0] in [t[2] for t in top(0)] and p[1] in [t[2] for t in top(1)]}
+    assert found(df, best=2) == {i: least_warp(e) for i, e in few.items() if e}
+
+
+def test_warp_search_joins_no_frames(spark):
+    df = spark.createDataFrame([(s, i, float(i * i % 7)) for s in range(3) for i in range(20)], "series_id long, seq long, signal double")
+    assert "Join" not in G.search_phase_warp(df, (-2, 0, 2))._jdf.queryExecution().executedPlan().toString()
