@@ -346,3 +346,11 @@ def test_secrets_leave_nested_payloads(spark):
     df = spark.createDataFrame([(k,) for k in rows], "p string")
     depth = {r.p: r.c for r in df.select("p", L.redact_json(F.col("p"), 4).alias("c")).collect()}
     assert depth == rows
+
+
+def test_redaction_walks_a_text_once(spark):
+    rows = {'{"b": "\\u000b\\u0001é\\ud83d\\ude00", "a": [1.50, 1e5, 123456789012345678901234567890, -0]}': '{"a":[1.5,100000.0,123456789012345678901234567890,0],"b":"\\u000B\\u0001é😀"}', '{"Z": 1, "é": 2, "token": 3}': '{"Z":1,"_redacted_field_count":1,"é":2}', '{"a": 1, "a": 2}': None, "[" * 300 + "]" * 300: "[" * 8 + '"<too deep>"' + "]" * 8}
+    found = spark.createDataFrame([(k,) for k in rows], "p string").select("p", L.redact_json(F.col("p")).alias("c"))
+    assert {r.p: r.c for r in found.collect()} == rows
+    # nested lambdas over VARIANT have no generated code: 0.2 to 0.5 ms a text
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
