@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +96,10 @@ def overall_status(checks: DataFrame, key: str, warn_is_ok: bool = False) -> Dat
     return checks.groupBy(key).agg(F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass").alias("status"), F.count("*").alias("n"))
 
 
+#: Runs that are Python objects at the same time.
+RUNS_AT_ONCE = 128
+
+
 def nearest_free(wanted: list[tuple[int, int]], found: list[int]) -> list[dict]:
     """Each wanted (frame, tolerance) in order with the nearest detection that none before took, the lower of two equally near; None if none is within its tolerance.
 
@@ -139,9 +143,15 @@ def match_within_tolerance(truth: DataFrame, detected: DataFrame, series: str =
     in_truth = F.col("__truth") == 1
     runs = rows.groupBy(series, "__g").agg(F.collect_list(F.when(in_truth, F.struct("frame", "tolerance"))).alias("t"), F.collect_list(F.when(~in_truth, F.col("frame"))).alias("f")).where(F.size("t") > 0)
 
-    @F.pandas_udf("array<struct<frame long, detected_frame long>>")
-    def matched(t: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([nearest_free([(w["frame"], w["tolerance"]) for w in wanted], list(found)) for wanted, found in zip(t, f, strict=True)])
+    kind = pa.list_(pa.struct([("frame", pa.int64()), ("detected_frame", pa.int64())]))
+
+    @F.arrow_udf("array<struct<frame long, detected_frame long>>")
+    def matched(t: pa.Array, f: pa.Array) -> pa.Array:
+        def some(at: int) -> pa.Array:  # a batch may hold 10,000 runs, whose rows as objects take many times what its columns do
+            pairs = zip(t.slice(at, RUNS_AT_ONCE).to_pandas(), f.slice(at, RUNS_AT_ONCE).to_pandas(), strict=True)
+            return pa.array([nearest_free([(w["frame"], w["tolerance"]) for w in wanted], found.tolist()) for wanted, found in pairs], kind)
+
+        return pa.concat_arrays([some(at) for at in range(0, len(t), RUNS_AT_ONCE)] or [pa.array([], kind)])
 
     return runs.select(series, F.inline(matched("t", "f")))
 

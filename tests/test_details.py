@@ -354,3 +354,15 @@ def test_redaction_walks_a_text_once(spark):
     assert {r.p: r.c for r in found.collect()} == rows
     # nested lambdas over VARIANT have no generated code: 0.2 to 0.5 ms a text
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_matched_some_at_a_time(spark, monkeypatch):
+    truth = spark.createDataFrame([(s, 100 * k, 5) for s in range(40) for k in range(7)], "series_id long, frame long, tolerance long")
+    found = spark.createDataFrame([(s, 100 * k + 3) for s in range(40) for k in range(7) if (s + k) % 3], "series_id long, frame long")
+    rows = lambda: sorted((r.series_id, r.frame, r.detected_frame) for r in K.match_within_tolerance(truth.coalesce(1), found.coalesce(1)).collect())
+    want = [(s, 100 * k, 100 * k + 3 if (s + k) % 3 else None) for s in range(40) for k in range(7)]
+    for size in (1, 3, K.RUNS_AT_ONCE):
+        monkeypatch.setattr(K, "RUNS_AT_ONCE", size)
+        assert rows() == want
+    none = K.match_within_tolerance(truth.where("false"), found)
+    assert none.collect() == [] and none.columns == ["series_id", "frame", "detected_frame"]
