@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -103,6 +104,10 @@ def editorial_roles(scenes: DataFrame, score: str, order: str = "seq", series: s
     return rows.withColumn("role", role).drop("__top", "total")
 
 
+#: Documents whose operations are Python objects at the same time.
+DOCUMENTS_AT_ONCE = 128
+
+
 def failed_patches(ops: list[dict]) -> list[str]:
     """The patches of one document, in order, that hold a ``test`` that fails. A failed patch is undone before the next one begins, so later ones see what was before it."""
     state: dict[str, str | None] = {}
@@ -134,9 +139,11 @@ def patch_log(ops: DataFrame, doc: str = "doc_id", path: str = "path", order: st
     tested = rows.where(F.col("op") == "test").select(doc, path).distinct()
     lists = rows.join(tested, [doc, path]).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col("__patch").alias("patch"), F.col(path).alias("path"), "op", "value"))).alias("ops"))
 
-    @F.pandas_udf("array<string>")
-    def failures(groups: pd.Series) -> pd.Series:
-        return pd.Series([failed_patches(list(g)) for g in groups])
+    @F.arrow_udf("array<string>")
+    def failures(groups: pa.Array) -> pa.Array:
+        # a batch may hold 10,000 documents, whose operations as objects take many times what its columns do
+        some = lambda at: pa.array([failed_patches(list(g)) for g in groups.slice(at, DOCUMENTS_AT_ONCE).to_pandas()], pa.list_(pa.string()))
+        return pa.concat_arrays([some(at) for at in range(0, len(groups), DOCUMENTS_AT_ONCE)] or [pa.array([], pa.list_(pa.string()))])
 
     failed = lists.select(doc, F.explode(failures("ops")).alias("__patch")).distinct().withColumn("__failed", F.lit(True))
     rows = rows.join(failed, [doc, "__patch"], "left").withColumn("aborted", F.coalesce("__failed", F.lit(False)))

@@ -366,3 +366,12 @@ def test_runs_are_matched_some_at_a_time(spark, monkeypatch):
         assert rows() == want
     none = K.match_within_tolerance(truth.where("false"), found)
     assert none.collect() == [] and none.columns == ["series_id", "frame", "detected_frame"]
+
+
+def test_documents_are_walked_some_at_a_time(spark, monkeypatch):
+    ops = [(d, n, str(n // 2), "p", op, v) for d in range(50) for n, (op, v) in enumerate([("add", "1"), ("test", "1"), ("replace", "2"), ("test", "2" if d % 3 else "x")])]
+    df = spark.createDataFrame(ops, "doc_id long, seq long, patch_id string, path string, op string, value string").coalesce(1)
+    for size in (1, 7, I.DOCUMENTS_AT_ONCE):
+        monkeypatch.setattr(I, "DOCUMENTS_AT_ONCE", size)
+        aborted = {(r.doc_id, r.seq) for r in I.patch_log(df, patch="patch_id").where("aborted").collect()}
+        assert aborted == {(d, n) for d in range(0, 50, 3) for n in (2, 3)}
