@@ -143,15 +143,19 @@ def recurring_motifs(docs: DataFrame, events: DataFrame, group: str, key: str, t
     """(group, motif, n): words of at least ``shortest`` letters that occur in ``least`` documents or more of a group, within longer words too, and accents
     that come so often; the first by name.
 
-    events(group, kind). A word holds no blank, so it occurs in a document where it occurs in one of its words: words meet by five of their
-    letters, and no document is searched for every word.
+    events(group, kind). A word holds no blank, so it occurs in a document where it occurs in one of its words: words meet longer ones by five of their
+    letters, and no document is searched for every word. Most words are in no longer one: they are counted where they were collected, and only the others' documents are brought together.
     """
-    words = docs.select(group, key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("word")).where(F.length("word") >= shortest)
-    distinct = words.select(group, "word").distinct()
-    terms = distinct.select(group, F.col("word").alias("term"), F.left("word", F.lit(shortest)).alias("__g"))
-    tails = distinct.select(group, "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - shortest + 1), lambda i: F.substr("word", i))).alias("__tail")).withColumn("__g", F.left("__tail", F.lit(shortest)))
-    held = tails.join(terms, [group, "__g"]).where(F.startswith("__tail", "term")).select(group, "term", "word").distinct()
-    counts = held.join(words, [group, "word"]).groupBy(group, "term").agg(F.count_distinct(key).alias("n")).where(F.col("n") >= least)
+    words = docs.select(group, key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("word")).where((F.length("word") >= shortest) & F.col(group).isNotNull())
+    # the condition always holds; with it every use reads the keys, so that the shuffle below is the same one for all
+    vocabulary = words.groupBy(group, "word").agg(F.collect_set(key).alias("__keys")).where(F.size("__keys") >= 0)
+    terms = vocabulary.select(group, F.col("word").alias("term"), F.xxhash64(F.left("word", F.lit(shortest))).alias("__g"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - shortest + 1), lambda i: F.xxhash64(F.substr("word", i, F.lit(shortest)))))
+    longer = vocabulary.where(F.length("word") > shortest).select(group, "word", F.explode(grams).alias("__g"))
+    held = longer.join(terms, [group, "__g"]).where(F.contains("word", "term") & (F.col("word") != F.col("term"))).select(group, "term", "word")
+    own = held.select(group, "term").distinct().withColumn("word", F.col("term"))
+    several = held.unionByName(own).join(vocabulary, [group, "word"]).select(group, "term", F.explode("__keys").alias("__key")).groupBy(group, "term").agg(F.count_distinct("__key").alias("__n"))
+    counts = vocabulary.withColumnRenamed("word", "term").join(several, [group, "term"], "left").select(group, "term", F.coalesce("__n", F.size("__keys").cast("long")).alias("n")).where(F.col("n") >= least)
     motifs = counts.select(group, F.concat(F.lit("recurring visual term: "), "term").alias("motif"), "n")
     accents = events.where(F.col("kind").isin("accent", "onset")).groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     motifs = motifs.unionByName(accents.select(group, F.concat(F.lit("recurring audio accents: "), F.col("n").cast("string")).alias("motif"), "n"))

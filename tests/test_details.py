@@ -375,3 +375,20 @@ def test_documents_are_walked_some_at_a_time(spark, monkeypatch):
         monkeypatch.setattr(I, "DOCUMENTS_AT_ONCE", size)
         aborted = {(r.doc_id, r.seq) for r in I.patch_log(df, patch="patch_id").where("aborted").collect()}
         assert aborted == {(d, n) for d in range(0, 50, 3) for n in (2, 3)}
+
+
+def test_motifs_are_counted_within_longer_words(spark):
+    rng = np.random.default_rng(3)
+    parts = ["there", "fore", "therefore", "house", "houses", "greenhouse", "aaaaaa", "aaaaaaaa", "a", "über", "überall", "THERE"]
+    docs = [(g, k, " ".join(str(rng.choice(parts)) + (str(rng.choice(parts)) if rng.random() < 0.4 else "") for _ in range(6))) for g in range(5) for k in range(6)]
+    docs += [(None, 0, "there there"), (None, 1, "there"), (0, None, "there"), (1, 0, docs[6][2])]
+    df = spark.createDataFrame(docs, "g long, k long, text string")
+    want = {}
+    for g, k, text in docs:
+        for _, _, other in [d for d in docs if d[0] == g and g is not None]:
+            for term in other.lower().split():
+                if len(term) >= 5 and k is not None and any(term in w for w in text.lower().split()):
+                    want.setdefault((g, "recurring visual term: " + term), set()).add(k)
+    found = T.recurring_motifs(df, df.select("g", F.lit("x").alias("kind")), "g", "k", first=10_000)
+    assert {(r.g, r.motif): r.n for r in found.collect()} == {m: len(ks) for m, ks in want.items() if len(ks) >= 2}
+    assert "startswith" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # no rest of a word is shuffled for every letter of it
