@@ -124,7 +124,7 @@ def local_polynomials(df: DataFrame, rate: float, values: dict[str, str], window
         frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), window - 1)
         return rows.withColumns({k: c.over(frame) for k, c in near.items()})
 
-    rows = of_whole(numbered(df, series, order, block_rows=block_rows), {"__total": F.count("*")}, series, block_rows, order)
+    rows = of_whole(df if NUMBER in df.columns else numbered(df, series, order, block_rows=block_rows), {"__total": F.count("*")}, series, block_rows, order)
     rows = in_blocks(rows, window - 1, gather, series, order, block_rows).withColumnRenamed(NUMBER, "__n")
     size = F.least(F.lit(window), F.col("__total")).cast("int")
     if odd:

@@ -59,8 +59,9 @@ def fit_sql(window: int, degree: int) -> str:
 
 @registered(f"WITH {LONG}, s AS (SELECT series_id, seq, {fit_sql(7, 2)} AS smooth FROM lng {W}) SELECT series_id, seq, round(smooth, 6) AS smooth FROM s WHERE smooth IS NOT NULL")
 def c15_long_polynomials(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.local_polynomial(B.numbered(long(spark, d), "series_id", "seq", block_rows=BLOCK_ROWS, name="i").drop(B.BLOCK), 1.0, 7, 2, block_rows=BLOCK_ROWS)
-    rows = B.whole(rows.drop(B.BLOCK), {"last": F.max("i")}, "series_id", BLOCK_ROWS, "seq")
+    rows = B.numbered(long(spark, d), "series_id", "seq", block_rows=BLOCK_ROWS)
+    rows = B.whole(rows, {"last": F.max(B.NUMBER)}, "series_id", BLOCK_ROWS, "seq").withColumn("i", F.col(B.NUMBER))
+    rows = G.local_polynomial(rows, 1.0, 7, 2, block_rows=BLOCK_ROWS)
     return rounded(rows.where((F.col("i") >= 3) & (F.col("i") <= F.col("last") - 3)).select("series_id", "seq", "smooth"))
 
 

@@ -136,3 +136,23 @@ def test_a_hot_series_of_ten_million_rows(spark):
     df = spark.range(10_000_000).select(F.lit(1).alias("series_id"), F.pmod(F.col("id") * 7_368_787, F.lit(10_000_000)).cast("double").alias("x"))
     got = Q.exact_quantiles(df, "x", {"mid": 0.5, "q": 0.9}, "series_id", hot_rows=1_000_000).first()
     assert (got.mid, got.q) == (4_999_999.5, 8_999_999.1)
+
+
+def test_blocks_of_long_polynomials_are_dealt_once(spark, monkeypatch):
+    from chronoform.plans import long_queries as Q
+
+    df = spark.createDataFrame([(s, i, float(i * i % 11)) for s in "ab" for i in range(200)], "series_id string, seq long, signal double")
+    dealt, deal = [], B.deal
+
+    def counted(rows, *a):
+        dealt.append(B.BLOCK in rows.columns)
+        return deal(rows, *a)
+
+    monkeypatch.setattr(B, "deal", counted)
+    monkeypatch.setattr(Q, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(Q, "long", lambda *_: df)
+    found = {(r.series_id, r.seq): r.smooth for r in Q.c15_long_polynomials(spark, "").collect()}
+    weights = G.polynomial_weights(7, 2)[3][0]
+    assert found.keys() == {(s, i) for s in "ab" for i in range(3, 197)}
+    assert all(abs(v - sum(w * ((i + k - 3) ** 2 % 11) for k, w in enumerate(weights))) < 2e-6 for (_, i), v in found.items())
+    assert dealt.count(False) == 1
