@@ -134,28 +134,50 @@ def changes(rows: DataFrame, key: str = "user_id", value: str = "value", time: s
     return settled(rows, settle, "delta", key, value, time, delay)
 
 
-def phase_progress(rows: DataFrame, stalled_after_ms: int, key: str = "user_id", phase: str = "event_type", time: str = "ts", delay: str = "1 minute") -> DataFrame:
-    """(key, phase, at, n, stalled): the latest phase of each key as it changes; one more row when none came for so long in event time."""
+def phase_progress(rows: DataFrame, stalled_after_ms: int, key: str = "user_id", phase: str = "event_type", time: str = "ts", delay: str = "1 minute", buckets: int = 1024) -> DataFrame:
+    """(key, phase, at, n, stalled): the latest phase of each key as it changes; one more row when none came for so long in event time.
+
+    Spark hands groups to Python one by one, some milliseconds each, so a group is a bucket of keys by their hash: its state is a row of each of its keys, and its timeout that of the key
+    that is due first.
+    """
     kind = dict(rows.dtypes)[key]
 
     def follow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, at, n = state.get if state.exists else ("", 0, 0)
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        held = {k: (name, at, n, due) for k, name, at, n, due in zip(*state.get, strict=True)} if state.exists else {}
+        newest: dict = {}
+        if not state.hasTimedOut:
+            for part in parts:
+                for k, at, name in zip(part["key"].tolist(), part["at"].tolist(), part["phase"].tolist(), strict=True):
+                    seen = newest.get(k)
+                    if seen is None:
+                        newest[k] = [at, name, 1]
+                    else:
+                        seen[2] += 1
+                        if at >= seen[0]:
+                            seen[0], seen[1] = at, name
+        out = []
+        for k, (micros, phase_name, more) in newest.items():
+            name, at, n, _ = held.get(k, ("", 0, 0, 0))
+            if micros // 1000 >= at:
+                name, at = str(phase_name), micros // 1000
+            held[k] = (name, at, n + more, max(at + stalled_after_ms, mark + 1))
+            out.append((k, name, at, n + more, False))
+        for k in [k for k, row in held.items() if row[3] < mark and k not in newest]:
+            out.append((k, *held.pop(k)[:3], True))
+        if held:
+            state.update(tuple(list(c) for c in zip(*[(k, *row) for k, row in held.items()], strict=True)))
+            state.setTimeoutTimestamp(max(min(row[3] for row in held.values()), mark + 1))
+        else:
             state.remove()
-            yield pd.DataFrame([(group[0], name, at, n, True)], columns=[key, "phase", "at", "n", "stalled"])
-            return
-        part = pd.concat(list(parts)).sort_values("ts")
-        newest = part.iloc[-1]
-        stamp = int(newest["ts"].timestamp() * 1000)
-        if stamp >= at:
-            name, at = str(newest["phase"]), stamp
-        n += len(part)
-        state.update((name, at, n))
-        state.setTimeoutTimestamp(max(at + stalled_after_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(group[0], name, at, n, False)], columns=[key, "phase", "at", "n", "stalled"])
-
-    slim = rows.withWatermark(time, delay).select(key, F.col(time).alias("ts"), F.col(phase).alias("phase"))
-    return slim.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, phase string, at long, n long, stalled boolean", "phase string, at long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "phase", "at", "n", "stalled"])
+
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    slim = rows.withWatermark(time, delay).select(bucket, F.col(key).cast("string").alias("key"), F.col(time), F.unix_micros(time).alias("at"), F.col(phase).alias("phase"))
+    schema = "keys array<string>, phases array<string>, ats array<long>, ns array<long>, dues array<long>"
+    found = slim.groupBy("bucket").applyInPandasWithState(follow, "key string, phase string, at long, n long, stalled boolean", schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("key").cast(kind).alias(key), "phase", "at", "n", "stalled")
 
 
 def earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int, split: str | None = None, parts: list[int] | None = None) -> DataFrame:

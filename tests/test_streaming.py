@@ -142,3 +142,20 @@ def test_parts_of_a_stream_are_written_by_as_many_tasks_as_read_them(spark, tmp_
     assert spark.read.parquet(f"{folder}/table").select("event_id").distinct().count() == 4000
     assert len(spark.read.parquet(made[-1] + "/rows").inputFiles()) > 2
     assert len(list((tmp_path / "checkpoint" / "offsets").glob("[0-9]*"))) == 2
+
+
+def test_phases_of_many_keys_share_a_group(spark, tmp_path):
+    """Keys of one bucket stall on their own: one that gets no more rows while its neighbour does, and begins anew after that."""
+    batches = [[(1, 2, "a"), (1, 5, "b"), (2, 3, "x"), (None, 1, "n")], [(2, 4000, "y")], [(2, 8000, "z")], [(1, 9000, "c")], [(3, 20_000, "q")], [(3, 40_000, "r")]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "user_id long, s long, event_type string").select("user_id", F.timestamp_seconds("s").alias("ts"), "event_type")
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(1.1)  # files are read by their time of change
+    stream = X.read_rows(spark, f"file://{tmp_path}/in")
+    found = {}
+    for buckets in (1, 64):
+        out = X.run_to_table(X.phase_progress(stream, 3_600_000, delay="0 seconds", buckets=buckets), f"file://{tmp_path}/out{buckets}")
+        found[buckets] = sorted(((r.user_id, r.phase, r.at, r.n, r.stalled) for r in out.collect()), key=str)
+    stalled = {r[:4] for r in found[1] if r[4]}
+    assert stalled == {(1, "b", 5000, 2), (None, "n", 1000, 1), (1, "c", 9_000_000, 1), (2, "z", 8_000_000, 3)} | {r for r in stalled if r[0] == 3}
+    assert found[1] == found[64]
