@@ -154,7 +154,7 @@ def redact_json(payload: Column, depth: int = 8) -> Column:
     In objects and lists at any place: fields with a secret's name go, and their object says how many; strings in fields that hold media, and in lists there, become
     a mark, and so do absolute paths, file URIs, and strings that hold a bearer token or a key. Containers more than ``depth`` deep become a mark too, so nothing is let
     through unseen. What is JSON, how its numbers are written (one beyond a double as the string "Infinity") and the order of keys are those of VARIANT; one walk over each text takes the secrets out. Nested
-    lambdas over VARIANT values are evaluated tree by tree without generated code and took some twenty times as long.
+    lambdas over VARIANT values are evaluated tree by tree without generated code, which takes several times as long.
     """
 
     @F.arrow_udf("string")
