@@ -43,81 +43,138 @@ def follow(p: int, held: bool) -> int:
     return p if p >= 400 else 0
 
 
-SQUASH = np.array([squash(x) for x in range(-2048, 2048)], dtype=np.int32)
-STRETCH = np.array([stretch(p) for p in range(4096)], dtype=np.int32)
-#: By whether an order's remembered id is the guess, times 4096, plus how often it holds.
-LOGIT = np.concatenate([STRETCH[(4095 - np.arange(4096)) >> 4], STRETCH])
-FOLLOW = np.array([[follow(p, held) for p in range(4096)] for held in (False, True)], dtype=np.int32).ravel()
-FRESH = 900  # of an id remembered anew
+REACH = 3 << 13  # no sum of three weighted logits goes beyond
+SQUASH = np.array([squash(min(2047, max(-2047, x))) for x in range(-REACH, REACH)], dtype=np.int64)
+STRETCH = np.array([stretch(p) for p in range(4096)], dtype=np.int64)
+#: By whether an order's remembered id is another than the guess, times 4096, plus how often it holds.
+LOGIT = np.concatenate([STRETCH, STRETCH[(4095 - np.arange(4096)) >> 4]])
+#: By whether another id than the remembered one came, times 4096, plus how often that held: how often it is taken to hold, in 65536ths of what is kept.
+FOLLOW = np.array([[follow(p, held) << 16 for p in range(4096)] for held in (True, False)], dtype=np.int64).ravel()
+ORDER2 = 1 << 15  # marks what order 2 keeps: ids are below 2 to the 13th, and of two that hold as often that of order 2 is the greater
+FRESH = 900 << 16  # of an id remembered anew
 RATE = 24  # by which a count of order 0 grows
+HASH_LAST, HASH_BEFORE = 2654435761 % (1 << 25), 2654435761 * 40503 % (1 << 25)  # of the hash only bits 13 to 24 are used
 
 
 class Model:
-    """The state of the blocks being coded, one lane each; all blocks begin alike.
+    """The state of the blocks being coded, one lane each, longest first; all blocks begin alike.
 
-    What is kept of an id of a lane's alphabet lies together, four numbers each: the range of order 0, its count, what order 1 remembers after it, and none.
-    Rows are ids and columns lanes: low ids are the frequent ones, so what is used lies together too.
+    What is kept of a lane lies together: in ``kept`` what order 1 remembers after each id, then what order 2 does after each hash, each how often it holds, the order and the id;
+    in ``ranges`` where an id's range of order 0 begins and, in the low half, its length; in ``logits`` that of its probability. Steps write into arrays made once for the lanes
+    still active, and choose by masks of whole numbers: making, casting and masking arrays took most of the time.
     """
 
     def __init__(self, sizes: np.ndarray, decoding: bool):
         self.lanes, self.width = len(sizes), int(sizes.max())
-        self.sizes, self.lane = sizes.astype(np.int64), np.arange(len(sizes))
+        self.sizes = sizes.astype(np.int64)
         self.bits = np.array([max(12, int(s).bit_length() + 2) for s in sizes], dtype=np.int64)
-        table = np.zeros((self.width, self.lanes, 4), np.uint32)
-        self.ranges, self.counts, self.kept = table[:, :, 0], table[:, :, 1], table.reshape(-1)
-        self.counts[:] = np.arange(self.width)[:, None] < self.sizes
-        self.second = np.zeros(self.lanes << HASH_BITS, np.uint32)
-        self.weights = np.full((3, self.lanes), 22000, dtype=np.int32)  # in 65536ths
-        self.before, self.last = np.zeros(self.lanes, np.int64), np.zeros(self.lanes, np.int64)
-        self.decoding = decoding
-
-    def place(self, ids: np.ndarray) -> np.ndarray:
-        """Where what is kept of one id of each lane begins."""
-        return (ids * self.lanes + self.lane[: len(ids)]) << 2
-
-    def refresh(self, k: int) -> None:
-        """The probabilities of order 0 from the counts so far: each id of the alphabet has one at least. ``ranges`` hold where an id's range begins and, in the low half, its length."""
+        self.counts = (np.arange(self.width) < self.sizes[:, None]).astype(np.uint32)
+        self.ranges = np.zeros(self.lanes * self.width, np.uint32)
+        self.logits = np.zeros(self.lanes * self.width, np.int16)
+        self.stride = self.width + (1 << HASH_BITS)
+        self.kept = np.zeros((self.lanes, self.stride), np.int32)
+        self.kept[:, self.width :] = ORDER2
+        self.kept = self.kept.reshape(-1)
+        self.weights = np.full((3, self.lanes), 22000, dtype=np.int64)  # in 65536ths
+        self.hashed, self.counted = np.zeros(self.lanes, np.int64), 0
+        self.decoding, self.k = decoding, -1
+        self.places = np.arange(self.lanes) * self.stride + np.array([[0], [self.width]])  # at first all ids before are 0
+
+    def narrow(self, k: int) -> None:
+        """Only the first k lanes go on."""
+        self.k = k
+        self.first = np.arange(k) * self.width  # of a lane's ids
+        self.first1 = np.arange(k) * self.stride
+        self.first2 = self.first1 + self.width
+        self.weights, self.hashed, self.places = (np.ascontiguousarray(x[..., :k]) for x in (self.weights, self.hashed, self.places))
+        self.bits = self.bits[:k]
+        self.holds, self.names, self.index, self.both = (np.zeros((2, k), np.int64) for _ in range(4))
+        self.state, self.gone = np.zeros((2, k), np.int32), np.zeros((2, k), bool)
+        self.t, self.product = np.zeros((3, k), np.int64), np.zeros((3, k), np.int64)
+        self.guess, self.p, self.place, self.own, self.start, self.error = (np.zeros(k, np.int64) for _ in range(6))
+        self.narrow16, self.narrow32 = np.zeros(k, np.int16), np.zeros(k, np.uint32)
+
+    def refresh(self, k: int, step: int, ids: np.ndarray) -> None:
+        """The probabilities of order 0 from the counts before a step, of which ``ids`` are those of all steps so far: each id of the alphabet has one at least."""
         slots = []
         for lanes in (slice(a, min(a + 128, k)) for a in range(0, k, 128)):  # some lanes at a time, for what they need beside the tables
-            counts, totals = self.counts[:, lanes], 1 << self.bits[lanes]
-            scale = (totals - self.sizes[lanes]) / counts.sum(axis=0)  # one division of whole numbers below 2 to the 53rd, rounded alike everywhere
+            counts, totals = self.counts[lanes], 1 << self.bits[lanes, None]
+            seen = ids[self.counted : step, lanes] + np.arange(len(counts)) * self.width
+            counts += (np.bincount(seen.ravel(), minlength=counts.size) * RATE).astype(np.uint32).reshape(counts.shape)
+            scale = (totals - self.sizes[lanes, None]) / counts.sum(axis=1, keepdims=True)  # one division of whole numbers below 2 to the 53rd, rounded alike everywhere
             freq = (counts * scale).astype(np.int64) + (counts > 0)
-            freq[0] += totals - freq.sum(axis=0)
-            self.ranges[:, lanes] = ((np.cumsum(freq, axis=0) - freq) << 16) | freq
+            freq[:, :1] += totals - freq.sum(axis=1, keepdims=True)
+            of = slice(lanes.start * self.width, lanes.stop * self.width)
+            self.ranges[of] = (((np.cumsum(freq, axis=1) - freq) << 16) | freq).ravel()
+            self.logits[of] = STRETCH[((freq << 12) >> self.bits[lanes, None]) & 4095].ravel()
             if self.decoding:
-                slots.append(np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), freq.shape[1]), freq.T.ravel()))
+                slots.append(np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(freq)), freq.ravel()))
+        self.counted = step
         if self.decoding:
             self.at = np.concatenate(slots)
             self.at0 = np.cumsum(1 << self.bits[:k]) - (1 << self.bits[:k])
 
-    def predict(self, k: int) -> None:
-        """The guess of the first k lanes and its probability, of 4096."""
-        last, lane = self.last[:k], self.lane[:k]
-        self.i1 = self.place(last) + 2
-        self.i2 = ((((self.before[:k] * 40503 + last) * 2654435761) >> 13) & ((1 << HASH_BITS) - 1)) * self.lanes + lane
-        s1, s2 = self.kept[self.i1].view(np.int32), self.second[self.i2].view(np.int32)
-        self.c1, self.c2, self.p1, self.p2 = s1 >> 12, s2 >> 12, s1 & 4095, s2 & 4095
-        self.guess = np.where(self.p2 >= self.p1, self.c2, self.c1).astype(np.int64)
-        self.t = (
-            STRETCH[((self.kept[self.place(self.guess)] & LOW16).astype(np.int64) << 12 >> self.bits[:k]) & 4095],
-            LOGIT[((self.c1 == self.guess) << 12) + self.p1],
-            LOGIT[((self.c2 == self.guess) << 12) + self.p2],
-        )
-        dot = sum(w[:k] * t for w, t in zip(self.weights, self.t, strict=True)) >> 16
-        self.p = SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2048]
-
-    def learn(self, k: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        """What came is remembered."""
-        error = ((hit.astype(np.int32) << 12) - self.p) * 6
-        for w, t in zip(self.weights, self.t, strict=True):
-            new = w[:k] + ((t * error + 8192) >> 14)
-            w[:k] = np.minimum(np.maximum(new, -(1 << 18)), 1 << 18)
-        fresh = ((ids << 12) | FRESH).astype(np.int32)
-        for table, at, c, p in ((self.kept, self.i1, self.c1, self.p1), (self.second, self.i2, self.c2, self.p2)):
-            p = FOLLOW[((c == ids) << 12) + p]
-            table[at] = np.where(p == 0, fresh, (c << 12) | p)
-        self.kept[self.place(ids) + 1] += np.uint32(RATE)
-        self.before[:k], self.last[:k] = self.last[:k], ids
+    def differ(self, ids: np.ndarray) -> None:
+        """Into ``index``: whether an order remembers another id than these, times 4096, plus how often it holds."""
+        np.copyto(self.both[0], ids)
+        np.bitwise_or(ids, ORDER2, out=self.both[1])
+        np.bitwise_xor(self.names, self.both, out=self.index)
+        np.minimum(self.index, 1, out=self.index)
+        self.index <<= 12
+        self.index += self.holds
+
+    def predict(self) -> None:
+        """The guess of each lane and its probability, of 4096."""
+        self.kept.take(self.places, out=self.state, mode="clip")
+        np.copyto(self.names, self.state)
+        np.right_shift(self.names, 16, out=self.holds)
+        np.maximum(self.names[0], self.names[1], out=self.guess)
+        self.guess &= BLOCK_IDS - 1
+        self.names &= LOW16
+        np.add(self.first, self.guess, out=self.place)
+        np.copyto(self.t[0], self.logits.take(self.place, out=self.narrow16, mode="clip"))
+        self.differ(self.guess)
+        LOGIT.take(self.index, out=self.t[1:], mode="clip")
+        np.multiply(self.weights, self.t, out=self.product)
+        np.add(self.product[0], self.product[1], out=self.place)
+        self.place += self.product[2]
+        self.place >>= 16
+        self.place += REACH
+        SQUASH.take(self.place, out=self.p, mode="clip")
+
+    def ranges_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the range of order 0 of one id of each lane begins, its length)"""
+        np.add(self.first, ids, out=self.place)
+        np.copyto(self.own, self.ranges.take(self.place, out=self.narrow32, mode="clip"))
+        np.right_shift(self.own, 16, out=self.start)
+        self.own &= LOW16
+        return self.start, self.own
+
+    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
+        """What came is remembered; ``held`` is -1 where the guess held, else 0."""
+        np.bitwise_and(held, 4096, out=self.error)
+        self.error -= self.p
+        self.error *= 6
+        np.multiply(self.t, self.error, out=self.product)
+        self.product += 8192
+        self.product >>= 14
+        self.weights += self.product
+        np.minimum(self.weights, 1 << 18, out=self.weights)
+        np.maximum(self.weights, -(1 << 18), out=self.weights)
+        self.differ(ids)
+        FOLLOW.take(self.index, out=self.holds, mode="clip")
+        np.equal(self.holds, 0, out=self.gone)
+        self.names |= self.holds
+        self.both |= FRESH
+        self.kept[self.places] = np.where(self.gone, self.both, self.names)
+        np.add(self.first1, ids, out=self.places[0])
+        hashed = self.places[1]  # of these ids and those before
+        np.multiply(ids, HASH_LAST, out=hashed)
+        hashed += self.hashed
+        hashed >>= 13
+        hashed &= (1 << HASH_BITS) - 1
+        hashed += self.first2
+        np.multiply(ids, HASH_BEFORE, out=self.hashed)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -148,38 +205,62 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     ids, parts = np.ascontiguousarray(ids.T), [(a, None) for a, _ in parts]
     model = Model(np.array([len(a) for a, _ in parts]), decoding=False)
     low, span = np.zeros(len(order), np.int64), np.full(len(order), WHOLE, np.int64)
-    lanes_out, words_out = [], []
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")  # lanes longer than each step
+    words, due = np.empty((2 * int(lengths[0]) + 3, len(order)), np.int32), np.zeros((2 * int(lengths[0]) + 3, len(order)), bool)  # a step gives a lane two words at most
+    row = 0
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()  # lanes longer than each step
     for step in range(int(lengths[0])):
-        k = int(active[step])
+        k = active[step]
+        if k != model.k:
+            model.narrow(k)
+            own_low, own_span = low[:k], span[:k]
+            x, held, bound, rest, short, word = (np.zeros(k, np.int64) for _ in range(6))
         if step in REFRESH:
-            model.refresh(k)
-        model.predict(k)
-        x = ids[step, :k].astype(np.int64)
-        hit = x == model.guess
-        bound = (span[:k] >> 12) * model.p
-        rest = (span[:k] - bound) >> model.bits[:k]
-        own = model.kept[model.place(x)].astype(np.int64)
-        low[:k] += np.where(hit, 0, bound + rest * (own >> 16))
-        span[:k] = np.where(hit, bound, rest * (own & LOW16))
-        idx = np.flatnonzero(span[:k] < LEAST)
-        while idx.size:
-            a, r = low[idx], span[idx] << 16
-            lanes_out.append(idx.astype(np.uint16))
-            words_out.append((a >> 32).astype(np.int32))  # bit 16 is a carry into the words before
-            low[idx], span[idx] = (a & LOW32) << 16, r
-            idx = idx[r < LEAST]
-        model.learn(k, x, hit)
+            model.refresh(k, step, ids)
+        model.predict()
+        np.copyto(x, ids[step, :k])
+        np.bitwise_xor(x, model.guess, out=held)
+        np.minimum(held, 1, out=held)
+        held -= 1  # -1 where the guess holds, else 0
+        start, length = model.ranges_of(x)
+        np.right_shift(own_span, 12, out=bound)
+        bound *= model.p
+        np.subtract(own_span, bound, out=rest)
+        rest >>= model.bits
+        start *= rest
+        start += bound
+        np.invert(held, out=short)
+        start &= short
+        own_low += start
+        length *= rest
+        bound -= length
+        bound &= held
+        np.add(length, bound, out=own_span)
+        while True:
+            np.subtract(own_span, LEAST, out=short)
+            short >>= 63  # -1 where a word is due, else 0
+            np.right_shift(own_low, 32, out=word)  # bit 16 is a carry into the words before
+            np.copyto(words[row, :k], word, casting="unsafe")
+            np.copyto(due[row, :k], short, casting="unsafe")
+            row += 1
+            word <<= 32
+            word &= short
+            own_low -= word
+            short &= 16
+            own_low <<= short
+            own_span <<= short
+            if own_span.min() >= LEAST:
+                break
+        model.learn(x, held)
     for _ in range(3):
-        lanes_out.append(np.arange(len(order), dtype=np.uint16))
-        words_out.append((low >> 32).astype(np.int32))
-        low = (low & LOW32) << 16
-    lane, words = np.concatenate(lanes_out), np.concatenate(words_out)
-    words = words[np.argsort(lane, kind="stable")]
+        words[row], due[row] = low >> 32, True
+        low, row = (low & LOW32) << 16, row + 1
+    words, due = words[:row], due[:row]
+    sizes = due.sum(axis=0)
+    words = np.concatenate([np.ascontiguousarray(words[:, i : i + 128].T)[np.ascontiguousarray(due[:, i : i + 128].T)] for i in range(0, len(order), 128)])
     while (over := np.flatnonzero(words >> 16)).size:
         words[over] &= LOW16
         np.add.at(words, over - 1, 1)
-    ends = np.cumsum(np.bincount(lane, minlength=len(order)))
+    ends = np.cumsum(sizes)
     out = [b""] * len(order)
     for n, (i, (alphabet, _), end) in enumerate(zip(order, parts, ends, strict=True)):
         own = words[ends[n - 1] if n else 0 : end].astype("<u2")
@@ -234,28 +315,57 @@ def decode_lanes(blocks: list[bytes]) -> list[np.ndarray]:
         code = (code << 16) | words[pointer]
         pointer += 1
     ids = np.zeros((int(lengths[0]), len(order)), np.uint16)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
     for step in range(int(lengths[0])):
-        k = int(active[step])
+        k = active[step]
+        if k != model.k:
+            model.narrow(k)
+            own_code, own_span, own_pointer, own_limit, own_most = code[:k], span[:k], pointer[:k], limit[:k], most[:k]
+            x, held, bound, rest, left, short, word, slot = (np.zeros(k, np.int64) for _ in range(8))
+            share, found = np.zeros(k, np.float64), np.zeros(k, np.uint16)
         if step in REFRESH:
-            model.refresh(k)
-        model.predict(k)
-        bound = (span[:k] >> 12) * model.p
-        hit = code[:k] < bound
-        rest = (span[:k] - bound) >> model.bits[:k]
-        d = np.maximum(code[:k] - bound, 0)
-        x = np.where(hit, model.guess, model.at[model.at0[:k] + np.minimum(d // rest, most[:k])])
-        own = model.kept[model.place(x)].astype(np.int64)
-        code[:k] = np.where(hit, code[:k], d - rest * (own >> 16))
-        span[:k] = np.where(hit, bound, rest * (own & LOW16))
-        idx = np.flatnonzero(span[:k] < LEAST)
-        while idx.size:
-            at, r = pointer[idx], span[idx] << 16
-            code[idx], span[idx] = (code[idx] << 16) | words[np.minimum(at, limit[idx])], r
-            pointer[idx] = at + 1
-            idx = idx[r < LEAST]
+            model.refresh(k, step, ids)
+        model.predict()
+        np.right_shift(own_span, 12, out=bound)
+        bound *= model.p
+        np.subtract(own_code, bound, out=left)
+        np.right_shift(left, 63, out=held)  # -1 where the guess holds, else 0
+        np.subtract(own_span, bound, out=rest)
+        rest >>= model.bits
+        np.maximum(left, 0, out=slot)
+        np.divide(slot, rest, out=share)  # rounds to no other whole part: both are below 2 to the 48th
+        np.copyto(slot, share, casting="unsafe")
+        np.minimum(slot, own_most, out=slot)
+        slot += model.at0[:k]
+        np.copyto(x, model.at.take(slot, out=found, mode="clip"))
+        np.subtract(model.guess, x, out=slot)
+        slot &= held
+        x += slot
+        start, length = model.ranges_of(x)
+        start *= rest
+        left -= start
+        own_code -= left
+        own_code &= held
+        own_code += left
+        length *= rest
+        bound -= length
+        bound &= held
+        np.add(length, bound, out=own_span)
+        while True:
+            np.subtract(own_span, LEAST, out=short)
+            short >>= 63  # -1 where a word is read, else 0
+            np.minimum(own_pointer, own_limit, out=slot)
+            words.take(slot, out=word, mode="clip")
+            word &= short
+            own_pointer -= short
+            short &= 16
+            own_code <<= short
+            own_code |= word
+            own_span <<= short
+            if own_span.min() >= LEAST:
+                break
         ids[step, :k] = x
-        model.learn(k, x, hit)
+        model.learn(x, held)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(order)
     for lane, i in enumerate(order):
         n, alphabet, _, crc = parts[i]
