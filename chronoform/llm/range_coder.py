@@ -59,8 +59,8 @@ HASH_LAST, HASH_BEFORE = 2654435761 % (1 << 25), 2654435761 * 40503 % (1 << 25)
 class Model:
     """The state of the blocks being coded, one lane each, longest first; all blocks begin alike.
 
-    What is kept of a lane lies together: in ``kept`` what order 1 remembers after each id, then what order 2 does after each hash, each how often it holds, the order and the id;
-    in ``ranges`` where an id's range of order 0 begins and, in the low half, its length; in ``logits`` that of its probability. Steps write into arrays made once for the lanes
+    What is kept of a lane lies together in ``kept``: two numbers an id, its range of order 0 (where it begins and, in the low half, its length) and what order 1 remembers after it,
+    then what order 2 does after each hash. What is remembered is how often it holds, the order and the id. ``logits`` are those of the ids' probabilities of order 0. Steps write into arrays made once for the lanes
     still active, and choose by masks of whole numbers: making, casting and masking arrays took most of the time.
     """
 
@@ -69,24 +69,25 @@ class Model:
         self.sizes = sizes.astype(np.int64)
         self.bits = np.array([max(12, int(s).bit_length() + 2) for s in sizes], dtype=np.int64)
         self.counts = (np.arange(self.width) < self.sizes[:, None]).astype(np.uint32)
-        self.ranges = np.zeros(self.lanes * self.width, np.uint32)
         self.logits = np.zeros(self.lanes * self.width, np.int16)
-        self.stride = self.width + (1 << HASH_BITS)
+        self.stride = 2 * self.width + (1 << HASH_BITS)
         self.kept = np.zeros((self.lanes, self.stride), np.int32)
-        self.kept[:, self.width :] = ORDER2
+        self.kept[:, 2 * self.width :] = ORDER2
         self.kept = self.kept.reshape(-1)
+        self.ranges = self.kept.view(np.uint32)
         self.weights = np.full((3, self.lanes), 22000, dtype=np.int64)  # in 65536ths
         self.hashed, self.counted = np.zeros(self.lanes, np.int64), 0
         self.decoding, self.k = decoding, -1
-        self.places = np.arange(self.lanes) * self.stride + np.array([[0], [self.width]])  # at first all ids before are 0
+        self.places = np.arange(self.lanes) * self.stride + np.array([[1], [2 * self.width]])  # at first all ids before are 0
 
     def narrow(self, k: int) -> None:
         """Only the first k lanes go on."""
         self.k = k
         self.first = np.arange(k) * self.width  # of a lane's ids
         self.first1 = np.arange(k) * self.stride
-        self.first2 = self.first1 + self.width
+        self.first2 = self.first1 + 2 * self.width
         self.weights, self.hashed, self.places = (np.ascontiguousarray(x[..., :k]) for x in (self.weights, self.hashed, self.places))
+        self.flat = self.places.reshape(-1)
         self.bits = self.bits[:k]
         self.holds, self.names, self.index, self.both = (np.zeros((2, k), np.int64) for _ in range(4))
         self.state, self.gone = np.zeros((2, k), np.int32), np.zeros((2, k), bool)
@@ -105,7 +106,7 @@ class Model:
             freq = (counts * scale).astype(np.int64) + (counts > 0)
             freq[:, :1] += totals - freq.sum(axis=1, keepdims=True)
             of = slice(lanes.start * self.width, lanes.stop * self.width)
-            self.ranges[of] = (((np.cumsum(freq, axis=1) - freq) << 16) | freq).ravel()
+            self.ranges.reshape(self.lanes, -1)[lanes, : 2 * self.width : 2] = ((np.cumsum(freq, axis=1) - freq) << 16) | freq
             self.logits[of] = STRETCH[((freq << 12) >> self.bits[lanes, None]) & 4095].ravel()
             if self.decoding:
                 slots.append(np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(freq)), freq.ravel()))
@@ -144,14 +145,15 @@ class Model:
 
     def ranges_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where the range of order 0 of one id of each lane begins, its length)"""
-        np.add(self.first, ids, out=self.place)
+        np.left_shift(ids, 1, out=self.place)
+        self.place += self.first1
         np.copyto(self.own, self.ranges.take(self.place, out=self.narrow32, mode="clip"))
         np.right_shift(self.own, 16, out=self.start)
         self.own &= LOW16
         return self.start, self.own
 
     def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
-        """What came is remembered; ``held`` is -1 where the guess held, else 0."""
+        """What came, of which ``ranges_of`` was asked last, is remembered; ``held`` is -1 where the guess held, else 0."""
         np.bitwise_and(held, 4096, out=self.error)
         self.error -= self.p
         self.error *= 6
@@ -166,8 +168,9 @@ class Model:
         np.equal(self.holds, 0, out=self.gone)
         self.names |= self.holds
         self.both |= FRESH
-        self.kept[self.places] = np.where(self.gone, self.both, self.names)
-        np.add(self.first1, ids, out=self.places[0])
+        np.copyto(self.state, np.where(self.gone, self.both, self.names), casting="unsafe")
+        self.kept[self.flat] = self.state.reshape(-1)
+        np.add(self.place, 1, out=self.places[0])
         hashed = self.places[1]  # of these ids and those before
         np.multiply(ids, HASH_LAST, out=hashed)
         hashed += self.hashed
@@ -192,7 +195,9 @@ def numbered(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return alphabet, local.astype(np.uint16)
     seen = np.zeros(int(block.max()) + 1, bool)
     seen[block] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.uint16)[block]
+    alphabet, at = np.flatnonzero(seen), np.empty(len(seen), np.uint16)
+    at[alphabet] = np.arange(len(alphabet))
+    return alphabet, at[block]
 
 
 def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
