@@ -261,6 +261,13 @@ def structure_confidence(all_series: DataFrame, segments: DataFrame, transitions
     return all_series.select(series).distinct().join(both.groupBy(series).agg(F.avg("confidence").alias("confidence")), series, "left").select(series, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+def ordered_means(df: DataFrame, values: dict[str, str], order: tuple[str, ...], others: dict[str, Column], series: str = "series_id") -> DataFrame:
+    """(series, the mean of each value, other aggregates): doubles are added up row by row along a unique ``order``, so a mean is the same to the bit however rows are dealt."""
+    w = Window.partitionBy(series).orderBy(*order)
+    running = df.withColumns({f"__{name}": F.avg(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for name, c in values.items()})
+    return running.groupBy(series).agg(*[F.max_by(f"__{name}", F.struct(*order)).alias(name) for name in values], *[c.alias(name) for name, c in others.items()])
+
+
 def completeness_status(coverage: DataFrame, series: str, needed: dict[str, float], unresolved: str, slack: float = 1e-10) -> DataFrame:
     """(series, reasons, status): complete if every dimension is covered as needed and nothing is unresolved.
 

@@ -269,3 +269,18 @@ def test_warp_search_of_blocks_gaps_and_many_shifts(spark):
 def test_warp_search_joins_no_frames(spark):
     df = spark.createDataFrame([(s, i, float(i * i % 7)) for s in range(3) for i in range(20)], "series_id long, seq long, signal double")
     assert "Join" not in G.search_phase_warp(df, (-2, 0, 2))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_are_taken_in_the_order_of_the_table(spark, monkeypatch):
+    from chronoform.plans import scorecard_queries as Q
+
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for i in range(200):  # of each series the mean is 0.5, but for the rounding of its sum
+        half = rng.integers(0, 101, 30)
+        edge = rng.permutation(np.concatenate([half, 100 - half])) / 100.0
+        rows += [(i, n, n // 2, "view", 0.5, float(v)) for n, v in enumerate(edge)]
+        want[i] = "partial" if np.cumsum(edge)[-1] / 60 < 0.5 else "complete"
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "series_id long, event_id long, ts long, kind string, signal double, edge double")
+    monkeypatch.setattr(Q, "ev", lambda *_: df.repartition(7))
+    assert {r.series_id: r.status for r in Q.f11_completeness_status(spark, "").collect()} == want
+    assert set(want.values()) == {"partial", "complete"}
