@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,69 +62,163 @@ def saliency(df: DataFrame, red: str, green: str, blue: str, width: int, height:
 MINIMA = {"pixel": 0.02, "histogram": 0.04, "hash": 4.0, "luminance": 0.01, "structure": 0.02, "edge": 0.01}
 
 
-def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 2048) -> DataFrame:
-    """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
+def measured(df: DataFrame, minima: dict[str, float], vector: str, series: str, order: str) -> DataFrame:
+    """df without ``vector``, with what pairs of rows are compared by: x, its mean m, rough and bits, and the luminance band.
 
-    The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired
-    whole. A band and what it meets are dealt out into chunks of some ``chunk`` rows; each pair of chunks is a unit of its own, which a task compares as matrices, a
-    few rows at a time. All pairs are what it returns; :func:`dedup` needs those of different vectors only.
+    Left out are rows without a vector, series or order, and those that are near duplicates of none, not of their copies either: black, infinite or undefined ones.
     """
     xs = F.col("x")
     rough = scalar.pairwise(F.slice(xs, F.lit(2), F.size(xs) - 1), F.slice(xs, F.lit(1), F.size(xs) - 1), lambda p, q: F.abs(p - q)) / F.size(xs)
     bits = F.aggregate(scalar.dhash_bits(xs, 8, 8), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(v.cast("long")))
-    rows = df.select(series, order, F.col(vector).cast("array<double>").alias("x")).withColumn("m", scalar.mean(xs)).where(F.col("m").isNotNull() & F.col(series).isNotNull() & F.col(order).isNotNull())
-    rows = rows.withColumns({"rough": rough, "bits": bits, "__band": F.floor(F.col("m") / minima["luminance"])})
-    counts = cut(rows.groupBy(series, "__band").count())
-    near = counts.select(series, F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band"), "count").groupBy(series, "__band").agg(F.sum("count").alias("__near"))
-    sizes = cut(counts.join(near, [series, "__band"]).select(series, "__band", F.ceil(F.col("count") / chunk).alias("__m"), F.ceil(F.col("__near") / chunk).alias("__n")))
+    others = [c for c in df.columns if c not in (series, order, vector)]
+    total = F.aggregate(xs, F.lit(0.0), lambda a, v: a + F.abs(v))
+    rows = df.select(series, order, *others, F.col(vector).cast("array<double>").alias("x")).where((total > 0) & (total < float("inf")) & F.col(series).isNotNull() & F.col(order).isNotNull())
+    return rows.withColumn("m", scalar.mean(xs)).withColumns({"rough": rough, "bits": bits, "__band": F.floor(F.col("m") / minima["luminance"])})
+
+
+def compared(own: DataFrame, met: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], out: str, series: str, order: str, chunk: int) -> DataFrame:
+    """(series, out): what ``compare`` makes of the rows of ``own`` and those of ``met`` whose mean is in the same or a neighbouring band.
+
+    A band and what it meets are dealt out into chunks of some ``chunk`` rows; each pair of chunks is a unit of its own, which a task compares.
+    """
+    around = F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)).alias("__band")
+    near = met.groupBy(series, "__band").count().select(series, around, "count").groupBy(series, "__band").agg(F.sum("count").alias("__near"))
+    sizes = cut(own.groupBy(series, "__band").count().join(near, [series, "__band"]).select(series, "__band", F.ceil(F.col("count") / chunk).alias("__m"), F.ceil(F.col("__near") / chunk).alias("__n")))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = F.pmod(F.xxhash64(order), F.col("__m")).alias("__a"), F.pmod(F.xxhash64(order), F.col("__n")).alias("__b")
+    deal = lambda n: F.pmod(F.xxhash64(order), F.col(n))
     facts = [order, "x", "m", "rough", "bits"]
-    a = rows.join(sizes, [series, "__band"]).select(series, "__band", own[0].alias("__a"), spread(F.col("__n")).alias("__b"), *facts)
-    met = rows.withColumn("__band", F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1)))
-    b = met.join(sizes, [series, "__band"]).select(series, "__band", spread(F.col("__m")).alias("__a"), own[1].alias("__b"), *facts)
-    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of their own, since both sides come from the same rows
-    kinds, unit = dict(df.dtypes), [series, "__band", "__a", "__b"]
-
-    def compare(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
-        at, partner = ([], []) if first.empty or second.empty else linked_pairs(first, second, order, minima)
-        out = pd.DataFrame({order: at, "duplicate_of": partner})
-        out.insert(0, series, first[series].iloc[0] if len(out) else None)
-        return out
+    a = own.join(sizes, [series, "__band"]).select(series, "__band", deal("__m").alias("__a"), spread(F.col("__n")).alias("__b"), *facts, *[c for c in own.columns if c == "__limit"])
+    b = met.withColumn("__band", around).join(sizes, [series, "__band"]).select(series, "__band", spread(F.col("__m")).alias("__a"), deal("__n").alias("__b"), *facts)
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of their own, since both sides may come from the same rows
+    kinds, unit, names = dict(own.dtypes), [series, "__band", "__a", "__b"], [c.split()[0] for c in out.split(", ")]
+
+    def one(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame({c: [] for c in names}) if first.empty or second.empty else compare(first, second)
+        found.insert(0, series, first[series].iloc[0] if len(found) else None)
+        return found
 
     # a unit is little data and much work, so how many tasks there are does not follow from its bytes
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.sparkSession.sparkContext.defaultParallelism)
     a, b = a.repartition(parts, *unit), b.repartition(parts, *unit)
-    return a.groupBy(*unit).cogroup(b.groupBy(*unit)).applyInPandas(compare, f"{series} {kinds[series]}, {order} {kinds[order]}, duplicate_of {kinds[order]}")
-
-
-def linked_pairs(first: pd.DataFrame, second: pd.DataFrame, order: str, minima: dict[str, float], rows: int = 32, pairs: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
-    """(later, earlier) orders of the rows of two chunks that are near duplicates: the cheap differences and the products as matrices of ``rows`` rows, the sums of absolute differences of what is left."""
-    p, q = first[order].to_numpy(), second[order].to_numpy()
-    x, y = np.stack(first["x"].to_numpy()), np.stack(second["x"].to_numpy())
-    (ma, ra, ha), (mb, rb, hb) = ([d[c].to_numpy() for c in ("m", "rough", "bits")] for d in (first, second))
-    root = [np.sqrt(np.abs(v)) for v in (x, y)]
-    total = [np.abs(v).sum(axis=1) for v in (x, y)]
-    off = [x - ma[:, None], y - mb[:, None]]
-    var = [(v * v).mean(axis=1) for v in off]
-    n, later, earlier = x.shape[1], [], []
+    return a.groupBy(*unit).cogroup(b.groupBy(*unit)).applyInPandas(one, f"{series} {kinds[series]}, {out}")
+
+
+def near_duplicates(df: DataFrame, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 2048) -> DataFrame:
+    """(series, seq, duplicate_of): pairs of rows of a segment whose six differences are all below their minima.
+
+    The luminance minimum makes an equi-key: candidates have their mean in the same or a neighbouring band, so a segment is not paired
+    whole. A band and what it meets are dealt out into chunks of some ``chunk`` rows; each pair of chunks is a unit of its own, which a task compares as matrices, a
+    few rows at a time. All pairs are what it returns; :func:`dedup` makes do without most of them.
+    """
+    rows = measured(df.select(series, order, vector), minima, vector, series, order)
+    return links_of(rows, minima, series, order, chunk)
+
+
+def links_of(rows: DataFrame, minima: dict[str, float], series: str, order: str, chunk: int) -> DataFrame:
+    """(series, seq, duplicate_of): all pairs of near duplicates of measured rows."""
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        at, partner = linked_pairs(first, second, order, minima)
+        return pd.DataFrame({order: at, "duplicate_of": partner})
+
+    kind = dict(rows.dtypes)[order]
+    return compared(rows, rows, compare, f"{order} {kind}, duplicate_of {kind}", series, order, chunk)
+
+
+def earlier_partners(rows: DataFrame, minima: dict[str, float], series: str, order: str, chunk: int) -> DataFrame:
+    """(series, seq, __n): how many near duplicates each of the measured rows has before it, for those that have any; a task returns a number a row, no pairs."""
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        at, n = np.unique(linked_pairs(first, second, order, minima)[0], return_counts=True)
+        return pd.DataFrame({order: at, "__n": n})
+
+    return compared(rows, rows, compare, f"{order} {dict(rows.dtypes)[order]}, __n long", series, order, chunk).groupBy(series, order).agg(F.sum("__n").alias("__n"))
+
+
+def first_partners(targets: DataFrame, sources: DataFrame, minima: dict[str, float], series: str, order: str, chunk: int) -> DataFrame:
+    """(series, seq, duplicate_of): the first of the sources that is a near duplicate of a target and lies before its ``__limit``, for those that have one.
+
+    A task returns a row a target, no pairs. The first ``chunk`` sources of each series go first, then three times as many as before; a target
+    that has found one needs none of the later ones.
+    """
+
+    def compare(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
+        at, partner = first_linked(first, second, order, minima)
+        return pd.DataFrame({order: at, "duplicate_of": partner})
+
+    kind = dict(targets.dtypes)[order]
+    most = sources.groupBy(series).count().agg(F.max("count")).first()[0] or 0
+    places = sources.select(series, order).withColumn("__place", F.row_number().over(Window.partitionBy(series).orderBy(order)))
+    found, done, upto = None, 0, chunk
+    places = cut(places) if most > chunk else places
+    while done < most:
+        part = sources if most <= chunk else sources.join(places.where((F.col("__place") > done) & (F.col("__place") <= upto)), [series, order], "left_semi")
+        left = targets.join(found, [series, order], "left_anti") if found is not None else targets
+        left = left.join(part.groupBy(series).agg(F.min(order).alias("__from")), series).where(F.col("__limit") > F.col("__from")).drop("__from")
+        new = compared(left, part, compare, f"{order} {kind}, duplicate_of {kind}", series, order, chunk).groupBy(series, order).agg(F.min("duplicate_of").alias("duplicate_of"))
+        found = cut(new if found is None else found.unionByName(new))
+        done, upto = upto, 4 * upto
+    return targets.select(series, order, F.col(order).alias("duplicate_of")).where("false") if found is None else found
+
+
+def arrays_of(rows: pd.DataFrame, order: str) -> dict[str, np.ndarray]:
+    """What :func:`near_pairs` reads of the rows of a chunk."""
+    x, m = np.stack(rows["x"].to_numpy()), rows["m"].to_numpy()
+    off = x - m[:, None]
+    return {"at": rows[order].to_numpy(), "x": x, "m": m, "rough": rows["rough"].to_numpy(), "bits": rows["bits"].to_numpy(), "root": np.sqrt(np.abs(x)), "total": np.abs(x).sum(axis=1), "off": off, "var": (off * off).mean(axis=1)}
+
+
+def near_pairs(p: dict[str, np.ndarray], q: dict[str, np.ndarray], minima: dict[str, float], pairs: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in p, j in q) of near duplicates of which that of p comes first: the cheap differences and the products as matrices, the sums of absolute differences of what is left."""
+    n, later, earlier = p["x"].shape[1], [], []
     with np.errstate(all="ignore"):
-        for k in range(0, len(p), rows):
-            s = slice(k, k + rows)
-            near = (p[s, None] < q) & (np.abs(ma[s, None] - mb) < minima["luminance"]) & (np.abs(ra[s, None] - rb) < minima["edge"])
-            near &= np.bitwise_count((ha[s, None] ^ hb).view(np.uint64)) < minima["hash"]
-            overlap = root[0][s] @ root[1].T / np.sqrt(total[0][s, None] * total[1])
-            near &= np.sqrt(np.clip(1 - overlap, 0.0, 1.0)) < minima["histogram"]
-            means, covariance = 2 * ma[s, None] * mb, off[0][s] @ off[1].T / n
-            ssim = (means + 0.01**2) * (2 * covariance + 0.03**2) / ((ma[s, None] ** 2 + mb**2 + 0.01**2) * (var[0][s, None] + var[1] + 0.03**2))
-            near &= np.clip(1 - ssim, 0.0, 1.0) < minima["structure"]
-            i, j = np.nonzero(near)
-            for c in range(0, len(i), pairs):
-                u, v = i[c : c + pairs] + k, j[c : c + pairs]
-                close = np.abs(x[u] - y[v]).sum(axis=1) / n < minima["pixel"]
-                later.append(q[v[close]])
-                earlier.append(p[u[close]])
-    return (np.concatenate(later), np.concatenate(earlier)) if later else (q[:0], p[:0])
+        near = (p["at"][:, None] < q["at"]) & (np.abs(p["m"][:, None] - q["m"]) < minima["luminance"]) & (np.abs(p["rough"][:, None] - q["rough"]) < minima["edge"])
+        near &= np.bitwise_count((p["bits"][:, None] ^ q["bits"]).view(np.uint64)) < minima["hash"]
+        overlap = p["root"] @ q["root"].T / np.sqrt(p["total"][:, None] * q["total"])
+        near &= np.sqrt(np.clip(1 - overlap, 0.0, 1.0)) < minima["histogram"]
+        means, covariance = 2 * p["m"][:, None] * q["m"], p["off"] @ q["off"].T / n
+        ssim = (means + 0.01**2) * (2 * covariance + 0.03**2) / ((p["m"][:, None] ** 2 + q["m"] ** 2 + 0.01**2) * (p["var"][:, None] + q["var"] + 0.03**2))
+        near &= np.clip(1 - ssim, 0.0, 1.0) < minima["structure"]
+        i, j = np.nonzero(near)
+        for c in range(0, len(i), pairs):
+            u, v = i[c : c + pairs], j[c : c + pairs]
+            close = np.abs(p["x"][u] - q["x"][v]).sum(axis=1) / n < minima["pixel"]
+            later.append(v[close])
+            earlier.append(u[close])
+    return (np.concatenate(earlier), np.concatenate(later)) if later else (i, j)
+
+
+def linked_pairs(first: pd.DataFrame, second: pd.DataFrame, order: str, minima: dict[str, float], rows: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) orders of the rows of two chunks that are near duplicates, ``rows`` rows of the first at a time."""
+    p, q = arrays_of(first, order), arrays_of(second, order)
+    later, earlier = [], []
+    for k in range(0, len(first), rows):
+        i, j = near_pairs({c: v[k : k + rows] for c, v in p.items()}, q, minima)
+        later.append(q["at"][j])
+        earlier.append(p["at"][i + k])
+    return np.concatenate(later), np.concatenate(earlier)
+
+
+def first_linked(targets: pd.DataFrame, sources: pd.DataFrame, order: str, minima: dict[str, float], rows: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, first sources) by their orders: ``rows`` sources at a time, in order; a target that has found one meets no more."""
+    p, q = arrays_of(sources.sort_values(order), order), arrays_of(targets, order)
+    ids, q["at"] = q["at"], targets["__limit"].to_numpy()
+    at, partner = [ids[:0]], [ids[:0]]
+    for k in range(0, len(sources), rows):
+        block = {c: v[k : k + rows] for c, v in p.items()}
+        i, j = near_pairs(block, q, minima)
+        if not len(j):
+            continue
+        best = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(best, j, block["at"][i])
+        hit = np.zeros(len(ids), bool)
+        hit[j] = True
+        at.append(ids[hit])
+        partner.append(best[hit])
+        ids, q = ids[~hit], {c: v[~hit] for c, v in q.items()}
+        if not len(ids):
+            break
+    return np.concatenate(at), np.concatenate(partner)
 
 
 def linked_runs(links: DataFrame, series: str, order: str) -> DataFrame:
@@ -181,22 +277,41 @@ def greedy_dedup(df: DataFrame, duplicates: DataFrame, protected: str, series: s
     return df.join(known, [series, order], "left")
 
 
-def dedup(df: DataFrame, protected: str, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq") -> DataFrame:
-    """df with ``kept`` and ``duplicate_of``, as :func:`greedy_dedup` over :func:`near_duplicates`, without pairing equal vectors.
+def dedup(df: DataFrame, protected: str, minima: dict[str, float] = MINIMA, vector: str = "x", series: str = "series_id", order: str = "seq", chunk: int = 4096, row_links: int = 64) -> DataFrame:
+    """df with ``kept`` and ``duplicate_of``, as :func:`greedy_dedup` over :func:`near_duplicates`, without their pairs.
 
-    The rows that are compared are the first of each vector and the protected ones. Any later row of a vector has the partners of its first, so it
-    is a duplicate of the first kept one of these, or of that first row: a still picture of n rows makes no pairs.
+    Of the rows of one vector the first is settled; any later one has its partners, so it is a duplicate of the first kept one of these, or of that first row: a still picture of n rows makes no pairs.
+    Protected rows are kept, so rows that have one before them are no partners of others. Of the rest, the first ones in order, as many as
+    have ``row_links`` links a row of their series, are settled by their links, and all rows look for their first partner among those kept of them; this is repeated until none is left.
+    So links are never more than ``row_links`` a row at a time, however many near duplicates there are.
     """
-    rows = df.select(series, order, vector, protected)
-    firsts = rows.groupBy(series, vector).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    nodes = rows.join(firsts, [series, vector]).where((F.col(order) == F.col("__first")) | F.col(protected)).drop("__first", "__n")
-    nodes = cut(nodes)
-    pairs = cut(near_duplicates(nodes, minima, vector, series, order))
-    found = cut(greedy_dedup(nodes, pairs, protected, series, order).select(series, order, "kept", "duplicate_of"))
-    # of a first row its first kept partner, which a protected one has too although it stays
-    kept = found.where("kept").select(series, F.col(order).alias("duplicate_of"))
-    copied = firsts.where("__n > 1").select(series, F.col("__first").alias(order))
-    partner = pairs.join(copied, [series, order], "left_semi").join(kept, [series, "duplicate_of"]).groupBy(series, F.col(order).alias("__first")).agg(F.min("duplicate_of").alias("__partner"))
-    survivors = firsts.join(partner, [series, "__first"], "left").select(series, vector, F.coalesce("__partner", "__first").alias("__survivor"))
-    rest = rows.join(nodes.select(series, order), [series, order], "left_anti").join(survivors, [series, vector]).select(series, order, F.lit(False).alias("kept"), F.col("__survivor").alias("duplicate_of"))
-    return df.join(found.unionByName(rest), [series, order])
+    rows = df.select(series, order, F.col(vector).cast("array<double>").alias("x"), F.coalesce(protected, F.lit(False)).alias("__safe"))
+    firsts = rows.groupBy(series, "x").agg(F.min(order).alias(order), F.min(F.when(F.col("__safe"), F.col(order))).alias("__guard"), (F.count(F.lit(1)) > 1).alias("__copied"))
+    nodes = cut(measured(firsts, minima, "x", series, order))
+    guarded = F.coalesce(F.col("__guard") == F.col(order), F.lit(False))
+    targets = nodes.where(~guarded | F.col("__copied")).withColumn("__limit", F.col(order))
+    found = first_partners(targets, nodes.where("__guard IS NOT NULL").withColumn(order, F.col("__guard")), minima, series, order, chunk)
+    sizes = cut(nodes.groupBy(series).agg((F.count(F.lit(1)) * row_links).alias("__most")))
+    waiting = cut(nodes.where(~guarded).select(series, order).join(found, [series, order], "left_anti"))
+    while not waiting.isEmpty():
+        turn, many = waiting, F.col("count") * (F.col("count") - 1) > 2 * F.col("__most")
+        if not waiting.groupBy(series).count().join(sizes, series).where(many).isEmpty():
+            before = earlier_partners(nodes.join(waiting, [series, order], "left_semi"), minima, series, order, chunk)
+            upto = F.sum(F.coalesce("__n", F.lit(0))).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            turn = cut(waiting.join(before, [series, order], "left").withColumn("__upto", upto).join(sizes, series).where(F.col("__upto") <= F.col("__most")).select(series, order))
+        links = cut(links_of(nodes.join(turn, [series, order], "left_semi"), minima, series, order, chunk))
+        stay = greedy_dedup(turn.withColumn("__safe", F.lit(False)), links, "__safe", series, order).where("kept").select(series, order)
+        known = found.withColumnRenamed("duplicate_of", "__by")
+        limited = targets.join(known, [series, order], "left").withColumn("__limit", F.coalesce("__by", "__limit")).drop("__by")
+        better = first_partners(limited, nodes.join(cut(stay), [series, order], "left_semi"), minima, series, order, chunk)
+        found = cut(found.unionByName(better).groupBy(series, order).agg(F.min("duplicate_of").alias("duplicate_of")))
+        waiting = cut(waiting.join(turn, [series, order], "left_anti").join(found, [series, order], "left_anti"))
+    gone = found
+    copied = nodes.where("__copied").select(series, "x", F.col(order).alias("__first"))
+    if not copied.isEmpty():
+        partner = copied.join(found.withColumnRenamed(order, "__first"), [series, "__first"], "left").select(series, "x", "__first", F.coalesce("duplicate_of", "__first").alias("duplicate_of"))
+        rest = rows.join(partner, [series, "x"]).where(F.col(order) != F.col("__first")).select(series, order, "duplicate_of")
+        gone = found.unionByName(rest)
+    gone = gone.groupBy(series, order).agg(F.min("duplicate_of").alias("__by"))
+    dropped = F.col("__by").isNotNull() & ~F.coalesce(protected, F.lit(False))
+    return df.join(gone, [series, order], "left").withColumns({"kept": ~dropped, "duplicate_of": F.when(dropped, F.col("__by"))}).drop("__by")

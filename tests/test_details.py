@@ -278,6 +278,32 @@ def test_links_beyond_a_protected_partner_are_dropped_before_runs(spark, monkeyp
     assert all(n < len(pairs) / 2 for n in seen) and len(seen) == 2
 
 
+@pytest.mark.parametrize(("share", "sizes"), [(0.0, {}), (0.1, {}), (0.1, {"chunk": 7}), (0.0, {"chunk": 50, "row_links": 3})])
+def test_dedup_makes_few_links_a_row(spark, monkeypatch, share, sizes):
+    rng = np.random.default_rng(9)
+    x = 0.3 + rng.normal(size=64) / 50 + rng.normal(size=(4, 64))[rng.integers(0, 4, 400)] / 400 + rng.normal(size=(400, 64)) / 400
+    rows = [(1, i, v.tolist(), bool(rng.random() < share)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id long, seq long, x array<double>, protected boolean")
+    minima = {"pixel": 0.1, "histogram": 0.2, "hash": 60.0, "luminance": 0.0008, "structure": 1.0, "edge": 0.01}
+    pairs = {(r.seq, r.duplicate_of) for r in V.near_duplicates(df, minima).collect()}
+    kept, want, seen, settle = [], {}, [], V.greedy_dedup
+    for _, i, _, safe in rows:
+        first = next((k for k in kept if (i, k) in pairs), None)
+        want[i] = (True, None) if safe or first is None else (False, first)
+        kept += [i] if want[i][0] else []
+    monkeypatch.setattr(V, "greedy_dedup", lambda df, links, *names: (seen.append(links.count()), settle(df, links, *names))[1])
+    assert {r.seq: (r.kept, r.duplicate_of) for r in V.dedup(df, "protected", minima, **sizes).collect()} == want
+    assert len(pairs) > 70 * len(rows) and max(seen) <= sizes.get("row_links", 64) * len(rows)
+    assert len(seen) > 1 or not sizes.get("row_links")
+
+
+def test_black_and_missing_rows_are_near_none(spark):
+    looks = [[0.3 + i / 1000 for i in range(64)], [0.0] * 64, [float("nan")] + [0.3] * 63, [float("inf")] + [0.3] * 63, None]
+    df = spark.createDataFrame([(1, i, looks[i % 5], False) for i in range(15)], "series_id long, seq long, x array<double>, protected boolean")
+    got = {r.seq: (r.kept, r.duplicate_of) for r in V.dedup(df, "protected").collect()}
+    assert got == {i: (False, 0) if i in (5, 10) else (True, None) for i in range(15)}
+
+
 def test_runs_of_links_are_settled_apart(spark):
     rng = np.random.default_rng(11)
     pairs = sorted({(s, i, i - int(d)) for s in "ab" for i in range(4, 400) for d in rng.integers(1, 4, 2) if rng.random() < 0.4})
